@@ -462,7 +462,7 @@ def _covered(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, their columns packed in the struct `row`, with key, text (null: empty) and marks: runs of windows (v, start, count) that stand earlier, v being the CRC-32 of the text they belong to.
+    """The rows of docs, their other columns packed in the struct `kept_row`, with key, text (null: empty) and marks: runs of windows (v, start, count) that stand earlier, v being the CRC-32 of the text they belong to.
 
     A window stands earlier if a smaller doc_id holds it, or its own document at an earlier start. Null ids
     come last, and are one id. Rows that repeat an id and a text are one document: none is a repeat of the
@@ -470,7 +470,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     start among them."""
     spark = docs.sparkSession
     n = partitions(spark)
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")).repartition(n, "key")
+    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("kept_row")).repartition(n, "key")
     deal = lambda df: df.repartition(n, "bucket")
     flags = deal(base.mapInArrow(_send_anchors(8 * n), _PARCEL)).mapInArrow(_flag_anchors, _FLAG).groupBy("key").agg(F.collect_set("start").alias("flags"))
     segs = deal(base.join(flags, "key").mapInArrow(_send_segments(8 * n), _PARCEL))
@@ -483,7 +483,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeated_spans(docs, doc_id, text)
     schema = T.StructType.fromDDL("doc_id LONG, n_bytes LONG, n_removed LONG, n_spans LONG, kept_sha256 STRING, spans ARRAY<STRUCT<start: LONG, end: LONG>>")
     if with_text:
-        schema = T.StructType([*schema.fields, found.schema["row"], T.StructField("kept_text", T.StringType())])
+        schema = T.StructType([*schema.fields, found.schema["kept_row"], T.StructField("kept_text", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,7 +502,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     rows.append((None if key == NO_ID else key, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"start": a, "end": b} for a, b in spans], left.decode("utf-8", "ignore")))
                 columns = [pa.array(list(c), arrow[i].type) for i, c in enumerate(list(zip(*rows, strict=True))[:6])]
                 if with_text:
-                    columns += [part.column("row").cast(arrow.field("row").type), pa.array([r[6] for r in rows], pa.string())]
+                    columns += [part.column("kept_row").cast(arrow.field("kept_row").type), pa.array([r[6] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return found.mapInArrow(run, schema)
