@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_KINDS = {"LONG": T.LongType, "INT": T.IntegerType, "STRING": T.StringType, "BINARY": T.BinaryType, "DOUBLE": T.DoubleType, "BOOLEAN": T.BooleanType}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema of plain columns from "name KIND, ...", without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]()) for name, kind in (c.split() for c in columns.split(", "))])
+
+
 #: Rows leave Python in batches of about this many payload bytes, so that long texts stay in bounded memory.
 FLUSH_BYTES = 4 << 20
 

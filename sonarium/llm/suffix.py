@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sonarium.llm.arrow import struct
 from sonarium.llm.storage import partitions
 
 SPAN, ANCHOR = 100, 32
@@ -130,7 +131,7 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-_PARCEL = T.StructType.fromDDL("bucket INT, kind INT, a BINARY, b BINARY, c BINARY, d BINARY, e BINARY")
+_PARCEL = struct("bucket INT, kind INT, a BINARY, b BINARY, c BINARY, d BINARY, e BINARY")
 
 
 def _parcels(kind: int, buckets: np.ndarray, columns: list[np.ndarray], texts: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-_FLAG = T.StructType.fromDDL("key LONG, start INT")
+_FLAG = struct("key LONG, start INT")
 
 
 def _send_anchors(buckets: int):
@@ -390,7 +391,7 @@ def repeated_windows(x: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.
     return (np.concatenate(seg), np.concatenate(window)) if seg else (np.zeros(0, np.int64),) * 2
 
 
-_MARK = T.StructType.fromDDL("key LONG, v LONG, start LONG, count INT")
+_MARK = struct("key LONG, v LONG, start LONG, count INT")
 
 
 def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +437,7 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     cuts = [0]
     starts = np.flatnonzero(_groups(x["h"][chosen])) if len(chosen) else []
     for s in [*starts[1:], len(chosen)] if len(chosen) else []:
-        if s - cuts[-1] >= 100_000 or s == len(chosen):
+        if s - cuts[-1] >= 15_000 or s == len(chosen):
             cuts.append(int(s))
     for low, high in zip(cuts, cuts[1:], strict=False):
         some = chosen[low:high]
