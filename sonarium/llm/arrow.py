@@ -21,6 +21,17 @@ def struct(columns: str) -> T.StructType:
 FLUSH_BYTES = 4 << 20
 
 
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """An object that lives as long as the Python worker, over the tasks that it runs."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("sonarium_worker_cache", types.ModuleType("sonarium_worker_cache")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 class RowWriter:
     """Collects Python rows and cuts them into Arrow batches of bounded size."""
 

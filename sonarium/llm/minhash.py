@@ -7,8 +7,9 @@ in a register with the probability Jaccard similarity of their weights.
 
 Signatures are cut into bands; documents that share a band are candidates. Links are verified with the exact
 Jaccard similarity of the shingle sets. What is wanted is classes (connected documents), so not all pairs of
-a bucket are formed: each document is first compared with the smallest member of the bucket it shares most
-bands with. Where a bucket then still holds several classes, all its pairs across classes are looked at.
+a bucket are formed: its documents are compared with its smallest and its largest one. Every class then tries
+its most promising pair, a few times, and all that are left. Where a bucket then still holds several
+classes, all its pairs across classes are looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from sonarium.llm.storage import checkpointed, written
 
 WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
-#: Registers (their low bytes) that must agree before a pair across classes is verified: below that, a pair at the limit is met once in ten million.
-LEAST_AGREEMENT = 34
+#: Registers (their low bytes) that must agree before a pair is verified: a pair at the limit falls short of that three times in a hundred thousand.
+LEAST_AGREEMENT = 38
 #: Rows that may be broadcast; larger tables are joined by shuffle.
 SMALL = 200_000
 #: Rows of a bucket that are compared in one task.
@@ -164,17 +165,6 @@ def _small(df: DataFrame) -> bool:
     return df.limit(SMALL + 1).count() <= SMALL
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """key and class of a forest, whose rows are key and parent (a smaller key; roots need no row): every parent is replaced by its own until none changes."""
-    known = checkpointed(parents.select("key", F.col("parent").alias("class")))
-    while True:
-        up = known.select(F.col("key").alias("class"), F.col("class").alias("next"))
-        jumped = checkpointed(known.join(up, "class", "left").select("key", F.coalesce("next", "class").alias("class"), F.col("next").isNotNull().alias("moved")))
-        known = jumped.select("key", "class")
-        if jumped.where("moved").isEmpty():
-            return known
-
-
 def components(edges: DataFrame) -> DataFrame:
     """key and class (the smallest key) of the nodes of a graph: smallest labels spread over edges, then labels are replaced by their own labels, until none changes."""
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -189,10 +179,26 @@ def components(edges: DataFrame) -> DataFrame:
             return known
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs of keys (a, b) that agree in enough registers, with their agreement."""
+    low = [distinct.select(F.col("key").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in batch.columns[2:])
+            agree = (x == y).sum(axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agree)], ["a", "b", "agree"]).filter(pa.array(agree >= LEAST_AGREEMENT))
+
+    return pairs.join(low[0], "a").join(low[1], "b").select("a", "b", "low_a", "low_b").mapInArrow(run, "a LONG, b LONG, agree LONG")
+
+
+def _across(rows: DataFrame, only_best: bool) -> DataFrame:
     """Pairs (a, b) of keys of different classes that share a bucket and agree in enough registers, with their agreement. rows: band, key, class, low.
 
-    A bucket's largest class isn't compared with itself: the rows of its other classes go to each block of the bucket's rows."""
+    A bucket's largest class isn't compared with itself: the rows of its other classes go to each block of the
+    bucket's rows. only_best: of a row's pairs with one class in a block, that of the most agreement."""
     sizes = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m")).where("classes > 1")
     mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("m.class").alias("main"))
@@ -208,6 +214,10 @@ def _across(rows: DataFrame) -> DataFrame:
         for i in p.tolist():
             agree = (low[r] == low[i]).sum(axis=1)
             got = np.flatnonzero((agree >= LEAST_AGREEMENT) & (class_[r] != class_[i]))
+            if only_best and len(got):
+                got = got[np.lexsort((key[r[got]], -agree[got], class_[r[got]]))]
+                at = class_[r[got]]
+                got = got[np.append(True, at[1:] != at[:-1])]
             out.append((np.full(len(got), key[i]), key[r[got]], agree[got]))
         a, b, agree = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "agree": pa.array(agree.astype(np.int64), pa.int64())})
@@ -215,13 +225,52 @@ def _across(rows: DataFrame) -> DataFrame:
     return own.unionByName(probe).groupBy("band", "block").applyInArrow(compare, "a LONG, b LONG, agree LONG").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of a and b that are similar; sets: key and shingles."""
-    hint = F.broadcast if _small(pairs) else lambda x: x
-    with_x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(hint(pairs.select("a", "b")), "a")
-    keys = pairs.select("b").distinct()
-    others = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).join(hint(keys), "b", "left_semi")
-    return linked(with_x.join(others, "b"), similarity)
+def _labelled(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose keys are of different classes, with these (ca, cb); a key that known lacks is its own class."""
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("key").alias(side), F.col("class").alias(f"c{side}")), side, "left")
+    pairs = pairs.select("a", "b", "agree", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return checkpointed(pairs.where("ca <> cb"))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs that leave a class, the one of most agreement, for every class."""
+    top = F.max(F.struct("agree", "a", "b")).alias("m")
+    ends = pairs.select("a", "b", "agree", F.explode(F.array("ca", "cb")).alias("class"))
+    return ends.groupBy("class").agg(top).select("m.a", "m.b").distinct()
+
+
+class _Links:
+    """Verifies pairs, and keeps the classes that the links found so far give."""
+
+    def __init__(self, keyed: DataFrame, similarity: float):
+        self.keyed, self.similarity, self.sets, self.known = keyed, similarity, None, None
+
+    def fetch(self, keys: DataFrame) -> None:
+        """Shingle sets of keys that are not held yet, into a table in the shared folder."""
+        if self.sets is not None:
+            keys = keys.join(self.sets.select("key"), "key", "left_anti")
+        keys = checkpointed(keys)
+        if self.sets is not None and keys.isEmpty():
+            return
+        hint = F.broadcast if _small(keys) else lambda x: x
+        new = written(shingle_sets(self.keyed.join(hint(keys), "key", "left_semi"), ["key"]), "shingles")
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+
+    def add(self, chosen: DataFrame, labelled: DataFrame) -> None:
+        """Joins the classes (ca, cb of labelled) of the chosen pairs that are similar."""
+        self.fetch(chosen.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        hint = F.broadcast if _small(chosen) else lambda x: x
+        with_x = self.sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(hint(chosen.select("a", "b")), "a")
+        others = self.sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).join(hint(chosen.select("b").distinct()), "b", "left_semi")
+        found = linked(with_x.join(others, "b"), self.similarity).distinct()
+        links = checkpointed(found.join(labelled.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb"))
+        if not links.isEmpty():
+            self.known = _relabel(self.known, components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+
+
+#: Rounds in which every class tries its best pair, before all that are left are verified.
+ROUNDS = 3
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,48 +278,45 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 
     Equal word sequences are linked, so are all texts without words; null texts have no words. Rows that repeat
     an id are one document: their classes are joined. A null id's key is a negative number made of its text.
-    A pair at the limit shares a band with probability 0.9998, more similar ones more surely."""
+    A pair at the limit shares a band, and agrees in enough registers, with probability 0.9997, more similar
+    ones more surely."""
     keyed = docs.select(document_key(doc_id, text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = written(sign(keyed), "signed")
     lead = signed.groupBy("digest").agg(F.min("key").alias("lead"))
     copies = checkpointed(signed.select("key", "digest").join(lead, "digest").select("key", "lead").distinct())
-    distinct = checkpointed(signed.join(lead, "digest").where("key = lead").select("key", "bands", "low").dropDuplicates(["key"]))
+    firsts = copies.where("key = lead").select("key")
+    distinct = signed.join(firsts, "key", "left_semi").select("key", "bands", "low").where("low is not null")
+    again = firsts.join(signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi")
+    if not again.isEmpty():  # repeated ids: one signature for each
+        distinct = distinct.dropDuplicates(["key"])
     buckets = distinct.select(F.explode("bands").alias("band"), "key")
-    hubs = buckets.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = buckets.groupBy("band").agg(F.min("key").alias("low_hub"), F.max("key").alias("high_hub"), F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(buckets.join(hubs, "band"))
-    best = shared.where("key <> hub").groupBy("key", "hub").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("x")).select("key", (-F.col("x.h")).alias("hub"))
-    wanted = shared.select("key").distinct().join(best, "key", "left")
-    is_hub = best.select(F.col("hub").alias("key")).distinct().withColumn("is_hub", F.lit(True))
-    wanted = checkpointed(wanted.join(is_hub, "key", "left").select("key", "hub", F.coalesce("is_hub", F.lit(False)).alias("is_hub")))
-    hint = F.broadcast if _small(wanted) else lambda x: x
-    sets = written(shingle_sets(keyed.join(hint(wanted), "key"), ["key", "hub", "is_hub"]), "shingles")
-    tried = sets.where("hub is not null").select(F.col("key").alias("a"), F.col("hub").alias("b"), F.col("shingles").alias("x"))
-    forest = linked(tried.join(sets.where("is_hub").select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"), similarity)
-    known = roots(forest.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("parent")))
-
-    for last in (False, True):
-        if last:
-            left = pairs.join(merged.select(F.col("key").alias("ca"), F.col("class").alias("na")), "ca", "left").join(merged.select(F.col("key").alias("cb"), F.col("class").alias("nb")), "cb", "left")  # noqa: F821
-            left = left.select("a", "b", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb"), "agree").where("ca <> cb")
-            chosen = checkpointed(left)
-        else:
-            low = distinct.select("key", "low")
-            rows = shared.join(known, "key", "left").select("band", "key", F.coalesce("class", "key").alias("class")).join(low, "key")
-            label = known.select(F.col("key").alias("k"), "class")
-            pairs = _across(rows)
-            pairs = pairs.join(label.withColumnsRenamed({"k": "a", "class": "ca"}), "a", "left").join(label.withColumnsRenamed({"k": "b", "class": "cb"}), "b", "left")
-            pairs = checkpointed(pairs.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"), "agree"))
-            best = [pairs.groupBy(x, F.col(y).alias("c")).agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b") for x, y in (("a", "cb"), ("b", "ca"))]
-            chosen = checkpointed(best[0].unionByName(best[1]).distinct().join(pairs, ["a", "b"]))
-        if chosen.isEmpty():
+    to_hubs = shared.select("key", F.explode(F.array("low_hub", "high_hub")).alias("hub")).where("key <> hub")
+    edges = to_hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    pairs = checkpointed(_agreeing(edges, distinct))
+
+    links = _Links(keyed, similarity)
+    links.known = copies.sparkSession.createDataFrame([], "key LONG, class LONG")
+    links.fetch(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    for i in range(ROUNDS + 1):
+        pairs = _labelled(pairs.select("a", "b", "agree"), links.known)
+        if pairs.isEmpty():
+            break
+        chosen = checkpointed(_best(pairs)) if i < ROUNDS else pairs
+        links.add(chosen, pairs)
+        pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+    # Pairs of buckets of up to three rows have all been to their hubs.
+    large = checkpointed(shared.where("n > 3").select("band", "key").join(distinct.select("key", "low"), "key"))
+    for only_best in (True, False):
+        if large.isEmpty():
+            break
+        rows = large.join(links.known, "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"), "low")
+        pairs = _labelled(_across(rows, only_best), links.known)
+        if pairs.isEmpty():
             break
-        links = checkpointed(_verified(chosen, sets.select("key", "shingles"), similarity).distinct().join(chosen.select("a", "b", "ca", "cb"), ["a", "b"]))
-        if links.isEmpty():
-            merged = links.select(F.col("a").alias("key"), F.col("b").alias("class"))
-            continue
-        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        known = _relabel(known, merged)
-    named = copies.join(known.select(F.col("key").alias("lead"), "class"), "lead", "left").select("key", F.coalesce("class", "lead").alias("class"))
+        links.add(pairs, pairs)
+    named = copies.join(links.known.select(F.col("key").alias("lead"), "class"), "lead", "left").select("key", F.coalesce("class", "lead").alias("class"))
     torn = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if torn.isEmpty():
         return named

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.arrow import map_rows
+from sonarium.llm.arrow import map_rows, worker_cache
 
 LENGTH = 4096
 #: Tokens at which attention costs as much as the linear layers.
@@ -24,6 +24,8 @@ QUADRATIC = 8192
 #: Tokens that a task packs together.
 BLOCK_TOKENS = 4_000_000
 END_ID = 2
+#: Fixed value: a special token of the tokenizer's file.
+SEPARATOR = "<|startoftext|>"
 CACHE_WORDS = 400_000
 
 
@@ -85,6 +87,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -96,10 +99,17 @@ class WordTokenizer:
         if len(known) > CACHE_WORDS:
             known.clear()
         new = sorted(set().union(*split).difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+        plain = [w for w in new if SEPARATOR not in w]
+        for at in range(0, len(plain), 2_000):
+            # The special token is cut out of the text first, so that words on both sides are tokenized as if alone.
+            part = plain[at : at + 2_000]
+            got = np.array(self.tokenizer.encode(SEPARATOR + SEPARATOR.join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.append(np.flatnonzero(got == self.separator), len(got)).tolist()
+            raw = got.tobytes()
+            for word, a, b in zip(part, stops[:-1], stops[1:], strict=True):
+                known[word] = raw[4 * a + 4 : 4 * b]
+        for word in set(new).difference(plain):
+            known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -117,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        tokenizer, sequence = WordTokenizer(tokenizer_file), (context.partitionId() if context else 0) << 33
+        tokenizer, sequence = worker_cache(tokenizer_file, lambda: WordTokenizer(tokenizer_file)), (context.partitionId() if context else 0) << 33
         keys, ids, held = [], [], 0
 
         def packed():

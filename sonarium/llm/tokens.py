@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.arrow import map_rows
+from sonarium.llm.arrow import map_rows, worker_cache
 
 #: A word's mark: the pieces bear it in place of the blank before a word.
 WORD_START = "▁"
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text:
     pieces = zipf_pieces(model_file)
 
     def rows(batches):
-        counter = WordCounter(pieces)
+        counter = worker_cache(f"unigram {model_file}", lambda: WordCounter(pieces))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.arrow import map_rows
-from sonarium.llm.storage import partitions, written
+from sonarium.llm.storage import checkpointed, partitions, written
 
 VERSION = b"WARC/1.1"
 ARCHIVE_BYTES = 4 << 20
 #: Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 100
+#: Revisits up to this many are broadcast to the writers, where no page repeats; else pages are dealt by id.
+SMALL = 100_000
 #: Fixed value of the format: the profile of a revisit record of an identical payload.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -103,37 +105,57 @@ def read_archives(archives: DataFrame, content: str = "content", archive_id: str
     return map_rows(archives.select(F.col(archive_id).cast("string"), F.col(content).cast("binary")), rows, RECORD)
 
 
+CAPTURES, OTHERS = ("response", "revisit", "resource"), ("request", "metadata")
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, record_type, target_uri, date, the capture's own record, and the requests and metadata tied to it (arrays, by record id).
 
     Requests and metadata that lead to no capture are left to orphan_records(). Repeated record ids give repeated rows.
     The joins carry what the input's columns hold; leave out payload where it isn't wanted. The input is read several times."""
     whole = F.struct(*[F.col(c) for c in records.columns])
-    kinds = F.col("record_type").isin("response", "revisit", "resource")
-    captures = records.where(kinds).select(F.col("record_id").alias("capture_id"), "concurrent_to", whole.alias("record"))
-    others = records.where(F.col("record_type").isin("request", "metadata"))
-    members_ = _membership(captures, others)
-    tied = others.join(members_, others["record_id"] == members_["member"]).select("capture_id", "record_type", whole.alias("other"))
-    by_type = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("other"))), lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0))
+    captures = records.where(F.col("record_type").isin(*CAPTURES)).select(F.col("record_id").alias("capture_id"), whole.alias("record"))
+    others = records.where(F.col("record_type").isin(*OTHERS))
+    ids = captures.select("capture_id").distinct()
+    # Records that name a capture go straight to it: one exchange serves the join and the grouping.
+    tied = others.select(F.explode(F.array_distinct("concurrent_to")).alias("capture_id"), "record_type", whole.alias("other")).join(ids, "capture_id", "left_semi")
+    indirect = _indirect(records)
+    if not indirect.isEmpty():
+        more = others.join(indirect, "record_id").select("capture_id", "record_type", whole.alias("other"))
+        tied = tied.unionByName(more)
+    by_id = lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)
+    by_type = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("other"))), by_id)
     grouped = tied.groupBy("capture_id").agg(by_type("request").alias("requests"), by_type("metadata").alias("metadata"))
-    joined = captures.drop("concurrent_to").join(grouped, "capture_id", "left")
+    joined = captures.join(grouped, "capture_id", "left")
     return joined.select("capture_id", "record.record_type", "record.target_uri", "record.date", "record", "requests", "metadata")
 
 
-def _membership(captures: DataFrame, others: DataFrame) -> DataFrame:
-    """member and capture_id, over at most one record in between."""
-    links = others.select(F.col("record_id").alias("member"), F.explode("concurrent_to").alias("target")).unionByName(captures.select(F.explode("concurrent_to").alias("member"), F.col("capture_id").alias("target")))
-    ids = captures.select(F.col("capture_id").alias("target")).distinct()
-    near = links.join(ids, "target", "left_semi").select("member", F.col("target").alias("capture_id"))
-    far = links.join(ids, "target", "left_anti").alias("l").join(near.alias("n"), F.col("l.target") == F.col("n.member")).select("l.member", "n.capture_id")
-    return near.unionByName(far).distinct()
+def _direct(records: DataFrame) -> DataFrame:
+    """record_id and capture_id of requests and metadata that name a capture."""
+    ids = records.where(F.col("record_type").isin(*CAPTURES)).select(F.col("record_id").alias("capture_id")).distinct()
+    links = records.where(F.col("record_type").isin(*OTHERS)).select("record_id", F.explode("concurrent_to").alias("capture_id"))
+    return links.join(ids, "capture_id", "left_semi").select("record_id", "capture_id").distinct()
+
+
+def _indirect(records: DataFrame) -> DataFrame:
+    """record_id and capture_id of requests and metadata that a capture names, and of those tied to one over another record, where they do not name it themselves."""
+    captures = records.where(F.col("record_type").isin(*CAPTURES))
+    named = captures.where(F.size("concurrent_to") > 0).select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("capture_id"))
+    # Only links whose target is no capture are followed; there are few, or none.
+    links = records.where(F.col("record_type").isin(*OTHERS)).select("record_id", F.explode("concurrent_to").alias("target"))
+    loose = links.join(captures.select(F.col("record_id").alias("target")), "target", "left_anti")
+    if named.isEmpty() and loose.isEmpty():
+        return named
+    direct = _direct(records)
+    near = direct.unionByName(named).select(F.col("record_id").alias("target"), "capture_id")
+    far = loose.join(near, "target").select("record_id", "capture_id")
+    return named.unionByName(far).join(direct, ["record_id", "capture_id"], "left_anti").distinct()
 
 
 def orphan_records(records: DataFrame) -> DataFrame:
     """Requests and metadata that lead to no capture."""
-    captures = records.where(F.col("record_type").isin("response", "revisit", "resource")).select(F.col("record_id").alias("capture_id"), "concurrent_to")
-    others = records.where(F.col("record_type").isin("request", "metadata"))
-    return others.join(_membership(captures, others).select(F.col("member").alias("record_id")), "record_id", "left_anti")
+    tied = _direct(records).unionByName(_indirect(records)).select("record_id")
+    return records.where(F.col("record_type").isin(*OTHERS)).join(tied, "record_id", "left_anti")
 
 
 def page_urn(page_id: int | None, digest: str, nth: int, kind: str) -> str:
@@ -192,11 +214,17 @@ def page_transactions(pages: DataFrame) -> DataFrame:
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size"))
     first = slim.where((F.col("size") >= REVISIT_BYTES)).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     later = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), "digest", F.col("first").alias("refers_to")).distinct()
-    n = partitions(spark)
-    dealt = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).withColumn("key", F.coalesce("page_id", F.lit(-(2**63)))).repartition(n, "key")
-    told = dealt.withColumn("digest", F.sha2("payload", 256)).join(later, ["key", "digest"], "left")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).withColumn("key", F.coalesce("page_id", F.lit(-(2**63))))
+    later = checkpointed(later)
+    repeats = slim.groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    if later.limit(SMALL + 1).count() <= SMALL and repeats.isEmpty():
+        told = keyed.withColumn("digest", F.sha2("payload", 256)).join(F.broadcast(later), ["key", "digest"], "left")
+    else:
+        told = keyed.repartition(partitions(spark), "key").withColumn("digest", F.sha2("payload", 256)).join(later, ["key", "digest"], "left")
     archives = written(write_archives(told), "archives")
-    records = written(read_archives(archives).drop("payload"), "records")
+    capture = F.col("record_type").isin(*CAPTURES)
+    records = read_archives(archives).where(F.col("record_type") != "warcinfo").select("record_id", "record_type", "concurrent_to", "target_uri", "date", "refers_to", "declared_digest", "http_length", "payload_bytes", F.when(capture, F.col("payload_digest")).alias("payload_digest"), "fields")
+    records = written(records, "records")
     page_id = F.regexp_extract(F.col("metadata")[0]["fields"], r"page-id: (-?\d+)", 1)
     revisit = F.col("record_type") == "revisit"
     refers_to = F.regexp_extract("record.refers_to", r"^urn:page:(-?\d+):", 1)
