@@ -10,8 +10,10 @@ Each task packs the rows it reads, so no text is shuffled and no task depends on
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +24,13 @@ LENGTH = 4096
 #: Tokens at which attention costs as much as the linear layers.
 QUADRATIC = 8192
 #: Tokens that a task packs together.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 END_ID = 2
-#: Fixed value: a special token of the tokenizer's file.
-SEPARATOR = "<|startoftext|>"
-CACHE_WORDS = 400_000
+#: Runs without white space that may be cut by PARTS: no marks, no letters whose kind depends on the Unicode version, no bars (special tokens have them).
+SAFE = re.compile("[!-{}~\u00c0-\u024f]+")
+#: Fixed value: the pattern of the tokenizer's file, for such runs.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+CACHE_WORDS = 1_000_000
 
 
 def cost(n: int) -> float:
@@ -53,65 +57,79 @@ def assign(sizes: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, i
             pieces.append((size - start, doc, start))
     pieces.sort(key=lambda p: (-p[0], p[1]))
     used = [0] * len(room)
-    open_now = [(0.0, s) for s in range(at, len(room))]  # already a heap: equal costs, ascending
+    by_cost = [(0.0, s) for s in range(at, len(room))]  # already a heap: equal costs, ascending
+    by_room = sorted((-room[s], s) for s in range(at, len(room)))  # also a heap; entries that are out of date are skipped
     for size, doc, start in pieces:
-        passed = []
         while size:
-            if open_now:
-                spent, s = heapq.heappop(open_now)
-                if room[s] - used[s] < size:
-                    passed.append((spent, s))
-                    continue
+            while used[by_room[0][1]] - room[by_room[0][1]] != by_room[0][0]:
+                heapq.heappop(by_room)
+            passed = []
+            if by_room[0][0] + size > 0:  # it fits nowhere whole: cut it where the most is left
+                s, n = by_room[0][1], -by_room[0][0]
+            else:
+                spent, s = heapq.heappop(by_cost)
+                while room[s] - used[s] < size:
+                    if used[s] < room[s]:
+                        passed.append((spent, s))
+                    spent, s = heapq.heappop(by_cost)
                 n = size
-            else:  # it fits nowhere whole: cut it where the most is left
-                passed.sort(key=lambda x: (used[x[1]] - room[x[1]], x[0], x[1]))
-                spent, s = passed.pop(0)
-                n = min(size, room[s] - used[s])
+                spent += cost(n)
+                if used[s] + n < room[s]:
+                    passed.append((spent, s))
             yield doc, start, n, s, used[s]
             used[s] += n
             start, size = start + n, size - n
             if used[s] < room[s]:
-                heapq.heappush(open_now, (spent + cost(n), s))
-            if size:
-                for x in passed:
-                    heapq.heappush(open_now, x)
-                passed = []
-        for x in passed:
-            heapq.heappush(open_now, x)
+                heapq.heappush(by_room, (used[s] - room[s], s))
+            for x in passed:
+                heapq.heappush(by_cost, x)
 
 
 class WordTokenizer:
-    """A tokenizer that drops white space, run once per distinct run of other characters: the file's rules never look across white space."""
+    """A tokenizer whose file cuts text at white space and drops that, run once per distinct run of other characters.
+
+    Runs of common letters (below SAFE) are normalized by the file's normalizer, many at a time, and cut by the
+    file's pattern here; only their distinct parts go through the merges. Other runs, and those that may
+    hold a special token, go through the whole tokenizer."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.normalizers import Sequence
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.tokenizer, self.merges = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.merges.normalizer = Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        import numpy as np
-
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
         new = sorted(set().union(*split).difference(known))
-        plain = [w for w in new if SEPARATOR not in w]
-        for at in range(0, len(plain), 2_000):
-            # The special token is cut out of the text first, so that words on both sides are tokenized as if alone.
-            part = plain[at : at + 2_000]
-            got = np.array(self.tokenizer.encode(SEPARATOR + SEPARATOR.join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.append(np.flatnonzero(got == self.separator), len(got)).tolist()
-            raw = got.tobytes()
-            for word, a, b in zip(part, stops[:-1], stops[1:], strict=True):
-                known[word] = raw[4 * a + 4 : 4 * b]
-        for word in set(new).difference(plain):
-            known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = [w for w in new if w and SAFE.fullmatch(w)]
+        for at in range(0, len(plain), 50_000):
+            part = plain[at : at + 50_000]
+            cut = list(map(PARTS.findall, self.tokenizer.normalizer.normalize_str(" ".join(part)).split(" ")))
+            parts = sorted(set(chain.from_iterable(cut)))
+            found = dict(zip(parts, self._encoded(self.merges, parts), strict=True))
+            for word, pieces in zip(part, cut, strict=True):
+                known[word] = found[pieces[0]] if len(pieces) == 1 else b"".join([found[p] for p in pieces])
+        rest = sorted(set(new).difference(plain))
+        known.update(zip(rest, self._encoded(self.tokenizer, rest), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
+    @staticmethod
+    def _encoded(tokenizer, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        raw = np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())).tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
 
 def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with_ids the ids themselves (little-endian, 32 bits).
