@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.arrow import map_rows
-from sonarium.llm.storage import checkpointed, written
+from sonarium.llm.storage import written
 
 WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
@@ -165,15 +165,38 @@ def _small(df: DataFrame) -> bool:
     return df.limit(SMALL + 1).count() <= SMALL
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """key and class (the smallest key) of the nodes of a graph: smallest labels spread over edges, then labels are replaced by their own labels, until none changes."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    known = checkpointed(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if up:
+        keys = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([root(k) for k in keys], pa.int64())], ["key", "class"])
+
+
+def components(edges: DataFrame, one_task: int = SMALL) -> DataFrame:
+    """key and class (the smallest key) of the nodes of a graph.
+
+    Up to one_task edges are joined in one task. Of more, smallest labels spread over edges, then labels are
+    replaced by their own labels, until none changes."""
+    edges = edges.select("a", "b")
+    if edges.limit(one_task + 1).count() <= one_task:
+        return written(edges.repartition(1).mapInArrow(_union_find, "key LONG, class LONG"), "components")
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    known = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("class")), "labels")
     while True:
         near = both.join(known.select(F.col("key").alias("b"), "class"), "b").groupBy(F.col("a").alias("key")).agg(F.min("class").alias("low"))
-        spread = checkpointed(known.join(near, "key").select("key", F.col("class").alias("old"), F.least("class", "low").alias("class")))
+        spread = written(known.join(near, "key").select("key", F.col("class").alias("old"), F.least("class", "low").alias("class")), "spread")
         jump = spread.select(F.col("key").alias("class"), F.col("class").alias("next"))
-        new = checkpointed(spread.join(jump, "class", "left").select("key", F.least(F.coalesce("next", "class"), "class").alias("class"), "old"))
+        new = written(spread.join(jump, "class", "left").select("key", F.least(F.coalesce("next", "class"), "class").alias("class"), "old"), "labels")
         known = new.select("key", "class")
         if new.where("class <> old").isEmpty():
             return known
@@ -230,7 +253,7 @@ def _labelled(pairs: DataFrame, known: DataFrame) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(known.select(F.col("key").alias(side), F.col("class").alias(f"c{side}")), side, "left")
     pairs = pairs.select("a", "b", "agree", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    return checkpointed(pairs.where("ca <> cb"))
+    return written(pairs.where("ca <> cb"), "pairs")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -250,7 +273,7 @@ class _Links:
         """Shingle sets of keys that are not held yet, into a table in the shared folder."""
         if self.sets is not None:
             keys = keys.join(self.sets.select("key"), "key", "left_anti")
-        keys = checkpointed(keys)
+        keys = written(keys, "keys")
         if self.sets is not None and keys.isEmpty():
             return
         hint = F.broadcast if _small(keys) else lambda x: x
@@ -264,13 +287,13 @@ class _Links:
         with_x = self.sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(hint(chosen.select("a", "b")), "a")
         others = self.sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).join(hint(chosen.select("b").distinct()), "b", "left_semi")
         found = linked(with_x.join(others, "b"), self.similarity).distinct()
-        links = checkpointed(found.join(labelled.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb"))
+        links = written(found.join(labelled.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb"), "links")
         if not links.isEmpty():
             self.known = _relabel(self.known, components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
 
 
 #: Rounds in which every class tries its best pair, before all that are left are verified.
-ROUNDS = 3
+ROUNDS = 1
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,7 +306,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     keyed = docs.select(document_key(doc_id, text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = written(sign(keyed), "signed")
     lead = signed.groupBy("digest").agg(F.min("key").alias("lead"))
-    copies = checkpointed(signed.select("key", "digest").join(lead, "digest").select("key", "lead").distinct())
+    copies = written(signed.select("key", "digest").join(lead, "digest").select("key", "lead").distinct(), "copies")
     firsts = copies.where("key = lead").select("key")
     distinct = signed.join(firsts, "key", "left_semi").select("key", "bands", "low").where("low is not null")
     again = firsts.join(signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi")
@@ -291,10 +314,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
         distinct = distinct.dropDuplicates(["key"])
     buckets = distinct.select(F.explode("bands").alias("band"), "key")
     hubs = buckets.groupBy("band").agg(F.min("key").alias("low_hub"), F.max("key").alias("high_hub"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(buckets.join(hubs, "band"))
+    shared = written(buckets.join(hubs, "band"), "shared")
     to_hubs = shared.select("key", F.explode(F.array("low_hub", "high_hub")).alias("hub")).where("key <> hub")
     edges = to_hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    pairs = checkpointed(_agreeing(edges, distinct))
+    pairs = written(_agreeing(edges, distinct), "pairs")
 
     links = _Links(keyed, similarity)
     links.known = copies.sparkSession.createDataFrame([], "key LONG, class LONG")
@@ -303,11 +326,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
         pairs = _labelled(pairs.select("a", "b", "agree"), links.known)
         if pairs.isEmpty():
             break
-        chosen = checkpointed(_best(pairs)) if i < ROUNDS else pairs
+        chosen = written(_best(pairs), "chosen") if i < ROUNDS else pairs
         links.add(chosen, pairs)
         pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     # Pairs of buckets of up to three rows have all been to their hubs.
-    large = checkpointed(shared.where("n > 3").select("band", "key").join(distinct.select("key", "low"), "key"))
+    large = written(shared.where("n > 3").select("band", "key").join(distinct.select("key", "low"), "key"), "large")
     for only_best in (True, False):
         if large.isEmpty():
             break
@@ -329,12 +352,12 @@ def _relabel(known: DataFrame, merged: DataFrame) -> DataFrame:
     new = merged.select(F.col("key").alias("class"), F.col("class").alias("next"))
     moved = known.join(new, "class", "left").select("key", F.coalesce("next", "class").alias("class"))
     fresh = merged.join(known.select("key"), "key", "left_anti").where("key <> class").select("key", "class")
-    return checkpointed(moved.unionByName(fresh))
+    return written(moved.unionByName(fresh), "classes")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class; see classes()), class_size (distinct keys) and is_first (the id is the class's)."""
-    found = checkpointed(classes(docs, similarity))
+    found = written(classes(docs, similarity), "found")
     sizes = found.groupBy("class").agg(F.count("*").alias("class_size"))
     keyed = docs.select("doc_id", document_key("doc_id", "text").alias("key"))
     named = keyed.join(found, "key").join(sizes, "class")
@@ -343,7 +366,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, whole: that of the smallest id; of rows that repeat this id, the one whose text sorts first."""
-    found = checkpointed(classes(docs, similarity).where("key = class").select("key"))
+    found = written(classes(docs, similarity).where("key = class").select("key"), "found")
     columns = docs.columns
     kept = docs.withColumn("key", document_key("doc_id", "text")).join(found, "key", "left_semi")
     again = docs.select(document_key("doc_id", "text").alias("key")).join(found, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")

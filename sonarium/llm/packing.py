@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,7 +31,7 @@ END_ID = 2
 SAFE = re.compile("[!-{}~\u00c0-\u024f]+")
 #: Fixed value: the pattern of the tokenizer's file, for such runs.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 
 
 def cost(n: int) -> float:
@@ -88,48 +89,45 @@ def assign(sizes: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, i
 class WordTokenizer:
     """A tokenizer whose file cuts text at white space and drops that, run once per distinct run of other characters.
 
-    Runs of common letters (below SAFE) are normalized by the file's normalizer, many at a time, and cut by the
-    file's pattern here; only their distinct parts go through the merges. Other runs, and those that may
-    hold a special token, go through the whole tokenizer."""
+    Runs of SAFE characters, which are composed already, are put into lower case and cut by the file's pattern
+    here; only their distinct parts go through the merges. Other runs, and those that may hold a special
+    token, go through the whole tokenizer."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-        from tokenizers.normalizers import Sequence
-
-        self.tokenizer, self.merges = Tokenizer.from_file(file), Tokenizer.from_file(file)
-        self.merges.normalizer = Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        self.merges = self.tokenizer.model.tokenize
+        # A byte's character in the merges: its own where that is visible, else the next one from 256 on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.characters = {b: 256 + i for i, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = sorted(set().union(*split).difference(known))
-        plain = [w for w in new if w and SAFE.fullmatch(w)]
-        for at in range(0, len(plain), 50_000):
-            part = plain[at : at + 50_000]
-            cut = list(map(PARTS.findall, self.tokenizer.normalizer.normalize_str(" ".join(part)).split(" ")))
-            parts = sorted(set(chain.from_iterable(cut)))
-            found = dict(zip(parts, self._encoded(self.merges, parts), strict=True))
-            for word, pieces in zip(part, cut, strict=True):
-                known[word] = found[pieces[0]] if len(pieces) == 1 else b"".join([found[p] for p in pieces])
-        rest = sorted(set(new).difference(plain))
-        known.update(zip(rest, self._encoded(self.tokenizer, rest), strict=True))
+        known, parts = self.known, self.parts
+        for cache in (known, parts):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        new = set().union(*split).difference(known)
+        safe = SAFE.fullmatch
+        plain = [w for w in new if safe(w)]
+        if plain:
+            cut = list(map(PARTS.findall, " ".join(plain).lower().split(" ")))
+            merges, characters = self.merges, self.characters
+            for part in set(chain.from_iterable(cut)).difference(parts):
+                text = part if part.isascii() else part.encode().decode("latin-1").translate(characters)
+                parts[part] = array("I", [x.id for x in merges(text)]).tobytes()
+            for word, pieces in zip(plain, cut, strict=True):
+                known[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[p] for p in pieces])
+        if len(plain) < len(new):
+            rest = list(new.difference(plain))
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
-    @staticmethod
-    def _encoded(tokenizer, words: list[str]) -> list[bytes]:
-        import numpy as np
-
-        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        raw = np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())).tobytes()
-        ends = (4 * np.cumsum(sizes)).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
 
 def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with_ids the ids themselves (little-endian, 32 bits).
@@ -159,8 +157,8 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str
             sequence = last
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 got = tokenizer.ids([t or "" for t in part.column(1).to_pylist()])
                 for key, x in zip(part.column(0).to_pylist(), got, strict=True):
                     keys.append(key)
