@@ -1,6 +1,6 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is a weighted set of shingles (five words; weight 1 + ln(count)). Every shingle sends arrivals of
+A document is a weighted set of shingles (five words; weight count ** EXPONENT). Every shingle sends arrivals of
 a Poisson process of its weight's rate to random registers; a register keeps the shingle that arrives first,
 and a shingle stops once its next arrival is later than the document's latest register. Two documents agree
 in a register with the probability Jaccard similarity of their weights.
@@ -28,6 +28,8 @@ from sonarium.llm.storage import written
 
 WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
+#: Weights stay near 1, as links are verified by the sets: repeated shingles would else draw together documents that share little else.
+EXPONENT = 1 / 16
 #: Registers (their low bytes) that must agree before a pair is verified: a pair at the limit falls short of that three times in a hundred thousand.
 LEAST_AGREEMENT = 38
 #: Rows that may be broadcast; larger tables are joined by shuffle.
@@ -119,7 +121,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     words = shingler.words(text or "")
                     digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     shingles, counts = np.unique(shingler.shingles(words), return_counts=True)
-                    sets.append((shingles, 1.0 + np.log(counts)))
+                    sets.append((shingles, counts**EXPONENT))
                 sig = signatures(sets)
                 bands = _mix((_mix(sig).reshape(len(sets), BANDS, -1) * factors).sum(axis=2, dtype=np.uint64) + seeds).view(np.int64)
                 low = _mix(sig).astype(np.uint8)
@@ -144,18 +146,22 @@ def shingle_sets(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_rows(docs.select(*columns, "text"), rows, schema)
 
 
+def _similar(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+        return False
+    merged = np.sort(np.concatenate([p, q]), kind="stable")
+    both = int((merged[1:] == merged[:-1]).sum())
+    return both >= similarity * (len(p) + len(q) - both)
+
+
 def linked(pairs: DataFrame, similarity: float) -> DataFrame:
     """The a and b of rows whose shingle sets x and y have at least that Jaccard similarity."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    continue
-                merged = np.sort(np.concatenate([p, q]), kind="stable")
-                both = int((merged[1:] == merged[:-1]).sum())
-                if both >= similarity * (len(p) + len(q) - both):
+                if _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity):
                     yield (a, b), 16
 
     return map_rows(pairs.select("a", "b", "x", "y"), rows, "a LONG, b LONG")
@@ -217,35 +223,56 @@ def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(low[0], "a").join(low[1], "b").select("a", "b", "low_a", "low_b").mapInArrow(run, "a LONG, b LONG, agree LONG")
 
 
-def _across(rows: DataFrame, only_best: bool) -> DataFrame:
-    """Pairs (a, b) of keys of different classes that share a bucket and agree in enough registers, with their agreement. rows: band, key, class, low.
+_FOUND = {"best": "a LONG, b LONG, agree LONG", "keys": "band LONG, key LONG", "links": "a LONG, b LONG"}
+
+
+def _across(rows: DataFrame, what: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Looks at pairs of keys of different classes that share a bucket and agree in enough registers, each in the first bucket that they share. rows: band, key, class, low, bands, and shingles for "links".
 
+    "best": of a row's pairs with one class in a block, that of the most agreement; "keys": the keys of all
+    pairs, by bucket; "links": the pairs that are similar by their shingle sets, one for a row and a class.
     A bucket's largest class isn't compared with itself: the rows of its other classes go to each block of the
-    bucket's rows. only_best: of a row's pairs with one class in a block, that of the most agreement."""
+    bucket's rows, so a task holds one block."""
     sizes = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m")).where("classes > 1")
     mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("m.class").alias("main"))
     held = rows.join(mixed, "band")
-    own = held.select("band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "key", "class", "low")
-    probe = held.where(F.col("class") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "key", "class", "low")
+    columns = ["key", "class", "low", "bands", *["shingles"] * (what == "links")]
+    own = held.select("band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), *columns)
+    probe = held.where(F.col("class") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
 
     def compare(table: pa.Table) -> pa.Table:
         key, class_ = table.column("key").to_numpy(), table.column("class").to_numpy()
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()] if what == "links" else []
+        here = table.column("band")[0].as_py()
         probes = table.column("probe").to_numpy(zero_copy_only=False)
-        p, r, out = np.flatnonzero(probes), np.flatnonzero(~probes), []
-        for i in p.tolist():
+        r, pairs, keys = np.flatnonzero(~probes), [], set()
+        for i in np.flatnonzero(probes).tolist():
             agree = (low[r] == low[i]).sum(axis=1)
             got = np.flatnonzero((agree >= LEAST_AGREEMENT) & (class_[r] != class_[i]))
-            if only_best and len(got):
-                got = got[np.lexsort((key[r[got]], -agree[got], class_[r[got]]))]
+            got = got[bands[i][(bands[r[got]] == bands[i]).argmax(axis=1)] == here]
+            got = got[np.lexsort((key[r[got]], -agree[got], class_[r[got]]))]
+            if what == "best" and len(got):
                 at = class_[r[got]]
                 got = got[np.append(True, at[1:] != at[:-1])]
-            out.append((np.full(len(got), key[i]), key[r[got]], agree[got]))
-        a, b, agree = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "agree": pa.array(agree.astype(np.int64), pa.int64())})
-
-    return own.unionByName(probe).groupBy("band", "block").applyInArrow(compare, "a LONG, b LONG, agree LONG").distinct()
+            elif what == "keys" and len(got):
+                keys.update([int(key[i]), *key[r[got]].tolist()])
+            elif what == "links":
+                linked_to, kept = None, []
+                for j in got.tolist():
+                    if class_[r[j]] != linked_to and _similar(sets[i], sets[r[j]], similarity):
+                        linked_to = class_[r[j]]
+                        kept.append(j)
+                got = np.array(kept, np.int64)
+            pairs += [(int(key[i]), int(key[r[j]]), int(agree[j])) for j in got.tolist()] if what != "keys" else []
+        if what == "keys":
+            return pa.table({"band": pa.array([here] * len(keys), pa.int64()), "key": pa.array(sorted(keys), pa.int64())})
+        columns = {"a": [min(p[:2]) for p in pairs], "b": [max(p[:2]) for p in pairs], "agree": [p[2] for p in pairs]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items() if k in _FOUND[what]})
+
+    return own.unionByName(probe).groupBy("band", "block").applyInArrow(compare, _FOUND[what]).distinct()
 
 
 def _labelled(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -330,15 +357,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
         links.add(chosen, pairs)
         pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     # Pairs of buckets of up to three rows have all been to their hubs.
-    large = written(shared.where("n > 3").select("band", "key").join(distinct.select("key", "low"), "key"), "large")
-    for only_best in (True, False):
-        if large.isEmpty():
-            break
-        rows = large.join(links.known, "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"), "low")
-        pairs = _labelled(_across(rows, only_best), links.known)
-        if pairs.isEmpty():
-            break
-        links.add(pairs, pairs)
+    large = written(shared.where("n > 3").select("band", "key").join(distinct.select("key", "low", "bands"), "key"), "large")
+    label = lambda: large.join(links.known, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    if not large.isEmpty():
+        pairs = _labelled(_across(label(), "best"), links.known)
+        if not pairs.isEmpty():
+            links.add(pairs, pairs)
+            # What is left is verified within blocks: two large classes may have very many pairs, and no link.
+            rows = label()
+            some = written(_across(rows, "keys"), "across")
+            if not some.isEmpty():
+                links.fetch(some.select("key").distinct())
+                sets = rows.join(some, ["band", "key"]).join(links.sets, "key")
+                found = _across(sets, "links", similarity).withColumn("agree", F.lit(0).cast("long"))
+                pairs = _labelled(found, links.known)
+                if not pairs.isEmpty():
+                    links.known = _relabel(links.known, components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     named = copies.join(links.known.select(F.col("key").alias("lead"), "class"), "lead", "left").select("key", F.coalesce("class", "lead").alias("class"))
     torn = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if torn.isEmpty():

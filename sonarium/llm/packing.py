@@ -137,8 +137,10 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str
     end = END_ID.to_bytes(4, "little")
 
     def rows(batches):
+        import gc
         import os
 
+        gc.disable()  # millions of cached strings, and no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
