@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sonarium.llm.storage import bounded_batches
+
 _KINDS = {"LONG": T.LongType, "INT": T.IntegerType, "STRING": T.StringType, "BINARY": T.BinaryType, "DOUBLE": T.DoubleType, "BOOLEAN": T.BooleanType}
 
 
@@ -55,6 +57,7 @@ class RowWriter:
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[tuple, int]]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over a generator of (row, bytes); the output is cut into batches of bounded size."""
+    bounded_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.arrow import map_rows
-from sonarium.llm.storage import written
+from sonarium.llm.storage import checkpointed, scratch, written
 
 WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
@@ -226,8 +226,8 @@ def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 _FOUND = {"best": "a LONG, b LONG, agree LONG", "keys": "band LONG, key LONG", "links": "a LONG, b LONG"}
 
 
-def _across(rows: DataFrame, what: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Looks at pairs of keys of different classes that share a bucket and agree in enough registers, each in the first bucket that they share. rows: band, key, class, low, bands, and shingles for "links".
+def _across(rows: DataFrame, signed: DataFrame, what: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Looks at pairs of keys of different classes that share a bucket and agree in enough registers, each in the first bucket that they share. rows: band, key, class; signed: key, low, bands, and shingles for "links".
 
     "best": of a row's pairs with one class in a block, that of the most agreement; "keys": the keys of all
     pairs, by bucket; "links": the pairs that are similar by their shingle sets, one for a row and a class.
@@ -236,7 +236,7 @@ def _across(rows: DataFrame, what: str, similarity: float = SIMILARITY) -> DataF
     sizes = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m")).where("classes > 1")
     mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("m.class").alias("main"))
-    held = rows.join(mixed, "band")
+    held = rows.join(mixed, "band").join(signed, "key")
     columns = ["key", "class", "low", "bands", *["shingles"] * (what == "links")]
     own = held.select("band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), *columns)
     probe = held.where(F.col("class") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
@@ -339,6 +339,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     again = firsts.join(signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi")
     if not again.isEmpty():  # repeated ids: one signature for each
         distinct = distinct.dropDuplicates(["key"])
+    distinct = written(distinct, "distinct")
     buckets = distinct.select(F.explode("bands").alias("band"), "key")
     hubs = buckets.groupBy("band").agg(F.min("key").alias("low_hub"), F.max("key").alias("high_hub"), F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(hubs, "band"), "shared")
@@ -357,19 +358,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
         links.add(chosen, pairs)
         pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     # Pairs of buckets of up to three rows have all been to their hubs.
-    large = written(shared.where("n > 3").select("band", "key").join(distinct.select("key", "low", "bands"), "key"), "large")
-    label = lambda: large.join(links.known, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    large = shared.where("n > 3").select("band", "key")
+    label = lambda: large.join(links.known, "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"))
     if not large.isEmpty():
-        pairs = _labelled(_across(label(), "best"), links.known)
+        pairs = _labelled(_across(label(), distinct, "best"), links.known)
         if not pairs.isEmpty():
             links.add(pairs, pairs)
             # What is left is verified within blocks: two large classes may have very many pairs, and no link.
             rows = label()
-            some = written(_across(rows, "keys"), "across")
+            some = written(_across(rows, distinct, "keys"), "across")
             if not some.isEmpty():
                 links.fetch(some.select("key").distinct())
-                sets = rows.join(some, ["band", "key"]).join(links.sets, "key")
-                found = _across(sets, "links", similarity).withColumn("agree", F.lit(0).cast("long"))
+                found = _across(rows.join(some, ["band", "key"]), distinct.join(links.sets, "key"), "links", similarity).withColumn("agree", F.lit(0).cast("long"))
                 pairs = _labelled(found, links.known)
                 if not pairs.isEmpty():
                     links.known = _relabel(links.known, components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
@@ -389,9 +389,16 @@ def _relabel(known: DataFrame, merged: DataFrame) -> DataFrame:
     return written(moved.unionByName(fresh), "classes")
 
 
+def _found(docs: DataFrame, similarity: float) -> DataFrame:
+    """classes(), as a table; the tables on the way to it are deleted."""
+    with scratch(docs.sparkSession):
+        found = checkpointed(classes(docs, similarity))
+    return found
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class; see classes()), class_size (distinct keys) and is_first (the id is the class's)."""
-    found = written(classes(docs, similarity), "found")
+    found = _found(docs, similarity)
     sizes = found.groupBy("class").agg(F.count("*").alias("class_size"))
     keyed = docs.select("doc_id", document_key("doc_id", "text").alias("key"))
     named = keyed.join(found, "key").join(sizes, "class")
@@ -400,7 +407,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, whole: that of the smallest id; of rows that repeat this id, the one whose text sorts first."""
-    found = written(classes(docs, similarity).where("key = class").select("key"), "found")
+    found = _found(docs, similarity).where("key = class").select("key")
     columns = docs.columns
     kept = docs.withColumn("key", document_key("doc_id", "text")).join(found, "key", "left_semi")
     again = docs.select(document_key("doc_id", "text").alias("key")).join(found, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")

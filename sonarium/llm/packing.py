@@ -31,7 +31,7 @@ END_ID = 2
 SAFE = re.compile("[!-{}~\u00c0-\u024f]+")
 #: Fixed value: the pattern of the tokenizer's file, for such runs.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 def cost(n: int) -> float:
@@ -109,9 +109,10 @@ class WordTokenizer:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known, parts = self.known, self.parts
-        for cache in (known, parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if len(parts) > CACHE_WORDS:
+            parts.clear()
         new = set().union(*split).difference(known)
         safe = SAFE.fullmatch
         plain = [w for w in new if safe(w)]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.arrow import map_rows
+from sonarium.llm.storage import bounded_batches
 
 FEATURES = ("log_words", "word_length", "distinct_words", "adjacent_repeats", "upper", "digits", "symbols", "bangs", "bars", "stops", "line_repeats", "line_length", "symbol_words", "shout_words", "top_word", "long_words")
 _SYMBOL_END = re.compile(r"[#$%&*@^~|<>{}=+\\/_\[\]!]+[.,]?(?:\s|$)")
@@ -141,6 +142,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3) -> DataFrame:
     """The rows of docs, whole and unchanged, whose score reaches cut_score; scored in the pass that reads them."""
+    bounded_batches(docs.sparkSession)
     model = train(docs, labels)
     base = float(np.log(cut_score / (1 - cut_score)))
     at = docs.columns.index("text")

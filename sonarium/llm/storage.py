@@ -4,9 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written inside scratch() blocks that are open, innermost last.
+_open: list[list[str]] = []
+#: Bytes of an Arrow batch that goes to Python, in place of Spark's default.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python more tightly, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names; a temporary one is set only where none is named and Spark runs in this process, as in tests."""
@@ -33,8 +46,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes inside go at the end; what leaves this block must not read them."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

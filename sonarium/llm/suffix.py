@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sonarium.llm.arrow import struct
-from sonarium.llm.storage import partitions
+from sonarium.llm.storage import bounded_batches, partitions
 
 SPAN, ANCHOR = 100, 32
 OFFSETS = SPAN - ANCHOR + 1
@@ -470,6 +470,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     other. Rows with one id and different texts are versions of one document: a window stays at its smallest
     start among them."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("kept_row")).repartition(n, "key")
     deal = lambda df: df.repartition(n, "bucket")
