@@ -1,4 +1,204 @@
-"""Queries by name, with their SQL."""
+"""Queries by name over the tables, with the SQL that DuckDB runs for the same rows.
 
-QUERIES = {}
-SQL = {}
+Relational queries are one text for both engines; those on fingerprints take words of documents as hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sonarium.functions import fingerprint as fp
+from sonarium.functions import text as tx
+from sonarium.operators import search as se
+from sonarium.operators import state as st
+from sonarium.sources.tables import table
+from sonarium.streaming import feed
+
+#: Plain SQL, the same in Spark and DuckDB.
+RELATIONAL: dict[str, str] = {
+    "o070_gauges": "SELECT 'customers' AS name, count(*) AS value FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'open_orders', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events",
+    "o071_histogram_of_counts": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey), h AS (SELECT CAST(least(n, 10) AS INT) AS bucket, count(*) AS customers FROM c GROUP BY 1), b AS (SELECT CAST(v AS INT) AS bucket FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) AS t(v)) SELECT b.bucket, coalesce(customers, 0) AS customers FROM b LEFT JOIN h ON h.bucket = b.bucket",
+    "o072_hits_by_day": "SELECT CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS hits, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS misses, count(*) AS total FROM events GROUP BY 1",
+    "o073_monthly": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS orders FROM orders GROUP BY 1",
+    "o074_ratio": "SELECT user_id, count(*) AS total, round(sum(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END) / count(*), 6) AS ratio FROM events GROUP BY user_id",
+    "o075_group_sum_min": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS first_day FROM lineitem GROUP BY 1, 2",
+    "o078_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
+    "o078c_extremes": "SELECT min(event_id) AS low, coalesce(max(event_id), 0) AS high FROM events",
+    "o078f_percent": "SELECT n_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 0 GROUP BY n_name",
+    "o080_daily_delta": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), x AS (SELECT event_type, day, n - lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM d) SELECT event_type, day, delta FROM x WHERE day > (SELECT min(day) FROM d)",
+    "o081_latest": "SELECT event_id, user_id, event_type FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)",
+    "o082_top_per_group": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT o_custkey, o_orderkey, CAST(place AS INT) AS place FROM r WHERE place <= 10",
+    "o083_multi_sort": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey",
+    "o086_sliding_rate": "WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, day, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM b",
+    "o052_inner_join": "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "o054_join_chain": "SELECT l_orderkey, l_linenumber, c_name, n_name, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1 WHERE l_quantity > 45",
+    "o060_null_length": "SELECT p_partkey, coalesce(p_size, 0) / 1000.0E0 AS seconds FROM part",
+    "o062_theta_pairs": "SELECT a.s_nationkey, count(*) AS pairs, max(abs(a.s_suppkey - b.s_suppkey)) AS furthest FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_nationkey",
+    "o063_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "o064_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "o065_left_count": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
+    "o066_foreign_id": "SELECT n_nationkey, concat(r_name, ':', n_name) AS foreign_id FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "o051_null_safe": "SELECT count(*) AS n FROM documents a JOIN documents b ON a.doc_id = b.doc_id AND a.lang IS NOT DISTINCT FROM b.lang",
+    "o004_page": "SELECT event_id, user_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 50",
+    "o005_range": "SELECT count(*) AS n FROM events WHERE event_id >= 100 AND event_id < 400",
+    "o003_multi_get": "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (3, 1, 7, 999999999)",
+    "o089_difference": "SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 10",
+    "o098_status": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'imported' END AS status FROM orders",
+}
+
+
+def relational(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
+            if t in RELATIONAL[name]:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(RELATIONAL[name])
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: relational(name) for name in RELATIONAL}
+SQL: dict[str, str] = dict(RELATIONAL)
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def word_hashes(text: str = "text") -> F.Column:
+    """A text as a fingerprint: 32-bit hashes of its words."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), 1)
+    return fp.to_signed(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")))
+
+
+def fingerprints(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"), word_hashes().alias("hashes"))
+
+
+_HASHES = "list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
+_TERMS = f"""d AS (SELECT doc_id, {_HASHES} AS h FROM documents),
+e AS (SELECT doc_id, unnest(h[greatest(0, least(len(h) - 120, 80)) + 1:]) AS v, generate_subscripts(h[greatest(0, least(len(h) - 120, 80)) + 1:], 1) AS i FROM d),
+g AS (SELECT doc_id, v - v % 16 AS term, min(i) AS i FROM e GROUP BY 1, 2),
+t AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g)"""
+
+
+@query("o021_query_terms", f"WITH {_TERMS} SELECT doc_id AS id, term FROM t WHERE n <= 120")
+def query_terms(spark, sf_dir):
+    return se.term_index(fingerprints(spark, sf_dir, "documents", "doc_id"))
+
+
+@query("o022_simhash", f"WITH d AS (SELECT doc_id, {_HASHES} AS h FROM documents) SELECT doc_id AS id, CAST(list_sum(list_transform(range(32), lambda b: CASE WHEN 2 * len(list_filter(h, lambda x: (x >> b) & 1 = 1)) > len(h) THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT) AS simhash FROM d")
+def simhashes(spark, sf_dir):
+    return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.simhash(F.col("hashes")).alias("simhash"))
+
+
+@query("o023_shingled_simhash")
+def shingled(spark, sf_dir):
+    return fingerprints(spark, sf_dir, "benchmark", "item_id").select("id", fp.shingled_simhash(F.col("hashes"), 120, 90).alias("simhashes"))
+
+
+@query("o024_content_id")
+def content_ids(spark, sf_dir):
+    return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.content_id(F.col("hashes")).alias("gid"))
+
+
+@query("o029_codec_round_trip", f"WITH d AS (SELECT doc_id, len({_HASHES}) AS n FROM documents) SELECT doc_id AS id, CAST(n AS INT) AS n, true AS same FROM d")
+def codec(spark, sf_dir):
+    rows = fingerprints(spark, sf_dir, "documents", "doc_id")
+    return rows.select("id", F.size("hashes").alias("n"), ((fp.decode_text(fp.encode_text("hashes")) == F.col("hashes")) & (fp.decompress(fp.compress("hashes")) == F.col("hashes"))).alias("same"))
+
+
+_CANDIDATES = f"""WITH {_TERMS}, c AS (SELECT DISTINCT doc_id, x - x % 16 AS term FROM (SELECT doc_id, unnest(h) AS x FROM d)),
+qh AS (SELECT item_id, {_HASHES} AS h FROM benchmark), q AS (SELECT DISTINCT item_id, x - x % 16 AS term FROM (SELECT item_id, unnest(h) AS x FROM qh)),
+m AS (SELECT item_id, doc_id, count(*) AS matches FROM q JOIN c USING (term) GROUP BY 1, 2),
+r AS (SELECT *, max(matches) OVER (PARTITION BY item_id) AS best, row_number() OVER (PARTITION BY item_id ORDER BY matches DESC, doc_id) AS place FROM m)
+SELECT item_id AS query_id, doc_id AS id, matches FROM r WHERE matches * 100 > best * 10 AND place <= 20"""
+
+
+@query("o036_candidates", _CANDIDATES)
+def find_candidates(spark, sf_dir):
+    asked = fingerprints(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
+    return se.candidates(se.term_index(asked, "query_id", every_term=True), se.term_index(fingerprints(spark, sf_dir, "documents", "doc_id"), every_term=True))
+
+
+@query("o040_search")
+def run_search(spark, sf_dir):
+    """Passages of the benchmark, looked up among all documents, whatever their length."""
+    corpus = fingerprints(spark, sf_dir, "documents", "doc_id").withColumns({"length": F.size("hashes"), "group": F.col("id")})
+    asked = fingerprints(spark, sf_dir, "benchmark", "item_id").select(F.col("id").alias("query_id"), "hashes", F.size("hashes").alias("length"))
+    return se.search(asked, corpus, least_score=0.0, length_band=2**30)
+
+
+@query("o100_fix_meta", "SELECT page_id, regexp_replace(html, '[ \\t\\n\\r\\f\\v\\x00\\x1c-\\x1f]+', ' ', 'g') AS html FROM pages")
+def fixed(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.fix_text(F.col("html")).alias("html"))
+
+
+@query("o101_meta_id")
+def meta_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.meta_id(track=F.col("lang"), artist=F.col("source")).alias("gid"))
+
+
+@query("o109_lock_shard")
+def locks(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.lock_id(F.col("c_name")).alias("lock"), tx.shard(F.col("c_name")).alias("shard"))
+
+
+@query("o114_add_counts", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def upserts(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.lit(1).cast("long").alias("n"), "event_id")
+    half = [events.where(c).groupBy("user_id", "event_type").agg(F.count("*").alias("n")) for c in ("event_id % 2 = 0", "event_id % 2 = 1")]
+    return st.add_counts(*half, ["user_id", "event_type"], ["n"])
+
+
+@query("o122_merge_tracks", "SELECT CAST(p_partkey % 50 AS BIGINT) AS track_id, p_brand AS item, min(p_partkey) AS id, list_sort(list(p_partkey)) AS ids, CAST(sum(p_size) AS BIGINT) AS submission_count, bool_and(p_size > 10) AS disabled FROM part GROUP BY 1, 2")
+def merge_tracks(spark, sf_dir):
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("track_id"), F.col("p_brand").alias("item"), F.col("p_size").alias("submission_count"), (F.col("p_size") > 10).alias("disabled"))
+    remap = spark.range(50, 100).select(F.col("id").alias("track_id"), (F.col("id") - 50).alias("target"))
+    return st.merge_links(links, remap, "item")
+
+
+@query("o125_keep_first", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents")
+def first_of_content(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"))
+    return st.keep_first(docs, "content", "doc_id")
+
+
+@query("o141_changes", "SELECT event_id AS id, user_id, event_type FROM events WHERE event_id > 200 ORDER BY event_id LIMIT 100")
+def changes(spark, sf_dir):
+    return feed.read_changes(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type"), 200, 100)
+
+
+@query("o145_latest_change", "SELECT user_id, max(event_id) AS id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_changes(spark, sf_dir):
+    return feed.latest(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type"), "user_id")
+
+
+@query("o090_nested_documents", "SELECT o_orderkey, '[' || string_agg('{\"line\":' || l_linenumber || ',\"part\":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def nested(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")))).alias("lines"))
+    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.to_json("lines").alias("lines"))
+
+
+@query("o057_lists", "SELECT c_custkey, coalesce(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)), []) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def lists(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
+    return table(spark, sf_dir, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("orders", F.array().cast("array<bigint>")).alias("orders"))
+
+
+@query("o087_islands", "WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), g AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS island FROM d) SELECT user_id, min(day) AS first_day, count(*) AS days FROM g GROUP BY user_id, island")
+def islands(spark, sf_dir):
+    from pyspark.sql import Window
+
+    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    island = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
+    return days.withColumn("island", island).groupBy("user_id", "island").agg(F.min("day").alias("first_day"), F.count("*").alias("days")).drop("island")
