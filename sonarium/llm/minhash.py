@@ -36,7 +36,7 @@ LEAST_AGREEMENT = 38
 SMALL = 200_000
 #: Rows of a bucket that are compared in one task.
 BLOCK = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ END_ID = 2
 SAFE = re.compile("[!-{}~\u00c0-\u024f]+")
 #: Fixed value: the pattern of the tokenizer's file, for such runs.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def cost(n: int) -> float:

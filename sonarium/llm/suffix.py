@@ -33,8 +33,8 @@ OFFSETS = SPAN - ANCHOR + 1
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Bytes that are hashed at a time; longer texts are hashed piece by piece.
 PIECE = 1 << 20
-#: Segments that a task holds before it merges and sends them.
-HOLD = 1_500_000
+#: Anchors, and segments with their bytes, that a task holds before it merges and sends them.
+HOLD, HOLD_TEXTS = 600_000, 80_000
 _POSITION = np.uint64((1 << 28) - 1)
 NO_ID = 2**63 - 1
 
@@ -281,7 +281,7 @@ def _send_segments(buckets: int):
                 texts += [raw[a:b] for a, b in zip(first.tolist(), (first + count + SPAN - 1).tolist(), strict=True)]
                 held.append(x)
                 contents.append(poly.strings(poly.prefix(data), first, count + SPAN - 1))
-                if len(texts) >= HOLD // 8:
+                if len(texts) >= HOLD_TEXTS:
                     yield from flush()
                     held, contents, texts = [], [], []
         if texts:
@@ -473,7 +473,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bounded_batches(spark)
     n = partitions(spark)
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("kept_row")).repartition(n, "key")
-    deal = lambda df: df.repartition(n, "bucket")
+    deal = lambda df: df.repartition(2 * n, "bucket")
     flags = deal(base.mapInArrow(_send_anchors(8 * n), _PARCEL)).mapInArrow(_flag_anchors, _FLAG).groupBy("key").agg(F.collect_set("start").alias("flags"))
     segs = deal(base.join(flags, "key").mapInArrow(_send_segments(8 * n), _PARCEL))
     marks = segs.mapInArrow(_mark_windows, _MARK).groupBy("key").agg(F.collect_list(F.struct("v", "start", "count")).alias("marks"))
