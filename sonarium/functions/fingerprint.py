@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The hash of silence, the mask of a query term, the namespace of content ids.
 SILENCE, TERM_MASK, NAMESPACE = 627964279, 0xFFFFFFF0, "df7bef46416e4c57a87739b54325ef03"
@@ -101,7 +102,7 @@ def similarity(a: np.ndarray, b: np.ndarray, max_offset: int = MAX_OFFSET) -> fl
     return best**SCORE_POWER
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compare(a: pd.Series, b: pd.Series) -> pd.Series:
     """similarity() of two fingerprint columns; null where one is null. For candidates only."""
     return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -181,7 +182,7 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.astype(np.uint32).view(np.int32).tolist()
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decode_text(text: pd.Series) -> pd.Series:
     """Hashes of the compact text form; null where it is broken or not of version 1."""
 
@@ -195,12 +196,12 @@ def decode_text(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_text(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda x: None if x is None else encode_legacy(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(hashes: pd.Series) -> pd.Series:
     """The binary form, as a zstd frame."""
     import pyarrow as pa
@@ -208,7 +209,7 @@ def compress(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda x: None if x is None else pa.compress(encode_binary(x, 1), codec="zstd", asbytes=True))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decompress(data: pd.Series) -> pd.Series:
     """Hashes of a zstd frame of the binary form; null where it is broken."""
     import pyarrow as pa
