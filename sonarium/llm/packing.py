@@ -31,7 +31,8 @@ END_ID = 2
 SAFE = re.compile("[!-{}~\u00c0-\u024f]+")
 #: Fixed value: the pattern of the tokenizer's file, for such runs.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE_WORDS = 500_000
+#: Words, and parts of words, that a Python worker holds: fewer take less memory and more time.
+CACHE_WORDS = 800_000
 
 
 def cost(n: int) -> float:
@@ -93,7 +94,7 @@ class WordTokenizer:
     here; only their distinct parts go through the merges. Other runs, and those that may hold a special
     token, go through the whole tokenizer."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -102,6 +103,7 @@ class WordTokenizer:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.characters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -109,9 +111,9 @@ class WordTokenizer:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known, parts = self.known, self.parts
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.cache_words:
             known.clear()
-        if len(parts) > CACHE_WORDS:
+        if len(parts) > self.cache_words:
             parts.clear()
         new = set().union(*split).difference(known)
         safe = SAFE.fullmatch
@@ -130,7 +132,7 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with_ids the ids themselves (little-endian, 32 bits).
 
     A null or empty text has the end id alone; every row counts, repeated or not. sequence_id is unique over
@@ -146,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        tokenizer, sequence = worker_cache(tokenizer_file, lambda: WordTokenizer(tokenizer_file)), (context.partitionId() if context else 0) << 33
+        tokenizer, sequence = worker_cache(f"{tokenizer_file} {cache_words}", lambda: WordTokenizer(tokenizer_file, cache_words)), (context.partitionId() if context else 0) << 33
         keys, ids, held = [], [], 0
 
         def packed():
