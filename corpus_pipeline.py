@@ -31,7 +31,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", cache_words=300_000)
 
 
 STAGES = [
