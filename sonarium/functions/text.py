@@ -61,3 +61,28 @@ def shard(key: Column, shards: int = 256) -> Column:
 def jsonp(callback: Column, value: Column) -> Column:
     """A JSON value as a call of a well-formed function name; null for other names."""
     return F.when(callback.rlike(r"^[A-Za-z_$][\w$.]*$"), F.concat(callback, F.lit("("), F.to_json(value), F.lit(")")))
+
+
+def is_email(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False))
+
+
+def is_url(value: Column) -> Column:
+    return F.coalesce(F.lower(F.try_parse_url(value, F.lit("PROTOCOL"))).isin("http", "https") & (F.length(F.try_parse_url(value, F.lit("HOST"))) > 0), F.lit(False))
+
+
+def foreign_parts(value: Column) -> Column:
+    """Vendor and name: cut at the first colon only."""
+    parts = F.split(value, ":", 2)
+    return F.struct(F.get(parts, 0).alias("vendor"), F.get(parts, 1).alias("name"))
+
+
+def partition_name(prefix: str, day: Column) -> Column:
+    return F.concat(F.lit(prefix + "_"), F.date_format(F.trunc(day, "MM"), "yyyyMM"))
+
+
+def grams(name: Column, size: int = 4) -> Column:
+    """The distinct runs of some characters of a name in lower case without blanks; none where it is shorter."""
+    plain = F.regexp_replace(F.lower(name), r"\s+", "")
+    starts = F.when(F.length(plain) >= size, F.sequence(F.lit(1), F.length(plain) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(plain, i, size)))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
+from sonarium.functions import text as tx
 
 #: Least distinct hashes of an import, scores for a track, a fingerprint and a merge, and seconds of difference.
 LEAST_HASHES, TRACK_SCORE, SAME_SCORE, MEMBER_SCORE, LENGTH_BAND = 80, 0.75, 0.9, 0.4, 7
+#: Below this share a name's score and sources are low; above that a score is good.
+LOW_SHARE, GOOD_SCORE = 0.2, 0.5
 
 
 def importable(submissions: DataFrame) -> DataFrame:
@@ -39,3 +42,37 @@ def assign(matches: DataFrame, allowed: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = matches.where(F.col("score") > TRACK_SCORE).join(allowed, ["query_id", "track"], "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1")
     return best.select("query_id", "track", F.when(F.col("score") > SAME_SCORE, F.col("id")).alias("id"))
+
+
+def name_scores(names: DataFrame, group: str, key: str) -> DataFrame:
+    """group, key and score: how well a name (name, weight) agrees with its group's others, as the share of the group's weight on its runs of four characters. Weights meet by run, summed before the shuffle."""
+    rows = names.select(group, key, "weight", F.explode(tx.grams(F.col("name"))).alias("gram"))
+    weights = rows.groupBy(group, "gram").agg(F.sum("weight").alias("w"))
+    total = weights.groupBy(group).agg(F.sum("w").alias("total"))
+    scored = rows.join(weights, [group, "gram"]).groupBy(group, key).agg(F.sum("w").alias("sum"))
+    return scored.join(total, group).select(group, key, (F.col("sum") / F.col("total")).alias("score"))
+
+
+def outliers(scored: DataFrame, group: str, key: str) -> DataFrame:
+    """group and key of links (score, sources, manual) that score low with few sources in their group, but well elsewhere, and that nobody enabled by hand."""
+    top = scored.groupBy(group).agg(F.max("sources").alias("top"))
+    good = scored.where(F.col("score") > GOOD_SCORE).select(F.col(key), F.col(group).alias("elsewhere")).groupBy(key).agg(F.count_distinct("elsewhere").alias("good"))
+    # A low score is never among the good ones, so any good group is another one.
+    low = scored.where((F.col("score") < LOW_SHARE) & ~F.col("manual")).join(top, group).where(F.col("sources") < LOW_SHARE * F.col("top"))
+    return low.join(good, key, "left_semi").select(group, key)
+
+
+def greedy_groups(pairs: list[tuple[int, int]]) -> list[set[int]]:
+    """Sets of tracks to merge: each first track, in order, with those that pair with it and were not taken. For the few tracks of one decision."""
+    near: dict[int, set[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    taken: set[int] = set()
+    groups = []
+    for t in sorted(near):
+        group = ({t} | near[t]) - taken
+        if t not in taken and len(group) > 1:
+            groups.append(group)
+            taken |= group
+    return groups

@@ -1,0 +1,62 @@
+"""Nested metadata documents out of catalogue tables, built bottom-up, each list grouped before it is joined."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def ordered(rows: DataFrame, key: str, by: list[str], fields: dict[str, str], name: str) -> DataFrame:
+    """key and an array of structs of fields, ordered by columns."""
+    item = F.struct(*by, F.struct(*[F.col(c).alias(a) for a, c in fields.items()]).alias("item_"))
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item_"]).alias(name))
+
+
+def credits(tables: dict[str, DataFrame]) -> DataFrame:
+    """artist_credit and artists: id, name, and join phrase unless empty, by position."""
+    names = tables["artist_credit_name"].join(tables["artist"].select(F.col("id").alias("artist"), F.col("gid").alias("artist_gid")), "artist")
+    return ordered(names.withColumn("join_phrase", F.nullif("join_phrase", F.lit(""))), "artist_credit", ["position"], {"id": "artist_gid", "name": "name", "joinphrase": "join_phrase"}, "artists")
+
+
+def releases_of(tables: dict[str, DataFrame], groups: bool) -> DataFrame:
+    """recording and releases, each with its mediums, those with the recording's tracks; group, and events, the first of which names country and date."""
+    tracks = tables["track"].groupBy("recording", "medium").agg(F.array_sort(F.collect_list(F.struct("position", F.col("name").alias("title")))).alias("tracks"))
+    mediums = tables["medium"].withColumnRenamed("id", "medium").join(tables["medium_format"].select(F.col("id").alias("format"), F.col("name").alias("format_name")), "format", "left")
+    mediums = tracks.join(mediums, "medium").groupBy("recording", "release").agg(F.array_sort(F.collect_list(F.struct("position", F.col("format_name").alias("format"), F.col("name").alias("title"), "track_count", "tracks"))).alias("mediums"))
+    events = tables["release_event"].groupBy("release").agg(F.array_sort(F.collect_list(F.struct(F.col("date").alias("date"), F.col("country").alias("country")))).alias("releaseevents"))
+    release = tables["release"].withColumnRenamed("id", "release").join(events, "release", "left")
+    fields = [F.col("gid").alias("id"), F.col("name").alias("title"), F.get("releaseevents", F.lit(0))["country"].alias("country"), F.get("releaseevents", F.lit(0))["date"].alias("date"), "releaseevents", "mediums"]
+    if groups:
+        kinds = tables["secondary_type"].groupBy("release_group").agg(F.sort_array(F.collect_list("name")).alias("secondarytypes"))
+        group = tables["release_group"].withColumnRenamed("id", "release_group").join(kinds, "release_group", "left")
+        release = release.join(group.select("release_group", F.struct(F.col("gid").alias("id"), F.col("name").alias("title"), "type", "secondarytypes").alias("group")), "release_group", "left")
+        # A title that repeats the release's is left out.
+        fields.append(F.when(F.col("group").isNotNull(), F.col("group").withField("title", F.nullif(F.col("group.title"), F.col("name")))).alias("releasegroup"))
+    return mediums.join(release, "release").groupBy("recording").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("releases"))
+
+
+def build_metadata(tables: dict[str, DataFrame], releases: bool = False, release_groups: bool = False, isrcs: bool = False) -> DataFrame:
+    """One row per recording: id, gid, title, duration in seconds, artists, and by flags its codes (an empty list where it has none) and releases.
+
+    With releases, recordings on none go, and track titles that repeat the recording's are left out. Null lengths count as 0.
+    What belongs to one recording, release or medium is held at once; nothing is broadcast by hand."""
+    rows = tables["recording"].join(credits(tables), "artist_credit", "left").select("id", "gid", F.col("name").alias("title"), (F.coalesce("length", F.lit(0)) / 1000.0).alias("duration"), "artists")
+    if isrcs:
+        codes = tables["isrc"].groupBy(F.col("recording").alias("id")).agg(F.array_sort(F.collect_set("isrc")).alias("isrcs"))
+        rows = rows.join(codes, "id", "left").withColumn("isrcs", F.coalesce("isrcs", F.array().cast("array<string>")))
+    if releases or release_groups:
+        rows = rows.join(releases_of(tables, release_groups).withColumnRenamed("recording", "id"), "id").withColumn("releases", shorter(F.col("releases"), F.col("title")))
+    return rows
+
+
+def shorter(releases: Column, title: Column) -> Column:
+    """Releases without those track titles that repeat a title."""
+    track = lambda t: t.withField("title", F.nullif(t["title"], title))
+    medium = lambda m: m.withField("tracks", F.transform(m["tracks"], track))
+    return F.transform(releases, lambda r: r.withField("mediums", F.transform(r["mediums"], medium)))
+
+
+def user_metadata(results: DataFrame, catalogue: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows that users sent, for the results (query_id, track) of queries of which no result is in the catalogue (track); empty titles go."""
+    known = results.join(catalogue.select("track").distinct(), "track", "left_semi").select("query_id").distinct()
+    return results.join(known, "query_id", "left_anti").join(rows.where(F.coalesce("title", F.lit("")) != ""), "track")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,16 @@ def add_counts(state: DataFrame, delta: DataFrame, keys: list[str], counts: list
     return state.select(columns).unionByName(delta.select(columns)).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counts])
 
 
-def find_or_insert(state: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
-    """The state with a row for each new key; ids continue from the largest, in the keys' order."""
-    new = names.select(keys).distinct().join(state.select(keys), keys, "left_anti")
-    top = state.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("top"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy(*keys))).join(F.broadcast(top))
-    return state.select(id_column, *keys).unionByName(numbered.select((F.col("n") + F.col("top")).alias(id_column), *keys))
+def find_or_insert(state: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id", buckets: int = 256) -> DataFrame:
+    """The state with a row for each new key; ids continue from the largest, without gaps, by bucket of a hash and then in the keys' order.
+
+    Buckets are numbered apart and then moved by the sizes of those before, so no task sorts all keys."""
+    new = names.select(keys).distinct().join(state.select(keys), keys, "left_anti").withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    sizes = new.groupBy("bucket").agg(F.count("*").alias("size"))
+    before = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"))
+    top = state.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("top")).scalar()
+    numbered = new.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(*keys))).join(F.broadcast(before), "bucket")
+    return state.select(id_column, *keys).unionByName(numbered.select((F.col("n") + F.col("before") + top).alias(id_column), *keys))
 
 
 def resolve(tracks: DataFrame) -> DataFrame:
@@ -54,3 +58,51 @@ def keep_first(rows: DataFrame, content: str, key: str) -> DataFrame:
     """key and canonical: the smallest key of equal content."""
     first = rows.groupBy(content).agg(F.min(key).alias("canonical"))
     return rows.select(key, content).join(first, content).select(key, "canonical")
+
+
+def merge_missing(links: DataFrame, missing: DataFrame, redirects: DataFrame, known: DataFrame, item: str) -> DataFrame:
+    """What becomes of missing items: merged, with their target where they are redirected; kept where they are known; else unknown."""
+    to = redirects.select(item, "target")
+    rows = missing.select(item).distinct().join(links.select(item).distinct(), item, "left_semi").join(to, item, "left").join(known.select(item, F.lit(True).alias("known")).distinct(), item, "left")
+    return rows.select(item, "target", F.when(F.col("target").isNotNull(), "merged").when(F.col("known"), "kept").otherwise("unknown").alias("outcome"))
+
+
+def overdue(unknown: DataFrame, now: Column | str, days: int = 7) -> DataFrame:
+    """Items unknown since more than some days before the date of the catalogue."""
+    return unknown.where(F.datediff(F.to_date(now), F.to_date("unknown_since")) > days)
+
+
+def toggle(links: DataFrame, chosen: DataFrame, keys: list[str], note: str) -> tuple[DataFrame, DataFrame]:
+    """Links with the chosen ones' `disabled` turned over, and an audit row for each."""
+    hit = chosen.select(keys).distinct().withColumn("hit", F.lit(True))
+    audit = links.join(hit.drop("hit"), keys, "left_semi").select(*keys, (~F.col("disabled")).alias("disabled"), F.lit(note).alias("note"))
+    changed = links.join(hit, keys, "left").withColumn("disabled", F.when(F.coalesce("hit", F.lit(False)), ~F.col("disabled")).otherwise(F.col("disabled"))).drop("hit")
+    return changed.select(links.columns), audit
+
+
+def canonical(rows: DataFrame, content: str = "content", gid: str = "gid") -> DataFrame:
+    """id and canonical of rows (id, gid, content): of equal content the smallest id that has a gid, else the smallest id."""
+    best = rows.groupBy(content).agg(F.coalesce(F.min(F.when(F.col(gid).isNotNull(), F.col("id"))), F.min("id")).alias("canonical"))
+    return rows.select("id", content).join(best, content).select("id", "canonical")
+
+
+def repoint(links: DataFrame, moved: DataFrame, column: str, keys: list[str], counts: list[str]) -> DataFrame:
+    """Links whose column follows moved (id, canonical), with counts of links that became equal summed."""
+    to = moved.where("id <> canonical").select(F.col("id").alias(column), "canonical")
+    now = links.join(to, column, "left").withColumn(column, F.coalesce("canonical", column)).drop("canonical")
+    return now.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counts])
+
+
+def drain(counters: DataFrame, applied: DataFrame, keys: list[str], known: DataFrame, owner: str) -> DataFrame:
+    """Counters left when some were applied: lowered by what was, gone at zero; those of unknown owners are discarded."""
+    n = [c for c in counters.columns if c not in keys][0]
+    left = counters.select(*keys, n).unionByName(applied.select(*keys, (-F.col(n)).alias(n))).groupBy(*keys).agg(F.sum(n).cast("long").alias(n)).where(F.col(n) > 0)
+    return left.join(known.select(owner).distinct(), owner, "left_semi").select(*keys, n)
+
+
+def partitions(months: DataFrame, today: Column, ahead: int = 12, behind: int = 2) -> DataFrame:
+    """month and action: months to create, from this one up to some ahead, and present ones to drop, more than some behind."""
+    this = F.trunc(today, "MM")
+    due = months.sparkSession.range(ahead + 1).select(F.add_months(this, F.col("id").cast("int")).alias("month"))
+    create = due.join(months.select("month"), "month", "left_anti").select("month", F.lit("create").alias("action"))
+    return create.unionByName(months.where(F.col("month") < F.add_months(this, -behind)).select("month", F.lit("drop").alias("action")))

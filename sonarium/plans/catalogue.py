@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
 from sonarium.functions import text as tx
+from sonarium.operators import clusters as cl
+from sonarium.operators import metadata as md
+from sonarium.operators import requests as rq
 from sonarium.operators import search as se
 from sonarium.operators import state as st
+from sonarium.sources import tables as tb
 from sonarium.sources.tables import table
 from sonarium.streaming import feed
 
@@ -38,7 +42,7 @@ RELATIONAL: dict[str, str] = {
     "o060_null_length": "SELECT p_partkey, coalesce(p_size, 0) / 1000.0E0 AS seconds FROM part",
     "o062_theta_pairs": "SELECT a.s_nationkey, count(*) AS pairs, max(abs(a.s_suppkey - b.s_suppkey)) AS furthest FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_nationkey",
     "o063_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "o064_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "o064_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "o065_left_count": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     "o066_foreign_id": "SELECT n_nationkey, concat(r_name, ':', n_name) AS foreign_id FROM nation JOIN region ON r_regionkey = n_regionkey",
     "o051_null_safe": "SELECT count(*) AS n FROM documents a JOIN documents b ON a.doc_id = b.doc_id AND a.lang IS NOT DISTINCT FROM b.lang",
@@ -46,6 +50,18 @@ RELATIONAL: dict[str, str] = {
     "o005_range": "SELECT count(*) AS n FROM events WHERE event_id >= 100 AND event_id < 400",
     "o003_multi_get": "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (3, 1, 7, 999999999)",
     "o089_difference": "SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 10",
+    "o049_projection": "SELECT CAST(o_orderkey AS VARCHAR(20)) AS id, o_custkey / 1000.0E0 AS share FROM orders",
+    "o053_links": "SELECT p_brand, l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AND l_returnflag <> 'R'",
+    "o055_left_lookup": "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey > 5 LEFT JOIN region ON r_regionkey = n_regionkey",
+    "o061_redirect": "WITH moved AS (SELECT p_partkey AS old_id, p_partkey - 3 AS new_id FROM part WHERE p_partkey % 10 = 4) SELECT p_partkey, coalesce(new_id, p_partkey) AS target FROM part LEFT JOIN moved ON old_id = p_partkey",
+    "o068_outer": "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0",
+    "o076_count_and_sum": "SELECT o_custkey, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS total FROM orders GROUP BY o_custkey",
+    "o078d_backfill": "WITH first AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS day FROM orders WHERE o_orderkey > 10 GROUP BY o_custkey) SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN DATE '2000-01-01' END, day) AS created FROM customer LEFT JOIN first ON o_custkey = c_custkey",
+    "o078e_distinct": "SELECT l_partkey, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY l_partkey",
+    "o084_last": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
+    "o085_fallback": "SELECT s_suppkey, coalesce(nullif(s_name, ''), CAST(s_suppkey AS VARCHAR(20))) AS name FROM supplier ORDER BY 2",
+    "o117_links": "WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), d AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(s.user_id, d.user_id) AS user_id, coalesce(s.event_type, d.event_type) AS event_type, coalesce(s.n, 0) + coalesce(d.n, 0) AS n FROM s FULL JOIN d ON s.user_id = d.user_id AND s.event_type = d.event_type",
+    "o151_derived": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT count(*) AS everything, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS some, round(100.0E0 * sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / count(*), 2) AS percent FROM c",
     "o098_status": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'imported' END AS status FROM orders",
 }
 
@@ -85,6 +101,7 @@ def fingerprints(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataF
 
 
 _HASHES = "list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
+_UUID = "substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(u, 17, 1))::BIGINT % 4 AS INT) + 1, 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12)"
 _TERMS = f"""d AS (SELECT doc_id, {_HASHES} AS h FROM documents),
 e AS (SELECT doc_id, unnest(h[greatest(0, least(len(h) - 120, 80)) + 1:]) AS v, generate_subscripts(h[greatest(0, least(len(h) - 120, 80)) + 1:], 1) AS i FROM d),
 g AS (SELECT doc_id, v - v % 16 AS term, min(i) AS i FROM e GROUP BY 1, 2),
@@ -101,12 +118,12 @@ def simhashes(spark, sf_dir):
     return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.simhash(F.col("hashes")).alias("simhash"))
 
 
-@query("o023_shingled_simhash")
+@query("o023_shingled_simhash", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark), w AS (SELECT item_id, unnest(range(0, CAST(len(h) AS BIGINT), 90)) AS i, h FROM d), v AS (SELECT item_id, i, h[i + 1 : i + 120] AS h FROM w), s AS (SELECT item_id, i, CAST(list_sum(list_transform(range(32), lambda b: CASE WHEN 2 * len(list_filter(h, lambda x: (x >> b) & 1 = 1)) > len(h) THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT) AS s FROM v) SELECT item_id AS id, coalesce(list(s ORDER BY i) FILTER (WHERE s IS NOT NULL), []) AS simhashes FROM benchmark LEFT JOIN s USING (item_id) GROUP BY item_id")
 def shingled(spark, sf_dir):
     return fingerprints(spark, sf_dir, "benchmark", "item_id").select("id", fp.shingled_simhash(F.col("hashes"), 120, 90).alias("simhashes"))
 
 
-@query("o024_content_id")
+@query("o024_content_id", f"WITH d AS (SELECT doc_id, list_transform({_HASHES}, lambda x: printf('%08x', x)) AS h FROM documents), b AS (SELECT doc_id, sha1(unhex('df7bef46416e4c57a87739b54325ef03' || '01000000' || array_to_string(list_transform(h, lambda x: substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)), ''))) AS u FROM d) SELECT doc_id AS id, {_UUID} AS gid FROM b")
 def content_ids(spark, sf_dir):
     return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.content_id(F.col("hashes")).alias("gid"))
 
@@ -143,7 +160,7 @@ def fixed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.fix_text(F.col("html")).alias("html"))
 
 
-@query("o101_meta_id")
+@query("o101_meta_id", f"WITH b AS (SELECT doc_id, sha1(unhex('3b3bd2285d2c11eab49860f67731bf41') || encode('{{\"track\":\"' || lang || '\",\"artist\":\"' || source || '\"}}')) AS u FROM documents) SELECT doc_id, {_UUID} AS gid FROM b")
 def meta_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.meta_id(track=F.col("lang"), artist=F.col("source")).alias("gid"))
 
@@ -202,3 +219,166 @@ def islands(spark, sf_dir):
     days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
     island = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
     return days.withColumn("island", island).groupBy("user_id", "island").agg(F.min("day").alias("first_day"), F.count("*").alias("days")).drop("island")
+
+
+@query("o016_xml", "SELECT n_nationkey, '<nation id=\"' || n_nationkey || '\"><name>' || n_name || '</name><parts><part>1</part><part>2</part></parts></nation>' AS xml FROM nation")
+def nations_as_xml(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_nationkey").alias("@id"), F.col("n_name").alias("name"), F.array(F.lit(1), F.lit(2)).alias("parts")).alias("r"))
+    return rows.select("n_nationkey", tb.xml(F.col("r"), "nation", rows.schema["r"].dataType).alias("xml"))
+
+
+@query("o059_metadata", """WITH t AS (SELECT l_partkey AS id, count(DISTINCT o_custkey) AS releases, count(DISTINCT l_orderkey) AS mediums, count(*) AS tracks FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+a AS (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS artists FROM nation GROUP BY 1)
+SELECT p_partkey AS id, p_name AS title, p_size / 1000.0E0 AS duration, artists, releases, mediums, tracks FROM part JOIN t ON t.id = p_partkey LEFT JOIN a ON n_regionkey = p_partkey % 5""")
+def metadata(spark, sf_dir):
+    """Parts as recordings, orders as mediums of customers' releases, nations as artists of regions' credits."""
+    c = F.col
+    part, line, orders, customer, nation = (table(spark, sf_dir, n) for n in ("part", "lineitem", "orders", "customer", "nation"))
+    text = lambda n: F.concat(F.lit(n[0]), c(n).cast("string"))
+    tables = {
+        "recording": part.select(c("p_partkey").alias("id"), text("p_partkey").alias("gid"), c("p_name").alias("name"), (c("p_partkey") % 5).alias("artist_credit"), c("p_size").alias("length")),
+        "artist_credit_name": nation.select(c("n_regionkey").alias("artist_credit"), c("n_nationkey").alias("position"), c("n_nationkey").alias("artist"), c("n_name").alias("name"), F.lit(", ").alias("join_phrase")),
+        "artist": nation.select(c("n_nationkey").alias("id"), text("n_nationkey").alias("gid")),
+        "track": line.select(c("l_partkey").alias("recording"), c("l_orderkey").alias("medium"), c("l_linenumber").alias("position"), c("l_returnflag").alias("name")),
+        "medium": orders.select(c("o_orderkey").alias("id"), c("o_custkey").alias("release"), c("o_orderkey").alias("position"), F.lit(None).cast("string").alias("name"), c("o_orderstatus").alias("format"), F.lit(1).alias("track_count")),
+        "medium_format": orders.select(c("o_orderstatus").alias("id"), c("o_orderstatus").alias("name")).distinct(),
+        "release": customer.select(c("c_custkey").alias("id"), text("c_custkey").alias("gid"), c("c_name").alias("name"), c("c_nationkey").alias("release_group")),
+        "release_event": customer.select(c("c_custkey").alias("release"), F.lit("2001").alias("date"), F.lit("XW").alias("country")),
+        "release_group": nation.select(c("n_nationkey").alias("id"), text("n_nationkey").alias("gid"), c("n_name").alias("name"), F.lit("Album").alias("type")),
+        "secondary_type": nation.select(c("n_nationkey").alias("release_group"), F.lit("Live").alias("name")).limit(0),
+    }
+    rows = md.build_metadata(tables, releases=True, release_groups=True)
+    mediums = F.flatten(F.transform("releases", lambda r: r["mediums"]))
+    return rows.select("id", "title", "duration", F.array_join(F.transform("artists", lambda a: a["name"]), ", ").alias("artists"), F.size("releases").cast("long").alias("releases"), F.size(mediums).cast("long").alias("mediums"), F.aggregate(mediums, F.lit(0).cast("long"), lambda s, m: s + F.size(m["tracks"])).alias("tracks"))
+
+
+@query("o086_limited")
+def limits(spark, sf_dir):
+    return rq.limited(table(spark, sf_dir, "events"), "event_type", "ts", 0.1)
+
+
+@query("o088_months", "SELECT CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS DATE) AS month FROM orders")
+def months(spark, sf_dir):
+    ends = table(spark, sf_dir, "orders").agg(F.trunc(F.min("o_orderdate"), "MM").alias("a"), F.trunc(F.max("o_orderdate"), "MM").alias("b"))
+    return ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+
+
+@query("o092_meta_dispatch", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'recordings' WHEN 2 THEN 'm2' ELSE 'releasegroups' END AS kind FROM events")
+def dispatch(spark, sf_dir):
+    meta = F.element_at(F.array(*map(F.lit, ("0", "1", "2", "releases+releasegroupids"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", rq.document_kind(rq.wanted(meta)).alias("kind"))
+
+
+@query("o099_validation", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'missing client' WHEN o_custkey % 50 = 0 THEN 'invalid duration' WHEN o_orderkey % 5 = 0 THEN 'invalid bitrate' WHEN o_orderkey % 3 = 0 THEN 'invalid uuid' WHEN o_orderkey % 2 = 0 THEN 'invalid foreign id' END AS error FROM orders")
+def validation(spark, sf_dir):
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    asked = table(spark, sf_dir, "orders").select(k, F.when(k % 7 != 0, "key").alias("client"), (F.col("o_custkey") % 50).alias("duration"), F.when(k % 5 == 0, 0).alias("bitrate"), F.when(k % 3 == 0, "no").otherwise(none).alias("mbid"), F.when(k % 2 == 0, "no").otherwise("a:b").alias("foreign_id"))
+    return rq.validated(asked).select("o_orderkey", "error")
+
+
+@query("o103_foreign_parts", "SELECT c_custkey, 'customer' AS vendor, 'x:' || c_name AS name FROM customer")
+def foreign(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.foreign_parts(F.concat(F.lit("customer:x:"), "c_name")).alias("f")).select("c_custkey", "f.*")
+
+
+@query("o104_counter_keys", "SELECT p_partkey, p_name AS name, p_brand AS brand FROM part")
+def counter_keys(spark, sf_dir):
+    key = tx.counter_key(F.col("p_name"), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.counter_part(key, 0).alias("name"), tx.counter_part(key, 1).alias("brand"))
+
+
+@query("o112_name_scores", """WITH n AS (SELECT p_brand, p_partkey, p_size AS w, regexp_replace(lower(p_name), '[ \\t\\n\\r]+', '', 'g') AS s FROM part),
+g AS (SELECT DISTINCT p_brand, p_partkey, w, substr(s, i, 4) AS gram FROM (SELECT *, unnest(range(1, CAST(length(s) AS BIGINT) - 2)) AS i FROM n)),
+t AS (SELECT p_brand, gram, sum(w) AS w FROM g GROUP BY 1, 2), a AS (SELECT p_brand, sum(w) AS total FROM t GROUP BY 1)
+SELECT p_brand, p_partkey, round(CAST(sum(t.w) AS DOUBLE) / any_value(total), 6) AS score FROM g JOIN t USING (p_brand, gram) JOIN a USING (p_brand) GROUP BY 1, 2""")
+def name_scores(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("weight"))
+    return cl.name_scores(names, "p_brand", "p_partkey").select("p_brand", "p_partkey", F.round("score", 6).alias("score"))
+
+
+@query("o116_find_or_insert", "SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(max(id) AS BIGINT) AS high FROM (SELECT row_number() OVER (ORDER BY c_name) AS id FROM (SELECT DISTINCT c_name FROM customer))")
+def find_or_insert(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select("c_name").distinct()
+    empty = names.select(F.lit(0).cast("long").alias("id"), "c_name").where("false")
+    return st.find_or_insert(empty, names, ["c_name"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max("id").alias("high"))
+
+
+@query("o118_merge_item", "SELECT CAST(p_partkey % 20 AS BIGINT) AS track_id, 'Brand#11' AS p_brand, CAST(0 AS BIGINT) AS submission_count, true AS disabled FROM part WHERE p_brand = 'Brand#11' GROUP BY 1 UNION ALL SELECT CAST(p_partkey % 20 AS BIGINT), 'Brand#12', CAST(sum(p_size) AS BIGINT), bool_and(p_size > 10) FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') GROUP BY 1 UNION ALL SELECT CAST(p_partkey % 20 AS BIGINT), p_brand, CAST(sum(p_size) AS BIGINT), bool_and(p_size > 10) FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') GROUP BY 1, 2")
+def merge_item(spark, sf_dir):
+    links = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 20).cast("long").alias("track_id"), "p_brand").agg(F.sum("p_size").alias("submission_count"), F.bool_and(F.col("p_size") > 10).alias("disabled"))
+    return st.merge_item(links, "Brand#11", "Brand#12", "p_brand")
+
+
+@query("o121_disable", "SELECT l_orderkey, l_linenumber, l_returnflag = 'A' OR l_partkey % 9 = 0 AS disabled FROM lineitem")
+def disabled(spark, sf_dir):
+    links = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "A").alias("disabled"))
+    return st.disable(links, table(spark, sf_dir, "part").where("p_partkey % 9 = 0").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").drop("l_partkey")
+
+
+@query("o124_canonical", "SELECT doc_id AS id, coalesce(min(CASE WHEN doc_id % 3 = 0 THEN doc_id END) OVER (PARTITION BY text), min(doc_id) OVER (PARTITION BY text)) AS canonical FROM documents")
+def canonical(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content"), F.when(F.col("doc_id") % 3 == 0, "g").alias("gid"))
+    return st.canonical(docs)
+
+
+@query("o126_forward", "SELECT max(event_id) AS position FROM events")
+def forward(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), "event_type")
+    return st.forward(events.where("event_type = 'error'"), events, "position")
+
+
+@query("o131_joinable", "SELECT o_custkey AS query_id, o_orderstatus AS track FROM orders GROUP BY 1, 2 HAVING bool_and(o_orderkey % 10 >= 4 AND o_orderkey % 9 <= 7)")
+def joinable(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return cl.joinable(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("track"), (k % 10 / 10.0).alias("score"), (k % 9).alias("length_diff")))
+
+
+@query("o136_fan_out", "SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['a', 'b'] ELSE [NULL] END) AS mbid FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def fan_out(spark, sf_dir):
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "orders").select(k, F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("mbids"), none.alias("puid"), none.alias("foreign_id"), F.when(k % 3 == 0, "m").alias("meta"))
+    return rq.fan_out(rows).select("o_orderkey", "mbid")
+
+
+@query("o146_queue", "SELECT event_id AS id FROM events WHERE event_type <> 'error' ORDER BY event_id LIMIT 100")
+def queued(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
+    return rq.take_queued(ids.select("id"), ids.where("event_type = 'error'"), 100)
+
+
+@query("o148_drain", "SELECT user_id, event_type, CAST(count(*) - count(*) FILTER (WHERE event_id % 2 = 0) AS BIGINT) AS n FROM events WHERE user_id % 5 > 0 GROUP BY 1, 2 HAVING count(*) > count(*) FILTER (WHERE event_id % 2 = 0)")
+def drained(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    count = lambda rows: rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return st.drain(count(events), count(events.where("event_id % 2 = 0")), ["user_id", "event_type"], events.where("user_id % 5 > 0"), "user_id")
+
+
+@query("o153_rate_policy", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'application' WHEN event_id % 3 = 0 THEN 'global' WHEN event_id % 4 > 0 AND event_id % 2 = 0 THEN 'address' END AS refused FROM events")
+def policy(spark, sf_dir):
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", rq.refused_by(k % 5 != 0, k % 3 != 0, k % 2 != 0, F.when(k % 4 == 0, 10), k % 11 == 0).alias("refused"))
+
+
+@query("o013_dump", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS c_nationkey FROM customer")
+def dumped(spark, sf_dir):
+    """Rows as they come back from a dump."""
+    path = tb.shared_folder(spark, "dump")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("c_nationkey"))
+    tb.dump(rows, path)
+    return tb.load(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+@query("o143_bootstrap", "SELECT user_id, max(event_id) AS id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def bootstrapped(spark, sf_dir):
+    """A snapshot of the first half, brought up to date, is the state of the whole."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")
+    return feed.bootstrap(feed.latest(log.where("id <= 300"), "user_id").select("user_id", "id", "event_type"), log, "user_id", 300)
+
+
+@query("o148_stream_hourly", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed(spark, sf_dir):
+    out = tb.shared_folder(spark, "hourly")
+    feed.hourly_counts(spark, sf_dir, "events.parquet", f"{out}/counts", f"{out}/checkpoint")
+    done = spark.read.parquet(f"{out}/counts")
+    last = done.agg(F.max("epoch").alias("epoch")).scalar()
+    return done.where(F.col("epoch") == last).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonarium.functions.text import jsonp
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; on one machine, where none is set, in the temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,3 +40,48 @@ def as_json(df: DataFrame, callback: str | None = None) -> DataFrame:
     """One text column: each row as JSON with sorted names, or as a call."""
     row = F.struct(*sorted(df.columns))
     return df.select((F.to_json(row) if callback is None else jsonp(F.lit(callback), row)).alias("value"))
+
+
+def _one(name: str) -> str:
+    """The singular of a list's name."""
+    return name[:-3] + "y" if name.endswith("ies") else name.removesuffix("s")
+
+
+def _escaped(value: Column) -> Column:
+    text = value.cast("string")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def xml(value: Column, name: str, kind: T.DataType) -> Column:
+    """A value as an XML element: fields by name, those called @k as attributes, list items under the singular of the list's name; nulls are left out."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        marks = [F.concat(F.lit(f' {f.name[1:]}="'), _escaped(value.getField(f.name)), F.lit('"')) for f in fields if f.name.startswith("@")]
+        body = [xml(value.getField(f.name), f.name, f.dataType) for f in fields if not f.name.startswith("@")]
+        inside = F.concat(F.lit(f"<{name}"), *[F.coalesce(m, F.lit("")) for m in marks], F.lit(">"), *body, F.lit(f"</{name}>"))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda v: xml(v, _one(name), kind.elementType))
+        inside = F.concat(F.lit(f"<{name}>"), F.array_join(items, ""), F.lit(f"</{name}>"))
+    else:
+        inside = F.concat(F.lit(f"<{name}>"), _escaped(value), F.lit(f"</{name}>"))
+    return F.when(value.isNotNull(), inside).otherwise("")
+
+
+def as_xml(df: DataFrame, root: str = "response") -> DataFrame:
+    """One text column: each row as an XML document."""
+    return df.select(xml(F.struct(*df.columns), root, df.schema).alias("value"))
+
+
+def hourly_sample(spark: SparkSession, first: str, last: str, seed: int = 1) -> DataFrame:
+    """Made-up hits and misses for each hour between two times."""
+    hours = spark.range(1).select(F.explode(F.sequence(F.to_timestamp(F.lit(first)), F.to_timestamp(F.lit(last)), F.expr("interval 1 hour"))).alias("hour"))
+    return hours.select("hour", (F.rand(seed) * 1000).cast("long").alias("hits"), (F.rand(seed + 1) * 100).cast("long").alias("misses"))
+
+
+def noisy(df: DataFrame, share: float = 0.1, seed: int = 1) -> DataFrame:
+    """Probes: in a share of the hashes one bit is turned over, and the length moves by up to eight."""
+    mix = lambda i, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), i, F.col("id")), F.lit(10**6))
+    hash_ = lambda x, i: F.when(mix(i, 0) < int(share * 10**6), x.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.pmod(mix(i, 1), F.lit(32)).cast("int")))).otherwise(x)
+    return df.withColumns({"hashes": F.transform("hashes", hash_), "length": F.col("length") + F.pmod(mix(F.lit(-1), 2), F.lit(17)) - 8})

@@ -1,0 +1,103 @@
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from sonarium.operators import clusters as cl
+from sonarium.operators import metadata as md
+from sonarium.operators import requests as rq
+from sonarium.operators import state as st
+from sonarium.sources import tables as tb
+
+
+def test_rate_limit_is_that_of_a_serial_count(spark):
+    rng = random.Random(3)
+    hits = [(k, rng.randrange(0, 400) if rng.random() < 0.9 else rng.randrange(0, 4000)) for k in "ab" for _ in range(300)]
+    df = spark.createDataFrame(hits, "k string, t long").select("k", F.timestamp_seconds("t").alias("t"))
+    got = {(r.k, r.bucket): (r.hits, r.accepted) for r in rq.limited(df, "k", "t", 0.5).collect()}
+    want: Counter = Counter()
+    for k, b in sorted((k, t // 5 * 5) for k, t in hits):
+        if sum(want[k, b - 5 * i] for i in range(4)) < 10:
+            want[k, b] += 1
+    counts = Counter((k, t // 5 * 5) for k, t in hits)
+    assert got == {kb: (n, want[kb]) for kb, n in counts.items()}
+    assert any(h > a for h, a in got.values())
+
+
+def test_parameters_are_ordered_by_number(spark):
+    row = spark.range(1).select(rq.numbered(F.create_map(*map(F.lit, ("a.10", "x", "a.2", "y", "a", "z", "ab", "w", "a.b", "v"))), "a").alias("p")).first()
+    assert [(e.n, e.value) for e in row.p] == [(-1, "z"), (2, "y"), (10, "x")]
+
+
+def test_xml_escapes_and_leaves_nulls_out(spark):
+    df = spark.createDataFrame([("a<b&\"c\"", None, [("x",)], 1)], "name string, gone string, entries array<struct<v:string>>, `@id` int")
+    assert tb.as_xml(df).first().value == '<response id="1"><entries><entry><v>x</v></entry></entries><name>a&lt;b&amp;&quot;c&quot;</name></response>'
+
+
+def test_metadata_document(spark):
+    new = spark.createDataFrame
+    tables = {
+        "recording": new([(1, "r1", "Song", 5, None), (2, "r2", "Unheard", 5, 2000)], "id int, gid string, name string, artist_credit int, length int"),
+        "artist_credit_name": new([(5, 1, 8, "B", ""), (5, 0, 7, "A", " & ")], "artist_credit int, position int, artist int, name string, join_phrase string"),
+        "artist": new([(7, "a7"), (8, "a8")], "id int, gid string"),
+        "track": new([(1, 3, 2, "Song"), (1, 3, 1, "Song (live)")], "recording int, medium int, position int, name string"),
+        "medium": new([(3, 4, 1, None, 1, 9)], "id int, release int, position int, name string, format int, track_count int"),
+        "medium_format": new([(1, "CD")], "id int, name string"),
+        "release": new([(4, "l4", "Album", 6)], "id int, gid string, name string, release_group int"),
+        "release_event": new([(4, "2002", "DE"), (4, "2001", "FR")], "release int, date string, country string"),
+        "release_group": new([(6, "g6", "Album", "EP")], "id int, gid string, name string, type string"),
+        "secondary_type": new([], "release_group int, name string"),
+        "isrc": new([(1, "Z"), (1, "C"), (1, "C")], "recording int, isrc string"),
+    }
+    plain = {r.gid: r for r in md.build_metadata(tables, isrcs=True).collect()}
+    assert plain["r1"].duration == 0 and plain["r2"].duration == 2
+    assert plain["r1"].isrcs == ["C", "Z"] and plain["r2"].isrcs == []
+    assert [(a.id, a.name, a.joinphrase) for a in plain["r1"].artists] == [("a7", "A", " & "), ("a8", "B", None)]
+    (full,) = md.build_metadata(tables, releases=True, release_groups=True).collect()
+    (release,) = full.releases
+    assert (release.id, release.country, release.date) == ("l4", "FR", "2001")
+    assert (release.releasegroup.id, release.releasegroup.title) == ("g6", None)
+    assert [(t.position, t.title) for t in release.mediums[0].tracks] == [(1, "Song (live)"), (2, None)]
+
+
+def test_new_keys_get_the_next_ids(spark):
+    state = spark.createDataFrame([(4, "k1")], "id long, k string")
+    got = {r.k: r.id for r in st.find_or_insert(state, spark.range(50).select(F.concat(F.lit("k"), "id").alias("k")), ["k"]).collect()}
+    assert got["k1"] == 4 and sorted(got.values()) == list(range(4, 54))
+
+
+def test_merging_what_is_missing(spark):
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "mbid string")
+    redirects = spark.createDataFrame([("a", "z")], "mbid string, target string")
+    got = {r.mbid: (r.outcome, r.target) for r in st.merge_missing(one("a", "b", "c"), one("a", "b", "c", "d"), redirects, one("b"), "mbid").collect()}
+    assert got == {"a": ("merged", "z"), "b": ("kept", None), "c": ("unknown", None)}
+    links = spark.createDataFrame([(1, "a", False), (1, "b", True)], "track_id int, mbid string, disabled boolean")
+    changed, audit = st.toggle(links, one("a"), ["mbid"], "why")
+    assert {r.mbid: r.disabled for r in changed.collect()} == {"a": True, "b": True}
+    assert [(r.mbid, r.disabled, r.note) for r in audit.collect()] == [("a", True, "why")]
+
+
+def test_months_to_create_and_drop(spark):
+    held = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-06-01', INTERVAL 1 MONTH)) AS month")
+    got = sorted((r.action, str(r.month)) for r in st.partitions(held, F.to_date(F.lit("2024-05-20"))).collect())
+    assert got[0] == ("create", "2024-07-01") and got[10] == ("create", "2025-05-01")
+    assert got[11:] == [("drop", "2024-01-01"), ("drop", "2024-02-01")]
+
+
+def test_outliers_and_groups(spark):
+    rows = [("t1", "x", 0.1, 1, False), ("t1", "y", 0.9, 10, False), ("t2", "x", 0.8, 5, False), ("t1", "z", 0.1, 1, False), ("t3", "x", 0.1, 1, True), ("t3", "w", 0.9, 10, False)]
+    got = cl.outliers(spark.createDataFrame(rows, "track string, mbid string, score double, sources int, manual boolean"), "track", "mbid").collect()
+    assert [(r.track, r.mbid) for r in got] == [("t1", "x")]
+    assert cl.greedy_groups([(1, 2), (2, 3), (4, 5)]) == [{1, 2}, {4, 5}]
+
+
+def test_noise_turns_some_bits(spark):
+    df = spark.createDataFrame([(i, list(range(200)), 100) for i in range(20)], "id long, hashes array<int>, length int")
+    rows = tb.noisy(df).collect()
+    turned = [bin((a ^ b) & 0xFFFFFFFF).count("1") for r in rows for a, b in zip(r.hashes, range(200), strict=True)]
+    assert set(turned) == {0, 1} and 0.05 < sum(turned) / len(turned) < 0.15
+    assert all(92 <= r.length <= 108 for r in rows) and len({r.length for r in rows}) > 3
+
+
+def test_sample_hours(spark):
+    assert tb.hourly_sample(spark, "2024-01-01 00:00:00", "2024-01-02 00:00:00").count() == 25
