@@ -107,8 +107,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & usable)
     rows = rows.select("vec_id", F.size("x").alias("dims"), F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x"))
     queries = rows.where(F.col("vec_id") % every == 0)
-    total = vectors.count()
-    q_blocks, x_blocks = max(1, -(-total // every // QUERY_BLOCK)), max(1, -(-total // ROW_BLOCK))
+    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    q_blocks, x_blocks = max(1, -(-counts.queries // QUERY_BLOCK)), max(1, -(-counts.rows // ROW_BLOCK))
     hashed = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("*", hashed(q_blocks, 1).alias("q_block"), all_of(x_blocks).alias("x_block"))
