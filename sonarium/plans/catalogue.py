@@ -25,13 +25,13 @@ from sonarium.streaming import feed
 RELATIONAL: dict[str, str] = {
     "o070_gauges": "SELECT 'customers' AS name, count(*) AS value FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'open_orders', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events",
     "o071_histogram_of_counts": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey), h AS (SELECT CAST(least(n, 10) AS INT) AS bucket, count(*) AS customers FROM c GROUP BY 1), b AS (SELECT CAST(v AS INT) AS bucket FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) AS t(v)) SELECT b.bucket, coalesce(customers, 0) AS customers FROM b LEFT JOIN h ON h.bucket = b.bucket",
-    "o072_hits_by_day": "SELECT CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS hits, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS misses, count(*) AS total FROM events GROUP BY 1",
+    "o072_hits_by_day": "SELECT CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS misses, count(*) AS total FROM events GROUP BY 1",
     "o073_monthly": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS orders FROM orders GROUP BY 1",
-    "o074_ratio": "SELECT user_id, count(*) AS total, round(sum(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END) / count(*), 6) AS ratio FROM events GROUP BY user_id",
+    "o074_ratio": "SELECT user_id, count(*) AS total, round(sum(CASE WHEN event_type = 'error' THEN 0.0E0 ELSE 1.0E0 END) / count(*), 6) AS ratio FROM events GROUP BY user_id",
     "o075_group_sum_min": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS first_day FROM lineitem GROUP BY 1, 2",
     "o078_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
     "o078c_extremes": "SELECT min(event_id) AS low, coalesce(max(event_id), 0) AS high FROM events",
-    "o078f_percent": "SELECT n_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 0 GROUP BY n_name",
+    "o078f_percent": "SELECT n_name, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 0 GROUP BY n_name",
     "o080_daily_delta": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), x AS (SELECT event_type, day, n - lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM d) SELECT event_type, day, delta FROM x WHERE day > (SELECT min(day) FROM d)",
     "o081_latest": "SELECT event_id, user_id, event_type FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)",
     "o082_top_per_group": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT o_custkey, o_orderkey, CAST(place AS INT) AS place FROM r WHERE place <= 10",
@@ -61,7 +61,7 @@ RELATIONAL: dict[str, str] = {
     "o084_last": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
     "o085_fallback": "SELECT s_suppkey, coalesce(nullif(s_name, ''), CAST(s_suppkey AS VARCHAR(20))) AS name FROM supplier ORDER BY 2",
     "o117_links": "WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), d AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(s.user_id, d.user_id) AS user_id, coalesce(s.event_type, d.event_type) AS event_type, coalesce(s.n, 0) + coalesce(d.n, 0) AS n FROM s FULL JOIN d ON s.user_id = d.user_id AND s.event_type = d.event_type",
-    "o151_derived": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT count(*) AS everything, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS some, round(100.0E0 * sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / count(*), 2) AS percent FROM c",
+    "o151_derived": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT count(*) AS everything, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS some, round(100.0E0 * sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / count(*), 2) AS percent FROM c",
     "o098_status": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'imported' END AS status FROM orders",
 }
 
