@@ -101,3 +101,28 @@ def test_noise_turns_some_bits(spark):
 
 def test_sample_hours(spark):
     assert tb.hourly_sample(spark, "2024-01-01 00:00:00", "2024-01-02 00:00:00").count() == 25
+
+
+def test_repointing_and_overdue(spark):
+    links = spark.createDataFrame([(1, 10, 2), (1, 11, 3), (2, 11, 4)], "track long, meta long, n long")
+    moved = spark.createDataFrame([(10, 10), (11, 10)], "id long, canonical long")
+    got = {(r.track, r.meta): r.n for r in st.repoint(links, moved, "meta", ["track", "meta"], ["n"]).collect()}
+    assert got == {(1, 10): 5, (2, 10): 4}
+    unknown = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02"), ("c", None)], "mbid string, unknown_since string")
+    assert [r.mbid for r in st.overdue(unknown, F.lit("2024-01-09")).collect()] == ["a"]
+
+
+def test_user_metadata_only_without_catalogue(spark):
+    results = spark.createDataFrame([("q1", 1), ("q1", 2), ("q2", 3)], "query_id string, track int")
+    catalogue = spark.createDataFrame([(1,)], "track int")
+    rows = spark.createDataFrame([(2, "x"), (3, "y"), (3, "")], "track int, title string")
+    assert [(r.query_id, r.title) for r in md.user_metadata(results, catalogue, rows).collect()] == [("q2", "y")]
+
+
+def test_patterns(spark):
+    from sonarium.functions import text as tx
+
+    c = F.col("v")
+    df = spark.createDataFrame([("a@b.cc",), ("http://x.org/y",), ("ftp://x.org",), (None,)], "v string")
+    assert [tuple(r) for r in df.select(tx.is_email(c), tx.is_url(c)).collect()] == [(True, False), (False, True), (False, False), (False, False)]
+    assert spark.range(1).select(tx.partition_name("log", F.to_date(F.lit("2024-03-09")))).first()[0] == "log_202403"
