@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sonarium.llm import chat, minhash, mixing, packing, quality, suffix, tiff, tokens, topk, warc
 
-#: Folder of the public tokenizers' files, the same on all executors.
-TOKENIZERS = os.environ.get("SONARIUM_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, at the same place on all executors; SONARIUM_TOKENIZERS may name another folder."""
+    folder = os.environ.get("SONARIUM_TOKENIZERS")
+    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +30,9 @@ def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_stream(table(spark, sf_dir, "documents"), target_entropy=0.98, max_repeats=4.0).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_order")
+    """One and a half times the input's tokens, at 0.9 of the entropy of equal sources, no source more than three times."""
+    mixed = mixing.mix_stream(table(spark, sf_dir, "documents"), target_entropy=0.9, max_repeats=3.0, passes=1.5)
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_exponent", "mix_entropy", "mix_rule", "mix_epoch", "mix_block", "mix_order")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +48,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
