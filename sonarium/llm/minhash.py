@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.arrow import map_rows
-from sonarium.llm.storage import checkpointed, scratch, written
+from sonarium.llm.storage import scratch, written
 
 WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
@@ -231,8 +231,9 @@ def _across(rows: DataFrame, signed: DataFrame, what: str, similarity: float = S
 
     "best": of a row's pairs with one class in a block, that of the most agreement; "keys": the keys of all
     pairs, by bucket; "links": the pairs that are similar by their shingle sets, one for a row and a class.
-    A bucket's largest class isn't compared with itself: the rows of its other classes go to each block of the
-    bucket's rows, so a task holds one block."""
+    A bucket's largest class isn't compared with itself: the rows of its other classes, the probes, go to each
+    block of the bucket's rows. A task holds one block and all probes of its bucket: where a bucket has many
+    classes left, that is most of the bucket."""
     sizes = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m")).where("classes > 1")
     mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("m.class").alias("main"))
@@ -392,7 +393,7 @@ def _relabel(known: DataFrame, merged: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, similarity: float) -> DataFrame:
     """classes(), as a table; the tables on the way to it are deleted."""
     with scratch(docs.sparkSession):
-        found = checkpointed(classes(docs, similarity))
+        found = written(classes(docs, similarity), "classes", outlive=True)
     return found
 
 
@@ -406,12 +407,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, whole: that of the smallest id; of rows that repeat this id, the one whose text sorts first."""
+    """One row of each class, whole and with all its columns as they were: that of the smallest id; of rows that repeat this id, the one whose text sorts first.
+
+    Of all texts without words (null, empty, blank) one row stays. Input columns may have any name."""
     found = _found(docs, similarity).where("key = class").select("key")
-    columns = docs.columns
-    kept = docs.withColumn("key", document_key("doc_id", "text")).join(found, "key", "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # The rows stand in a struct, so that no name of theirs meets the key's.
+    keyed = docs.select(document_key("doc_id", "text").alias("key"), F.struct(*columns).alias("row"))
+    kept = keyed.join(found, "key", "left_semi")
     again = docs.select(document_key("doc_id", "text").alias("key")).join(found, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     if again.isEmpty():
-        return kept.select(columns)
-    one = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))).alias("r")).select("r.*")
-    return kept.join(again, "key", "left_anti").select(columns).unionByName(one.select(columns))
+        return kept.select("row.*")
+    first = F.min_by("row", F.struct(F.col("row").getField("text"), F.xxhash64("row"))).alias("row")
+    one = kept.join(again, "key", "left_semi").groupBy("key").agg(first).select("row.*")
+    return kept.join(again, "key", "left_anti").select("row.*").unionByName(one)

@@ -31,8 +31,8 @@ END_ID = 2
 SAFE = re.compile("[!-{}~\u00c0-\u024f]+")
 #: Fixed value: the pattern of the tokenizer's file, for such runs.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Words, and parts of words, that a Python worker holds: fewer take less memory and more time.
-CACHE_WORDS = 800_000
+#: Words, and parts of words, that a Python worker holds, and bytes of them and their ids: fewer take less memory and more time.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64 << 20
 
 
 def cost(n: int) -> float:
@@ -106,15 +106,16 @@ class WordTokenizer:
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.bytes = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known, parts = self.known, self.parts
-        if len(known) > self.cache_words:
+        if max(len(known), len(parts)) > self.cache_words or self.bytes > CACHE_BYTES:
             known.clear()
-        if len(parts) > self.cache_words:
             parts.clear()
+            self.bytes = 0
         new = set().union(*split).difference(known)
         safe = SAFE.fullmatch
         plain = [w for w in new if safe(w)]
@@ -129,37 +130,50 @@ class WordTokenizer:
         if len(plain) < len(new):
             rest = list(new.difference(plain))
             known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        self.bytes += sum(map(len, new)) + sum(len(known[w]) for w in new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with_ids the ids themselves (little-endian, 32 bits).
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and row_id, and with_ids the ids themselves (little-endian, 32 bits).
 
-    A null or empty text has the end id alone; every row counts, repeated or not. sequence_id is unique over
-    all tasks. The tokenizer's file is read on the executors, at the same path."""
+    A null or empty text has the end id alone; every row counts, repeated or not: row_id tells the pieces of
+    rows that repeat a doc_id apart. sequence_id and row_id are unique over all tasks of this job, and are dealt
+    anew by another. The tokenizer's file is read on the executors, at the same path."""
     end = END_ID.to_bytes(4, "little")
 
     def rows(batches):
         import gc
-        import os
 
+        collects = gc.isenabled()
         gc.disable()  # millions of cached strings, and no cycles
+        try:
+            yield from pieces(batches)
+        finally:  # the worker goes on to other jobs
+            if collects:
+                gc.enable()
+
+    def pieces(batches):
+        import os
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        tokenizer, sequence = worker_cache(f"{tokenizer_file} {cache_words}", lambda: WordTokenizer(tokenizer_file, cache_words)), (context.partitionId() if context else 0) << 33
+        sequence = row_id = (context.partitionId() if context else 0) << 33
+        tokenizer = worker_cache(tokenizer_file, lambda: WordTokenizer(tokenizer_file))
+        tokenizer.cache_words = cache_words
         keys, ids, held = [], [], 0
 
         def packed():
-            nonlocal sequence
+            nonlocal sequence, row_id
             last = sequence
             for doc, start, n, s, offset in assign([len(x) // 4 for x in ids], length):
                 part = ids[doc][4 * start : 4 * (start + n)]
                 last = max(last, sequence + s + 1)
-                row = (keys[doc], start, n, zlib.crc32(part), len(ids[doc]) // 4, sequence + s, offset)
+                row = (keys[doc], start, n, zlib.crc32(part), len(ids[doc]) // 4, sequence + s, offset, row_id + doc)
                 yield (*row, part) if with_ids else row, 64 + len(part) * with_ids
-            sequence = last
+            sequence, row_id = last, row_id + len(keys)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -175,5 +189,5 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str
         if keys:
             yield from packed()
 
-    schema = "doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG" + ", ids BINARY" * with_ids
+    schema = "doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG, row_id LONG" + ", ids BINARY" * with_ids
     return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), rows, schema)

@@ -107,12 +107,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> PairwiseModel:
     """Learns from at most `sample` labelled rows of each class, chosen by a hash of their id; held-out rows take no part.
 
-    The sample's ids are broadcast: they are 2 * sample at most. An id with contradictory labels counts as its worse one."""
+    The sample's ids are broadcast, and their features come to the driver: they are 2 * sample at most. An id with
+    contradictory labels counts as its worse one; of rows that repeat an id, the text whose hash is smallest counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    rows = features(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "features", "quality").limit(4 * sample).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("doc_id", "first.text")
+    got = features(one).join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").collect()
     if not got:
         return PairwiseModel()
     got.sort(key=lambda r: (r.doc_id, r.features))
@@ -136,12 +138,15 @@ def score(docs: DataFrame, model: PairwiseModel, cut_score: float = 0.3) -> Data
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; with no labels at all every score is cut_score, and all are predicted 1."""
+    """doc_id, held_out, score and predicted of every row, repeated ones too; null texts count as empty. With no labels at all every score is cut_score, and all are predicted 1."""
     return score(docs, train(docs, labels), cut_score).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut_score).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3) -> DataFrame:
-    """The rows of docs, whole and unchanged, whose score reaches cut_score; scored in the pass that reads them."""
+    """The rows of docs, whole and unchanged, whose score reaches cut_score; scored in the pass that reads them.
+
+    Null and empty texts have the score of a text without words; without labels all rows stay. Repeated rows and
+    rows of a null id are judged by their text like all others, and other columns may have any name."""
     bounded_batches(docs.sparkSession)
     model = train(docs, labels)
     base = float(np.log(cut_score / (1 - cut_score)))

@@ -36,33 +36,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written to the shared folder and read from there."""
+    """Cuts the lineage: the rows are written to the shared folder and read from there. Inside scratch() they go with the block."""
+    if _open:
+        return written(df, "cut")
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, for plans that read few of their columns, more than once."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table of its own in the shared folder, and the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for plans that read few of their columns, more than once.
+
+    It goes at the end of the innermost scratch() block, or with outlive at the end of the one around it. Where
+    there is none, what reads the table decides: it stays."""
+    table, path = stored(df, name)
+    around = _open[: -1 if outlive else None]
+    if around:
+        around[-1].append(path)
+    return table
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that written() makes inside go at the end; what leaves this block must not read them."""
+    """Tables that written() and checkpointed() make inside go at the end; what leaves this block must not read them."""
     mine: list[str] = []
     _open.append(mine)
     try:
         yield
     finally:
-        _open.remove(mine)
+        _open.pop()
         for path in mine:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -35,8 +35,11 @@ BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 PIECE = 1 << 20
 #: Anchors, and segments with their bytes, that a task holds before it merges and sends them.
 HOLD, HOLD_TEXTS = 600_000, 80_000
+#: Buckets for each shuffle partition; there are two tasks for each, and a task holds one bucket at a time.
+BUCKETS = 16
 _POSITION = np.uint64((1 << 28) - 1)
-NO_ID = 2**63 - 1
+#: Keys of rows without an id begin here.
+NO_ID = 2**62
 
 
 class Poly:
@@ -199,29 +202,43 @@ def _send_anchors(buckets: int):
     return run
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], columns: str) -> Iterator[list[tuple]]:
+    """The rows of one bucket after another; a partition's rows are sorted by bucket, so that a task holds one of its buckets."""
+    held, last = [], None
+    for batch in batches:
+        for bucket, *row in zip(batch.column("bucket").to_pylist(), *[batch.column(c).to_pylist() for c in columns.split()], strict=True):
+            if bucket != last and held:
+                yield held
+                held = []
+            last = bucket
+            held.append(row)
+    if held:
+        yield held
+
+
 def _flag_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parcels to the segments whose anchors occur more than once."""
-    sent, schema = [], to_arrow_schema(_FLAG)
+    schema = to_arrow_schema(_FLAG)
 
     def out(key, start):
         for i in range(0, len(key), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000], pa.int64()), pa.array(start[i : i + 200_000].astype(np.int64), pa.int64()).cast(pa.int32(), safe=False)], schema=schema)
 
-    for batch in batches:
-        for kind, a, b, c in zip(*[batch.column(x).to_pylist() for x in ("kind", "a", "b", "c")], strict=True):
+    for rows in _by_bucket(batches, "kind a b c"):
+        sent = []
+        for kind, a, b, c in rows:
             got = _from_planes(a, "u8"), _from_planes(b, "i8"), _from_planes(c, "u4")
             if kind == 1:
                 yield from out(got[1], got[2])
             else:
                 sent.append(got)
-    if sent:
-        h, key, start = (np.concatenate(c) for c in zip(*sent, strict=True))
-        del sent
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        again = ~_groups(h)
-        again[:-1] |= again[1:]
-        yield from out(key[order[again]], start[order[again]])
+        if sent:
+            h, key, start = (np.concatenate(c) for c in zip(*sent, strict=True))
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            again = ~_groups(h)
+            again[:-1] |= again[1:]
+            yield from out(key[order[again]], start[order[again]])
 
 
 #: What is known of a segment: anchor hash, document, check value of its text, first window, windows, and the anchor's offset.
@@ -395,26 +412,29 @@ _MARK = struct("key LONG, v LONG, start LONG, count INT")
 
 
 def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parcels of segments to runs of repeated windows."""
-    sent, texts, schema = [], [], to_arrow_schema(_MARK)
-
-    def out(key, v, start, count):
-        for i in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64), pa.int64()).cast(f.type) for c, f in zip((key, v, start, count), schema, strict=True)], schema=schema)
-
-    for batch in batches:
-        for kind, *packed in zip(*[batch.column(c).to_pylist() for c in ("kind", "a", "b", "c", "d", "e")], strict=True):
-            h = _from_planes(packed[0], "u8")
-            x = np.zeros(len(h), _SEGMENT)
-            pair = _from_planes(packed[2], "u8").view("u4").reshape(-1, 2)
-            small = _from_planes(packed[3], "u2").view("u1").reshape(-1, 2)
-            x["h"], x["key"], x["v"], x["start"], x["count"], x["off"] = h, _from_planes(packed[1], "i8"), pair[:, 0], pair[:, 1], small[:, 0], small[:, 1]
-            if kind == 3:
-                yield from out(x["key"], x["v"], x["start"], x["count"])
-                continue
-            ends = np.cumsum(x["count"].astype(np.int64) + SPAN - 1).tolist()
-            texts += [packed[4][a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            sent.append(x)
+    """Parcels of segments to runs of repeated windows, one bucket after another."""
+    schema = to_arrow_schema(_MARK)
+    for rows in _by_bucket(batches, "kind a b c d e"):
+        for columns in _marks(rows):
+            for i in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64), pa.int64()).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _marks(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, v, start and count of the repeated windows in a bucket's parcels."""
+    sent, texts = [], []
+    for kind, *packed in rows:
+        h = _from_planes(packed[0], "u8")
+        x = np.zeros(len(h), _SEGMENT)
+        pair = _from_planes(packed[2], "u8").view("u4").reshape(-1, 2)
+        small = _from_planes(packed[3], "u2").view("u1").reshape(-1, 2)
+        x["h"], x["key"], x["v"], x["start"], x["count"], x["off"] = h, _from_planes(packed[1], "i8"), pair[:, 0], pair[:, 1], small[:, 0], small[:, 1]
+        if kind == 3:
+            yield x["key"], x["v"], x["start"], x["count"]
+            continue
+        ends = np.cumsum(x["count"].astype(np.int64) + SPAN - 1).tolist()
+        texts += [packed[4][a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        sent.append(x)
     if not sent:
         return
     x = np.concatenate(sent)
@@ -428,7 +448,7 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         content[at : at + len(part)] = poly.strings(poly.prefix(data), np.cumsum(sizes) - sizes, sizes)
         at += len(part)
     first, repeat = _same_segments(x, content, texts)
-    yield from out(*(x[c][repeat] for c in ("key", "v", "start", "count")))
+    yield tuple(x[c][repeat] for c in ("key", "v", "start", "count"))
     first = first[np.argsort(x["h"][first], kind="stable")]
     new = _groups(x["h"][first])
     alone = new & np.append(new[1:], True)
@@ -446,8 +466,8 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         seg, window = seg[order], window[order]
         new = _groups(seg, window - np.arange(len(window)))
         edge = np.flatnonzero(new)
-        rows = x[some[seg[edge]]]
-        yield from out(rows["key"], rows["v"], rows["start"].astype(np.int64) + window[edge], np.diff(np.append(edge, len(seg))))
+        rows_of = x[some[seg[edge]]]
+        yield rows_of["key"], rows_of["v"], rows_of["start"].astype(np.int64) + window[edge], np.diff(np.append(edge, len(seg)))
 
 
 def _covered(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -465,24 +485,27 @@ def _covered(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, their other columns packed in the struct `kept_row`, with key, text (null: empty) and marks: runs of windows (v, start, count) that stand earlier, v being the CRC-32 of the text they belong to.
 
-    A window stands earlier if a smaller doc_id holds it, or its own document at an earlier start. Null ids
-    come last, and are one id. Rows that repeat an id and a text are one document: none is a repeat of the
-    other. Rows with one id and different texts are versions of one document: a window stays at its smallest
-    start among them."""
+    A window stands earlier if a smaller doc_id holds it, or its own document at an earlier start. Rows without
+    an id come last, in the order of a hash of their texts, each text a document of its own. Rows that repeat an
+    id and a text are one document: none is a repeat of the other. Rows with one id and different texts are
+    versions of one document: a window stays at its smallest start among them. Ids are below NO_ID. Other columns
+    may have any name; an empty table gives no rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions(spark)
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("kept_row")).repartition(n, "key")
-    deal = lambda df: df.repartition(2 * n, "bucket")
-    flags = deal(base.mapInArrow(_send_anchors(8 * n), _PARCEL)).mapInArrow(_flag_anchors, _FLAG).groupBy("key").agg(F.collect_set("start").alias("flags"))
-    segs = deal(base.join(flags, "key").mapInArrow(_send_segments(8 * n), _PARCEL))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(whole), 2))
+    base = docs.select(key.alias("key"), whole.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("kept_row")).repartition(n, "key")
+    deal = lambda df: df.repartition(2 * n, "bucket").sortWithinPartitions("bucket")
+    flags = deal(base.mapInArrow(_send_anchors(BUCKETS * n), _PARCEL)).mapInArrow(_flag_anchors, _FLAG).groupBy("key").agg(F.collect_set("start").alias("flags"))
+    segs = deal(base.join(flags, "key").mapInArrow(_send_segments(BUCKETS * n), _PARCEL))
     marks = segs.mapInArrow(_mark_windows, _MARK).groupBy("key").agg(F.collect_list(F.struct("v", "start", "count")).alias("marks"))
     return base.join(marks, "key", "left")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end in bytes), and with_text the input's other columns (kept_row) and what is left of the text (kept_text; characters that were cut in two are dropped)."""
-    found = repeated_spans(docs, doc_id, text)
+    found = repeated_spans(docs if with_text else docs.select(doc_id, text), doc_id, text)
     schema = T.StructType.fromDDL("doc_id LONG, n_bytes LONG, n_removed LONG, n_spans LONG, kept_sha256 STRING, spans ARRAY<STRUCT<start: LONG, end: LONG>>")
     if with_text:
         schema = T.StructType([*schema.fields, found.schema["kept_row"], T.StructField("kept_text", T.StringType())])
@@ -492,7 +515,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for key, value, marks in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), part.column("marks").to_pylist(), strict=True):
+                ids = part.column("kept_row").field(doc_id).to_pylist()
+                for key, value, marks in zip(ids, part.column("text").to_pylist(), part.column("marks").to_pylist(), strict=True):
                     raw, kept, last = value.encode("utf-8", "surrogatepass"), [], 0
                     v = zlib.crc32(raw) if marks else 0
                     spans = _covered([(m["start"], m["count"]) for m in marks or () if m["v"] == v], len(raw))
@@ -501,7 +525,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         last = b
                     kept.append(raw[last:])
                     left = b"".join(kept)
-                    rows.append((None if key == NO_ID else key, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"start": a, "end": b} for a, b in spans], left.decode("utf-8", "ignore")))
+                    rows.append((key, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"start": a, "end": b} for a, b in spans], left.decode("utf-8", "ignore")))
                 columns = [pa.array(list(c), arrow[i].type) for i, c in enumerate(list(zip(*rows, strict=True))[:6])]
                 if with_text:
                     columns += [part.column("kept_row").cast(arrow.field("kept_row").type), pa.array([r[6] for r in rows], pa.string())]

@@ -1,9 +1,11 @@
 """Media columns: TIFF files in a binary column, one row per page.
 
 The reader walks the chain of image directories in either byte order, decodes stored, PackBits, LZW and
-deflate strips or tiles, undoes horizontal differencing (8 and 16 bit) and crops tiles at the right and
-lower edge. LZW code positions depend only on how many codes follow the last clear code, so a whole run of
-codes is cut out of the bit stream with numpy before the table is rebuilt.
+deflate strips or tiles, undoes horizontal differencing (8, 16 and 32 bit) and that of floating-point samples,
+and crops tiles at the right and lower edge. Samples of 1, 2 and 4 bits come out as one byte each. A page
+whose strips or tiles are too few, too many or too short, or whose size its bytes cannot hold, is an error,
+never a page with holes. LZW code positions depend only on how many codes follow the last clear code, so a
+whole run of codes is cut out of the bit stream with numpy before the table is rebuilt.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonarium.llm.arrow import map_rows
+from sonarium.llm.arrow import struct as columns_of
 
 STORED, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, END = 256, 257
@@ -27,9 +30,17 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 #: Fixed values of the format: LZW codes after a clear code that have 9, 10 and 11 bits; later ones have 12.
 LZW_STEPS = ((254, 9), (512, 10), (1024, 11))
 LZW_RUN = 3837
+#: Bytes that one stored byte can become, by compression: more than the format allows is no image.
+EXPANSION = {STORED: 1, LZW: 2600, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 
-_WIDTHS = np.concatenate([np.full(n, w, np.int64) for n, w in LZW_STEPS] + [np.full(4096, 12, np.int64)])
-_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
+
+def _code_widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code."""
+    steps = [np.full(k, w, np.int64) for k, w in LZW_STEPS]
+    return np.concatenate([*steps, np.full(max(0, n - sum(k for k, _ in LZW_STEPS)), 12, np.int64)])[:n]
+
+
+_WIDTHS = _code_widths(LZW_RUN + 2)
 
 
 class TiffError(ValueError):
@@ -73,16 +84,21 @@ def lzw_decode(data: bytes, limit: int) -> bytes:
     words = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     out: list[bytes] = []
-    at, total, have = 0, len(data) * 8, 0
+    at, total, have, most = 0, len(data) * 8, 0, LZW_RUN + 2
     while have < limit:
-        n = int(np.searchsorted(_STARTS, total - at, "right")) - 1
+        widths = _code_widths(most)
+        starts = np.concatenate([[0], np.cumsum(widths)])
+        n = int(np.searchsorted(starts, total - at, "right")) - 1
         if n <= 0:
             break
-        where, width = at + _STARTS[:n], _WIDTHS[:n]
+        where, width = at + starts[:n], widths[:n]
         codes = (words[where >> 3] >> (24 - (where & 7) - width)) & ((1 << width) - 1)
         stops = np.flatnonzero((codes == CLEAR) | (codes == END))
         stop = int(stops[0]) if len(stops) else n
-        table, last = base.copy(), b""
+        if stop == most:  # a writer that goes on with a full table, without a clear code
+            most = len(data)
+            continue
+        most, table, last = LZW_RUN + 2, base.copy(), b""
         for code in codes[:stop].tolist():
             if code < len(table):
                 entry = table[code]
@@ -91,13 +107,13 @@ def lzw_decode(data: bytes, limit: int) -> bytes:
             else:
                 raise TiffError("an LZW code points beyond the table")
             out.append(entry)
-            if last:
+            if last and len(table) < 4096:
                 table.append(last + entry[:1])
             last = entry
             have += len(entry)
         if stop == n or codes[stop] == END:
             break
-        at += int(_STARTS[stop + 1])
+        at += int(starts[stop + 1])
     return b"".join(out)
 
 
@@ -156,7 +172,7 @@ def _pack(data: bytes, compression: int) -> bytes:
 
 
 def read_tiff(data: bytes) -> Iterator[dict]:
-    """The pages of a file, in the order of its directories. samples: rows of interleaved samples, 16-bit ones little-endian."""
+    """The pages of a file, in the order of its directories. samples: rows of interleaved samples, those of several bytes little-endian, those of less than 8 bits one byte each."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
@@ -184,31 +200,59 @@ def read_tiff(data: bytes) -> Iterator[dict]:
         at = following
 
 
+def _need(holds: bool, message: str) -> None:
+    if not holds:
+        raise TiffError(message)
+
+
+def _cells(raw: bytes, rows: int, w: int, deep: int, bits: int, kind: np.dtype, predictor: int, order: str) -> np.ndarray:
+    """The samples of an unpacked strip or tile: rows, columns, channels."""
+    if bits < 8:  # rows begin at whole bytes
+        line = -(-w * deep * bits // 8)
+        planes = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : w * deep * bits]
+        return np.packbits(planes.reshape(rows, w * deep, bits), axis=2).reshape(rows, w, deep) >> (8 - bits)
+    if predictor == 3:  # rows of byte planes, the highest first, as differences
+        size = bits // 8
+        lines = np.frombuffer(raw, np.uint8, rows * w * deep * size).reshape(rows, w * size, deep)
+        planes = np.cumsum(lines, axis=1, dtype=np.uint8).reshape(rows, size, w, deep)
+        return np.ascontiguousarray(planes.transpose(0, 2, 3, 1)).view(f">u{size}").reshape(rows, w, deep)
+    part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep)
+    return np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else part
+
+
 def _page(data: bytes, tags: dict[int, list[int]], order: str) -> dict:
     width, height = tags[256][0], tags[257][0]
-    channels, bits = tags.get(277, [1])[0], tags.get(258, [1])[0]
+    channels, depths = tags.get(277, [1])[0], tags.get(258, [1])
+    bits = depths[0]
     compression, predictor, planes = tags.get(259, [STORED])[0], tags.get(317, [1])[0], tags.get(284, [1])[0]
-    if bits not in (8, 16) or predictor not in (1, 2):
-        raise TiffError(f"{bits} bits with predictor {predictor} are not supported")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    _need(width > 0 and height > 0 and channels > 0, f"a page of {width} x {height} x {channels}")
+    _need(bits in (1, 2, 4, 8, 16, 32) and set(depths) == {bits}, f"{depths} bits are not supported")
+    _need(predictor in {1, *([2] if bits >= 8 else []), *([3] if bits >= 16 else [])}, f"predictor {predictor} of {bits} bits is not supported")
+    _need(compression in EXPANSION, f"compression {compression} is not supported")
+    kind = np.dtype(np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
     tiled = 322 in tags
     w, h = (tags[322][0], tags[323][0]) if tiled else (width, min(tags.get(278, [height])[0], height))
+    _need(w > 0 and h > 0, f"strips or tiles of {w} x {h}")
     starts, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     deep = channels if planes == 1 else 1
+    across, down, separate = -(-width // w), -(-height // h), channels // deep
+    _need(len(starts) == len(counts) == across * down * separate, f"{len(starts)} strips or tiles with {len(counts)} sizes, not {across * down * separate}")
+    _need(all(a + n <= len(data) for a, n in zip(starts, counts, strict=True)), "a strip or tile lies beyond the file")
+    held = sum(counts) * EXPANSION[compression] + 4096
+    _need(height * -(-width * channels * bits // 8) <= held and w * h <= held * 8, f"{width} x {height} samples in {sum(counts)} bytes")
+    reverse = tags.get(266, [1])[0] == 2
     image = np.zeros((height, width, channels), kind.newbyteorder("<"))
-    across, down = -(-width // w), -(-height // h)
     for k, (start, count) in enumerate(zip(starts, counts, strict=True)):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
-        need = rows * w * deep * kind.itemsize
-        raw = _unpack(data[start : start + count], compression, need)
-        if len(raw) < need:
-            raise TiffError(f"strip or tile {k} is short: {len(raw)} of {need} bytes")
-        part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        part = part[: height - y, : width - x]
+        need = rows * -(-w * deep * bits // 8)
+        raw = data[start : start + count]
+        if reverse:
+            raw = np.packbits(np.unpackbits(np.frombuffer(raw, np.uint8)), bitorder="little").tobytes()
+        raw = _unpack(raw, compression, need)
+        _need(len(raw) >= need, f"strip or tile {k} is short: {len(raw)} of {need} bytes")
+        part = _cells(raw, rows, w, deep, bits, kind, predictor, order)[: height - y, : width - x]
         image[y : y + rows, x : x + w, plane : plane + deep] = part
     return {"width": width, "height": height, "channels": channels, "bits": bits, "compression": compression, "predictor": predictor, "tiled": tiled, "samples": image.tobytes()}
 
@@ -275,7 +319,7 @@ def payload_tiff(payload: bytes) -> bytes:
 
 def tile_hash(page: dict) -> str:
     """64 bits, one for each cell of an 8 x 8 grid: whether its mean is above the page's."""
-    kind = np.uint8 if page["bits"] == 8 else "<u2"
+    kind = np.uint8 if page["bits"] <= 8 else f"<u{page['bits'] // 8}"
     image = np.frombuffer(page["samples"], kind).reshape(page["height"], -1)
     rows = np.unique(np.arange(8) * image.shape[0] // 8)
     columns = np.unique(np.arange(8) * image.shape[1] // 8)
@@ -288,16 +332,18 @@ def tile_hash(page: dict) -> str:
 PAGE = "page INT, width INT, height INT, channels INT, bits INT, compression INT, predictor INT, tiled BOOLEAN, hash STRING, samples BINARY"
 
 
+_PAGES = T.StructType([T.StructField("tiff_pages", T.ArrayType(columns_of(PAGE))), T.StructField("tiff_error", T.StringType())])
+
+
 def decode_files(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds tiff_pages (an array of page structs) and tiff_error to every row.
 
     A null content, or bytes that cannot be read, give an empty array and a message in tiff_error; the pages
     before a broken one are not returned. Columns that bear these two names are replaced. Memory is bounded
-    by the largest single file."""
-    names = [c for c in df.columns if c not in ("tiff_pages", "tiff_error")]
+    by the largest single file and its pages, whose sizes must be in keeping with the file's."""
+    names = [c for c in df.columns if c not in _PAGES.names]
     df = df.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(content)
-    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"tiff_pages ARRAY<STRUCT<{PAGE.replace(' INT', ': INT').replace(' BOOLEAN', ': BOOLEAN').replace(' STRING', ': STRING').replace(' BINARY', ': BINARY')}>>, tiff_error STRING").fields])
 
     def rows(batches):
         for batch in batches:
@@ -311,13 +357,17 @@ def decode_files(df: DataFrame, content: str = "content") -> DataFrame:
                     pages, error = [], str(e)
                 yield (*values, pages, error), len(data or b"") + 200 + sum(len(p["samples"]) for p in pages)
 
-    return map_rows(df, rows, schema)
+    return map_rows(df, rows, T.StructType([*df.schema.fields, *_PAGES.fields]))
 
 
 def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
-    """One row per page of the files in a binary column, with the input's other columns; an unreadable file gives one row with a null page and tiff_error."""
+    """One row per page of the files in a binary column, with the input's other columns; an unreadable file gives one row with a null page and tiff_error.
+
+    Input columns that bear the name of a page's field are replaced; the column of the files goes."""
+    fields = columns_of(PAGE).names
     files = decode_files(df, content)
-    return files.select("*", F.explode_outer("tiff_pages").alias("tiff_page")).drop("tiff_pages", content).select("*", "tiff_page.*").drop("tiff_page")
+    kept = [F.col(f"`{c}`") for c in files.columns if c not in {content, "tiff_pages", *fields}]
+    return files.select(*kept, F.explode_outer("tiff_pages").alias("tiff_page")).select("*", *[F.col("tiff_page").getField(c).alias(c) for c in fields]).drop("tiff_page")
 
 
 def text_tiffs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -246,8 +246,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
     candidates go to the blocks of queries that may find something there; nothing but the pairs of blocks,
     while they are few, is broadcast."""
     rows = checkpointed(_prepared(vectors, scale, vec_id, vector))
-    many = rows.count()
-    bits = min(KIND_SEGMENTS, max(0, (many // ROW_BLOCK).bit_length() - 1))
+    n = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    bits = min(KIND_SEGMENTS, max(0, (n.rows // ROW_BLOCK).bit_length() - 1))
     rows = rows.withColumn("kind", F.shiftright("kind", KIND_SEGMENTS - bits))
     queries = rows.where(F.col("vec_id") % every == 0)
     left, right = _dealt(queries, QUERY_BLOCK, "q"), _dealt(rows, ROW_BLOCK, "x")
@@ -271,7 +271,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
 
     kinds = "dims INT, {0}_kind INT, {0}_part INT, low ARRAY<DOUBLE>, high ARRAY<DOUBLE>, deviation ARRAY<DOUBLE>, norm DOUBLE, beat DOUBLE"
     stats = [df.groupBy([f"{p}_{c}" for c in _BLOCK]).applyInArrow(_summary(p), f"{p}_" + kinds.format(p)) for df, p in ((left, "q"), (right, "x"))]
-    groups = [-(-(many // size + (1 << bits)) // META_BLOCK) for size in (every * QUERY_BLOCK, ROW_BLOCK)]  # so many blocks there are about
+    groups = [-(-(held // size + (1 << bits)) // META_BLOCK) for held, size in ((n.queries, QUERY_BLOCK), (n.rows, ROW_BLOCK))]  # so many blocks there are about
     hashed = lambda p, n: F.pmod(F.xxhash64(f"{p}_kind", f"{p}_part"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = stats[0].select("*", F.col("q_dims").alias("dims"), hashed("q", groups[0]).alias("g"), all_of(groups[1]).alias("h"))

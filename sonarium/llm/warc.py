@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.arrow import map_rows
-from sonarium.llm.storage import checkpointed, partitions, written
+from sonarium.llm.storage import checkpointed, partitions, scratch, written
 
 VERSION = b"WARC/1.1"
 ARCHIVE_BYTES = 4 << 20
@@ -35,7 +35,8 @@ def record(kind: str, record_id: str, block: bytes, headers: list[tuple[str, str
     lines = [VERSION, b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <" + record_id.encode() + b">", b"WARC-Date: " + DATE.encode()]
     lines += [f"{k}: {v}".encode() for k, v in headers if v]
     lines.append(b"Content-Length: %d" % len(block))
-    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    # Small records need no large tables, which take longer to clear than the record to pack.
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31, 4 if len(block) < 512 else 6 if len(block) < 1 << 16 else 8)
     return pack.compress(b"\r\n".join(lines) + b"\r\n\r\n") + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
 
 
@@ -44,10 +45,18 @@ def members(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        # Fed piece by piece: what follows a member is copied back, and must be little.
+        unpack, parts, size = zlib.decompressobj(31), [], 2048
+        while not unpack.eof and at < len(view):
+            fed = view[at : at + size]
+            parts.append(unpack.decompress(fed))
+            at += len(fed) - len(unpack.unused_data)
+            size = min(2 * size, 1 << 20)
+        if not unpack.eof:
+            raise ValueError("a gzip member is cut short")
+        yield b"".join(parts)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
@@ -209,9 +218,26 @@ def page_transactions(pages: DataFrame) -> DataFrame:
     A null html is empty. Among equal payloads of at least REVISIT_BYTES bytes those with the smallest
     page_id are responses, the others revisits of it; a null page_id is never the smallest, unless all are
     null. Rows that repeat both page_id and payload are told apart by number, and all returned."""
+    with scratch(pages.sparkSession):
+        records = written(_page_records(pages), "records", outlive=True)
+    page_id = F.regexp_extract(F.col("metadata")[0]["fields"], r"page-id: (-?\d+)", 1)
+    revisit = F.col("record_type") == "revisit"
+    refers_to = F.regexp_extract("record.refers_to", r"^urn:page:(-?\d+):", 1)
+    return assemble(records).select(
+        F.when(page_id != "", page_id.cast("long")).alias("page_id"),
+        F.when(revisit, F.col("record.http_length")).otherwise(F.col("record.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("record.declared_digest", "^sha256:", "")).otherwise(F.col("record.payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.when(revisit, refers_to.cast("long")).alias("refers_to"),
+    )
+
+
+def _page_records(pages: DataFrame) -> DataFrame:
+    """The records of the archives that the pages were written to, without payloads."""
     spark = pages.sparkSession
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size"))
+    # Digests are made once, and kept: three plans below read them.
+    slim = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size")), "digests")
     first = slim.where((F.col("size") >= REVISIT_BYTES)).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     later = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), "digest", F.col("first").alias("refers_to")).distinct()
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).withColumn("key", F.coalesce("page_id", F.lit(-(2**63))))
@@ -223,18 +249,7 @@ def page_transactions(pages: DataFrame) -> DataFrame:
         told = keyed.repartition(partitions(spark), "key").withColumn("digest", F.sha2("payload", 256)).join(later, ["key", "digest"], "left")
     archives = written(write_archives(told), "archives")
     capture = F.col("record_type").isin(*CAPTURES)
-    records = read_archives(archives).where(F.col("record_type") != "warcinfo").select("record_id", "record_type", "concurrent_to", "target_uri", "date", "refers_to", "declared_digest", "http_length", "payload_bytes", F.when(capture, F.col("payload_digest")).alias("payload_digest"), "fields")
-    records = written(records, "records")
-    page_id = F.regexp_extract(F.col("metadata")[0]["fields"], r"page-id: (-?\d+)", 1)
-    revisit = F.col("record_type") == "revisit"
-    refers_to = F.regexp_extract("record.refers_to", r"^urn:page:(-?\d+):", 1)
-    return assemble(records).select(
-        F.when(page_id != "", page_id.cast("long")).alias("page_id"),
-        F.when(revisit, F.col("record.http_length")).otherwise(F.col("record.payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace("record.declared_digest", "^sha256:", "")).otherwise(F.col("record.payload_digest")).alias("payload_digest"),
-        "record_type",
-        F.when(revisit, refers_to.cast("long")).alias("refers_to"),
-    )
+    return read_archives(archives).where(F.col("record_type") != "warcinfo").select("record_id", "record_type", "concurrent_to", "target_uri", "date", "refers_to", "declared_digest", "http_length", "payload_bytes", F.when(capture, F.col("payload_digest")).alias("payload_digest"), "fields")
 
 
 #: The same rows from the pages themselves, for DuckDB.

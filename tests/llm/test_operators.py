@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonarium.llm import chat, minhash, mixing, packing, quality, suffix, tiff, tokens, topk, warc
-from sonarium.llm.queries import TOKENIZERS
+from sonarium.llm.queries import tokenizer_file
 
 ODD = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c"), (4, "word " * 30_000), (5, "é😀 \x00 x"), (6, "word " * 30_000)]
 
@@ -153,7 +153,7 @@ def test_suffix_sort_orders_like_bytes():
 def test_packing_cuts_without_loss(spark):
     from tokenizers import Tokenizer
 
-    file = f"{TOKENIZERS}/word_bpe_49k.json"
+    file = tokenizer_file("word_bpe_49k.json")
     rng = random.Random(6)
     rows = [*ODD, *[(100 + i, " ".join(rng.choices(["Foo", "bar's", "ÀÉ<|x", "12ab", "…", "İ"], k=rng.randint(0, 900)))) for i in range(60)]]
     pieces = packing.pack(documents(spark, rows), file, with_ids=True).collect()
@@ -194,7 +194,7 @@ def test_token_counts_match_plain_programming(spark):
     for _ in range(300):
         word = "▁" + "".join(rng.choices("abcé", k=rng.randint(0, 9)))
         assert trie.insert(word) == plain(word)
-    got = {r.doc_id: r.n_pretokens for r in tokens.token_counts(documents(spark, ODD), f"{TOKENIZERS}/piece_bpe_32k.model").collect()}
+    got = {r.doc_id: r.n_pretokens for r in tokens.token_counts(documents(spark, ODD), tokenizer_file("piece_bpe_32k.model")).collect()}
     assert got[1] == got[2] == 0 and got[4] == 30_000
 
 
