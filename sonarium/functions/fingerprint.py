@@ -6,7 +6,7 @@ import base64
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,26 +36,58 @@ def extract_query(hashes: Column, size: int = QUERY_SIZE, start: int = QUERY_STA
     return F.when((clean > 0) & F.lit(size > 0), terms).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """Per bit, whether more hashes set it than not."""
-    n = F.size(hashes)
+#: Hashes whose bits are counted at a time.
+COUNTED = 1 << 18
 
-    def bit(i: int) -> Column:
-        ones = F.size(F.filter(hashes, lambda x: F.shiftright(x.cast("long"), i).bitwiseAND(F.lit(1)) == 1))
-        return F.when(2 * ones > n, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
 
-    total = bit(0)
-    for i in range(1, 32):
-        total = total + bit(i)
-    return total
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch of lists of whole numbers: where each begins and ends in the numbers, and these as 32 bits."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    return offsets - offsets[0], np.asarray(values.to_numpy(zero_copy_only=False)).astype(np.int64).astype(np.uint32)
+
+
+def bit_votes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For runs of hashes, which may overlap, the number whose bits stand for more hashes than not."""
+    out = np.zeros(len(starts), np.int64)
+    weights = np.int64(1) << np.arange(32, dtype=np.int64)
+    low = 0
+    while low < len(starts):
+        # Runs, in order, whose hashes are counted together; one long run alone may be more.
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + COUNTED)))
+        first, last = int(starts[low]), int(ends[low:high].max())
+        bits = np.unpackbits(np.ascontiguousarray(values[first:last]).view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        counts = np.zeros((last - first + 1, 32), np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=counts[1:])
+        ones = counts[ends[low:high] - first] - counts[starts[low:high] - first]
+        out[low:high] = (2 * ones > (ends[low:high] - starts[low:high])[:, None]) @ weights
+        low = high
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def simhash(hashes: pa.Array) -> pa.Array:
+    """Per bit, whether more hashes set it than not; 0 for none, null for null."""
+    offsets, values = _lists(hashes)
+    return pa.array(bit_votes(values, offsets[:-1], offsets[1:]), mask=np.asarray(hashes.is_null()))
 
 
 def shingled_simhash(hashes: Column, size: int, step: int) -> Column:
-    """A simhash for each window of `size` hashes, at every `step`-th one; the last windows are shorter."""
+    """A simhash for each window of `size` hashes, at every `step`-th one; the last windows are shorter. Null for null."""
     if size <= 0 or step <= 0:
         raise ValueError("size and step must be positive")
-    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: simhash(F.slice(hashes, i + 1, size)))
+
+    def run(hashes: pa.Array) -> pa.Array:
+        offsets, values = _lists(hashes)
+        sizes = np.diff(offsets)
+        windows = -(-sizes // step)
+        edges = np.concatenate([[0], np.cumsum(windows)])
+        starts = np.repeat(offsets[:-1] - edges[:-1] * step, windows) + np.arange(edges[-1]) * step
+        ends = np.minimum(starts + size, np.repeat(offsets[1:], windows))
+        votes = pa.array(bit_votes(values, starts, ends), pa.int64())
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), votes, mask=hashes.is_null())
+
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))(hashes)
 
 
 def uuid5(namespace: str, data: Column) -> Column:
@@ -88,24 +120,42 @@ def parse_array(text: Column) -> Column:
     return F.when(text.rlike(r"^\{\s*(-?\d+(\s*,\s*-?\d+)*)?\s*\}$"), F.from_json(F.translate(text, "{}", "[]"), "array<int>"))
 
 
+#: Aligned pairs of hashes that are compared at a time.
+ALIGNED = 1 << 21
+
+
 def similarity(a: np.ndarray, b: np.ndarray, max_offset: int = MAX_OFFSET) -> float:
     """Of all alignments up to max_offset, the best share of agreeing bits beyond chance, weighted by the overlap, to the power SCORE_POWER."""
     a, b = (np.asarray(x, np.int64).astype(np.uint32) for x in (a, b))
-    least, best = min(len(a), len(b)), 0.0
-    for o in range(-max_offset, max_offset + 1) if least else ():
-        x, y = a[max(0, o) :], b[max(0, -o) :]
-        n = min(len(x), len(y))
-        if n <= 0 or n / least <= best:
-            continue
-        errors = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
-        best = max(best, (1 - errors / (16 * n)) * n / least)
+    if len(a) > len(b):  # the offsets are symmetric
+        a, b = b, a
+    n = len(a)
+    if not n:
+        return 0.0
+    # Row i of the windows is b from i - max_offset on: every alignment of a with b at once.
+    held = np.zeros(n + 2 * max_offset, np.uint32)
+    inside = np.zeros(n + 2 * max_offset, np.uint8)
+    part = b[: n + max_offset]
+    held[max_offset : max_offset + len(part)], inside[max_offset : max_offset + len(part)] = part, 1
+    windows, masks = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (held, inside))
+    best = 0.0
+    step = max(1, ALIGNED // n)
+    for low in range(0, len(windows), step):
+        mask = masks[low : low + step]
+        errors = (np.bitwise_count(windows[low : low + step] ^ a) * mask).sum(axis=1, dtype=np.int64)
+        overlap = mask.sum(axis=1, dtype=np.int64)
+        shares = (1 - errors / (16 * np.maximum(overlap, 1))) * overlap / n
+        best = max(best, float(shares.max()))
     return best**SCORE_POWER
 
 
-@F.pandas_udf(T.DoubleType())
-def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def compare(a: pa.Array, b: pa.Array) -> pa.Array:
     """similarity() of two fingerprint columns; null where one is null. For candidates only."""
-    return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    (x_at, x), (y_at, y) = _lists(a), _lists(b)
+    known = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
+    scores = [similarity(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]) if known[i] else 0.0 for i in range(len(a))]
+    return pa.array(np.array(scores, np.float64), mask=~known)
 
 
 def encode_binary(hashes: np.ndarray, version: int) -> bytes:
@@ -120,32 +170,46 @@ def decode_binary(data: bytes) -> tuple[int, np.ndarray]:
     return data[3], np.bitwise_xor.accumulate(np.frombuffer(data, "<u4", offset=4)).astype(np.uint32)
 
 
+def _gap_symbols(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gaps between set bits of the hashes' XOR differences, a zero behind each hash, and where each row's symbols begin and end."""
+    differences = values.copy()
+    differences[1:] ^= values[:-1]
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    differences[starts] = values[starts]
+    bits = np.unpackbits(differences.astype("<u4").view(np.uint8), bitorder="little")
+    places = np.flatnonzero(bits)
+    owner, bit = places >> 5, places & 31
+    before = np.append(-1, bit[:-1])
+    before[np.append(True, owner[1:] != owner[:-1])[: len(owner)]] = -1
+    symbols = np.zeros(len(places) + len(values), np.int64)
+    symbols[np.arange(len(places)) + owner] = bit - before[: len(bit)]
+    ends = np.searchsorted(owner, np.arange(len(values)), "right") + np.arange(1, len(values) + 1)
+    edges = np.append(0, ends)[offsets]
+    return symbols, edges[:-1], edges[1:]
+
+
+def _text_form(symbols: np.ndarray, count: int, version: int) -> str:
+    raw = bytes((version,)) + struct.pack(">I", count)[1:]
+    raw += _bits(np.minimum(symbols, 7), 3) + _bits(symbols[symbols >= 7] - 7, 5)
+    return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+
+
 def encode_legacy(hashes: np.ndarray, version: int = 1) -> str:
     """The compact text form: gaps between set bits of XOR differences, 3 bits each, longer gaps in a second stream of 5 bits."""
     h = np.asarray(hashes, np.int64).astype(np.uint32)
-    small, large = [], []
-    for d in np.append(h[:1], h[1:] ^ h[:-1]).tolist():
-        last = 0
-        for bit in range(1, 33):
-            if d >> (bit - 1) & 1:
-                gap, last = bit - last, bit
-                small.append(min(gap, 7))
-                if gap >= 7:
-                    large.append(gap - 7)
-        small.append(0)
-    raw = struct.pack(">I", len(h))
-    raw = bytes((version,)) + raw[1:] + _bits(small, 3) + _bits(large, 5)
-    return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+    return _text_form(_gap_symbols(h, np.array([0, len(h)]))[0] if len(h) else np.zeros(0, np.int64), len(h), version)
 
 
-def _bits(values: list[int], width: int) -> bytes:
+def _bits(values: np.ndarray, width: int) -> bytes:
     """Numbers of some bits each, lowest bit first, up to a whole byte."""
-    if not values:
-        return b""
-    planes = (np.array(values)[:, None] >> np.arange(width)) & 1
+    planes = (values[:, None] >> np.arange(width)) & 1
     return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
+def _numbers(bits: np.ndarray, width: int) -> np.ndarray:
+    return bits[: len(bits) // width * width].reshape(-1, width) @ (1 << np.arange(width))
+
+
 def decode_legacy(text: str) -> tuple[int, np.ndarray]:
     """Version and hashes of the compact text form; ValueError where it breaks off."""
     raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
@@ -153,37 +217,40 @@ def decode_legacy(text: str) -> tuple[int, np.ndarray]:
         raise ValueError("too short")
     count = int.from_bytes(raw[1:4], "big")
     bits = np.unpackbits(np.frombuffer(raw, np.uint8, offset=4), bitorder="little")
-    small = bits[: len(bits) // 3 * 3].reshape(-1, 3) @ np.array([1, 2, 4])
-    ends = np.flatnonzero(small == 0)
+    gaps = _numbers(bits, 3)
+    ends = np.flatnonzero(gaps == 0)
     if len(ends) < count:
         raise ValueError("the gaps break off")
     used = int(ends[count - 1]) + 1 if count else 0
-    small = small[:used]
-    rest = bits[-(-3 * used // 8) * 8 :]
-    extra = (rest[: len(rest) // 5 * 5].reshape(-1, 5) @ np.array([1, 2, 4, 8, 16])).tolist()
-    if int((small == 7).sum()) > len(extra):
+    gaps, ends = gaps[:used], ends[:count]
+    more = _numbers(bits[-(-3 * used // 8) * 8 :], 5)
+    long = np.flatnonzero(gaps == 7)
+    if len(long) > len(more):
         raise ValueError("the long gaps break off")
-    out, value, place, k = [], 0, 0, 0
-    for gap in small.tolist():
-        if gap == 0:
-            out.append(value)
-            value, place = 0, 0
-            continue
-        if gap == 7:
-            gap, k = gap + extra[k], k + 1
-        place += gap
-        if place > 32:
-            raise ValueError("a gap leads beyond 32 bits")
-        value |= 1 << (place - 1)
-    return raw[0], np.bitwise_xor.accumulate(np.array(out, np.uint32)) if out else np.zeros(0, np.uint32)
-
-
-def _signed(values: np.ndarray) -> list[int]:
-    return values.astype(np.uint32).view(np.int32).tolist()
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def decode_text(text: pd.Series) -> pd.Series:
+    gaps[long] += more[: len(long)]
+    owner = np.cumsum(gaps == 0)
+    total = np.cumsum(gaps)
+    place = total - np.append(0, total[ends])[owner]  # bits from the hash's lowest one on
+    mark = gaps > 0
+    if (place > 32).any():
+        raise ValueError("a gap leads beyond 32 bits")
+    values = np.bincount(owner[mark], 2.0 ** (place[mark] - 1), count).astype(np.uint32) if count else np.zeros(0, np.uint32)
+    return raw[0], np.bitwise_xor.accumulate(values)
+
+
+def _signed(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32).view(np.int32)
+
+
+def _hash_lists(rows: list[np.ndarray | None]) -> pa.Array:
+    sizes = np.array([0 if x is None else len(x) for x in rows], np.int64)
+    values = np.concatenate([np.zeros(0, np.int32), *[x for x in rows if x is not None]])
+    edges = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.ListArray.from_arrays(edges, pa.array(values, pa.int32()), mask=pa.array([x is None for x in rows], pa.bool_()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def decode_text(text: pa.Array) -> pa.Array:
     """Hashes of the compact text form; null where it is broken or not of version 1."""
 
     def one(x):
@@ -193,26 +260,28 @@ def decode_text(text: pd.Series) -> pd.Series:
             return None
         return _signed(hashes) if version == 1 else None
 
-    return text.map(one)
+    return _hash_lists([None if x is None else one(x) for x in text.to_pylist()])
 
 
-@F.pandas_udf(T.StringType())
-def encode_text(hashes: pd.Series) -> pd.Series:
-    return hashes.map(lambda x: None if x is None else encode_legacy(x))
+@F.arrow_udf(T.StringType())
+def encode_text(hashes: pa.Array) -> pa.Array:
+    offsets, values = _lists(hashes)
+    symbols, first, last = _gap_symbols(values, offsets) if len(values) else (np.zeros(0, np.int64), offsets[:-1], offsets[:-1])
+    sizes = np.diff(offsets)
+    return pa.array([_text_form(symbols[a:b], n, 1) if known else None for a, b, n, known in zip(first.tolist(), last.tolist(), sizes.tolist(), hashes.is_valid().to_pylist(), strict=True)], pa.string())
 
 
-@F.pandas_udf(T.BinaryType())
-def compress(hashes: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def compress(hashes: pa.Array) -> pa.Array:
     """The binary form, as a zstd frame."""
-    import pyarrow as pa
-
-    return hashes.map(lambda x: None if x is None else pa.compress(encode_binary(x, 1), codec="zstd", asbytes=True))
+    offsets, values = _lists(hashes)
+    at, known = offsets.tolist(), hashes.is_valid().to_pylist()
+    return pa.array([pa.compress(encode_binary(values[at[i] : at[i + 1]], 1), codec="zstd", asbytes=True) if known[i] else None for i in range(len(hashes))], pa.binary())
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def decompress(data: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def decompress(data: pa.Array) -> pa.Array:
     """Hashes of a zstd frame of the binary form; null where it is broken."""
-    import pyarrow as pa
 
     def one(x):
         try:
@@ -220,4 +289,10 @@ def decompress(data: pd.Series) -> pd.Series:
         except (ValueError, TypeError, OSError):
             return None
 
-    return data.map(one)
+    return _hash_lists([None if x is None else one(x) for x in data.to_pylist()])
+
+
+def processed(text: Column) -> Column:
+    """What is kept of a submitted text form: hashes, content id and simhash; null where it is broken or not of version 1."""
+    hashes = decode_text(text)
+    return F.when(hashes.isNotNull(), F.struct(hashes.alias("hashes"), content_id(hashes).alias("gid"), simhash(hashes).alias("simhash")))

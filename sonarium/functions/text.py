@@ -11,6 +11,8 @@ from sonarium.functions.fingerprint import uuid5
 META_NAMESPACE = "3b3bd2285d2c11eab49860f67731bf41"
 META_FIELDS = ("track", "artist", "album", "album_artist", "track_no", "disc_no", "year")
 LARGEST_NUMBER = 10000
+#: Fixed value: what counts as an e-mail address.
+EMAIL = r"(?i)^[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,4}\z"
 
 
 def fix_text(value: Column) -> Column:
@@ -22,14 +24,20 @@ def fix_number(value: Column) -> Column:
 
 
 def meta_id(**fields: Column) -> Column:
-    """Content id of metadata: compact JSON of the fields that are neither null, empty nor zero."""
-    present = [F.when((fields[k].cast("string") != "") & (fields[k].cast("string") != "0"), fields[k]).alias(k) for k in META_FIELDS if k in fields]
+    """Content id of metadata: compact JSON of the fields that are neither null, empty texts nor the number zero."""
+
+    def given(k: str) -> Column:
+        # The text "0" is a title like any other; only as a number is it nothing.
+        empty = F.when(F.typeof(fields[k]) == "string", fields[k].cast("string") == "").otherwise(fields[k].cast("string").isin("0", "0.0"))
+        return F.when(~empty, fields[k]).alias(k)
+
+    present = [given(k) for k in META_FIELDS if k in fields]
     text = F.to_json(F.struct(*present)) if present else F.lit("{}")
     return uuid5(META_NAMESPACE, F.encode(text, "utf-8"))
 
 
 def is_uuid(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z"), F.lit(False))
 
 
 def is_foreign_id(value: Column) -> Column:
@@ -37,7 +45,8 @@ def is_foreign_id(value: Column) -> Column:
 
 
 def singular(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "ies$", "y"), "s$", "")
+    """One of a list by its name; null for a name that is no plural."""
+    return F.when(value.endswith("ies"), F.regexp_replace(value, r"ies\z", "y")).when(value.endswith("s"), F.regexp_replace(value, r"s\z", ""))
 
 
 def counter_key(*parts: Column) -> Column:
@@ -58,13 +67,15 @@ def shard(key: Column, shards: int = 256) -> Column:
     return F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(key), F.lit(shards)))), 2, "0")
 
 
-def jsonp(callback: Column, value: Column) -> Column:
-    """A JSON value as a call of a well-formed function name; null for other names."""
-    return F.when(callback.rlike(r"^[A-Za-z_$][\w$.]*$"), F.concat(callback, F.lit("("), F.to_json(value), F.lit(")")))
+def jsonp(callback: Column, value: Column, default: str = "callback") -> Column:
+    """A JSON value as a call of the named function, or of a default one where the name is null or not well formed."""
+    name = F.when(callback.rlike(r"^[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*\z"), callback).otherwise(default)
+    return F.concat(name, F.lit("("), F.to_json(value), F.lit(")"))
 
 
 def is_email(value: Column) -> Column:
-    return F.coalesce(value.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False))
+    """An address as sign-up forms take it."""
+    return F.coalesce(value.rlike(EMAIL), F.lit(False))
 
 
 def is_url(value: Column) -> Column:
