@@ -8,22 +8,51 @@ from pyspark.sql import functions as F
 from sonarium.functions import fingerprint as fp
 from sonarium.functions import text as tx
 
+#: Fixed value: the id that stands for none.
+ZERO_ID = "00000000-0000-0000-0000-000000000000"
 #: Least distinct hashes of an import, scores for a track, a fingerprint and a merge, and seconds of difference.
 LEAST_HASHES, TRACK_SCORE, SAME_SCORE, MEMBER_SCORE, LENGTH_BAND = 80, 0.75, 0.9, 0.4, 7
 #: Below this share a name's score and sources are low; above that a score is good.
 LOW_SHARE, GOOD_SCORE = 0.2, 0.5
 
 
+def gated(submissions: DataFrame) -> DataFrame:
+    """Submissions with `refused`: why one is not imported, or null. It must name something (an id of zeros is none), and have enough distinct hashes and a query."""
+    named = F.lit(False)
+    for c in ("mbid", "puid"):
+        named = named | (F.coalesce(F.col(c).cast("string"), F.lit("")) != "") & (F.col(c) != ZERO_ID)
+    for c in ("meta", "meta_id"):
+        named = named | F.col(c).isNotNull() if c in submissions.columns else named
+    distinct = F.size(F.array_distinct(F.coalesce("hashes", F.array().cast("array<int>"))))
+    refused = F.when(~F.coalesce(named, F.lit(False)), "nothing named").when(distinct < LEAST_HASHES, "too few hashes")
+    return submissions.withColumn("refused", refused.when(F.size(fp.extract_query(F.col("hashes"))) == 0, "nothing to index"))
+
+
 def importable(submissions: DataFrame) -> DataFrame:
-    """Rows that name something, with enough distinct hashes and a query."""
-    names = F.coalesce(F.col("mbid"), F.col("puid"), F.col("meta")).isNotNull()
-    return submissions.where(names & (F.size(F.array_distinct("hashes")) >= LEAST_HASHES) & (F.size(fp.extract_query(F.col("hashes"))) > 0))
+    """The submissions that are imported; see gated()."""
+    return gated(submissions).where("refused is null").drop("refused")
 
 
 def member_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of fingerprints (id, track, length, hashes, block), the smaller id first; only within a block."""
-    a, b = members.alias("a"), members.alias("b")
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.track").alias("a_track"), F.col("b.track").alias("b_track"), F.abs(F.col("a.length") - F.col("b.length")).alias("length_diff"), F.col("a.hashes").alias("a_hashes"), F.col("b.hashes").alias("b_hashes"))
+    """Pairs of fingerprints (id, track, length, hashes, block), the smaller id first; only within a block, which is one decision's tracks."""
+    one = lambda s: members.select(F.col("block"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "track", "length", "hashes")])
+    pairs = one("a").join(one("b"), "block").where("a_id < b_id")
+    return pairs.select("block", "a_id", "b_id", "a_track", "b_track", F.abs(F.col("a_length") - F.col("b_length")).alias("length_diff"), "a_hashes", "b_hashes")
+
+
+def similarity_matrix(members: DataFrame) -> DataFrame:
+    """block, a, b and score of all pairs of a block's fingerprints, both ways, and of each with itself; a fingerprint without others has no row."""
+    scored = member_pairs(members).select("block", F.col("a_id").alias("a"), F.col("b_id").alias("b"), fp.compare("a_hashes", "b_hashes").alias("score"))
+    ends = scored.select("block", F.explode(F.array("a", "b")).alias("a")).distinct()
+    return scored.unionByName(scored.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(ends.select("block", "a", F.col("a").alias("b"), F.lit(1.0).alias("score")))
+
+
+def track_pairs(members: DataFrame) -> DataFrame:
+    """block, a, b (tracks, the smaller first), score (the least of their fingerprints' pairs) and length_diff (the largest).
+
+    Only pairs whose ids and tracks are in the same order count, as in the service's own query."""
+    pairs = member_pairs(members).where("a_track < b_track").withColumn("score", fp.compare("a_hashes", "b_hashes"))
+    return pairs.groupBy("block", F.col("a_track").alias("a"), F.col("b_track").alias("b")).agg(F.min("score").alias("score"), F.max("length_diff").alias("length_diff"))
 
 
 def joinable(pairs: DataFrame) -> DataFrame:
@@ -32,16 +61,17 @@ def joinable(pairs: DataFrame) -> DataFrame:
 
 
 def mergeable(pairs: DataFrame) -> DataFrame:
-    """Pairs of tracks whose worst score and largest difference of length allow a merge."""
-    worst = pairs.where(F.col("a_track") != F.col("b_track")).groupBy(F.least("a_track", "b_track").alias("a"), F.greatest("a_track", "b_track").alias("b")).agg(F.min("score").alias("score"), F.max("length_diff").alias("length_diff"))
-    return worst.where((F.col("score") >= MEMBER_SCORE) & (F.col("length_diff") <= LENGTH_BAND))
+    """Of track_pairs(), those whose worst score and largest difference of length allow a merge."""
+    return pairs.where((F.col("score") >= MEMBER_SCORE) & (F.col("length_diff") <= LENGTH_BAND))
+
 
+def assign(matches: DataFrame, allowed: DataFrame, track_score: float = TRACK_SCORE, same_score: float = SAME_SCORE) -> DataFrame:
+    """query_id, track, and id where the match is so close that the fingerprint itself is known. matches: query_id, id, track, score; allowed: query_id, track.
 
-def assign(matches: DataFrame, allowed: DataFrame) -> DataFrame:
-    """query_id, track, and id where the match is so close that the fingerprint itself is known. matches: query_id, id, track, score."""
+    Of a track only its best match counts; the first allowed track, by score and then id, wins."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = matches.where(F.col("score") > TRACK_SCORE).join(allowed, ["query_id", "track"], "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return best.select("query_id", "track", F.when(F.col("score") > SAME_SCORE, F.col("id")).alias("id"))
+    best = matches.where(F.col("score") > track_score).join(allowed, ["query_id", "track"], "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1")
+    return best.select("query_id", "track", F.when(F.col("score") > same_score, F.col("id")).alias("id"))
 
 
 def name_scores(names: DataFrame, group: str, key: str) -> DataFrame:

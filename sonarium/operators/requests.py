@@ -12,14 +12,37 @@ LONGEST, BUCKET_SECONDS, BUCKETS = 0x7FFF, 5, 4
 
 
 def validated(requests: DataFrame) -> DataFrame:
-    """Requests (client, duration, bitrate, mbid, foreign_id) with `error`, the first rule that a row breaks, or null. Every row stays."""
+    """Requests (client, duration, bitrate, mbid, foreign_id, and user where accounts are needed) with `error`, the first rule that a row breaks, or null.
+
+    Every row stays: of a request with numbered parts, one bad part does not spoil the others."""
     bad = F.when(F.col("client").isNull() | (F.col("client") == ""), "missing client")
+    if "user" in requests.columns:
+        bad = bad.when(F.coalesce("user", F.lit("")) == "", "missing user")
     bad = bad.when(~F.coalesce(F.col("duration").between(1, LONGEST), F.lit(False)), "invalid duration")
     bad = bad.when(F.col("bitrate") <= 0, "invalid bitrate")
     bad = bad.when(F.col("mbid").isNotNull() & ~tx.is_uuid(F.col("mbid")), "invalid uuid")
     return requests.withColumn("error", bad.when(F.col("foreign_id").isNotNull() & ~tx.is_foreign_id(F.col("foreign_id")), "invalid foreign id"))
 
 
+#: Parameters of the first version, by the names that they have now.
+OLD_NAMES = {"length": "duration", "format": "fileformat"}
+
+
+def renamed(params: Column) -> Column:
+    """A map of parameters of the first version, under today's names."""
+    names = F.create_map(*[F.lit(x) for pair in OLD_NAMES.items() for x in pair])
+    return F.transform_keys(params, lambda k, _: F.concat(F.coalesce(names[F.substring_index(k, ".", 1)], F.substring_index(k, ".", 1)), F.regexp_extract(k, r"(\..*)?$", 0)))
+
+
+def parts(params: Column, names: list[str]) -> Column:
+    """A request's parts: for each number that any of the parameters bears (-1 for none), a struct of n and their values."""
+    held = {name: numbered(params, name) for name in names}
+    every = F.array_sort(F.array_distinct(F.concat(*[F.transform(v, lambda e: e["n"]) for v in held.values()])))
+    value = lambda name, n: F.element_at(F.filter(held[name], lambda e: e["n"] == n), 1)["value"]
+    pick = lambda name, n: F.when(F.exists(held[name], lambda e: e["n"] == n), value(name, n)).alias(name)
+    return F.transform(every, lambda n: F.struct(n.alias("n"), *[pick(name, n) for name in names]))
+
+
 def numbered(params: Column, name: str) -> Column:
     """Of a map of parameters, those called name, name.0, name.1 and so on as structs of n (-1 without a number) and value, by n."""
     mine = F.filter(F.map_entries(params), lambda e: e["key"].rlike(rf"^{name}(\.[0-9]{{1,9}})?$"))

@@ -1,37 +1,182 @@
-"""Similarity search: an inverted index of query terms, candidates, exact scores and the best per query."""
+"""Similarity search: an inverted index of query terms, candidates, exact scores and the best per query.
+
+The index is two tables: terms (id, term), and attributes (name, value), among them the newest indexed id.
+"""
 
 from __future__ import annotations
 
+import threading
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
 
+#: Candidates and the percentage of the best one's matches that they must exceed: a quick search, and a thorough one.
+FAST, FULL = (10, 40), (20, 10)
+#: What one request may ask for: fingerprints, tracks, and results of each.
+MOST_FINGERPRINTS, MOST_TRACKS, MOST_RESULTS = 20, 100, 10
+#: Results of an outside store that are looked at.
+MOST_STORED = 100
+#: The attribute that holds the newest indexed id.
+NEWEST = "max_document_id"
+
+
+def masked(hashes: str = "hashes"):
+    return F.array_distinct(F.transform(fp.to_unsigned(F.col(hashes)), lambda x: x.bitwiseAND(F.lit(fp.TERM_MASK))))
+
 
 def term_index(corpus: DataFrame, key: str = "id", hashes: str = "hashes", every_term: bool = False) -> DataFrame:
     """key and term: the query terms of each fingerprint, or all its masked hashes."""
-    terms = F.array_distinct(F.transform(fp.to_unsigned(F.col(hashes)), lambda x: x.bitwiseAND(F.lit(fp.TERM_MASK)))) if every_term else fp.extract_query(F.col(hashes))
-    return corpus.select(key, F.explode(terms).alias("term"))
+    return corpus.select(key, F.explode(masked(hashes) if every_term else fp.extract_query(F.col(hashes))).alias("term"))
 
 
-def candidates(queries: DataFrame, index: DataFrame, key: str = "id", query: str = "query_id", most: int = 20, least_percent: int = 10) -> DataFrame:
+def candidates(queries: DataFrame, index: DataFrame, key: str = "id", query: str = "query_id", most: int = FULL[0], least_percent: int = FULL[1]) -> DataFrame:
     """query, key and matches: for each query, the fingerprints that share terms, above a percentage of the best, the first `most` of them.
 
-    Terms meet by an equality join; counts are summed before the shuffle."""
+    Terms meet by an equality join, where Spark deals very common ones to several tasks; counts are summed
+    before the shuffle, and only the first of each query are sorted."""
     counted = queries.join(index, "term").groupBy(query, key).agg(F.count("*").alias("matches"))
     of_query = Window.partitionBy(query)
-    ranked = counted.withColumns({"best": F.max("matches").over(of_query), "place": F.row_number().over(of_query.orderBy(F.desc("matches"), key))})
-    return ranked.where((F.col("matches") * 100 > F.col("best") * least_percent) & (F.col("place") <= most)).drop("best", "place")
+    ranked = counted.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("matches"), key))).where(F.col("place") <= most)
+    ranked = ranked.withColumn("best", F.max("matches").over(of_query))
+    return ranked.where(F.col("matches") * 100 > F.col("best") * least_percent).drop("best", "place")
+
 
+def tail_candidates(queries: DataFrame, corpus: DataFrame, newest: int) -> DataFrame:
+    """query_id and id of the fingerprints that the index lacks yet (above the newest indexed id) and that share a query term. queries, corpus: as for search()."""
+    late = term_index(corpus.where(F.col("id") > newest))
+    return term_index(queries, "query_id").join(late, "term").select("query_id", "id").distinct()
 
-def search(queries: DataFrame, corpus: DataFrame, most: int = 20, least_percent: int = 10, least_score: float = 0.4, length_band: int = 7, limit: int = 10) -> DataFrame:
-    """query_id, id, score and rank. queries: query_id, hashes, length; corpus: id, hashes, length, and group (its track).
 
-    Candidates within the length band get exact scores; of a group the best stays; scores at least_score or below go."""
-    found = candidates(term_index(queries, "query_id"), term_index(corpus, every_term=True), most=most, least_percent=least_percent)
-    pairs = found.join(queries.select("query_id", F.col("hashes").alias("a"), F.col("length").alias("a_length")), "query_id").join(corpus.select("id", "group", F.col("hashes").alias("b"), F.col("length").alias("b_length")), "id")
-    scored = pairs.where(F.abs(F.col("a_length") - F.col("b_length")) <= length_band).withColumn("score", fp.compare("a", "b")).where(F.col("score") > least_score)
+def scored(queries: DataFrame, corpus: DataFrame, found: DataFrame, least_score: float, length_band: int | None, limit: int) -> DataFrame:
+    """Exact scores of candidates (query_id, id): those within the length band and above least_score; of a group the best, of a query the first `limit`."""
+    asked = queries.select("query_id", F.col("hashes").alias("a"), F.col("length").alias("a_length"))
+    held = corpus.select("id", "group", F.col("hashes").alias("b"), F.col("length").alias("b_length"))
+    # The band is looked at before the hashes travel.
+    near = found.join(asked.select("query_id", "a_length"), "query_id").join(held.select("id", "group", "b_length"), "id")
+    if length_band is not None:
+        near = near.where(F.abs(F.col("a_length") - F.col("b_length")) <= length_band)
+    pairs = near.select("query_id", "id", "group").join(asked.select("query_id", "a"), "query_id").join(held.select("id", "b"), "id")
+    good = pairs.select("query_id", "id", "group", fp.compare("a", "b").alias("score")).where(F.col("score") > least_score)
     of_group = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "id")
     of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = scored.withColumn("g", F.row_number().over(of_group)).where("g = 1").withColumn("rank", F.row_number().over(of_query))
+    best = good.withColumn("g", F.row_number().over(of_group)).where("g = 1").withColumn("rank", F.row_number().over(of_query))
     return best.where(F.col("rank") <= limit).select("query_id", "id", "group", "score", "rank")
+
+
+def search(queries: DataFrame, corpus: DataFrame, most: int = FULL[0], least_percent: int = FULL[1], least_score: float = 0.4, length_band: int | None = 7, limit: int = MOST_RESULTS, index: DataFrame | None = None, newest: int | None = None) -> DataFrame:
+    """query_id, id, group, score and rank. queries: query_id, hashes, length; corpus: id, hashes, length, and group (its track).
+
+    index: the terms of the corpus, if kept; else they are made. With the newest indexed id, fingerprints above it
+    are looked for by their terms directly, and all candidates are scored together."""
+    terms = term_index(corpus, every_term=True) if index is None else index
+    found = candidates(term_index(queries, "query_id"), terms, most=most, least_percent=least_percent).select("query_id", "id")
+    if newest is not None:
+        found = found.unionByName(tail_candidates(queries, corpus, newest)).distinct()
+    return scored(queries, corpus, found, least_score, length_band, limit)
+
+
+def search_stored(results: DataFrame, corpus: DataFrame, least_score: float = 0.4, limit: int = MOST_RESULTS, most: int = MOST_STORED) -> DataFrame:
+    """Results (query_id, id, score) of an outside store, as search() gives them.
+
+    Of each query the first `most` by score above least_score count. The limit then takes the smallest ids, whose
+    scores decide the order alone, as the service's own query does."""
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    held = results.where(F.col("score") > least_score).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
+    low = Window.partitionBy("query_id").orderBy("id")
+    kept = held.join(corpus.select("id", "group"), "id").withColumn("n", F.row_number().over(low)).where(F.col("n") <= limit)
+    return kept.withColumn("rank", F.row_number().over(first)).select("query_id", "id", "group", "score", "rank")
+
+
+def lookup(queries: DataFrame, wanted: DataFrame, corpus: DataFrame, tracks: DataFrame, fast: bool = False, **options) -> DataFrame:
+    """query_id, result (a track's gid) and score: fingerprints that were searched for, and tracks that were asked for by gid (wanted: query_id, gid).
+
+    tracks: id, gid, new_id. A track asked for has the score 1, and is called as it was asked for even where it
+    leads elsewhere; track_id is where it leads. Each query has MOST_RESULTS results at most."""
+    most, percent = FAST if fast else FULL
+    found = search(queries, corpus, most=most, least_percent=percent, **options)
+    known = tracks.select(F.col("id").alias("group"), "gid")
+    by_print = found.join(known, "group").select("query_id", F.col("gid").alias("result"), F.col("group").alias("track_id"), "score")
+    by_gid = wanted.join(tracks, "gid").select("query_id", F.col("gid").alias("result"), F.coalesce("new_id", "id").alias("track_id"), F.lit(1.0).alias("score"))
+    return by_print.unionByName(by_gid)
+
+
+class TooMany(ValueError):
+    """A request asks for more than one may."""
+
+
+def batch(fingerprints: list, gids: list, several: bool) -> tuple[list, list]:
+    """What a request asks for: all its fingerprints and track ids, or without `several` the first of each; TooMany beyond what one may ask for."""
+    if not several:
+        return fingerprints[:1], [] if fingerprints else gids[:1]
+    if len(fingerprints) > MOST_FINGERPRINTS or len(gids) > MOST_TRACKS:
+        raise TooMany(f"{len(fingerprints)} fingerprints and {len(gids)} tracks")
+    return fingerprints, gids
+
+
+@dataclass(frozen=True)
+class TermIndex:
+    """terms: id, term. attributes: name, value."""
+
+    terms: DataFrame
+    attributes: DataFrame
+
+    def attribute(self, name: str, default: int = 0) -> int:
+        row = self.attributes.where(F.col("name") == name).first()
+        return default if row is None else row.value
+
+    def info(self) -> dict[str, int]:
+        """Documents, terms, and all attributes."""
+        n = self.terms.agg(F.count_distinct("id").alias("documents"), F.count("*").alias("terms")).first()
+        return {"documents": n.documents, "terms": n.terms} | {r.name: r.value for r in self.attributes.collect()}
+
+    def updated(self, changes: DataFrame, attributes: dict[str, int] | None = None) -> TermIndex:
+        """The index after one batch of changes (id, hashes; null hashes delete), with attributes set in the same step. An inserted document replaces its terms."""
+        terms = self.terms.join(changes.select("id"), "id", "left_anti").unionByName(term_index(changes.where("hashes is not null"), every_term=True))
+        held = self.attributes
+        if attributes:
+            new = held.sparkSession.createDataFrame(list(attributes.items()), held.schema)
+            held = held.join(new, "name", "left_anti").unionByName(new)
+        return TermIndex(terms, held)
+
+    def grown(self, corpus: DataFrame, most: int = 1000) -> TermIndex:
+        """The index with the next documents (id, hashes) above the newest one it has, `most` of them."""
+        rows = corpus.where(F.col("id") > self.attribute(NEWEST)).orderBy("id").limit(most)
+        newest = rows.agg(F.max("id").alias("m")).first().m
+        if newest is None:
+            return self
+        spark = self.attributes.sparkSession
+        new = spark.createDataFrame([(NEWEST, newest)], self.attributes.schema)
+        added = term_index(rows.withColumn("hashes", fp.extract_query(F.col("hashes"))), every_term=True)
+        return TermIndex(self.terms.unionByName(added), self.attributes.where(F.col("name") != NEWEST).unionByName(new))
+
+
+def empty_index(spark) -> TermIndex:
+    return TermIndex(spark.createDataFrame([], "id LONG, term LONG"), spark.createDataFrame([], "name STRING, value LONG"))
+
+
+def rows_within(df: DataFrame, seconds: float) -> list:
+    """The rows of a small result, or none if it is not there in time; its jobs are then cancelled."""
+    spark, tag = df.sparkSession, f"within-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        rows = df.collect()
+        return [] if late.is_set() else rows
+    except Exception:  # a cancelled job may surface as Spark's error, or as the gateway's
+        if late.is_set():
+            return []
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)

@@ -12,16 +12,32 @@ def add_counts(state: DataFrame, delta: DataFrame, keys: list[str], counts: list
     return state.select(columns).unionByName(delta.select(columns)).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counts])
 
 
-def find_or_insert(state: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id", buckets: int = 256) -> DataFrame:
-    """The state with a row for each new key; ids continue from the largest, without gaps, by bucket of a hash and then in the keys' order.
-
-    Buckets are numbered apart and then moved by the sizes of those before, so no task sorts all keys."""
-    new = names.select(keys).distinct().join(state.select(keys), keys, "left_anti").withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    sizes = new.groupBy("bucket").agg(F.count("*").alias("size"))
-    before = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"))
+def numbered(rows: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
+    """rows with n, from 1 without gaps, by bucket of a hash of the keys and then in the keys' order.
+
+    Buckets are numbered apart and then moved by the sizes of those before, so no task sorts all keys; the
+    broadcast table has one row a bucket."""
+    dealt = rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    sizes = dealt.groupBy("bucket_").agg(F.count("*").alias("size"))
+    before = sizes.select("bucket_", (F.sum("size").over(Window.orderBy("bucket_")) - F.col("size")).alias("before_"))
+    placed = dealt.withColumn("place_", F.row_number().over(Window.partitionBy("bucket_").orderBy(*keys)))
+    return placed.join(F.broadcast(before), "bucket_").withColumn("n", F.col("place_") + F.col("before_")).drop("bucket_", "place_", "before_")
+
+
+def find_or_insert(state: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
+    """The state with a row for each new key; ids continue from the largest, without gaps. Null keys meet null keys."""
+    same = [state[k].eqNullSafe(F.col(f"new_{k}")) for k in keys]
+    asked = names.select(keys).distinct().withColumnsRenamed({k: f"new_{k}" for k in keys})
+    new = asked.join(state.select(keys), same, "left_anti").withColumnsRenamed({f"new_{k}": k for k in keys})
     top = state.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("top")).scalar()
-    numbered = new.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(*keys))).join(F.broadcast(before), "bucket")
-    return state.select(id_column, *keys).unionByName(numbered.select((F.col("n") + F.col("before") + top).alias(id_column), *keys))
+    given = numbered(new, keys).select((F.col("n") + top).alias(id_column), *keys)
+    return state.select(id_column, *keys).unionByName(given)
+
+
+def flattened(tracks: DataFrame) -> DataFrame:
+    """tracks (id, new_id) with chains of two hops made one: a redirect to a redirected track leads where that leads."""
+    hop = tracks.where("new_id is not null").select(F.col("id").alias("new_id"), F.col("new_id").alias("next_"))
+    return tracks.join(hop, "new_id", "left").withColumn("new_id", F.coalesce("next_", "new_id")).drop("next_").select(tracks.columns)
 
 
 def resolve(tracks: DataFrame) -> DataFrame:
@@ -29,26 +45,6 @@ def resolve(tracks: DataFrame) -> DataFrame:
     return tracks.select("id", F.coalesce("new_id", "id").alias("target"))
 
 
-def merge_links(links: DataFrame, remap: DataFrame, item: str) -> DataFrame:
-    """Links (id, track_id, item, submission_count, disabled) moved to their tracks' targets: of equal ones the smallest id stays, counts are summed, and it is disabled only if all were. remap: track_id, target."""
-    moved = links.join(remap, "track_id", "left").withColumn("track_id", F.coalesce("target", "track_id"))
-    return moved.groupBy("track_id", item).agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"), F.sum("submission_count").cast("long").alias("submission_count"), F.bool_and("disabled").alias("disabled"))
-
-
-def merge_item(links: DataFrame, source: object, target: object, item: str) -> DataFrame:
-    """Links of one item handed to another: the source keeps no counts and is disabled; the target, made where it lacks, gets them, and is disabled only if both were."""
-    mine = links.where(F.col(item).isin(source, target))
-    gained = mine.groupBy("track_id").agg(F.sum("submission_count").cast("long").alias("submission_count"), F.bool_and("disabled").alias("disabled")).withColumn(item, F.lit(target))
-    emptied = mine.where(F.col(item) == source).select("track_id", item, F.lit(0).cast("long").alias("submission_count"), F.lit(True).alias("disabled"))
-    rest = links.where(~F.col(item).isin(source, target)).select("track_id", item, F.col("submission_count").cast("long").alias("submission_count"), "disabled")
-    return rest.unionByName(emptied).unionByName(gained)
-
-
-def disable(links: DataFrame, items: DataFrame, item: str) -> DataFrame:
-    hit = items.select(item).distinct().withColumn("hit", F.lit(True))
-    return links.join(hit, item, "left").withColumn("disabled", F.col("disabled") | F.coalesce("hit", F.lit(False))).drop("hit")
-
-
 def forward(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """A watermark that only moves forward."""
     return old.select(column).unionByName(new.select(column)).agg(F.max(column).alias(column))
@@ -60,26 +56,6 @@ def keep_first(rows: DataFrame, content: str, key: str) -> DataFrame:
     return rows.select(key, content).join(first, content).select(key, "canonical")
 
 
-def merge_missing(links: DataFrame, missing: DataFrame, redirects: DataFrame, known: DataFrame, item: str) -> DataFrame:
-    """What becomes of missing items: merged, with their target where they are redirected; kept where they are known; else unknown."""
-    to = redirects.select(item, "target")
-    rows = missing.select(item).distinct().join(links.select(item).distinct(), item, "left_semi").join(to, item, "left").join(known.select(item, F.lit(True).alias("known")).distinct(), item, "left")
-    return rows.select(item, "target", F.when(F.col("target").isNotNull(), "merged").when(F.col("known"), "kept").otherwise("unknown").alias("outcome"))
-
-
-def overdue(unknown: DataFrame, now: Column | str, days: int = 7) -> DataFrame:
-    """Items unknown since more than some days before the date of the catalogue."""
-    return unknown.where(F.datediff(F.to_date(now), F.to_date("unknown_since")) > days)
-
-
-def toggle(links: DataFrame, chosen: DataFrame, keys: list[str], note: str) -> tuple[DataFrame, DataFrame]:
-    """Links with the chosen ones' `disabled` turned over, and an audit row for each."""
-    hit = chosen.select(keys).distinct().withColumn("hit", F.lit(True))
-    audit = links.join(hit.drop("hit"), keys, "left_semi").select(*keys, (~F.col("disabled")).alias("disabled"), F.lit(note).alias("note"))
-    changed = links.join(hit, keys, "left").withColumn("disabled", F.when(F.coalesce("hit", F.lit(False)), ~F.col("disabled")).otherwise(F.col("disabled"))).drop("hit")
-    return changed.select(links.columns), audit
-
-
 def canonical(rows: DataFrame, content: str = "content", gid: str = "gid") -> DataFrame:
     """id and canonical of rows (id, gid, content): of equal content the smallest id that has a gid, else the smallest id."""
     best = rows.groupBy(content).agg(F.coalesce(F.min(F.when(F.col(gid).isNotNull(), F.col("id"))), F.min("id")).alias("canonical"))

@@ -1,93 +1,22 @@
-"""Queries by name over the tables, with the SQL that DuckDB runs for the same rows.
-
-Relational queries are one text for both engines; those on fingerprints take words of documents as hashes.
-"""
+"""Queries on fingerprints (words of documents as hashes), texts, requests and names; and all queries by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
 from sonarium.functions import text as tx
 from sonarium.operators import clusters as cl
-from sonarium.operators import metadata as md
 from sonarium.operators import requests as rq
 from sonarium.operators import search as se
 from sonarium.operators import state as st
+from sonarium.plans.registry import QUERIES, SQL, query
 from sonarium.sources import tables as tb
-from sonarium.sources.tables import table
+from sonarium.sources.tables import spread, table
 from sonarium.streaming import feed
 
-#: Plain SQL, the same in Spark and DuckDB.
-RELATIONAL: dict[str, str] = {
-    "o070_gauges": "SELECT 'customers' AS name, count(*) AS value FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'open_orders', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events",
-    "o071_histogram_of_counts": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey), h AS (SELECT CAST(least(n, 10) AS INT) AS bucket, count(*) AS customers FROM c GROUP BY 1), b AS (SELECT CAST(v AS INT) AS bucket FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) AS t(v)) SELECT b.bucket, coalesce(customers, 0) AS customers FROM b LEFT JOIN h ON h.bucket = b.bucket",
-    "o072_hits_by_day": "SELECT CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS misses, count(*) AS total FROM events GROUP BY 1",
-    "o073_monthly": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS orders FROM orders GROUP BY 1",
-    "o074_ratio": "SELECT user_id, count(*) AS total, round(sum(CASE WHEN event_type = 'error' THEN 0.0E0 ELSE 1.0E0 END) / count(*), 6) AS ratio FROM events GROUP BY user_id",
-    "o075_group_sum_min": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS first_day FROM lineitem GROUP BY 1, 2",
-    "o078_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
-    "o078c_extremes": "SELECT min(event_id) AS low, coalesce(max(event_id), 0) AS high FROM events",
-    "o078f_percent": "SELECT n_name, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 0 GROUP BY n_name",
-    "o080_daily_delta": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), x AS (SELECT event_type, day, n - lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM d) SELECT event_type, day, delta FROM x WHERE day > (SELECT min(day) FROM d)",
-    "o081_latest": "SELECT event_id, user_id, event_type FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)",
-    "o082_top_per_group": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT o_custkey, o_orderkey, CAST(place AS INT) AS place FROM r WHERE place <= 10",
-    "o083_multi_sort": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey",
-    "o086_sliding_rate": "WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, day, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM b",
-    "o052_inner_join": "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
-    "o054_join_chain": "SELECT l_orderkey, l_linenumber, c_name, n_name, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1 WHERE l_quantity > 45",
-    "o060_null_length": "SELECT p_partkey, coalesce(p_size, 0) / 1000.0E0 AS seconds FROM part",
-    "o062_theta_pairs": "SELECT a.s_nationkey, count(*) AS pairs, max(abs(a.s_suppkey - b.s_suppkey)) AS furthest FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_nationkey",
-    "o063_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "o064_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
-    "o065_left_count": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
-    "o066_foreign_id": "SELECT n_nationkey, concat(r_name, ':', n_name) AS foreign_id FROM nation JOIN region ON r_regionkey = n_regionkey",
-    "o051_null_safe": "SELECT count(*) AS n FROM documents a JOIN documents b ON a.doc_id = b.doc_id AND a.lang IS NOT DISTINCT FROM b.lang",
-    "o004_page": "SELECT event_id, user_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 50",
-    "o005_range": "SELECT count(*) AS n FROM events WHERE event_id >= 100 AND event_id < 400",
-    "o003_multi_get": "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (3, 1, 7, 999999999)",
-    "o089_difference": "SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 10",
-    "o049_projection": "SELECT CAST(o_orderkey AS VARCHAR(20)) AS id, o_custkey / 1000.0E0 AS share FROM orders",
-    "o053_links": "SELECT p_brand, l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AND l_returnflag <> 'R'",
-    "o055_left_lookup": "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey > 5 LEFT JOIN region ON r_regionkey = n_regionkey",
-    "o061_redirect": "WITH moved AS (SELECT p_partkey AS old_id, p_partkey - 3 AS new_id FROM part WHERE p_partkey % 10 = 4) SELECT p_partkey, coalesce(new_id, p_partkey) AS target FROM part LEFT JOIN moved ON old_id = p_partkey",
-    "o068_outer": "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0",
-    "o076_count_and_sum": "SELECT o_custkey, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS total FROM orders GROUP BY o_custkey",
-    "o078d_backfill": "WITH first AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS day FROM orders WHERE o_orderkey > 10 GROUP BY o_custkey) SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN DATE '2000-01-01' END, day) AS created FROM customer LEFT JOIN first ON o_custkey = c_custkey",
-    "o078e_distinct": "SELECT l_partkey, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY l_partkey",
-    "o084_last": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
-    "o085_fallback": "SELECT s_suppkey, coalesce(nullif(s_name, ''), CAST(s_suppkey AS VARCHAR(20))) AS name FROM supplier ORDER BY 2",
-    "o117_links": "WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), d AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(s.user_id, d.user_id) AS user_id, coalesce(s.event_type, d.event_type) AS event_type, coalesce(s.n, 0) + coalesce(d.n, 0) AS n FROM s FULL JOIN d ON s.user_id = d.user_id AND s.event_type = d.event_type",
-    "o151_derived": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT count(*) AS everything, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS some, round(100.0E0 * sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / count(*), 2) AS percent FROM c",
-    "o098_status": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'imported' END AS status FROM orders",
-}
-
-
-def relational(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
-            if t in RELATIONAL[name]:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(RELATIONAL[name])
-
-    return run
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: relational(name) for name in RELATIONAL}
-SQL: dict[str, str] = dict(RELATIONAL)
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+__all__ = ["QUERIES", "SQL"]
 
 
 def word_hashes(text: str = "text") -> F.Column:
@@ -97,7 +26,8 @@ def word_hashes(text: str = "text") -> F.Column:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), word_hashes().alias("hashes"))
+    """id and hashes; a scan of few splits is spread, as each row is much work."""
+    return spread(table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")).select("id", word_hashes().alias("hashes"))
 
 
 _HASHES = "list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
@@ -113,9 +43,58 @@ def query_terms(spark, sf_dir):
     return se.term_index(fingerprints(spark, sf_dir, "documents", "doc_id"))
 
 
-@query("o022_simhash", f"WITH d AS (SELECT doc_id, {_HASHES} AS h FROM documents) SELECT doc_id AS id, CAST(list_sum(list_transform(range(32), lambda b: CASE WHEN 2 * len(list_filter(h, lambda x: (x >> b) & 1 = 1)) > len(h) THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT) AS simhash FROM d")
+_SIMHASH = "CAST(list_sum(list_transform(range(32), lambda b: CASE WHEN 2 * len(list_filter(h, lambda x: (x >> b) & 1 = 1)) > len(h) THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT)"
+
+
+@query("o022_simhash", f"WITH d AS (SELECT doc_id, {_HASHES} AS h FROM documents) SELECT doc_id AS id, {_SIMHASH} AS simhash FROM d")
 def simhashes(spark, sf_dir):
-    return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.simhash(F.col("hashes")).alias("simhash"))
+    return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.simhash("hashes").alias("simhash"))
+
+
+@query("o029_codec_round_trip", f"WITH d AS (SELECT doc_id, {_HASHES} AS h FROM documents), s AS (SELECT doc_id, md5(array_to_string(list_transform(h, lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END), ',')) AS m FROM d) SELECT doc_id AS id, m AS from_text, m AS from_binary FROM s")
+def codec(spark, sf_dir):
+    """What comes back from the compact text, and from the compressed binary form."""
+    digest = lambda h: F.md5(F.array_join(h, ","))
+    rows = fingerprints(spark, sf_dir, "documents", "doc_id")
+    return rows.select("id", digest(fp.decode_text(fp.encode_text("hashes"))).alias("from_text"), digest(fp.decompress(fp.compress("hashes"))).alias("from_binary"))
+
+
+@query("o028_text_form", """WITH h AS (SELECT item_id, CAST(i AS BIGINT) AS a, CAST((item_id * 977 + i * 13) % 4096 AS BIGINT) AS b FROM benchmark, range(1, 4) t(i)) SELECT item_id AS id, 1 AS version, CAST(3 AS BIGINT) AS n, list(b ORDER BY a) AS hashes FROM h GROUP BY 1""")
+def text_form(spark, sf_dir):
+    """Version and number of hashes as the text form's first four bytes say, and the hashes that are read back."""
+    k = F.col("item_id")
+    hashes = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: ((k * 977 + i * 13) % 4096).cast("int"))
+    rows = table(spark, sf_dir, "benchmark").select(k.alias("id"), fp.encode_text(hashes).alias("text"))
+    head = F.hex(F.unbase64(F.translate(F.substring("text", 1, 4), "-_", "+/")))
+    more = F.hex(F.unbase64(F.concat(F.translate(F.substring("text", 5, 2), "-_", "+/"), F.lit("=="))))
+    return rows.select("id", F.conv(F.substring(head, 1, 2), 16, 10).cast("int").alias("version"), F.conv(F.concat(F.substring(head, 3, 4), more), 16, 10).cast("long").alias("n"), fp.decode_text("text").cast("array<bigint>").alias("hashes"))
+
+
+@query("o025_processed", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark), b AS (SELECT item_id, h, sha1(unhex('df7bef46416e4c57a87739b54325ef03' || '01000000' || array_to_string(list_transform(list_transform(h, lambda x: printf('%08x', x)), lambda x: substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)), ''))) AS u FROM d) SELECT item_id AS id, len(h) AS n, {_UUID} AS gid, {_SIMHASH} AS simhash FROM b")
+def processed(spark, sf_dir):
+    rows = fingerprints(spark, sf_dir, "benchmark", "item_id").select("id", fp.processed(fp.encode_text("hashes")).alias("p"))
+    return rows.select("id", F.size("p.hashes").cast("long").alias("n"), "p.gid", "p.simhash")
+
+
+@query("o034_overlap", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark) SELECT a.item_id AS id, list_has_any(a.h, b.h) AS shared, a.h[6:10] AS part, len(a.h) AS n FROM d a JOIN d b ON b.item_id = a.item_id + 1")
+def overlap(spark, sf_dir):
+    rows = fingerprints(spark, sf_dir, "benchmark", "item_id")
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("hashes").alias("next"))
+    return rows.join(after, "id").select("id", F.arrays_overlap("hashes", "next").alias("shared"), fp.to_unsigned(F.slice("hashes", 6, 5)).alias("part"), F.size("hashes").cast("long").alias("n"))
+
+
+@query("o035_difference", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark), p AS (SELECT a.item_id, a.h[3:] AS a, b.h AS b FROM d a JOIN d b ON b.item_id = a.item_id + 1) SELECT item_id AS id, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: xor(a[i], b[i])) AS bits FROM p")
+def difference(spark, sf_dir):
+    rows = fingerprints(spark, sf_dir, "benchmark", "item_id")
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("hashes").alias("next"))
+    return rows.join(after, "id").select("id", fp.to_unsigned(fp.xor_at(F.col("hashes"), F.col("next"), 2)).alias("bits"))
+
+
+@query("o031_literals", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark) SELECT item_id AS id, list_transform(h, lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) AS hashes FROM d")
+def literals(spark, sf_dir):
+    rows = fingerprints(spark, sf_dir, "benchmark", "item_id")
+    text = F.concat(F.lit("{"), F.array_join("hashes", ","), F.lit("}"))
+    return rows.select("id", fp.parse_array(text).cast("array<bigint>").alias("hashes"))
 
 
 @query("o023_shingled_simhash", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark), w AS (SELECT item_id, unnest(range(0, CAST(len(h) AS BIGINT), 90)) AS i, h FROM d), v AS (SELECT item_id, i, h[i + 1 : i + 120] AS h FROM w), s AS (SELECT item_id, i, CAST(list_sum(list_transform(range(32), lambda b: CASE WHEN 2 * len(list_filter(h, lambda x: (x >> b) & 1 = 1)) > len(h) THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT) AS s FROM v) SELECT item_id AS id, coalesce(list(s ORDER BY i) FILTER (WHERE s IS NOT NULL), []) AS simhashes FROM benchmark LEFT JOIN s USING (item_id) GROUP BY item_id")
@@ -128,12 +107,6 @@ def content_ids(spark, sf_dir):
     return fingerprints(spark, sf_dir, "documents", "doc_id").select("id", fp.content_id(F.col("hashes")).alias("gid"))
 
 
-@query("o029_codec_round_trip", f"WITH d AS (SELECT doc_id, len({_HASHES}) AS n FROM documents) SELECT doc_id AS id, CAST(n AS INT) AS n, true AS same FROM d")
-def codec(spark, sf_dir):
-    rows = fingerprints(spark, sf_dir, "documents", "doc_id")
-    return rows.select("id", F.size("hashes").alias("n"), ((fp.decode_text(fp.encode_text("hashes")) == F.col("hashes")) & (fp.decompress(fp.compress("hashes")) == F.col("hashes"))).alias("same"))
-
-
 _CANDIDATES = f"""WITH {_TERMS}, c AS (SELECT DISTINCT doc_id, x - x % 16 AS term FROM (SELECT doc_id, unnest(h) AS x FROM d)),
 qh AS (SELECT item_id, {_HASHES} AS h FROM benchmark), q AS (SELECT DISTINCT item_id, x - x % 16 AS term FROM (SELECT item_id, unnest(h) AS x FROM qh)),
 m AS (SELECT item_id, doc_id, count(*) AS matches FROM q JOIN c USING (term) GROUP BY 1, 2),
@@ -147,14 +120,6 @@ def find_candidates(spark, sf_dir):
     return se.candidates(se.term_index(asked, "query_id", every_term=True), se.term_index(fingerprints(spark, sf_dir, "documents", "doc_id"), every_term=True))
 
 
-@query("o040_search")
-def run_search(spark, sf_dir):
-    """Passages of the benchmark, looked up among all documents, whatever their length."""
-    corpus = fingerprints(spark, sf_dir, "documents", "doc_id").withColumns({"length": F.size("hashes"), "group": F.col("id")})
-    asked = fingerprints(spark, sf_dir, "benchmark", "item_id").select(F.col("id").alias("query_id"), "hashes", F.size("hashes").alias("length"))
-    return se.search(asked, corpus, least_score=0.0, length_band=2**30)
-
-
 @query("o100_fix_meta", "SELECT page_id, regexp_replace(html, '[ \\t\\n\\r\\f\\v\\x00\\x1c-\\x1f]+', ' ', 'g') AS html FROM pages")
 def fixed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.fix_text(F.col("html")).alias("html"))
@@ -165,11 +130,6 @@ def meta_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.meta_id(track=F.col("lang"), artist=F.col("source")).alias("gid"))
 
 
-@query("o109_lock_shard")
-def locks(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", tx.lock_id(F.col("c_name")).alias("lock"), tx.shard(F.col("c_name")).alias("shard"))
-
-
 @query("o114_add_counts", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def upserts(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.lit(1).cast("long").alias("n"), "event_id")
@@ -177,116 +137,39 @@ def upserts(spark, sf_dir):
     return st.add_counts(*half, ["user_id", "event_type"], ["n"])
 
 
-@query("o122_merge_tracks", "SELECT CAST(p_partkey % 50 AS BIGINT) AS track_id, p_brand AS item, min(p_partkey) AS id, list_sort(list(p_partkey)) AS ids, CAST(sum(p_size) AS BIGINT) AS submission_count, bool_and(p_size > 10) AS disabled FROM part GROUP BY 1, 2")
-def merge_tracks(spark, sf_dir):
-    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("track_id"), F.col("p_brand").alias("item"), F.col("p_size").alias("submission_count"), (F.col("p_size") > 10).alias("disabled"))
-    remap = spark.range(50, 100).select(F.col("id").alias("track_id"), (F.col("id") - 50).alias("target"))
-    return st.merge_links(links, remap, "item")
-
-
 @query("o125_keep_first", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents")
 def first_of_content(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"))
     return st.keep_first(docs, "content", "doc_id")
 
 
-@query("o141_changes", "SELECT event_id AS id, user_id, event_type FROM events WHERE event_id > 200 ORDER BY event_id LIMIT 100")
-def changes(spark, sf_dir):
-    return feed.read_changes(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type"), 200, 100)
-
-
 @query("o145_latest_change", "SELECT user_id, max(event_id) AS id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest_changes(spark, sf_dir):
     return feed.latest(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type"), "user_id")
 
 
-@query("o090_nested_documents", "SELECT o_orderkey, '[' || string_agg('{\"line\":' || l_linenumber || ',\"part\":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-def nested(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")))).alias("lines"))
-    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.to_json("lines").alias("lines"))
-
-
-@query("o057_lists", "SELECT c_custkey, coalesce(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)), []) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-def lists(spark, sf_dir):
-    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
-    return table(spark, sf_dir, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("orders", F.array().cast("array<bigint>")).alias("orders"))
-
-
-@query("o087_islands", "WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), g AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS island FROM d) SELECT user_id, min(day) AS first_day, count(*) AS days FROM g GROUP BY user_id, island")
-def islands(spark, sf_dir):
-    from pyspark.sql import Window
-
-    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
-    island = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
-    return days.withColumn("island", island).groupBy("user_id", "island").agg(F.min("day").alias("first_day"), F.count("*").alias("days")).drop("island")
-
-
 @query("o016_xml", "SELECT n_nationkey, '<nation id=\"' || n_nationkey || '\"><name>' || n_name || '</name><parts><part>1</part><part>2</part></parts></nation>' AS xml FROM nation")
 def nations_as_xml(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_nationkey").alias("@id"), F.col("n_name").alias("name"), F.array(F.lit(1), F.lit(2)).alias("parts")).alias("r"))
     return rows.select("n_nationkey", tb.xml(F.col("r"), "nation", rows.schema["r"].dataType).alias("xml"))
 
 
-@query("o059_metadata", """WITH t AS (SELECT l_partkey AS id, count(DISTINCT o_custkey) AS releases, count(DISTINCT l_orderkey) AS mediums, count(*) AS tracks FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1),
-a AS (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS artists FROM nation GROUP BY 1)
-SELECT p_partkey AS id, p_name AS title, p_size / 1000.0E0 AS duration, artists, releases, mediums, tracks FROM part JOIN t ON t.id = p_partkey LEFT JOIN a ON n_regionkey = p_partkey % 5""")
-def metadata(spark, sf_dir):
-    """Parts as recordings, orders as mediums of customers' releases, nations as artists of regions' credits."""
-    c = F.col
-    part, line, orders, customer, nation = (table(spark, sf_dir, n) for n in ("part", "lineitem", "orders", "customer", "nation"))
-    text = lambda n: F.concat(F.lit(n[0]), c(n).cast("string"))
-    tables = {
-        "recording": part.select(c("p_partkey").alias("id"), text("p_partkey").alias("gid"), c("p_name").alias("name"), (c("p_partkey") % 5).alias("artist_credit"), c("p_size").alias("length")),
-        "artist_credit_name": nation.select(c("n_regionkey").alias("artist_credit"), c("n_nationkey").alias("position"), c("n_nationkey").alias("artist"), c("n_name").alias("name"), F.lit(", ").alias("join_phrase")),
-        "artist": nation.select(c("n_nationkey").alias("id"), text("n_nationkey").alias("gid")),
-        "track": line.select(c("l_partkey").alias("recording"), c("l_orderkey").alias("medium"), c("l_linenumber").alias("position"), c("l_returnflag").alias("name")),
-        "medium": orders.select(c("o_orderkey").alias("id"), c("o_custkey").alias("release"), c("o_orderkey").alias("position"), F.lit(None).cast("string").alias("name"), c("o_orderstatus").alias("format"), F.lit(1).alias("track_count")),
-        "medium_format": orders.select(c("o_orderstatus").alias("id"), c("o_orderstatus").alias("name")).distinct(),
-        "release": customer.select(c("c_custkey").alias("id"), text("c_custkey").alias("gid"), c("c_name").alias("name"), c("c_nationkey").alias("release_group")),
-        "release_event": customer.select(c("c_custkey").alias("release"), F.lit("2001").alias("date"), F.lit("XW").alias("country")),
-        "release_group": nation.select(c("n_nationkey").alias("id"), text("n_nationkey").alias("gid"), c("n_name").alias("name"), F.lit("Album").alias("type")),
-        "secondary_type": nation.select(c("n_nationkey").alias("release_group"), F.lit("Live").alias("name")).limit(0),
-    }
-    rows = md.build_metadata(tables, releases=True, release_groups=True)
-    mediums = F.flatten(F.transform("releases", lambda r: r["mediums"]))
-    return rows.select("id", "title", "duration", F.array_join(F.transform("artists", lambda a: a["name"]), ", ").alias("artists"), F.size("releases").cast("long").alias("releases"), F.size(mediums).cast("long").alias("mediums"), F.aggregate(mediums, F.lit(0).cast("long"), lambda s, m: s + F.size(m["tracks"])).alias("tracks"))
-
-
 @query("o086_limited")
 def limits(spark, sf_dir):
     return rq.limited(table(spark, sf_dir, "events"), "event_type", "ts", 0.1)
 
 
-@query("o088_months", "SELECT CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS DATE) AS month FROM orders")
-def months(spark, sf_dir):
-    ends = table(spark, sf_dir, "orders").agg(F.trunc(F.min("o_orderdate"), "MM").alias("a"), F.trunc(F.max("o_orderdate"), "MM").alias("b"))
-    return ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
-
-
 @query("o092_meta_dispatch", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'recordings' WHEN 2 THEN 'm2' ELSE 'releasegroups' END AS kind FROM events")
 def dispatch(spark, sf_dir):
     meta = F.element_at(F.array(*map(F.lit, ("0", "1", "2", "releases+releasegroupids"))), (F.col("event_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", rq.document_kind(rq.wanted(meta)).alias("kind"))
 
 
-@query("o099_validation", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'missing client' WHEN o_custkey % 50 = 0 THEN 'invalid duration' WHEN o_orderkey % 5 = 0 THEN 'invalid bitrate' WHEN o_orderkey % 3 = 0 THEN 'invalid uuid' WHEN o_orderkey % 2 = 0 THEN 'invalid foreign id' END AS error FROM orders")
-def validation(spark, sf_dir):
-    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
-    asked = table(spark, sf_dir, "orders").select(k, F.when(k % 7 != 0, "key").alias("client"), (F.col("o_custkey") % 50).alias("duration"), F.when(k % 5 == 0, 0).alias("bitrate"), F.when(k % 3 == 0, "no").otherwise(none).alias("mbid"), F.when(k % 2 == 0, "no").otherwise("a:b").alias("foreign_id"))
-    return rq.validated(asked).select("o_orderkey", "error")
-
-
 @query("o103_foreign_parts", "SELECT c_custkey, 'customer' AS vendor, 'x:' || c_name AS name FROM customer")
 def foreign(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", tx.foreign_parts(F.concat(F.lit("customer:x:"), "c_name")).alias("f")).select("c_custkey", "f.*")
 
 
-@query("o104_counter_keys", "SELECT p_partkey, p_name AS name, p_brand AS brand FROM part")
-def counter_keys(spark, sf_dir):
-    key = tx.counter_key(F.col("p_name"), F.col("p_brand"))
-    return table(spark, sf_dir, "part").select("p_partkey", tx.counter_part(key, 0).alias("name"), tx.counter_part(key, 1).alias("brand"))
-
-
 @query("o112_name_scores", """WITH n AS (SELECT p_brand, p_partkey, p_size AS w, regexp_replace(lower(p_name), '[ \\t\\n\\r]+', '', 'g') AS s FROM part),
 g AS (SELECT DISTINCT p_brand, p_partkey, w, substr(s, i, 4) AS gram FROM (SELECT *, unnest(range(1, CAST(length(s) AS BIGINT) - 2)) AS i FROM n)),
 t AS (SELECT p_brand, gram, sum(w) AS w FROM g GROUP BY 1, 2), a AS (SELECT p_brand, sum(w) AS total FROM t GROUP BY 1)
@@ -296,37 +179,12 @@ def name_scores(spark, sf_dir):
     return cl.name_scores(names, "p_brand", "p_partkey").select("p_brand", "p_partkey", F.round("score", 6).alias("score"))
 
 
-@query("o116_find_or_insert", "SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(max(id) AS BIGINT) AS high FROM (SELECT row_number() OVER (ORDER BY c_name) AS id FROM (SELECT DISTINCT c_name FROM customer))")
-def find_or_insert(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").select("c_name").distinct()
-    empty = names.select(F.lit(0).cast("long").alias("id"), "c_name").where("false")
-    return st.find_or_insert(empty, names, ["c_name"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max("id").alias("high"))
-
-
-@query("o118_merge_item", "SELECT CAST(p_partkey % 20 AS BIGINT) AS track_id, 'Brand#11' AS p_brand, CAST(0 AS BIGINT) AS submission_count, true AS disabled FROM part WHERE p_brand = 'Brand#11' GROUP BY 1 UNION ALL SELECT CAST(p_partkey % 20 AS BIGINT), 'Brand#12', CAST(sum(p_size) AS BIGINT), bool_and(p_size > 10) FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') GROUP BY 1 UNION ALL SELECT CAST(p_partkey % 20 AS BIGINT), p_brand, CAST(sum(p_size) AS BIGINT), bool_and(p_size > 10) FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') GROUP BY 1, 2")
-def merge_item(spark, sf_dir):
-    links = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 20).cast("long").alias("track_id"), "p_brand").agg(F.sum("p_size").alias("submission_count"), F.bool_and(F.col("p_size") > 10).alias("disabled"))
-    return st.merge_item(links, "Brand#11", "Brand#12", "p_brand")
-
-
-@query("o121_disable", "SELECT l_orderkey, l_linenumber, l_returnflag = 'A' OR l_partkey % 9 = 0 AS disabled FROM lineitem")
-def disabled(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "A").alias("disabled"))
-    return st.disable(links, table(spark, sf_dir, "part").where("p_partkey % 9 = 0").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").drop("l_partkey")
-
-
 @query("o124_canonical", "SELECT doc_id AS id, coalesce(min(CASE WHEN doc_id % 3 = 0 THEN doc_id END) OVER (PARTITION BY text), min(doc_id) OVER (PARTITION BY text)) AS canonical FROM documents")
 def canonical(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content"), F.when(F.col("doc_id") % 3 == 0, "g").alias("gid"))
     return st.canonical(docs)
 
 
-@query("o126_forward", "SELECT max(event_id) AS position FROM events")
-def forward(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), "event_type")
-    return st.forward(events.where("event_type = 'error'"), events, "position")
-
-
 @query("o131_joinable", "SELECT o_custkey AS query_id, o_orderstatus AS track FROM orders GROUP BY 1, 2 HAVING bool_and(o_orderkey % 10 >= 4 AND o_orderkey % 9 <= 7)")
 def joinable(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -359,26 +217,5 @@ def policy(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rq.refused_by(k % 5 != 0, k % 3 != 0, k % 2 != 0, F.when(k % 4 == 0, 10), k % 11 == 0).alias("refused"))
 
 
-@query("o013_dump", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS c_nationkey FROM customer")
-def dumped(spark, sf_dir):
-    """Rows as they come back from a dump."""
-    path = tb.shared_folder(spark, "dump")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("c_nationkey"))
-    tb.dump(rows, path)
-    return tb.load(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
-
-
-@query("o143_bootstrap", "SELECT user_id, max(event_id) AS id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
-def bootstrapped(spark, sf_dir):
-    """A snapshot of the first half, brought up to date, is the state of the whole."""
-    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")
-    return feed.bootstrap(feed.latest(log.where("id <= 300"), "user_id").select("user_id", "id", "event_type"), log, "user_id", 300)
-
-
-@query("o148_stream_hourly", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def streamed(spark, sf_dir):
-    out = tb.shared_folder(spark, "hourly")
-    feed.hourly_counts(spark, sf_dir, "events.parquet", f"{out}/counts", f"{out}/checkpoint")
-    done = spark.read.parquet(f"{out}/counts")
-    last = done.agg(F.max("epoch").alias("epoch")).scalar()
-    return done.where(F.col("epoch") == last).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+# The other modules register theirs when they are loaded; some take fingerprints from here.
+from sonarium.plans import changes, documents, figures, relations  # noqa: E402, F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,12 @@ from sonarium.functions.text import jsonp
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; on one machine, where none is set, in the temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the folder that all executors share; only where Spark runs in this process, and none is named, in the temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -22,23 +27,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew where its scan has fewer splits than there are cores, for heavy work on each row; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+class Databases:
+    """Tables of several databases by name: folders of Parquet, or JDBC addresses. Reading may go to a replica."""
+
+    def __init__(self, spark: SparkSession, writable: dict[str, str], replicas: dict[str, str] | None = None):
+        self.spark, self.writable, self.replicas = spark, writable, replicas or {}
+
+    def where(self, database: str, read_only: bool) -> str:
+        return self.replicas.get(database, self.writable[database]) if read_only else self.writable[database]
+
+    def scan(self, database: str, name: str, read_only: bool = True, key: str | None = None, parts: int = 16) -> DataFrame:
+        """A table. Over JDBC, with a numeric key, it is read in ranges of the key, by as many tasks as there are parts."""
+        place = self.where(database, read_only)
+        if not place.startswith("jdbc:"):
+            return self.spark.read.parquet(f"{place}/{name}.parquet")
+        reader = self.spark.read.format("jdbc").option("url", place)
+        if key is None:
+            return reader.option("dbtable", name).load()
+        ends = reader.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {name}").load().first()
+        reader = self.spark.read.format("jdbc").option("url", place).option("dbtable", name)
+        if ends[0] is None:
+            return reader.load()
+        return reader.option("partitionColumn", key).option("lowerBound", str(ends[0])).option("upperBound", str(ends[1] + 1)).option("numPartitions", str(parts)).load()
+
+
+#: Fixed values of the text format of table dumps: what stands for null, and what a backslash and a letter stand for.
+DUMP_NULL = "\\N"
+DUMP_ESCAPES = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+
+
+def dump_line(schema: T.StructType) -> Column:
+    """A row as a line of a dump: columns between tabs, with backslashes and control characters escaped, so that every text comes back."""
+
+    def field(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            text = F.concat(F.lit("{"), F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "NULL"), F.lit("}"))
+        elif isinstance(f.dataType, T.BinaryType):
+            text = F.concat(F.lit("\\x"), F.lower(F.hex(c)))
+        elif isinstance(f.dataType, T.BooleanType):
+            text = F.when(c, "t").when(~c, "f")
+        else:
+            text = c.cast("string")
+        text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+        for sign, written in DUMP_ESCAPES.items():
+            text = F.replace(text, F.lit(sign), F.lit(written))
+        return F.coalesce(text, F.lit(DUMP_NULL))
+
+    return F.array_join(F.array(*map(field, schema.fields)), "\t")
+
+
 def dump(df: DataFrame, path: str) -> None:
-    """Tab-separated text, as a table dump."""
-    df.write.mode("overwrite").option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    """The rows as a text dump: a folder of part files, a line a row."""
+    df.select(dump_line(df.schema).alias("value")).write.mode("overwrite").text(path)
 
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    """The rows of a text dump."""
+    fields = T.StructType.fromDDL(schema).fields
+
+    def field(i: int, f: T.StructField) -> Column:
+        raw = F.get("parts", F.lit(i))
+        # Pairs of backslashes are cut out first: what is between them has single ones only.
+        pieces = F.split(raw, r"\\\\", -1)
+        pieces = F.transform(pieces, lambda x: reduce(lambda t, e: F.replace(t, F.lit(e[1]), F.lit(e[0])), DUMP_ESCAPES.items(), x))
+        text = F.when(raw != DUMP_NULL, F.array_join(pieces, "\\"))
+        if isinstance(f.dataType, T.ArrayType):
+            return F.from_json(F.translate(text, "{}", "[]"), f.dataType)
+        if isinstance(f.dataType, T.BinaryType):
+            return F.unhex(F.substring(text, 3, 2**31 - 1))
+        return text.cast(f.dataType)
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.split("value", "\t", -1).alias("parts"))
+    return lines.select(*[field(i, f).alias(f.name) for i, f in enumerate(fields)])
 
 
-def page(df: DataFrame, key: str, after: int, size: int) -> DataFrame:
-    """The next rows after a key."""
-    return df.where(F.col(key) > after).orderBy(key).limit(size)
+def export(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """A dump of each table, or of a query, under its name."""
+    for name, df in tables.items():
+        dump(df, f"{folder}/{name}")
+    return sorted(tables)
 
 
 def as_json(df: DataFrame, callback: str | None = None) -> DataFrame:
     """One text column: each row as JSON with sorted names, or as a call."""
-    row = F.struct(*sorted(df.columns))
+    row = F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])
     return df.select((F.to_json(row) if callback is None else jsonp(F.lit(callback), row)).alias("value"))
 
 

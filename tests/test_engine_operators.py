@@ -4,7 +4,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sonarium.operators import clusters as cl
-from sonarium.operators import metadata as md
 from sonarium.operators import requests as rq
 from sonarium.operators import state as st
 from sonarium.sources import tables as tb
@@ -34,49 +33,6 @@ def test_xml_escapes_and_leaves_nulls_out(spark):
     assert tb.as_xml(df).first().value == '<response id="1"><entries><entry><v>x</v></entry></entries><name>a&lt;b&amp;&quot;c&quot;</name></response>'
 
 
-def test_metadata_document(spark):
-    new = spark.createDataFrame
-    tables = {
-        "recording": new([(1, "r1", "Song", 5, None), (2, "r2", "Unheard", 5, 2000)], "id int, gid string, name string, artist_credit int, length int"),
-        "artist_credit_name": new([(5, 1, 8, "B", ""), (5, 0, 7, "A", " & ")], "artist_credit int, position int, artist int, name string, join_phrase string"),
-        "artist": new([(7, "a7"), (8, "a8")], "id int, gid string"),
-        "track": new([(1, 3, 2, "Song"), (1, 3, 1, "Song (live)")], "recording int, medium int, position int, name string"),
-        "medium": new([(3, 4, 1, None, 1, 9)], "id int, release int, position int, name string, format int, track_count int"),
-        "medium_format": new([(1, "CD")], "id int, name string"),
-        "release": new([(4, "l4", "Album", 6)], "id int, gid string, name string, release_group int"),
-        "release_event": new([(4, "2002", "DE"), (4, "2001", "FR")], "release int, date string, country string"),
-        "release_group": new([(6, "g6", "Album", "EP")], "id int, gid string, name string, type string"),
-        "secondary_type": new([], "release_group int, name string"),
-        "isrc": new([(1, "Z"), (1, "C"), (1, "C")], "recording int, isrc string"),
-    }
-    plain = {r.gid: r for r in md.build_metadata(tables, isrcs=True).collect()}
-    assert plain["r1"].duration == 0 and plain["r2"].duration == 2
-    assert plain["r1"].isrcs == ["C", "Z"] and plain["r2"].isrcs == []
-    assert [(a.id, a.name, a.joinphrase) for a in plain["r1"].artists] == [("a7", "A", " & "), ("a8", "B", None)]
-    (full,) = md.build_metadata(tables, releases=True, release_groups=True).collect()
-    (release,) = full.releases
-    assert (release.id, release.country, release.date) == ("l4", "FR", "2001")
-    assert (release.releasegroup.id, release.releasegroup.title) == ("g6", None)
-    assert [(t.position, t.title) for t in release.mediums[0].tracks] == [(1, "Song (live)"), (2, None)]
-
-
-def test_new_keys_get_the_next_ids(spark):
-    state = spark.createDataFrame([(4, "k1")], "id long, k string")
-    got = {r.k: r.id for r in st.find_or_insert(state, spark.range(50).select(F.concat(F.lit("k"), "id").alias("k")), ["k"]).collect()}
-    assert got["k1"] == 4 and sorted(got.values()) == list(range(4, 54))
-
-
-def test_merging_what_is_missing(spark):
-    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "mbid string")
-    redirects = spark.createDataFrame([("a", "z")], "mbid string, target string")
-    got = {r.mbid: (r.outcome, r.target) for r in st.merge_missing(one("a", "b", "c"), one("a", "b", "c", "d"), redirects, one("b"), "mbid").collect()}
-    assert got == {"a": ("merged", "z"), "b": ("kept", None), "c": ("unknown", None)}
-    links = spark.createDataFrame([(1, "a", False), (1, "b", True)], "track_id int, mbid string, disabled boolean")
-    changed, audit = st.toggle(links, one("a"), ["mbid"], "why")
-    assert {r.mbid: r.disabled for r in changed.collect()} == {"a": True, "b": True}
-    assert [(r.mbid, r.disabled, r.note) for r in audit.collect()] == [("a", True, "why")]
-
-
 def test_months_to_create_and_drop(spark):
     held = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-06-01', INTERVAL 1 MONTH)) AS month")
     got = sorted((r.action, str(r.month)) for r in st.partitions(held, F.to_date(F.lit("2024-05-20"))).collect())
@@ -103,26 +59,28 @@ def test_sample_hours(spark):
     assert tb.hourly_sample(spark, "2024-01-01 00:00:00", "2024-01-02 00:00:00").count() == 25
 
 
-def test_repointing_and_overdue(spark):
+def test_repointing(spark):
     links = spark.createDataFrame([(1, 10, 2), (1, 11, 3), (2, 11, 4)], "track long, meta long, n long")
     moved = spark.createDataFrame([(10, 10), (11, 10)], "id long, canonical long")
     got = {(r.track, r.meta): r.n for r in st.repoint(links, moved, "meta", ["track", "meta"], ["n"]).collect()}
     assert got == {(1, 10): 5, (2, 10): 4}
-    unknown = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02"), ("c", None)], "mbid string, unknown_since string")
-    assert [r.mbid for r in st.overdue(unknown, F.lit("2024-01-09")).collect()] == ["a"]
 
 
-def test_user_metadata_only_without_catalogue(spark):
-    results = spark.createDataFrame([("q1", 1), ("q1", 2), ("q2", 3)], "query_id string, track int")
-    catalogue = spark.createDataFrame([(1,)], "track int")
-    rows = spark.createDataFrame([(2, "x"), (3, "y"), (3, "")], "track int, title string")
-    assert [(r.query_id, r.title) for r in md.user_metadata(results, catalogue, rows).collect()] == [("q2", "y")]
+def test_new_keys_get_the_next_ids(spark):
+    state = spark.createDataFrame([(4, "k1", None)], "id long, k string, v string")
+    asked = spark.range(50).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(None).cast("string").alias("v"))
+    got = {r.k: r.id for r in st.find_or_insert(state, asked, ["k", "v"]).collect()}
+    assert got["k1"] == 4 and sorted(got.values()) == list(range(4, 54))
+
 
+def test_rate_limit_policy(spark):
+    rows = [(True, True, True, None, False), (False, True, True, None, False), (False, True, True, None, True), (True, False, True, None, False), (True, True, False, None, False), (True, True, False, 10, False)]
+    c = F.col
+    got = spark.createDataFrame(rows, "a boolean, g boolean, i boolean, l int, t boolean").select(rq.refused_by(c("a"), c("g"), c("i"), c("l"), c("t")).alias("r")).collect()
+    assert [r.r for r in got] == [None, "application", None, "global", "address", None]
 
-def test_patterns(spark):
-    from sonarium.functions import text as tx
 
-    c = F.col("v")
-    df = spark.createDataFrame([("a@b.cc",), ("http://x.org/y",), ("ftp://x.org",), (None,)], "v string")
-    assert [tuple(r) for r in df.select(tx.is_email(c), tx.is_url(c)).collect()] == [(True, False), (False, True), (False, False), (False, False)]
-    assert spark.range(1).select(tx.partition_name("log", F.to_date(F.lit("2024-03-09")))).first()[0] == "log_202403"
+def test_parts_of_a_request(spark):
+    params = F.create_map(*map(F.lit, ("length.1", "5", "fingerprint.1", "x", "fingerprint.10", "y", "length", "7")))
+    (row,) = spark.range(1).select(rq.parts(rq.renamed(params), ["duration", "fingerprint"]).alias("p")).collect()
+    assert [(p.n, p.duration, p.fingerprint) for p in row.p] == [(-1, "7", None), (1, "5", "x"), (10, None, "y")]
