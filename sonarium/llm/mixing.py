@@ -145,9 +145,9 @@ def _cut(totals: DataFrame, order: list[Column], rest: str) -> DataFrame:
     """By source: the first entry at which the running total exceeds what is left, and what is left before it."""
     w = Window.partitionBy("mix_source").orderBy(*order)
     run = totals.withColumn("sum", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    over = run.where(F.col("sum") > F.col(rest))
-    first = F.min_by(F.struct("entry", (F.col(rest) - F.col("sum") + F.col("tokens")).alias("left")), "sum")
-    return over.groupBy("mix_source").agg(first.alias("x")).select("mix_source", F.col("x.entry").alias("entry"), F.col("x.left").alias("left"))
+    left = F.col(rest) - F.col("sum") + F.col("tokens")
+    # One entry crosses the line: it has tokens, unlike those that follow it at the same total.
+    return run.where((F.col("sum") > F.col(rest)) & (left >= 0)).select("mix_source", "entry", left.alias("left"))
 
 
 def plan_sources(keyed: DataFrame, target_entropy: float, max_repeats: float, budget: float | None, seed: int) -> DataFrame:

@@ -76,10 +76,12 @@ class Statistics:
         return self.held[segments]
 
 
-def _survivors(q: Statistics, x: Statistics, part: slice, rows: slice, limit: np.ndarray, own: np.ndarray, tally: dict[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of queries of a part and rows of a part whose bounds reach the limit at every level."""
+def _survivors(q: Statistics, x: Statistics, part: slice, rows: slice, limit: np.ndarray, slack: np.ndarray, own: np.ndarray, k: int, tally: dict[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of queries of a part and rows of a part whose bounds reach the limit at every level.
+
+    After a level each query's rows of the highest bounds are scored: their k-th best score may raise the limit."""
     base, span = rows.start, rows.stop - rows.start
-    alive: np.ndarray | None = np.ones((part.stop - part.start, span), bool)
+    alive = np.ones((part.stop - part.start, span), bool)
     mine = np.flatnonzero((own >= base) & (own < rows.stop))
     alive[mine, own[mine] - base] = False
     i = j = None
@@ -87,7 +89,13 @@ def _survivors(q: Statistics, x: Statistics, part: slice, rows: slice, limit: np
         a, b = q.at(n)[part], x.at(n)[rows]
         if i is None:
             some = np.flatnonzero(alive.any(0))
-            alive[:, some] &= a @ b[some].T >= limit[:, None]
+            bound = np.where(alive[:, some], a @ b[some].T, -np.inf)
+            if len(some) > 4 * k:
+                first = np.argpartition(-bound, 2 * k, axis=1)[:, : 2 * k]
+                score = np.einsum("qd,qsd->qs", q.x[part], x.x[base + some[first]])
+                score[np.take_along_axis(bound, first, 1) == -np.inf] = -np.inf
+                limit = np.maximum(limit, np.partition(score, k, axis=1)[:, k] - slack)
+            alive[:, some] = bound >= limit[:, None]
             left = int(alive.sum())
             if left <= FEW * alive.size:
                 i, j = np.nonzero(alive)
@@ -126,7 +134,7 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, beat: np.ndarray, x_ids: np.nda
             rows = slice(stop, min(n, stop + max(FIRST_ROWS, 8 * k) if not stop else stop + ROW_PART))
             stop = rows.stop
             limit = np.maximum(beat[part], best[:, -1].astype(np.float64)) - slack[part]
-            i, j = _survivors(q_stats, x_stats, part, rows, limit, own[part], tally)
+            i, j = _survivors(q_stats, x_stats, part, rows, limit, slack[part], own[part], k, tally)
             if not len(i):
                 continue
             score = np.concatenate([_exact(q[low + i[s : s + 50_000]], x[j[s : s + 50_000]]) for s in range(0, len(i), 50_000)])
