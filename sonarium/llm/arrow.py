@@ -23,17 +23,35 @@ def struct(columns: str) -> T.StructType:
 FLUSH_BYTES = 4 << 20
 
 
-def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object that lives as long as the Python worker, over the tasks that it runs."""
+def _kept() -> dict[str, object]:
+    """What this Python worker keeps from task to task."""
     import sys
     import types
 
-    held = sys.modules.setdefault("sonarium_worker_cache", types.ModuleType("sonarium_worker_cache")).__dict__
+    module = sys.modules.setdefault("sonarium_worker_cache", types.ModuleType("sonarium_worker_cache"))
+    return module.__dict__.setdefault("kept", {})
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps over the tasks of one kind that it runs; a task of another kind drops it."""
+    held = _kept()
     if name not in held:
+        release()
         held[name] = make()
     return held[name]
 
 
+def release() -> None:
+    """Gives back what earlier tasks left in this Python worker: kept objects, and freed memory that the allocators still hold."""
+    import ctypes
+
+    _kept().clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 class RowWriter:
     """Collects Python rows and cuts them into Arrow batches of bounded size."""
 
@@ -55,12 +73,14 @@ class RowWriter:
         return out
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[tuple, int]]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over a generator of (row, bytes); the output is cut into batches of bounded size."""
+def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[tuple, int]]], schema: T.StructType | str, keeps: bool = False) -> DataFrame:
+    """mapInArrow over a generator of (row, bytes); the output is cut into batches of bounded size. keeps: the rows use worker_cache()."""
     bounded_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         out = RowWriter(kind)
         for row, size in rows(batches):
             if out.add(row, size):

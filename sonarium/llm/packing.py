@@ -190,4 +190,4 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str
             yield from packed()
 
     schema = "doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG, row_id LONG" + ", ids BINARY" * with_ids
-    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), rows, schema)
+    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), rows, schema, keeps=True)

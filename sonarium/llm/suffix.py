@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sonarium.llm.arrow import struct
+from sonarium.llm.arrow import release, struct
 from sonarium.llm.storage import bounded_batches, partitions
 
 SPAN, ANCHOR = 100, 32
 OFFSETS = SPAN - ANCHOR + 1
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Bytes that are hashed at a time; longer texts are hashed piece by piece.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Anchors, and segments with their bytes, that a task holds before it merges and sends them.
-HOLD, HOLD_TEXTS = 600_000, 80_000
+HOLD, HOLD_TEXTS = 500_000, 60_000
 #: Buckets for each shuffle partition; there are two tasks for each, and a task holds one bucket at a time.
 BUCKETS = 16
 _POSITION = np.uint64((1 << 28) - 1)
@@ -173,6 +173,7 @@ def _send_anchors(buckets: int):
     """Texts to parcels: kind 0 has one segment per anchor hash, kind 1 segments whose anchor the task has seen twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         poly, held, size = Poly(PIECE + SPAN), [], 0
 
         def flush():
@@ -218,6 +219,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: str) -> Iterator[list
 
 def _flag_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parcels to the segments whose anchors occur more than once."""
+    release()
     schema = to_arrow_schema(_FLAG)
 
     def out(key, start):
@@ -263,6 +265,7 @@ def _send_segments(buckets: int):
     """Texts with flagged starts to parcels: kind 2 has segments, kind 3 windows that the task knows to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         poly, held, contents, texts = Poly(PIECE + SPAN), [], [], []
 
         def flush():
@@ -413,6 +416,7 @@ _MARK = struct("key LONG, v LONG, start LONG, count INT")
 
 def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parcels of segments to runs of repeated windows, one bucket after another."""
+    release()
     schema = to_arrow_schema(_MARK)
     for rows in _by_bucket(batches, "kind a b c d e"):
         for columns in _marks(rows):
@@ -512,6 +516,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []

@@ -100,4 +100,4 @@ def token_counts(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text:
                 for key, (words, n) in zip(part.column(0).to_pylist(), got, strict=True):
                     yield (key, words, n), 24
 
-    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), rows, "doc_id LONG, n_pretokens LONG, n_tokens LONG")
+    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), rows, "doc_id LONG, n_pretokens LONG, n_tokens LONG", keeps=True)
