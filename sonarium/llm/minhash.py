@@ -414,7 +414,7 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # The rows stand in a struct, so that no name of theirs meets the key's.
     keyed = docs.select(document_key("doc_id", "text").alias("key"), F.struct(*columns).alias("row"))
-    kept = keyed.join(found, "key", "left_semi")
+    kept = keyed.join(found.hint("merge"), "key", "left_semi")  # the classes grow with the input: one plan at every size
     again = docs.select(document_key("doc_id", "text").alias("key")).join(found, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     if again.isEmpty():
         return kept.select("row.*")
