@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonarium.llm import chat, minhash, mixing, packing, quality, suffix, tiff, tokens, topk, warc
+from sonarium.llm import chat, decontam, minhash, mixing, packing, quality, repair, suffix, tiff, tokens, topk, trie, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -63,11 +63,29 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_transactions(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tiff, op2_pairwise_quality, op3_temperature_mix, op4_chat_format, op5_exact_top_k, op6_suffix_dedup, op7_cost_packing, op8_trie_token_counts, op9_probminhash, op10_warc_transactions)}
+def op11_cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (
+    op1_tiff, op2_pairwise_quality, op3_temperature_mix, op4_chat_format, op5_exact_top_k, op6_suffix_dedup, op7_cost_packing, op8_trie_token_counts, op9_probminhash,
+    op10_warc_transactions, op11_cost_layers, op12_fm_decontamination, op13_prefix_trie,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
 #: DuckDB SQL of the queries that SQL can say; the others are tested against brute force.
 SQL: dict[str, str] = {
     "op5_exact_top_k": topk.TOP_K_SQL,
     "op10_warc_transactions": warc.PAGES_SQL,
+    "op12_fm_decontamination": decontam.CONTAMINATION_SQL,
+    "op13_prefix_trie": trie.TRIE_SQL,
 }
