@@ -30,7 +30,8 @@ WORDS, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
 #: Weights stay near 1, as links are verified by the sets: repeated shingles would else draw together documents that share little else.
 EXPONENT = 1 / 16
-#: Registers (their low bytes) that must agree before a pair is verified: a pair at the limit falls short of that three times in a hundred thousand.
+#: Registers (their low bytes) that must agree before a pair is verified, by default: a pair at the limit falls short of that three times in a
+#: hundred thousand. With 0 every pair that shares a bucket is verified.
 LEAST_AGREEMENT = 38
 #: Rows that may be broadcast; larger tables are joined by shuffle.
 SMALL = 200_000
@@ -208,7 +209,7 @@ def components(edges: DataFrame, one_task: int = SMALL) -> DataFrame:
             return known
 
 
-def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
     """The pairs of keys (a, b) that agree in enough registers, with their agreement."""
     low = [distinct.select(F.col("key").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
 
@@ -218,7 +219,7 @@ def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in batch.columns[2:])
             agree = (x == y).sum(axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agree)], ["a", "b", "agree"]).filter(pa.array(agree >= LEAST_AGREEMENT))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agree)], ["a", "b", "agree"]).filter(pa.array(agree >= least))
 
     return pairs.join(low[0], "a").join(low[1], "b").select("a", "b", "low_a", "low_b").mapInArrow(run, "a LONG, b LONG, agree LONG")
 
@@ -226,7 +227,7 @@ def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 _FOUND = {"best": "a LONG, b LONG, agree LONG", "keys": "band LONG, key LONG", "links": "a LONG, b LONG"}
 
 
-def _across(rows: DataFrame, signed: DataFrame, what: str, similarity: float = SIMILARITY) -> DataFrame:
+def _across(rows: DataFrame, signed: DataFrame, what: str, least: int, similarity: float = SIMILARITY) -> DataFrame:
     """Looks at pairs of keys of different classes that share a bucket and agree in enough registers, each in the first bucket that they share. rows: band, key, class; signed: key, low, bands, and shingles for "links".
 
     "best": of a row's pairs with one class in a block, that of the most agreement; "keys": the keys of all
@@ -252,7 +253,7 @@ def _across(rows: DataFrame, signed: DataFrame, what: str, similarity: float = S
         r, pairs, keys = np.flatnonzero(~probes), [], set()
         for i in np.flatnonzero(probes).tolist():
             agree = (low[r] == low[i]).sum(axis=1)
-            got = np.flatnonzero((agree >= LEAST_AGREEMENT) & (class_[r] != class_[i]))
+            got = np.flatnonzero((agree >= least) & (class_[r] != class_[i]))
             got = got[bands[i][(bands[r[got]] == bands[i]).argmax(axis=1)] == here]
             got = got[np.lexsort((key[r[got]], -agree[got], class_[r[got]]))]
             if what == "best" and len(got):
@@ -324,13 +325,13 @@ class _Links:
 ROUNDS = 1
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_AGREEMENT) -> DataFrame:
     """key and class, one row per distinct key of the rows of docs: class is the smallest key of the documents that are linked, directly or over others.
 
     Equal word sequences are linked, so are all texts without words; null texts have no words. Rows that repeat
     an id are one document: their classes are joined. A null id's key is a negative number made of its text.
     A pair at the limit shares a band, and agrees in enough registers, with probability 0.9997, more similar
-    ones more surely."""
+    ones more surely. least: the registers that must agree; with 0 no pair that shares a band goes unverified."""
     keyed = docs.select(document_key(doc_id, text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = written(sign(keyed), "signed")
     lead = signed.groupBy("digest").agg(F.min("key").alias("lead"))
@@ -346,7 +347,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     shared = written(buckets.join(hubs, "band"), "shared")
     to_hubs = shared.select("key", F.explode(F.array("low_hub", "high_hub")).alias("hub")).where("key <> hub")
     edges = to_hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    pairs = written(_agreeing(edges, distinct), "pairs")
+    pairs = written(_agreeing(edges, distinct, least), "pairs")
 
     links = _Links(keyed, similarity)
     links.known = copies.sparkSession.createDataFrame([], "key LONG, class LONG")
@@ -362,15 +363,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     large = shared.where("n > 3").select("band", "key")
     label = lambda: large.join(links.known, "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"))
     if not large.isEmpty():
-        pairs = _labelled(_across(label(), distinct, "best"), links.known)
+        pairs = _labelled(_across(label(), distinct, "best", least), links.known)
         if not pairs.isEmpty():
             links.add(pairs, pairs)
             # What is left is verified within blocks: two large classes may have very many pairs, and no link.
             rows = label()
-            some = written(_across(rows, distinct, "keys"), "across")
+            some = written(_across(rows, distinct, "keys", least), "across")
             if not some.isEmpty():
                 links.fetch(some.select("key").distinct())
-                found = _across(rows.join(some, ["band", "key"]), distinct.join(links.sets, "key"), "links", similarity).withColumn("agree", F.lit(0).cast("long"))
+                found = _across(rows.join(some, ["band", "key"]), distinct.join(links.sets, "key"), "links", least, similarity).withColumn("agree", F.lit(0).cast("long"))
                 pairs = _labelled(found, links.known)
                 if not pairs.isEmpty():
                     links.known = _relabel(links.known, components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
@@ -390,27 +391,27 @@ def _relabel(known: DataFrame, merged: DataFrame) -> DataFrame:
     return written(moved.unionByName(fresh), "classes")
 
 
-def _found(docs: DataFrame, similarity: float) -> DataFrame:
+def _found(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     """classes(), as a table; the tables on the way to it are deleted."""
     with scratch(docs.sparkSession):
-        found = written(classes(docs, similarity), "classes", outlive=True)
+        found = written(classes(docs, similarity, least=least), "classes", outlive=True)
     return found
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_AGREEMENT) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class; see classes()), class_size (distinct keys) and is_first (the id is the class's)."""
-    found = _found(docs, similarity)
+    found = _found(docs, similarity, least)
     sizes = found.groupBy("class").agg(F.count("*").alias("class_size"))
     keyed = docs.select("doc_id", document_key("doc_id", "text").alias("key"))
     named = keyed.join(found, "key").join(sizes, "class")
     return named.select("doc_id", F.col("class").alias("class_id"), "class_size", (F.col("key") == F.col("class")).alias("is_first"))
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_AGREEMENT) -> DataFrame:
     """One row of each class, whole and with all its columns as they were: that of the smallest id; of rows that repeat this id, the one whose text sorts first.
 
     Of all texts without words (null, empty, blank) one row stays. Input columns may have any name."""
-    found = _found(docs, similarity).where("key = class").select("key")
+    found = _found(docs, similarity, least).where("key = class").select("key")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # The rows stand in a struct, so that no name of theirs meets the key's.
     keyed = docs.select(document_key("doc_id", "text").alias("key"), F.struct(*columns).alias("row"))

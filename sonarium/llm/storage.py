@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written inside scratch() blocks that are open, innermost last.
-_open: list[list[str]] = []
+#: Paths written inside scratch() blocks that are open here, innermost last; each thread and each context has blocks of its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
 #: Bytes of an Arrow batch that goes to Python, in place of Spark's default.
 BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written to the shared folder and read from there. Inside scratch() they go with the block."""
-    if _open:
+    if _open.get():
         return written(df, "cut")
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -62,7 +63,7 @@ def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     It goes at the end of the innermost scratch() block, or with outlive at the end of the one around it. Where
     there is none, what reads the table decides: it stays."""
     table, path = stored(df, name)
-    around = _open[: -1 if outlive else None]
+    around = _open.get()[: -1 if outlive else None]
     if around:
         around[-1].append(path)
     return table
@@ -72,11 +73,11 @@ def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that written() and checkpointed() make inside go at the end; what leaves this block must not read them."""
     mine: list[str] = []
-    _open.append(mine)
+    token = _open.set((*_open.get(), mine))
     try:
         yield
     finally:
-        _open.pop()
+        _open.reset(token)
         for path in mine:
             delete(spark, path)
 

@@ -388,7 +388,8 @@ def text_digests(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are 192 blanks; equal texts give equal values; every input row gives a row."""
     pages = F.col("tiff_pages")
-    whole = F.when(F.size(pages) == 1, pages[0]["samples"]).otherwise(F.unhex(F.array_join(F.transform(pages, lambda p: F.hex(p["samples"])), "")))
+    # Bytes are joined as strings, which Spark takes as they are.
+    whole = F.when(F.size(pages) == 1, pages[0]["samples"]).otherwise(F.array_join(F.transform(pages, lambda p: p["samples"].cast("string")), "").cast("binary"))
     feature = F.concat_ws(":", F.size(pages).cast("string"), F.concat_ws("x", pages[0]["width"], pages[0]["channels"]), pages[0]["compression"].cast("string"), F.array_join(F.transform(pages, lambda p: p["hash"]), ""))
     files = text_tiffs(docs).withColumns({"media_bytes": F.octet_length("content").cast("long"), "media_sha256": F.sha2("content", 256)})
     read = decode_files(files).select("doc_id", "n_bytes", "media_bytes", "media_sha256", whole.alias("payload"), feature.alias("feature"))

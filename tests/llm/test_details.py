@@ -392,3 +392,23 @@ def test_empty_tables_and_clashing_names(spark):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(vectors).count() == 0
     assert chat.format_records(spark.createDataFrame([('{"prompt":"p","completion":"c"}',)] * 2, "record string").withColumn("turns", F.lit(1))).select("formatted").distinct().count() == 1
+
+
+def test_scratch_tables_belong_to_their_thread(spark):
+    """Blocks in several driver threads delete their own tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = [[(i, f"w{i % 40} " * 12 + ("x" if i % 3 else "y")) for i in range(k, k + 120)] for k in (0, 7, 50)]
+    frames = [spark.createDataFrame(r, "doc_id long, text string") for r in rows]
+    alone = [sorted(r.doc_id for r in minhash.keep_first(df).collect()) for df in frames]
+    with ThreadPoolExecutor(3) as pool:
+        together = list(pool.map(lambda df: sorted(r.doc_id for r in minhash.keep_first(df).collect()), frames))
+    assert together == alone
+
+
+def test_agreement_may_be_left_out(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:i] + ["new"] + words[i + 1 :])) for i in range(0, 200, 40)] + [(900, "other " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted((r.key, r["class"]) for r in minhash.classes(df, least=least).collect()) for least in (0, minhash.LEAST_AGREEMENT)]
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == 2
