@@ -1,18 +1,18 @@
-"""Similarity search: an inverted index of query terms, candidates, exact scores and the best per query.
-
-The index is two tables: terms (id, term), and attributes (name, value), among them the newest indexed id.
-"""
+"""Similarity search: candidates by shared terms, exact scores and the best per query. The index itself is in index.py."""
 
 from __future__ import annotations
 
 import threading
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
+from sonarium.operators.index import BUCKETS, NEWEST, TermIndex, masked, new_index, term_index
+from sonarium.sources.tables import Scratch
+
+__all__ = ["BUCKETS", "NEWEST", "TermIndex", "masked", "new_index", "term_index"]
 
 #: Candidates and the percentage of the best one's matches that they must exceed: a quick search, and a thorough one.
 FAST, FULL = (10, 40), (20, 10)
@@ -20,29 +20,77 @@ FAST, FULL = (10, 40), (20, 10)
 MOST_FINGERPRINTS, MOST_TRACKS, MOST_RESULTS = 20, 100, 10
 #: Results of an outside store that are looked at.
 MOST_STORED = 100
-#: The attribute that holds the newest indexed id.
-NEWEST = "max_document_id"
 
 
-def masked(hashes: str = "hashes"):
-    return F.array_distinct(F.transform(fp.to_unsigned(F.col(hashes)), lambda x: x.bitwiseAND(F.lit(fp.TERM_MASK))))
+#: Documents that a term must be in, at least, to be held back as a common one.
+COMMON = 20_000
 
 
-def term_index(corpus: DataFrame, key: str = "id", hashes: str = "hashes", every_term: bool = False) -> DataFrame:
-    """key and term: the query terms of each fingerprint, or all its masked hashes."""
-    return corpus.select(key, F.explode(masked(hashes) if every_term else fp.extract_query(F.col(hashes))).alias("term"))
+def _ranked(counted: DataFrame, query: str, key: str, most: int, least_percent: int) -> DataFrame:
+    """Of counts (query, key, matches) the first `most` of each query, above a percentage of its best."""
+    of_query = Window.partitionBy(query)
+    ranked = counted.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("matches"), key))).where(F.col("place") <= most)
+    ranked = ranked.withColumn("best", F.max("matches").over(of_query))
+    return ranked.where(F.col("matches") * 100 > F.col("best") * least_percent).select(query, key, "matches")
 
 
-def candidates(queries: DataFrame, index: DataFrame, key: str = "id", query: str = "query_id", most: int = FULL[0], least_percent: int = FULL[1]) -> DataFrame:
+def candidates(
+    queries: DataFrame, index: DataFrame | TermIndex, key: str = "id", query: str = "query_id", most: int = FULL[0], least_percent: int = FULL[1], common: int = COMMON
+) -> DataFrame:
     """query, key and matches: for each query, the fingerprints that share terms, above a percentage of the best, the first `most` of them.
 
-    Terms meet by an equality join, where Spark deals very common ones to several tasks; counts are summed
-    before the shuffle, and only the first of each query are sorted."""
-    counted = queries.join(index, "term").groupBy(query, key).agg(F.count("*").alias("matches"))
-    of_query = Window.partitionBy(query)
-    ranked = counted.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("matches"), key))).where(F.col("place") <= most)
-    ranked = ranked.withColumn("best", F.max("matches").over(of_query))
-    return ranked.where(F.col("matches") * 100 > F.col("best") * least_percent).drop("best", "place")
+    queries: query, term; index: a stored one, or key and term. Terms that are in more than `common` fingerprints are held
+    back: a query begins with its rarer terms. It needs none of the m that are left once a fingerprint with none of the
+    others, which could have m matches, would be below the last place, or not above the percentage; else it takes the rarer half of
+    them. Then the left terms are counted for those alone that are or may come to be among the first. No row is cut
+    off that could be in the result. Without common terms, terms meet by one equality join, counted before the shuffle."""
+    asked = queries.select(query, "term").distinct()
+    held = index.holding(asked) if isinstance(index, TermIndex) else index
+    if key != "id" and isinstance(index, TermIndex):
+        held = held.withColumnRenamed("id", key)
+    often = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("often")).where(F.col("often") > common)
+    with Scratch(queries.sparkSession) as scratch:
+        often = scratch.keep(often, "often")
+        if often.isEmpty():
+            return _ranked(asked.join(held, "term").groupBy(query, key).agg(F.count("*").alias("matches")), query, key, most, least_percent)
+        return _bounded(scratch, asked, often, held, key, query, most, least_percent)
+
+
+def _bounded(scratch: Scratch, asked: DataFrame, often: DataFrame, held: DataFrame, key: str, query: str, most: int, least_percent: int) -> DataFrame:
+    """candidates() where some terms are common (often: term, often)."""
+    # The common terms of a query, the most common last; n counts them from there, so that n <= m are the ones held back.
+    back = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("often"), "term"))
+    ranked = asked.join(often, "term", "left").withColumn("n", F.when(F.col("often").isNotNull(), back)).drop("often")
+    ranked = scratch.keep(ranked, "asked")
+    left = scratch.keep(ranked.groupBy(query).agg(F.coalesce(F.max("n"), F.lit(0)).alias("m")), "left")
+    fresh = ranked.join(left, query).where("n is null or n > m").select(query, "term")
+    done, counts = None, None
+    while True:
+        found = fresh.join(held, "term").groupBy(query, key).agg(F.count("*").alias("matches"))
+        if counts is not None:
+            found = found.unionByName(counts).groupBy(query, key).agg(F.sum("matches").alias("matches"))
+        counts = scratch.keep(found, "counts")
+        place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("matches")))
+        top = counts.withColumn("place", place).where(F.col("place") <= most)
+        bounds = top.groupBy(query).agg(F.max("matches").alias("best"), F.max(F.when(F.col("place") == most, F.col("matches"))).alias("last"))
+        bounds = left.join(bounds, query, "left").select(query, "m", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("last", F.lit(0)).alias("last"))
+        enough = (F.col("m") == 0) | (F.col("m") < F.col("last")) | (F.col("m") * 100 <= F.col("best") * least_percent)
+        bounds = scratch.keep(bounds.withColumn("enough", enough), "bounds")
+        # Of those that are done, what may still be among the first, with all that is known of it.
+        may = (F.col("matches") + F.col("m") >= F.col("last")) & ((F.col("matches") + F.col("m")) * 100 > F.col("best") * least_percent)
+        kept = counts.join(bounds.where("enough"), query).where(may).select(query, key, "matches", "m")
+        done = kept if done is None else done.unionByName(kept)
+        open_ = scratch.keep(bounds.where("not enough").select(query, F.col("m").alias("was"), F.floor(F.col("m") / 2).cast("int").alias("m")), "open")
+        if open_.isEmpty():
+            break
+        counts = counts.join(open_.select(query), query, "left_semi")
+        fresh = ranked.join(open_, query).where("n > m and n <= was").select(query, "term")
+        left = open_.drop("was")
+    done = scratch.keep(done, "done")
+    rest = done.where("m > 0").join(ranked.where("n is not null"), query).where("n <= m").select(query, key, "term")
+    more = rest.join(held, [key, "term"], "left_semi").groupBy(query, key).agg(F.count("*").alias("matches"))
+    counted = done.select(query, key, "matches").unionByName(more).groupBy(query, key).agg(F.sum("matches").alias("matches"))
+    return scratch.keep(_ranked(counted, query, key, most, least_percent), "candidates", outlive=True)
 
 
 def tail_candidates(queries: DataFrame, corpus: DataFrame, newest: int) -> DataFrame:
@@ -52,7 +100,7 @@ def tail_candidates(queries: DataFrame, corpus: DataFrame, newest: int) -> DataF
 
 
 def scored(queries: DataFrame, corpus: DataFrame, found: DataFrame, least_score: float, length_band: int | None, limit: int) -> DataFrame:
-    """Exact scores of candidates (query_id, id): those within the length band and above least_score; of a group the best, of a query the first `limit`."""
+    """Exact scores of candidates (query_id, id): those within the length band and above least_score; of a query the first `limit`, and of these the first of each group."""
     asked = queries.select("query_id", F.col("hashes").alias("a"), F.col("length").alias("a_length"))
     held = corpus.select("id", "group", F.col("hashes").alias("b"), F.col("length").alias("b_length"))
     # The band is looked at before the hashes travel.
@@ -61,16 +109,27 @@ def scored(queries: DataFrame, corpus: DataFrame, found: DataFrame, least_score:
         near = near.where(F.abs(F.col("a_length") - F.col("b_length")) <= length_band)
     pairs = near.select("query_id", "id", "group").join(asked.select("query_id", "a"), "query_id").join(held.select("id", "b"), "id")
     good = pairs.select("query_id", "id", "group", fp.compare("a", "b").alias("score")).where(F.col("score") > least_score)
-    of_group = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "id")
+    return first_of_groups(good, limit)
+
+
+def first_of_groups(scored: DataFrame, limit: int) -> DataFrame:
+    """Of rows (query_id, id, group, score) the first `limit` of each query by score and id; then of each group its first one, with its rank among those.
+
+    The limit is on fingerprints, as in the service: where they are many of one track, fewer tracks come out."""
     of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = good.withColumn("g", F.row_number().over(of_group)).where("g = 1").withColumn("rank", F.row_number().over(of_query))
-    return best.where(F.col("rank") <= limit).select("query_id", "id", "group", "score", "rank")
+    first = scored.withColumn("n", F.row_number().over(of_query)).where(F.col("n") <= limit)
+    of_group = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "id")
+    one = first.withColumn("g", F.row_number().over(of_group)).where("g = 1").withColumn("rank", F.row_number().over(of_query))
+    return one.select("query_id", "id", "group", "score", "rank")
 
 
-def search(queries: DataFrame, corpus: DataFrame, most: int = FULL[0], least_percent: int = FULL[1], least_score: float = 0.4, length_band: int | None = 7, limit: int = MOST_RESULTS, index: DataFrame | None = None, newest: int | None = None) -> DataFrame:
+def search(
+    queries: DataFrame, corpus: DataFrame, most: int = FULL[0], least_percent: int = FULL[1], least_score: float = 0.4, length_band: int | None = 7,
+    limit: int = MOST_RESULTS, index: DataFrame | TermIndex | None = None, newest: int | None = None,
+) -> DataFrame:
     """query_id, id, group, score and rank. queries: query_id, hashes, length; corpus: id, hashes, length, and group (its track).
 
-    index: the terms of the corpus, if kept; else they are made. With the newest indexed id, fingerprints above it
+    index: the terms of the corpus, stored or as rows, if kept; else they are made. With the newest indexed id, fingerprints above it
     are looked for by their terms directly, and all candidates are scored together."""
     terms = term_index(corpus, every_term=True) if index is None else index
     found = candidates(term_index(queries, "query_id"), terms, most=most, least_percent=least_percent).select("query_id", "id")
@@ -79,16 +138,21 @@ def search(queries: DataFrame, corpus: DataFrame, most: int = FULL[0], least_per
     return scored(queries, corpus, found, least_score, length_band, limit)
 
 
-def search_stored(results: DataFrame, corpus: DataFrame, least_score: float = 0.4, limit: int = MOST_RESULTS, most: int = MOST_STORED) -> DataFrame:
-    """Results (query_id, id, score) of an outside store, as search() gives them.
+def search_stored(
+    results: DataFrame, queries: DataFrame, corpus: DataFrame, least_score: float = 0.4, length_band: int | None = 7, limit: int = MOST_RESULTS, most: int = MOST_STORED
+) -> DataFrame:
+    """Results (query_id, id, score) of an outside store, as search() gives them. queries: query_id, length; corpus: id, length, group.
 
-    Of each query the first `most` by score above least_score count. The limit then takes the smallest ids, whose
-    scores decide the order alone, as the service's own query does."""
+    Of each query the first `most` by score above least_score count, within the length band that every search has. The limit
+    then takes the smallest ids, whose scores decide the order alone, as the service's own query does."""
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     held = results.where(F.col("score") > least_score).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
+    near = held.join(corpus.select("id", "group", F.col("length").alias("b_length")), "id").join(queries.select("query_id", F.col("length").alias("a_length")), "query_id")
+    if length_band is not None:
+        near = near.where(F.abs(F.col("a_length") - F.col("b_length")) <= length_band)
     low = Window.partitionBy("query_id").orderBy("id")
-    kept = held.join(corpus.select("id", "group"), "id").withColumn("n", F.row_number().over(low)).where(F.col("n") <= limit)
-    return kept.withColumn("rank", F.row_number().over(first)).select("query_id", "id", "group", "score", "rank")
+    kept = near.withColumn("n", F.row_number().over(low)).where(F.col("n") <= limit).select("query_id", "id", "group", "score")
+    return first_of_groups(kept, limit)
 
 
 def lookup(queries: DataFrame, wanted: DataFrame, corpus: DataFrame, tracks: DataFrame, fast: bool = False, **options) -> DataFrame:
@@ -117,45 +181,8 @@ def batch(fingerprints: list, gids: list, several: bool) -> tuple[list, list]:
     return fingerprints, gids
 
 
-@dataclass(frozen=True)
-class TermIndex:
-    """terms: id, term. attributes: name, value."""
-
-    terms: DataFrame
-    attributes: DataFrame
-
-    def attribute(self, name: str, default: int = 0) -> int:
-        row = self.attributes.where(F.col("name") == name).first()
-        return default if row is None else row.value
-
-    def info(self) -> dict[str, int]:
-        """Documents, terms, and all attributes."""
-        n = self.terms.agg(F.count_distinct("id").alias("documents"), F.count("*").alias("terms")).first()
-        return {"documents": n.documents, "terms": n.terms} | {r.name: r.value for r in self.attributes.collect()}
-
-    def updated(self, changes: DataFrame, attributes: dict[str, int] | None = None) -> TermIndex:
-        """The index after one batch of changes (id, hashes; null hashes delete), with attributes set in the same step. An inserted document replaces its terms."""
-        terms = self.terms.join(changes.select("id"), "id", "left_anti").unionByName(term_index(changes.where("hashes is not null"), every_term=True))
-        held = self.attributes
-        if attributes:
-            new = held.sparkSession.createDataFrame(list(attributes.items()), held.schema)
-            held = held.join(new, "name", "left_anti").unionByName(new)
-        return TermIndex(terms, held)
-
-    def grown(self, corpus: DataFrame, most: int = 1000) -> TermIndex:
-        """The index with the next documents (id, hashes) above the newest one it has, `most` of them."""
-        rows = corpus.where(F.col("id") > self.attribute(NEWEST)).orderBy("id").limit(most)
-        newest = rows.agg(F.max("id").alias("m")).first().m
-        if newest is None:
-            return self
-        spark = self.attributes.sparkSession
-        new = spark.createDataFrame([(NEWEST, newest)], self.attributes.schema)
-        added = term_index(rows.withColumn("hashes", fp.extract_query(F.col("hashes"))), every_term=True)
-        return TermIndex(self.terms.unionByName(added), self.attributes.where(F.col("name") != NEWEST).unionByName(new))
-
-
-def empty_index(spark) -> TermIndex:
-    return TermIndex(spark.createDataFrame([], "id LONG, term LONG"), spark.createDataFrame([], "name STRING, value LONG"))
+def empty_index(spark, buckets: int = BUCKETS) -> TermIndex:
+    return new_index(spark, buckets=buckets)
 
 
 def rows_within(df: DataFrame, seconds: float) -> list:

@@ -11,6 +11,7 @@ from sonarium.operators import clusters as cl
 from sonarium.operators import requests as rq
 from sonarium.operators import search as se
 from sonarium.operators import state as st
+from sonarium.operators.index import remove_index
 from sonarium.plans.registry import QUERIES, SQL, query
 from sonarium.sources import tables as tb
 from sonarium.sources.tables import spread, table
@@ -116,8 +117,15 @@ SELECT item_id AS query_id, doc_id AS id, matches FROM r WHERE matches * 100 > b
 
 @query("o036_candidates", _CANDIDATES)
 def find_candidates(spark, sf_dir):
+    """Items among documents, over a stored index; terms that are in more than a tenth of the documents are held back."""
     asked = fingerprints(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
-    return se.candidates(se.term_index(asked, "query_id", every_term=True), se.term_index(fingerprints(spark, sf_dir, "documents", "doc_id"), every_term=True))
+    with tb.Scratch(spark) as scratch:
+        corpus = scratch.keep(fingerprints(spark, sf_dir, "documents", "doc_id"), "corpus")
+        index = se.empty_index(spark).updated(corpus)
+        found = se.candidates(se.term_index(asked, "query_id", every_term=True), index, common=corpus.count() // 10)
+        found = scratch.keep(found, "found", outlive=True)
+        remove_index(index)
+    return found
 
 
 @query("o100_fix_meta", "SELECT page_id, regexp_replace(html, '[ \\t\\n\\r\\f\\v\\x00\\x1c-\\x1f]+', ' ', 'g') AS html FROM pages")

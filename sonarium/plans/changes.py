@@ -11,6 +11,7 @@ from sonarium.operators import links as lk
 from sonarium.operators import requests as rq
 from sonarium.operators import search as se
 from sonarium.operators import state as st
+from sonarium.operators.index import remove_index
 from sonarium.plans.catalogue import _HASHES, _TERMS, fingerprints
 from sonarium.plans.registry import query
 from sonarium.sources import tables as tb
@@ -212,15 +213,20 @@ def messages(spark, sf_dir):
     return ch.kept_messages(*batch).select("subject", c("lsn").cast("long").alias("lsn"))
 
 
-@query("o047_index", f"WITH d AS (SELECT doc_id, {_HASHES} AS h FROM documents WHERE doc_id < 200), t AS (SELECT DISTINCT doc_id, CAST(x - x % 16 AS BIGINT) AS term FROM (SELECT doc_id, unnest(h[greatest(0, least(len(h) - 120, 80)) + 1:]) AS x FROM d WHERE doc_id % 9 > 0)) SELECT count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE term IS NOT NULL) > 0 AS some, CAST(199 AS BIGINT) AS newest FROM t")
+@query(
+    "o047_index",
+    f"""WITH {_TERMS}, w AS (SELECT doc_id, unnest(h) AS x FROM d WHERE doc_id % 9 = 4)
+SELECT doc_id AS id, term FROM t WHERE n <= 120 AND doc_id % 9 NOT IN (0, 4)
+UNION ALL SELECT DISTINCT doc_id, x - x % 16 FROM w""",
+)
 def grown_index(spark, sf_dir):
-    """An index that grows in two steps, and then loses every ninth document."""
-    corpus = fingerprints(spark, sf_dir, "documents", "doc_id").where("id < 200")
-    index = se.empty_index(spark).grown(corpus, 120).grown(corpus, 120)
-    gone = corpus.where("id % 9 = 0").select("id", F.lit(None).cast("array<int>").alias("hashes"))
-    after = index.updated(gone, {"batch": 1})
-    newest = after.attributes.where(c("name") == se.NEWEST).select(c("value").alias("newest"))
-    return after.terms.agg(F.count_distinct("id").alias("documents"), (F.count("*") > 0).alias("some")).join(newest)
+    """All documents in a stored index that grows in three steps, then loses every ninth document, gets others anew, and is compacted."""
+    with tb.Scratch(spark) as scratch:
+        corpus = scratch.keep(fingerprints(spark, sf_dir, "documents", "doc_id"), "corpus")
+        n = corpus.count()
+        index = se.empty_index(spark, buckets=8).grown(corpus, n // 2).grown(corpus, n // 3).grown(corpus, n)
+        index = index.updated(corpus.where("id % 9 in (0, 4)").select("id", F.when(c("id") % 9 == 4, c("hashes")).alias("hashes")), {"batch": 1})
+        return index.compacted().terms
 
 
 _SCORED = f"""WITH d AS (SELECT doc_id, {_HASHES} AS h FROM documents),
@@ -236,24 +242,37 @@ w AS (SELECT q, doc_id, o, least(len(a), len(b)) AS least, a[1 + greatest(0, o):
 n AS (SELECT *, least(len(a), len(b)) AS n FROM w),
 e AS (SELECT q, doc_id, least, n, list_sum(list_transform(range(1, n + 1), lambda i: bit_count(xor(a[i], b[i])))) AS errors FROM n WHERE n > 0),
 s AS (SELECT q, doc_id, power(greatest(0.0E0, max((1 - errors / (16.0E0 * n)) * n / least)), 2) AS score FROM e GROUP BY 1, 2),
-g AS (SELECT *, row_number() OVER (PARTITION BY q, doc_id // 4 ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0.4),
-f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM g WHERE k = 1)
-SELECT q AS query_id, doc_id AS id, doc_id // 4 AS "group", round(score, 9) AS score, CAST(rank AS INT) AS rank FROM f WHERE rank <= 10"""
+l AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0.4),
+g AS (SELECT *, row_number() OVER (PARTITION BY q, doc_id // 4 ORDER BY score DESC, doc_id) AS k FROM l WHERE l.n <= 10)
+SELECT q AS query_id, doc_id AS id, doc_id // 4 AS "group", round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INT) AS rank
+FROM g WHERE k = 1"""
 
 
 @query("o040_search", _SCORED)
 def run_search(spark, sf_dir):
-    """Every 25th document is looked up among all: length band, exact scores, the best of each group of four."""
-    corpus = fingerprints(spark, sf_dir, "documents", "doc_id").withColumns({"length": F.size("hashes"), "group": F.floor(c("id") / 4).cast("long")})
-    asked = corpus.where("id % 25 = 0").select(c("id").alias("query_id"), "hashes", "length")
-    found = se.search(asked, corpus)
+    """Every 25th document is looked up among all, over a stored index: length band, exact scores, the first ten, and of these the best of each group of four."""
+    with tb.Scratch(spark) as scratch:
+        corpus = fingerprints(spark, sf_dir, "documents", "doc_id").withColumns({"length": F.size("hashes"), "group": F.floor(c("id") / 4).cast("long")})
+        corpus = scratch.keep(corpus, "corpus")
+        index = se.empty_index(spark).updated(corpus)
+        asked = corpus.where("id % 25 = 0").select(c("id").alias("query_id"), "hashes", "length")
+        found = scratch.keep(se.search(asked, corpus, index=index), "found", outlive=True)
+        remove_index(index)
     return found.withColumn("score", F.round("score", 9))
 
 
-@query("o041_stored", "WITH r AS (SELECT o_custkey AS q, o_orderkey AS id, (o_orderkey % 1000) / 1000.0E0 AS score FROM orders), t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS n FROM r WHERE score > 0.4), l AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS k FROM t WHERE n <= 100) SELECT q AS query_id, id, id % 5 AS \"group\", score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM l WHERE k <= 10")
+@query(
+    "o041_stored",
+    """WITH r AS (SELECT o_custkey AS q, o_orderkey AS id, (o_orderkey % 1000) / 1000.0E0 AS score FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS n FROM r WHERE score > 0.4),
+b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS k FROM t WHERE n <= 100 AND abs(q % 20 - id % 23) <= 7),
+g AS (SELECT *, row_number() OVER (PARTITION BY q, id % 5 ORDER BY score DESC, id) AS f FROM b WHERE k <= 10)
+SELECT q AS query_id, id, id % 5 AS "group", score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM g WHERE f = 1""",
+)
 def stored(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(c("o_custkey").alias("query_id"), c("o_orderkey").alias("id"), (c("o_orderkey") % 1000 / 1000.0).alias("score"))
-    return se.search_stored(rows, rows.select("id", (c("id") % 5).alias("group")))
+    corpus = rows.select("id", (c("id") % 5).alias("group"), (c("id") % 23).alias("length"))
+    return se.search_stored(rows, rows.select("query_id", (c("query_id") % 20).alias("length")).distinct(), corpus)
 
 
 @query("o044_by_gid", "SELECT c_custkey AS query_id, 'g' || c_custkey AS result, CASE WHEN c_custkey % 2 = 1 THEN c_custkey - 1 ELSE c_custkey END AS track_id, 1.0E0 AS score FROM customer WHERE c_custkey % 3 = 0")

@@ -23,6 +23,35 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+class Scratch:
+    """Tables on the way to a result, in the shared folder: each row is made once, survives its executor, and goes at the block's end.
+
+    What leaves the block must not read them, but for tables kept with outlive."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+    def keep(self, df: DataFrame, name: str = "step", outlive: bool = False) -> DataFrame:
+        path = shared_folder(self.spark, name)
+        df.write.parquet(path)
+        if not outlive:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
