@@ -5,20 +5,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
-import os
-import re
+import secrets
+import string
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonarium.operators.state import numbered
+
 #: Days for which a demonstration key is looked for, from today on.
 KEY_DAYS = 7
+LETTERS = string.ascii_letters + string.digits
 
 
 def new_key(length: int = 10) -> str:
     """A random key of letters and digits."""
-    return re.sub("[/+=]", "", base64.b64encode(os.urandom(20)).decode())[:length]
+    return "".join(secrets.choice(LETTERS) for _ in range(length))
 
 
 def demo_key(secret: str, day: date | None = None) -> str:
@@ -57,10 +60,7 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def inserted(rows: DataFrame, new: DataFrame, id_column: str = "id") -> tuple[DataFrame, DataFrame]:
     """The table with new rows, which get the next ids, and these rows with their ids.
 
-    Ids follow the order of a hash of the row, by buckets whose sizes are summed up, so no task sorts all rows.
-    Rows that are alike all get an id."""
-    from sonarium.operators.state import numbered
-
+    Ids ascend in the order of the rows' columns; see state.numbered(). Rows that are alike all get an id."""
     names = [c for c in rows.columns if c != id_column]
     top = rows.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("top")).scalar()
     given = numbered(new.select(names), names).select((F.col("n") + top).cast(rows.schema[id_column].dataType).alias(id_column), *names)

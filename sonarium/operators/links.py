@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.operators.state import numbered
+from sonarium.operators.state import closure, numbered
 
 
 class AlreadyMerged(ValueError):
@@ -93,18 +93,23 @@ class TrackTables:
 def merged_tracks(tables: TrackTables, sources: DataFrame, audited: str = "mbid") -> TrackTables:
     """The tables after tracks (track_id, target) were merged: all link tables, with provenance and audit, fingerprints, and redirects.
 
-    Redirects stay one hop deep: tracks that led to a source lead to its target."""
-    remap = sources.unionByName(sources.select(F.col("target").alias("track_id"), "target")).distinct()
+    Any number of merges happen in one step. A target that is merged itself, now or earlier, stands for where that leads (see
+    state.closure()), so links are summed once, where they end up, and every redirect is one hop. Nothing is changed where the
+    merges lead in a circle, or send a track to two targets."""
+    asked = sources.where("track_id <> target").select(F.col("track_id").alias("id"), "target").distinct()
+    earlier = tables.tracks.where("new_id is not null and new_id <> id").select("id", F.col("new_id").alias("target")).distinct()
+    led = closure(asked.unionByName(earlier.join(asked.select("id"), "id", "left_anti")))
+    moved_tracks = led.join(asked.select("id"), "id", "left_semi").select(F.col("id").alias("track_id"), "target")
+    ends = moved_tracks.select(F.col("target").alias("track_id"), "target").distinct()
+    remap = moved_tracks.unionByName(ends)
     links, provenance, audit = {}, {}, tables.audit
     for item, rows in tables.links.items():
         links[item], moved = merged_links(rows, remap, item)
         provenance[item] = followed(tables.provenance[item], moved)
         audit = followed(audit, moved) if item == audited else audit
-    to = sources.select("track_id", F.col("target").alias("to_"))
+    to = moved_tracks.select("track_id", F.col("target").alias("to_"))
     fingerprints = tables.fingerprints.join(to, "track_id", "left").withColumn("track_id", F.coalesce("to_", "track_id")).select(tables.fingerprints.columns)
-    own = to.select(F.col("track_id").alias("id"), F.col("to_").alias("own_"))
-    over = to.select(F.col("track_id").alias("new_id"), F.col("to_").alias("over_"))
-    tracks = tables.tracks.join(own, "id", "left").join(over, "new_id", "left").withColumn("new_id", F.coalesce("own_", "over_", "new_id")).select(tables.tracks.columns)
+    tracks = tables.tracks.join(led.select("id", F.col("target").alias("led_")), "id", "left").withColumn("new_id", F.coalesce("led_", "new_id")).select(tables.tracks.columns)
     return replace(tables, links=links, provenance=provenance, audit=audit, fingerprints=fingerprints, tracks=tracks)
 
 

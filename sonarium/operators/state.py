@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarium.sources.tables import Scratch
+
 
 def add_counts(state: DataFrame, delta: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
     """Upsert that adds: counters of equal keys are summed, new keys are inserted."""
@@ -12,20 +14,55 @@ def add_counts(state: DataFrame, delta: DataFrame, keys: list[str], counts: list
     return state.select(columns).unionByName(delta.select(columns)).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counts])
 
 
-def numbered(rows: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
-    """rows with n, from 1 without gaps, by bucket of a hash of the keys and then in the keys' order.
+class Cycle(ValueError):
+    """Redirects lead in a circle."""
+
+
+class Ambiguous(ValueError):
+    """A row is sent to two places."""
+
+
+def numbered(rows: DataFrame, keys: list[str], buckets: int = 64, per_bucket: int = 32) -> DataFrame:
+    """rows with n, from 1 without gaps, ascending in the order of the keys (nulls first).
 
-    Buckets are numbered apart and then moved by the sizes of those before, so no task sorts all keys; the
-    broadcast table has one row a bucket."""
-    dealt = rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    The keys are cut into ranges by the keys of a sample, those of the least hashes. Ranges are numbered apart and then moved by the sizes
+    of those before, so no task sorts all keys; what is broadcast is one row of edges, and one of a size for each range."""
+    key = F.struct(*keys)
+    sample = rows.select(key.alias("key_")).orderBy(F.xxhash64("key_")).limit(buckets * per_bucket)
+    held = sample.agg(F.array_sort(F.collect_list("key_")).alias("s"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("s") / buckets))
+    edges = held.select(F.filter("s", lambda _, i: (i > 0) & (i % step == 0)).alias("edges_"))
+    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e <= key))).drop("edges_")
     sizes = dealt.groupBy("bucket_").agg(F.count("*").alias("size"))
     before = sizes.select("bucket_", (F.sum("size").over(Window.orderBy("bucket_")) - F.col("size")).alias("before_"))
-    placed = dealt.withColumn("place_", F.row_number().over(Window.partitionBy("bucket_").orderBy(*keys)))
+    placed = dealt.withColumn("place_", F.row_number().over(Window.partitionBy("bucket_").orderBy(*[F.col(k).asc_nulls_first() for k in keys])))
     return placed.join(F.broadcast(before), "bucket_").withColumn("n", F.col("place_") + F.col("before_")).drop("bucket_", "place_", "before_")
 
 
+def closure(redirects: DataFrame) -> DataFrame:
+    """id and target of redirects (id, target) with each target followed to where no redirect leads on.
+
+    All pointers jump at once, over twice as many hops each round, so there are about as many rounds as the longest chain's
+    length has bits. Cycle if one leads back to itself, Ambiguous if one has two targets: both are seen before anything
+    is changed. Null targets are no redirects. The rows are written to the shared folder after each round."""
+    held = redirects.where("target is not null").select("id", "target").distinct()
+    with Scratch(redirects.sparkSession) as scratch:
+        held = scratch.keep(held, "redirects")
+        if not held.groupBy("id").count().where("count > 1").isEmpty():
+            raise Ambiguous("a redirect has two targets")
+        for _ in range(held.count().bit_length() + 2):
+            if not held.where("id = target").isEmpty():
+                raise Cycle("redirects lead in a circle")
+            on = held.select(F.col("id").alias("target"), F.col("target").alias("on_"))
+            jumped = scratch.keep(held.join(on, "target", "left").select("id", F.coalesce("on_", "target").alias("target"), F.col("on_").isNotNull().alias("moved")), "redirects")
+            held = jumped.select("id", "target")
+            if jumped.where("moved").isEmpty():
+                return scratch.keep(held, "closure", outlive=True)
+    raise Cycle("redirects lead in a circle")
+
+
 def find_or_insert(state: DataFrame, names: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
-    """The state with a row for each new key; ids continue from the largest, without gaps. Null keys meet null keys."""
+    """The state with a row for each new key; ids continue from the largest, without gaps, in the order of the keys. Null keys meet null keys."""
     same = [state[k].eqNullSafe(F.col(f"new_{k}")) for k in keys]
     asked = names.select(keys).distinct().withColumnsRenamed({k: f"new_{k}" for k in keys})
     new = asked.join(state.select(keys), same, "left_anti").withColumnsRenamed({f"new_{k}": k for k in keys})
@@ -35,9 +72,9 @@ def find_or_insert(state: DataFrame, names: DataFrame, keys: list[str], id_colum
 
 
 def flattened(tracks: DataFrame) -> DataFrame:
-    """tracks (id, new_id) with chains of two hops made one: a redirect to a redirected track leads where that leads."""
-    hop = tracks.where("new_id is not null").select(F.col("id").alias("new_id"), F.col("new_id").alias("next_"))
-    return tracks.join(hop, "new_id", "left").withColumn("new_id", F.coalesce("next_", "new_id")).drop("next_").select(tracks.columns)
+    """tracks (id, new_id) with chains made one hop: every redirect leads where no other leads on; see closure()."""
+    to = closure(tracks.select("id", F.col("new_id").alias("target")))
+    return tracks.drop("new_id").join(to.select("id", F.col("target").alias("new_id")), "id", "left").select(tracks.columns)
 
 
 def resolve(tracks: DataFrame) -> DataFrame:
@@ -56,6 +93,12 @@ def keep_first(rows: DataFrame, content: str, key: str) -> DataFrame:
     return rows.select(key, content).join(first, content).select(key, "canonical")
 
 
+def inserted_once(state: DataFrame, new: DataFrame, content: str, key: str) -> DataFrame:
+    """The state after an insert that does nothing where the content is there: of new rows of equal content the one of the smallest key goes in."""
+    first = new.groupBy(content).agg(F.min_by(F.struct(*[c for c in state.columns if c != content]), key).alias("r")).select(content, "r.*")
+    return state.unionByName(first.join(state.select(content), content, "left_anti").select(state.columns))
+
+
 def canonical(rows: DataFrame, content: str = "content", gid: str = "gid") -> DataFrame:
     """id and canonical of rows (id, gid, content): of equal content the smallest id that has a gid, else the smallest id."""
     best = rows.groupBy(content).agg(F.coalesce(F.min(F.when(F.col(gid).isNotNull(), F.col("id"))), F.min("id")).alias("canonical"))

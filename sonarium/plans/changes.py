@@ -29,15 +29,15 @@ def links_of_parts(spark, sf_dir):
     return part.select(k.alias("id"), (k % 100).alias("track_id"), c("p_brand").alias("item"), c("p_size").cast("long").alias("submission_count"), (c("p_size") > 10).alias("disabled"), F.lit(None).cast("long").alias("merged_into"))
 
 
-@query("o116_find_or_insert", "WITH s AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 2 = 1) SELECT CAST((SELECT count(*) FROM s) + n AS BIGINT) AS n, CAST((SELECT count(*) FROM s) AS BIGINT) AS kept, CAST((SELECT max(id) FROM s) + 1 AS BIGINT) AS low, CAST((SELECT max(id) FROM s) + n AS BIGINT) AS high, n AS fresh FROM n")
+@query(
+    "o116_find_or_insert",
+    """SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT (SELECT max(c_custkey) FROM customer WHERE c_custkey % 2 = 0) + row_number() OVER (ORDER BY c_name), c_name FROM customer WHERE c_custkey % 2 = 1""",
+)
 def find_or_insert(spark, sf_dir):
     """Even customers are there with ids of their own; asked for are all, twice."""
     rows = table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"))
-    state = rows.where("id % 2 = 0")
-    after = st.find_or_insert(state, rows.unionByName(rows).select("name"), ["name"])
-    old = after.join(state.withColumnRenamed("id", "was"), "name", "left")
-    new = F.when(c("was").isNull(), c("id"))
-    return old.agg(F.count("*").alias("n"), F.count_if(c("was") == c("id")).alias("kept"), F.min(new).alias("low"), F.max(new).alias("high"), F.count_distinct(new).alias("fresh"))
+    return st.find_or_insert(rows.where("id % 2 = 0"), rows.unionByName(rows).select("name"), ["name"])
 
 
 @query("o117_links", "WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 > 0 AND user_id % 4 > 0 GROUP BY 1, 2), d AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(s.user_id, d.user_id) AS track_id, coalesce(s.event_type, d.event_type) AS item, coalesce(s.n, 0) + coalesce(d.n, 0) AS submission_count, coalesce(d.n, 0) AS provenance FROM s FULL JOIN d ON s.user_id = d.user_id AND s.event_type = d.event_type")
@@ -65,19 +65,34 @@ def disable(spark, sf_dir):
     return after.join(audit.select(c("link_id").alias("id"), "note"), "id", "left").select("id", "disabled", "note")
 
 
-@query("o122_merge_tracks", "WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 100 < 60 THEN p_partkey % 50 ELSE p_partkey % 100 END AS t, p_brand AS item, p_size AS n, p_size > 10 AS off, p_partkey % 100 < 60 AS merged FROM part), g AS (SELECT t, item, min(id) AS id, sum(n) AS n, bool_and(off) AS off, count(*) AS links FROM m WHERE merged GROUP BY 1, 2) SELECT id, t AS track_id, item, CAST(n AS BIGINT) AS submission_count, off AS disabled, links AS provenance FROM g UNION ALL SELECT id, t, item, n, off, 1 FROM m WHERE NOT merged")
-def merge_tracks(spark, sf_dir):
-    """Tracks 50 to 59 are merged into 0 to 9 (10 to 49 into themselves), with the provenance of each link."""
+_MERGED = "WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 100 < 60 THEN p_partkey % 10 ELSE p_partkey % 100 END AS t, p_brand AS item, p_size AS n, p_size > 10 AS off FROM part)"
+
+
+def merged_tables(spark, sf_dir) -> lk.TrackTables:
+    """Tracks 10 to 59 are merged, each into the one ten below, so that all end up in 0 to 9."""
     links = links_of_parts(spark, sf_dir)
-    sources = spark.range(60).select(c("id").alias("track_id"), (c("id") % 50).alias("target"))
+    sources = spark.range(10, 60).select(c("id").alias("track_id"), (c("id") - 10).alias("target"))
     provenance = links.select(c("id").alias("link_id"))
-    none = links.select(c("id").alias("link_id")).where("false")
-    tables = lk.TrackTables({"item": links}, {"item": provenance}, none, links.select("id", "track_id"), links.select(c("track_id").alias("id"), F.lit(None).cast("long").alias("new_id")))
-    after = lk.merged_tracks(tables, sources.where("track_id <> target").unionByName(sources.where("track_id = target and track_id between 10 and 49")), "item")
+    tables = lk.TrackTables({"item": links}, {"item": provenance}, provenance.where("false"), links.select("id", "track_id"), spark.range(100).select("id", F.lit(None).cast("long").alias("new_id")))
+    return lk.merged_tracks(tables, sources, "item")
+
+
+@query("o122_merge_tracks", f"{_MERGED} SELECT min(id) AS id, t AS track_id, item, CAST(sum(n) AS BIGINT) AS submission_count, bool_and(off) AS disabled, count(*) AS provenance FROM m WHERE t < 10 GROUP BY t, item UNION ALL SELECT id, t, item, n, off, 1 FROM m WHERE t >= 10")
+def merge_tracks(spark, sf_dir):
+    """Chains of merges in one step: links with the provenance of each."""
+    after = merged_tables(spark, sf_dir)
     counts = after.provenance["item"].groupBy(c("link_id").alias("id")).agg(F.count("*").alias("provenance"))
     return after.links["item"].join(counts, "id").select("id", "track_id", "item", "submission_count", "disabled", "provenance")
 
 
+@query("o122b_merged_ends", f"{_MERGED} SELECT i AS id, CASE WHEN i BETWEEN 10 AND 59 THEN i % 10 END AS new_id, (SELECT count(*) FROM m WHERE t = i) AS fingerprints FROM range(100) r(i)")
+def merged_ends(spark, sf_dir):
+    """Where the tracks of the same merges lead, and the fingerprints that they hold then."""
+    after = merged_tables(spark, sf_dir)
+    held = after.fingerprints.groupBy(c("track_id").alias("id")).agg(F.count("*").alias("n"))
+    return after.tracks.join(held, "id", "left").select("id", "new_id", F.coalesce("n", F.lit(0)).alias("fingerprints"))
+
+
 @query("o123_toggle", "SELECT p_partkey AS id, (p_size > 10) <> (p_partkey % 7 = 0) AS disabled FROM part")
 def toggle(spark, sf_dir):
     links = links_of_parts(spark, sf_dir)
@@ -163,13 +178,17 @@ def results(spark, sf_dir):
     return row.join(links.agg(F.count_distinct("mbid").alias("items")))
 
 
-@query("o140_capture", "SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(max(id) AS BIGINT) AS high FROM (SELECT row_number() OVER () + (SELECT max(event_id) FROM events) AS id FROM documents)")
+@query(
+    "o140_capture",
+    f"""WITH {_TERMS}, q AS (SELECT doc_id, string_agg(term, ',' ORDER BY n) AS q FROM t WHERE n <= 120 GROUP BY 1)
+SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY doc_id) AS id, doc_id AS fingerprint_id, coalesce(q, '') AS query FROM documents LEFT JOIN q USING (doc_id)""",
+)
 def capture(spark, sf_dir):
-    """The positions that new documents get behind a log."""
+    """The positions that new documents get behind a log, with their query terms."""
     log = table(spark, sf_dir, "events").select(c("event_id").alias("id"), c("user_id").alias("fingerprint_id"), F.array().cast("array<bigint>").alias("query"))
     top = log.agg(F.max("id").alias("top"))
     after = feed.captured(log, fingerprints(spark, sf_dir, "documents", "doc_id"))
-    return after.join(F.broadcast(top)).where("id > top").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max("id").alias("high"))
+    return after.join(F.broadcast(top)).where("id > top").select("id", "fingerprint_id", F.array_join("query", ",").alias("query"))
 
 
 @query("o141_changes", "SELECT event_id AS id, user_id, event_type FROM events WHERE event_id > 200 ORDER BY event_id LIMIT 100")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonarium.functions import text as tx
@@ -178,6 +179,13 @@ def resolved(spark, sf_dir):
     return st.resolve(st.flattened(tracks))
 
 
+@query("o079_chains", "SELECT o_orderkey AS id, max(o_orderkey) OVER (PARTITION BY o_custkey) AS target FROM orders")
+def chains(spark, sf_dir):
+    """Each order leads to its customer's next one, and so to the last."""
+    rows = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("new_id"))
+    return st.resolve(st.flattened(rows))
+
+
 @query("o083_multi_sort", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS place FROM lineitem WHERE l_orderkey < 500")
 def multi_sort(spark, sf_dir):
     """Sorted lines, with the place of each, so that the order itself shows."""
@@ -243,11 +251,10 @@ def edits(spark, sf_dir):
     return ac.without(ac.touched(renamed, "c_custkey", rows.where("c_custkey % 5 = 0"), "segment", F.lit("off")), rows.where("c_custkey % 7 = 0"), "c_custkey")
 
 
-@query("o015_insert", "SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(min(id) AS BIGINT) AS low, CAST(max(id) AS BIGINT) AS high FROM (SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER () AS id FROM supplier)")
+@query("o015_insert", "SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_name) AS id, s_name AS name FROM supplier")
 def insert(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(c("n_nationkey").cast("long").alias("id"), c("n_name").alias("name"))
-    _, given = ac.inserted(nation, table(spark, sf_dir, "supplier").select(c("s_name").alias("name")))
-    return given.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return ac.inserted(nation, table(spark, sf_dir, "supplier").select(c("s_name").alias("name")))[1]
 
 
 @query("o102_patterns", "SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS uuid, o_orderkey % 4 = 2 AS foreign_id, o_orderkey % 4 = 3 AS email FROM orders")

@@ -35,7 +35,7 @@ def check_lineage(index: str, generation: int) -> None:
 def captured(log: DataFrame, inserted: DataFrame) -> DataFrame:
     """The log (id, fingerprint_id, query) with a row for each inserted fingerprint (id, hashes).
 
-    Positions continue from the log's last one, without gaps, in the order of the ids' hashes: a batch is one commit."""
+    Positions continue from the log's last one, without gaps, in the order of the ids, which is that of the inserts."""
     top = log.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")).scalar()
     new = numbered(inserted.select(F.col("id").alias("fingerprint_id"), fp.extract_query(F.col("hashes")).alias("query")), ["fingerprint_id"])
     return log.unionByName(new.select((F.col("n") + F.lit(top)).alias("id"), "fingerprint_id", "query"))
