@@ -69,7 +69,8 @@ def shard(key: Column, shards: int = 256) -> Column:
 
 def jsonp(callback: Column, value: Column, default: str = "callback") -> Column:
     """A JSON value as a call of the named function, or of a default one where the name is null or not well formed."""
-    name = F.when(callback.rlike(r"^[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*\z"), callback).otherwise(default)
+    part = r"[$A-Za-z_][0-9A-Za-z_]*"  # a dollar sign may only begin a name
+    name = F.when(callback.rlike(rf"^{part}(\.{part})*\z"), callback).otherwise(default)
     return F.concat(name, F.lit("("), F.to_json(value), F.lit(")"))
 
 

@@ -196,27 +196,37 @@ def second_format(rows: DataFrame, keys: list[str]) -> DataFrame:
     medium = F.struct(F.col("medium.track_count").alias("track_count"), F.col("medium.position").alias("position"), release.alias("release"), F.col("medium.format").alias("format"))
     track = F.struct(F.col("track.title").alias("title"), F.col("track.duration").alias("duration"), F.col("track.artists").alias("artists"), F.col("track.position").alias("position"), medium.alias("medium"))
     item = F.struct(F.col("release.id").alias("a"), F.col("medium.position").alias("b"), F.col("track.position").alias("c"), track.alias("track"))
-    held = rows.groupBy(*keys, F.col("recording.id").alias("id")).agg(F.first("recording.duration").alias("duration"), F.transform(F.array_sort(F.collect_list(F.when(F.col("track").isNotNull(), item))), lambda x: x["track"]).alias("tracks"))
+    tracks = F.transform(F.array_sort(F.collect_list(F.when(F.col("track").isNotNull(), item))), lambda x: x["track"])
+    known = F.bool_or("known") if "known" in rows.columns else F.lit(True)
+    held = rows.groupBy(*keys, F.col("recording.id").alias("id")).agg(F.first("recording.duration").alias("duration"), F.when(known, tracks).alias("tracks"))
     return held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "duration", "tracks"))).alias("recordings"))
 
 
 def documents(results: DataFrame, links: DataFrame, rows: DataFrame, words: set[str], key: str = "result_id", submitted: DataFrame | None = None) -> DataFrame:
     """results (key, track_id, query_id) with what the words ask for, as a column of JSON text called document; null where there is nothing.
 
+    A linked recording that the catalogue lacks is shown by its id, and its sources where these are asked for.
+
     links: track_id, mbid, submission_count, disabled ones left out before; rows: flat(). Which kind of document
     it is follows from the words: the second format before recordings, these before release groups, these before
     releases. With "usermeta", the queries of which no result is in the catalogue show submitted metadata
     (submitted: track_id, meta_id, submission_count, title, artist, album), each track's most frequent ones."""
     held = results.select(key, "track_id").join(links.select("track_id", F.col("mbid").alias("recording_id_"), F.col("submission_count").alias("sources")), "track_id")
-    found = held.join(rows.withColumn("recording_id_", F.col("recording.id")), "recording_id_").drop("recording_id_")
+    # A recording that the catalogue lacks is its id alone.
+    fields = [f for f in rows.schema["recording"].dataType.names if f != "id"]
+    named = F.struct(F.col("recording_id_").alias("id"), *[F.col("recording").getField(f).alias(f) for f in fields])
+    found = held.join(rows.withColumn("recording_id_", F.col("recording.id")), "recording_id_", "left")
+    found = found.withColumn("known", F.col("recording").isNotNull()).withColumn("recording", named).drop("recording_id_")
     if "m2" in words:
         made = second_format(found, [key])
     elif words & {"recordings", "recordingids", "isrcs"}:
         made = recordings(found, [key], words)
         if "usermeta" in words and submitted is not None:
-            made = made.select(key, F.to_json(F.struct(*[c for c in made.columns if c != key])).alias("document"))
-            made = made.unionByName(user_documents(results, found.select(key).distinct(), submitted, key))
-            return results.join(made, key, "left")
+            made = made.select(key, F.to_json("recordings").alias("own_"))
+            sent = user_recordings(results, found.where("known").select(key).distinct(), submitted, key).select(key, F.to_json("recordings").alias("sent_"))
+            both = made.join(sent, key, "full")
+            inner = F.concat_ws(",", *[F.expr(f"substring({c}, 2, length({c}) - 2)") for c in ("own_", "sent_")])
+            return results.join(both.select(key, F.concat(F.lit('{"recordings":['), inner, F.lit("]}")).alias("document")), key, "left")
     elif words & {"releasegroups", "releasegroupids"}:
         made = release_groups(found, [key], words)
     elif words & {"releases", "releaseids"}:
@@ -227,8 +237,8 @@ def documents(results: DataFrame, links: DataFrame, rows: DataFrame, words: set[
     return results.join(made, key, "left")
 
 
-def user_documents(results: DataFrame, found: DataFrame, submitted: DataFrame, key: str) -> DataFrame:
-    """key and document, of recordings made of submitted metadata: no ids, no empty titles; only for queries of which no result was found."""
+def user_recordings(results: DataFrame, found: DataFrame, submitted: DataFrame, key: str) -> DataFrame:
+    """key and recordings, made of submitted metadata: no ids, no empty titles; only for queries of which no result was found."""
     from sonarium.operators.statistics import top_per_group
 
     known = results.join(found, key, "left_semi").select("query_id").distinct()
@@ -238,8 +248,7 @@ def user_documents(results: DataFrame, found: DataFrame, submitted: DataFrame, k
     artists = F.when(text("artist").isNotNull(), F.array(F.struct(text("artist").alias("name"))))
     releases = F.when(text("album").isNotNull(), F.array(F.struct(text("album").alias("title"))))
     item = F.struct("place", F.struct(text("title").alias("title"), artists.alias("artists"), releases.alias("releases")).alias("r"))
-    made = held.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("recordings"))
-    return made.select(key, F.to_json(F.struct("recordings")).alias("document"))
+    return held.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("recordings"))
 
 
 def unseen(links: DataFrame, rows: DataFrame) -> DataFrame:

@@ -19,20 +19,35 @@ class AlreadyMerged(ValueError):
     """A link is merged into another one than the one asked for."""
 
 
-def upserted(links: DataFrame, events: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
-    """Links after events (track_id, item, submission_id, source_id), and a provenance row (link_id, submission_id, source_id) for each event.
+@dataclass(frozen=True)
+class LinkChanges:
+    """Links with new counts, new links, and a provenance row (link_id, submission_id, source_id) for each event."""
+
+    counted: DataFrame
+    added: DataFrame
+    provenance: DataFrame
+
+
+def link_changes(links: DataFrame, events: DataFrame, item: str, top: int | None = None) -> LinkChanges:
+    """What events (track_id, item, submission_id, source_id) change about links. top: the largest id, if known.
 
     A link that is there gains one for each event; a new one begins with their number, and gets the next id."""
     keys = ["track_id", item]
     gained = events.groupBy(*keys).agg(F.count("*").alias("gained"))
-    old = links.join(gained, keys, "left").withColumn("submission_count", (F.col("submission_count") + F.coalesce("gained", F.lit(0))).cast("long")).select(links.columns)
-    top = links.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")).scalar()
+    counted = links.join(gained, keys).withColumn("submission_count", (F.col("submission_count") + F.col("gained")).cast("long")).select(links.columns)
+    if top is None:
+        top = links.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")).first()[0]
     new = numbered(gained.join(links.select(keys), keys, "left_anti"), keys).withColumn("id", F.col("n") + F.lit(top))
     rest = {"submission_count": F.col("gained"), "disabled": F.lit(False)}
     added = new.select(*[(rest[c] if c in rest else F.col(c) if c in ("id", *keys) else F.lit(None)).cast(links.schema[c].dataType).alias(c) for c in links.columns])
-    after = old.unionByName(added)
-    provenance = events.join(after.select(F.col("id").alias("link_id"), *keys), keys).select("link_id", "submission_id", "source_id")
-    return after, provenance
+    ids = counted.unionByName(added).select(F.col("id").alias("link_id"), *keys)
+    return LinkChanges(counted, added, events.join(ids, keys).select("link_id", "submission_id", "source_id"))
+
+
+def upserted(links: DataFrame, events: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """The links after events, and the provenance rows of these; see link_changes()."""
+    made = link_changes(links, events, item)
+    return links.join(made.counted.select("id"), "id", "left_anti").select(links.columns).unionByName(made.counted).unionByName(made.added), made.provenance
 
 
 def followed(rows: DataFrame, moved: DataFrame, column: str = "link_id") -> DataFrame:

@@ -126,9 +126,14 @@ def recording_page(recordings: DataFrame, credits: DataFrame, links: DataFrame,
     return named.join(listed_by_item(named.select(item), links, tracks, item, disabled=True), item)
 
 
+def name_or_key(name: str, key: str) -> Column:
+    """What rows are sorted by: the name, or of those without one the key."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.col(key).cast("string"))
+
+
 def by_name(rows: DataFrame, name: str, key: str) -> DataFrame:
     """Sorted by name, rows without one by their key."""
-    return rows.orderBy(F.coalesce(F.nullif(name, F.lit("")), F.col(key).cast("string")))
+    return rows.orderBy(name_or_key(name, key))
 
 
 def last_by(rows: DataFrame, *order: str) -> DataFrame:

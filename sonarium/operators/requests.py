@@ -51,8 +51,8 @@ def numbered(params: Column, name: str) -> Column:
 
 
 def wanted(meta: Column) -> Column:
-    """What a meta parameter asks for: nothing for 0 or none, recording ids for 1, the second format for 2, else its words."""
-    words = F.filter(F.split(F.coalesce(meta, F.lit("")), r"[+ ,]+"), lambda w: w != "")
+    """What a meta parameter asks for: nothing for 0 or none, recording ids for 1, the second format for 2, else its words, cut at white space."""
+    words = F.filter(F.split(F.coalesce(meta, F.lit("")), r"(?U)\s+"), lambda w: w != "")
     none = F.array().cast("array<string>")
     return F.when(F.coalesce(meta, F.lit("")).isin("", "0"), none).when(meta == "1", F.array(F.lit("recordingids"))).when(meta == "2", F.array(F.lit("m2"))).otherwise(words)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
@@ -35,60 +35,79 @@ def _ranked(counted: DataFrame, query: str, key: str, most: int, least_percent:
 
 
 def candidates(
-    queries: DataFrame, index: DataFrame | TermIndex, key: str = "id", query: str = "query_id", most: int = FULL[0], least_percent: int = FULL[1], common: int = COMMON
-) -> DataFrame:
+    queries: DataFrame, index: DataFrame | TermIndex, key: str = "id", query: str = "query_id", most: int = FULL[0], least_percent: int = FULL[1],
+    common: int = COMMON, earlier: bool = False,
+) -> DataFrame:
     """query, key and matches: for each query, the fingerprints that share terms, above a percentage of the best, the first `most` of them.
 
-    queries: query, term; index: a stored one, or key and term. Terms that are in more than `common` fingerprints are held
-    back: a query begins with its rarer terms. It needs none of the m that are left once a fingerprint with none of the
-    others, which could have m matches, would be below the last place, or not above the percentage; else it takes the rarer half of
-    them. Then the left terms are counted for those alone that are or may come to be among the first. No row is cut
-    off that could be in the result. Without common terms, terms meet by one equality join, counted before the shuffle."""
+    queries: query, term; index: a stored one, or key and term. With `earlier`, only fingerprints whose key is below the query's count.
+    Terms that are in more than `common` fingerprints are held back: a query begins with its rarer terms. It needs none of the m
+    that are left once a fingerprint with none of the others, which could have m matches, would be below the last
+    place, or not above the percentage. Else its common terms are looked up in the fingerprints of the smallest keys, then in four times
+    as many, until so many of these have m matches that no later one could come before them. Last, the common terms are counted for
+    those alone that may yet be among the first. No row is cut off that could be in the result. Without common terms,
+    terms meet by one equality join, counted before the shuffle."""
     asked = queries.select(query, "term").distinct()
     held = index.holding(asked) if isinstance(index, TermIndex) else index
     if key != "id" and isinstance(index, TermIndex):
         held = held.withColumnRenamed("id", key)
     often = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("often")).where(F.col("often") > common)
+    before = F.col(key) < F.col(query) if earlier else F.lit(True)
     with Scratch(queries.sparkSession) as scratch:
         often = scratch.keep(often, "often")
         if often.isEmpty():
-            return _ranked(asked.join(held, "term").groupBy(query, key).agg(F.count("*").alias("matches")), query, key, most, least_percent)
-        return _bounded(scratch, asked, often, held, key, query, most, least_percent)
-
-
-def _bounded(scratch: Scratch, asked: DataFrame, often: DataFrame, held: DataFrame, key: str, query: str, most: int, least_percent: int) -> DataFrame:
-    """candidates() where some terms are common (often: term, often)."""
-    # The common terms of a query, the most common last; n counts them from there, so that n <= m are the ones held back.
-    back = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("often"), "term"))
-    ranked = asked.join(often, "term", "left").withColumn("n", F.when(F.col("often").isNotNull(), back)).drop("often")
-    ranked = scratch.keep(ranked, "asked")
-    left = scratch.keep(ranked.groupBy(query).agg(F.coalesce(F.max("n"), F.lit(0)).alias("m")), "left")
-    fresh = ranked.join(left, query).where("n is null or n > m").select(query, "term")
-    done, counts = None, None
-    while True:
-        found = fresh.join(held, "term").groupBy(query, key).agg(F.count("*").alias("matches"))
-        if counts is not None:
-            found = found.unionByName(counts).groupBy(query, key).agg(F.sum("matches").alias("matches"))
-        counts = scratch.keep(found, "counts")
+            return _ranked(asked.join(held, "term").where(before).groupBy(query, key).agg(F.count("*").alias("matches")), query, key, most, least_percent)
+        return _bounded(scratch, asked, often, held, key, query, most, least_percent, before)
+
+
+#: Keys that common terms are first looked up in.
+FIRST_KEYS = 64
+
+
+def _bounded(scratch: Scratch, asked: DataFrame, often: DataFrame, held: DataFrame, key: str, query: str, most: int, least_percent: int, before: Column) -> DataFrame:
+    """candidates() where some terms (often: term) are common."""
+    asked = scratch.keep(asked.join(often.select("term", F.lit(True).alias("common")), "term", "left"), "asked")
+    rare = asked.where("common is null").join(held, "term").where(before).groupBy(query, key).agg(F.count("*").alias("matches"))
+    rare = scratch.keep(rare, "counts")
+    left = asked.groupBy(query).agg(F.count("common").cast("long").alias("m"))
+    lists = scratch.keep(held.join(often.select("term"), "term", "left_semi"), "lists")
+    n = lists.agg(F.count_distinct(key)).first()[0]
+    shares = [FIRST_KEYS * 4**i / n for i in range(40) if FIRST_KEYS * 4**i < n]
+    # Keys up to an edge are looked up in each step; the last step has them all.
+    edges = (lists.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else []) + [None]
+    open_, looked, low, done = scratch.keep(left, "open"), None, None, None
+    for step in range(len(edges) + 1):
+        all_keys = step == len(edges)
+        within = F.lit(False) if step == 0 else F.lit(True) if edges[step - 1] is None else F.col(key) <= F.lit(edges[step - 1])
+        counts = rare.join(open_.select(query), query, "left_semi")
+        if looked is not None:
+            counts = counts.unionByName(looked.join(open_.select(query), query, "left_semi")).groupBy(query, key).agg(F.sum("matches").alias("matches"))
+        counts = scratch.keep(counts.join(open_, query).withColumn("whole", within), f"known{step}")
         place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("matches")))
+        full = counts.where("whole and matches >= m").groupBy(query).agg(F.count("*").alias("full"))
         top = counts.withColumn("place", place).where(F.col("place") <= most)
-        bounds = top.groupBy(query).agg(F.max("matches").alias("best"), F.max(F.when(F.col("place") == most, F.col("matches"))).alias("last"))
-        bounds = left.join(bounds, query, "left").select(query, "m", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("last", F.lit(0)).alias("last"))
-        enough = (F.col("m") == 0) | (F.col("m") < F.col("last")) | (F.col("m") * 100 <= F.col("best") * least_percent)
+        top = top.groupBy(query).agg(F.max("matches").alias("best"), F.max(F.when(F.col("place") == most, F.col("matches"))).alias("last")).join(full, query, "left")
+        bounds = open_.join(top, query, "left").select(query, "m", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("best", "last", "full")])
+        enough = F.lit(all_keys) | (F.col("m") == 0) | (F.col("m") < F.col("last")) | (F.col("m") * 100 <= F.col("best") * least_percent) | (F.col("full") >= most)
         bounds = scratch.keep(bounds.withColumn("enough", enough), "bounds")
-        # Of those that are done, what may still be among the first, with all that is known of it.
-        may = (F.col("matches") + F.col("m") >= F.col("last")) & ((F.col("matches") + F.col("m")) * 100 > F.col("best") * least_percent)
-        kept = counts.join(bounds.where("enough"), query).where(may).select(query, key, "matches", "m")
+        # Of those that are done, what may be among the first, with all that is known of it.
+        might = F.col("matches") + F.when(F.col("whole"), 0).otherwise(F.col("m"))
+        kept = counts.drop("m").join(bounds.where("enough"), query).where((might >= F.col("last")) & (might * 100 > F.col("best") * least_percent))
+        kept = kept.select(query, key, "matches", "whole")
         done = kept if done is None else done.unionByName(kept)
-        open_ = scratch.keep(bounds.where("not enough").select(query, F.col("m").alias("was"), F.floor(F.col("m") / 2).cast("int").alias("m")), "open")
-        if open_.isEmpty():
+        open_ = scratch.keep(bounds.where("not enough").select(query, "m"), "open")
+        if all_keys or open_.isEmpty():
             break
-        counts = counts.join(open_.select(query), query, "left_semi")
-        fresh = ranked.join(open_, query).where("n > m and n <= was").select(query, "term")
-        left = open_.drop("was")
+        high = edges[step]
+        some = lists if low is None else lists.where(F.col(key) > F.lit(low))
+        some = some if high is None else some.where(F.col(key) <= F.lit(high))
+        terms = asked.where("common").select(query, "term").join(open_.select(query), query, "left_semi")
+        found = scratch.keep(terms.join(some, "term").where(before).groupBy(query, key).agg(F.count("*").alias("matches")), "counts")
+        looked = found if looked is None else looked.unionByName(found)
+        low = high
     done = scratch.keep(done, "done")
-    rest = done.where("m > 0").join(ranked.where("n is not null"), query).where("n <= m").select(query, key, "term")
-    more = rest.join(held, [key, "term"], "left_semi").groupBy(query, key).agg(F.count("*").alias("matches"))
+    rest = done.where("not whole").join(asked.where("common").select(query, "term"), query).select(query, key, "term")
+    more = rest.join(lists, [key, "term"], "left_semi").groupBy(query, key).agg(F.count("*").alias("matches"))
     counted = done.select(query, key, "matches").unionByName(more).groupBy(query, key).agg(F.sum("matches").alias("matches"))
     return scratch.keep(_ranked(counted, query, key, most, least_percent), "candidates", outlive=True)
 

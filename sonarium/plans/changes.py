@@ -12,7 +12,7 @@ from sonarium.operators import requests as rq
 from sonarium.operators import search as se
 from sonarium.operators import state as st
 from sonarium.operators.index import remove_index
-from sonarium.plans.catalogue import _HASHES, _TERMS, fingerprints
+from sonarium.plans.catalogue import _HASHES, _TERMS, _UUID, fingerprints
 from sonarium.plans.registry import query
 from sonarium.sources import tables as tb
 from sonarium.sources.tables import table
@@ -163,19 +163,37 @@ def assign(spark, sf_dir):
     return cl.assign(matches, matches.where("track <> 3").select("query_id", "track").distinct())
 
 
-@query("o135_results", f"WITH d AS (SELECT doc_id, lang, text, {_HASHES} AS h FROM documents), f AS (SELECT * FROM d WHERE doc_id % 20 = 3 AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) AND len(list_distinct(list_transform(h, lambda x: x::BIGINT))) >= 80) SELECT count(*) AS results, count(*) AS fingerprints, count(*) AS tracks, count(*) AS links, count(*) AS provenance, count(DISTINCT lang) AS items FROM f")
+@query(
+    "o135_results",
+    f"""WITH d AS (SELECT doc_id, lang, source, n_chars, {_HASHES} AS h FROM documents),
+k AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '{{"track":"' || lang || '","artist":"' || source || '"' || CASE WHEN n_chars <= 10000 AND n_chars > 0 THEN ',"track_no":' || n_chars ELSE '' END || '}}' END AS meta,
+  CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'v' || doc_id % 3 END AS version FROM d WHERE len(list_distinct(h)) >= 80 AND doc_id % 11 <> 5 AND (doc_id % 4 = 0 OR doc_id % 3 > 0)),
+g AS (SELECT *, CASE WHEN meta IS NOT NULL THEN {_UUID.replace("u,", "sha1(unhex('3b3bd2285d2c11eab49860f67731bf41') || encode(meta)),")} END AS gid FROM k),
+m AS (SELECT gid, row_number() OVER (ORDER BY gid) AS meta_id FROM g WHERE gid IS NOT NULL GROUP BY gid),
+f AS (SELECT name, row_number() OVER (ORDER BY name) AS format_id FROM (SELECT DISTINCT 'F' || doc_id % 5 AS name FROM k))
+SELECT doc_id AS submission_id, row_number() OVER (ORDER BY doc_id) AS fingerprint_id, row_number() OVER (ORDER BY doc_id) AS track_id, doc_id % 5 AS account_id, doc_id % 7 AS application_id,
+  version AS application_version, m.meta_id, gid AS meta_gid, CASE WHEN doc_id % 3 > 0 THEN 'm' || doc_id % 50 END AS mbid, CASE WHEN doc_id % 6 = 1 THEN 'v:' || doc_id % 9 END AS foreignid,
+  CAST(n_chars % 320 AS INT) AS bitrate, f.format_id, '2024-01-02 03:04:05' AS handled
+FROM g LEFT JOIN m USING (gid) JOIN f ON name = 'F' || doc_id % 5""",
+)
 def results(spark, sf_dir):
-    """One round of imports into an empty store: what comes of documents that have nothing to be like."""
-    docs = table(spark, sf_dir, "documents")
-    first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = fingerprints(spark, sf_dir, "documents", "doc_id").join(docs.join(first, "doc_id").where("doc_id % 20 = 3").select(c("doc_id").alias("id"), "lang"), "id")
+    """One round of all documents into an empty store, line by line: new tracks and fingerprints, accounts, formats, metadata put in order, foreign ids that are none left out."""
+    k, n = c("doc_id"), c("n_chars")
+    docs = table(spark, sf_dir, "documents").select(k.alias("id"), k, "lang", "source", n)
     none = F.lit(None).cast("string")
-    asked = rows.select("id", "hashes", F.size("hashes").alias("length"), F.lit(1).cast("long").alias("source_id"), c("lang").alias("mbid"), none.alias("puid"), none.alias("meta"), none.alias("foreignid"))
-    after = im.import_round(im.empty_state(spark), asked)
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    links = after.links["mbid"]
-    row = n(after.results, "results").join(n(after.fingerprints, "fingerprints")).join(n(after.tracks, "tracks")).join(n(links, "links")).join(n(after.provenance["mbid"], "provenance"))
-    return row.join(links.agg(F.count_distinct("mbid").alias("items")))
+    number = F.lit(None).cast("int")
+    meta = F.struct(c("lang").alias("track"), c("source").alias("artist"), F.lit("").alias("album"), none.alias("album_artist"), n.cast("int").alias("track_no"), number.alias("disc_no"), number.alias("year"))
+    asked = fingerprints(spark, sf_dir, "documents", "doc_id").join(docs, "id").select(
+        "id", "hashes", F.size("hashes").alias("length"), (n % 320).alias("bitrate"), F.concat(F.lit("F"), (k % 5).cast("string")).alias("format"), F.when(k % 11 == 5, 77).alias("source_id"),
+        (k % 7).alias("application_id"), (k % 5).alias("account_id"), F.when(k % 2 == 1, F.concat(F.lit("v"), (k % 3).cast("string"))).alias("application_version"),
+        F.when(k % 3 > 0, F.concat(F.lit("m"), (k % 50).cast("string"))).alias("mbid"), F.when(k % 3 == 0, cl.ZERO_ID).alias("puid"), F.when(k % 4 == 0, meta).alias("meta"),
+        F.when(k % 6 == 1, F.concat(F.lit("v:"), (k % 9).cast("string"))).when(k % 6 == 2, "none").alias("foreignid"),
+    )
+    after = im.import_round(im.empty_state(spark), asked, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    prints = after.fingerprints.select(c("id").alias("fingerprint_id"), "bitrate", "format_id")
+    rows = after.results.join(prints, "fingerprint_id")
+    names = ["submission_id", "fingerprint_id", "track_id", "account_id", "application_id", "application_version", "meta_id", "meta_gid", "mbid", "foreignid", "bitrate", "format_id"]
+    return rows.select(*names, F.date_format("handled_at", "yyyy-MM-dd HH:mm:ss").alias("handled"))
 
 
 @query(

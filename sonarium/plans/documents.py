@@ -10,8 +10,6 @@ from sonarium.plans.registry import query
 from sonarium.sources.tables import table
 
 c = F.col
-#: Results are asked for parts below this number.
-RESULTS = 60
 
 
 def called(letter: str, column: str) -> F.Column:
@@ -37,7 +35,7 @@ def catalogue_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def asked(spark: SparkSession, sf_dir: str, words: set[str], links: DataFrame | None = None, submitted: DataFrame | None = None) -> DataFrame:
-    part = table(spark, sf_dir, "part").where(c("p_partkey") < RESULTS)
+    part = table(spark, sf_dir, "part")
     results = part.select(c("p_partkey").alias("result_id"), c("p_partkey").alias("track_id"), (c("p_partkey") % 10).alias("query_id"))
     if links is None:
         links = part.select(c("p_partkey").alias("track_id"), called("p", "p_partkey").alias("mbid"), c("p_size").alias("submission_count"))
@@ -54,7 +52,7 @@ _RECORDING = """'{"id":"p' || p_partkey || '","title":"' || p_name || '"' || CAS
     f"""WITH {_ARTISTS}, r AS (SELECT DISTINCT l_partkey AS p, 'c' || o_custkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
 l AS (SELECT p, string_agg('{{"id":"' || id || '"}}', ',' ORDER BY id) AS releases FROM r GROUP BY 1)
 SELECT p_partkey AS result_id, '{{"recordings":[' || {_RECORDING} || CASE WHEN p_partkey % 3 = 0 THEN ',"isrcs":["AA1","ZZ2"]' ELSE '' END || ',"releases":[' || releases || ']}}]}}' AS document
-FROM part JOIN a ra ON ra.ac = p_partkey % 5 LEFT JOIN l ON p = p_partkey WHERE p_partkey < {RESULTS}""",
+FROM part JOIN a ra ON ra.ac = p_partkey % 5 LEFT JOIN l ON p = p_partkey""",
 )
 def nested(spark, sf_dir):
     return asked(spark, sf_dir, {"recordings", "releaseids", "isrcs"})
@@ -71,7 +69,7 @@ _GROUP = """'{"id":"n' || n_nationkey || '","title":"' || n_name || '","type":"A
     "o093_compressed",
     f"""WITH {_ARTISTS}, {_RELEASES},
 g AS (SELECT p, string_agg({_GROUP} || ',"releases":[' || releases || ']}}', ',' ORDER BY 'n' || n_nationkey) AS groups FROM s JOIN nation ON n_nationkey = g JOIN a ga ON ga.ac = n_nationkey % 5 GROUP BY 1)
-SELECT p_partkey AS result_id, '{{"recordings":[{{"id":"p' || p_partkey || '","releasegroups":[' || groups || ']}}]}}' AS document FROM part LEFT JOIN g ON p = p_partkey WHERE p_partkey < {RESULTS}""",
+SELECT p_partkey AS result_id, '{{"recordings":[{{"id":"p' || p_partkey || '","releasegroups":[' || groups || ']}}]}}' AS document FROM part LEFT JOIN g ON p = p_partkey""",
 )
 def compressed(spark, sf_dir):
     """Releases leave out titles and artists that repeat their group's."""
@@ -82,7 +80,7 @@ def compressed(spark, sf_dir):
     "o091_release_groups",
     f"""WITH {_ARTISTS}, x AS (SELECT DISTINCT l_partkey AS p, c_nationkey AS g FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
 g AS (SELECT p, string_agg({_GROUP} || '}}', ',' ORDER BY 'n' || n_nationkey) AS groups FROM x JOIN nation ON n_nationkey = g JOIN a ga ON ga.ac = n_nationkey % 5 GROUP BY 1)
-SELECT p_partkey AS result_id, '{{"releasegroups":[' || groups || ']}}' AS document FROM part LEFT JOIN g ON p = p_partkey WHERE p_partkey < {RESULTS}""",
+SELECT p_partkey AS result_id, '{{"releasegroups":[' || groups || ']}}' AS document FROM part LEFT JOIN g ON p = p_partkey""",
 )
 def groups(spark, sf_dir):
     return asked(spark, sf_dir, {"releasegroups"})
@@ -93,7 +91,7 @@ def groups(spark, sf_dir):
     f"""WITH x AS (SELECT l_partkey AS p, o_custkey AS k, l_orderkey AS m, o_orderstatus AS f, l_linenumber AS n, l_returnflag AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
 m AS (SELECT p, k, m, '{{"position":' || m || ',"track_count":1,"format":"' || any_value(f) || '","tracks":[' || string_agg('{{"position":' || n || ',"id":"l-' || m || '-' || n || '","title":"' || t || '"}}', ',' ORDER BY n, t) || ']}}' AS medium FROM x GROUP BY 1, 2, 3),
 r AS (SELECT p, k, '{{"id":"c' || k || '","mediums":[' || string_agg(medium, ',' ORDER BY m) || ']}}' AS release FROM m GROUP BY 1, 2)
-SELECT p_partkey AS result_id, '{{"releases":[' || string_agg(release, ',' ORDER BY 'c' || k) || ']}}' AS document FROM part LEFT JOIN r ON p = p_partkey WHERE p_partkey < {RESULTS} GROUP BY 1""",
+SELECT p_partkey AS result_id, '{{"releases":[' || string_agg(release, ',' ORDER BY 'c' || k) || ']}}' AS document FROM part LEFT JOIN r ON p = p_partkey GROUP BY 1""",
 )
 def tracks(spark, sf_dir):
     return asked(spark, sf_dir, {"releaseids", "tracks"})
@@ -103,7 +101,7 @@ def tracks(spark, sf_dir):
     "o094_second_format",
     f"""WITH x AS (SELECT l_partkey AS p, o_custkey AS k, CASE WHEN o_custkey % 2 = 0 THEN n_name ELSE c_name END AS rt, l_orderkey AS m, o_orderstatus AS f, l_linenumber AS n, l_returnflag AS t, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 r AS (SELECT p, string_agg('{{"title":"' || t || '","duration":' || d || ',"position":' || n || ',"medium":{{"track_count":1,"position":' || m || ',"release":{{"id":"c' || k || '","title":"' || rt || '"}},"format":"' || f || '"}}}}', ',' ORDER BY 'c' || k, m, n, t, d) AS tracks FROM x GROUP BY 1)
-SELECT p_partkey AS result_id, '{{"recordings":[{{"id":"p' || p_partkey || '"' || CASE WHEN p_size > 0 THEN ',"duration":' || CAST(p_size AS DOUBLE) ELSE '' END || ',"tracks":[' || tracks || ']}}]}}' AS document FROM part LEFT JOIN r ON p = p_partkey WHERE p_partkey < {RESULTS}""",
+SELECT p_partkey AS result_id, '{{"recordings":[{{"id":"p' || p_partkey || '"' || CASE WHEN p_size > 0 THEN ',"duration":' || CAST(p_size AS DOUBLE) ELSE '' END || ',"tracks":[' || tracks || ']}}]}}' AS document FROM part LEFT JOIN r ON p = p_partkey""",
 )
 def second_format(spark, sf_dir):
     return asked(spark, sf_dir, {"m2"})
@@ -112,10 +110,10 @@ def second_format(spark, sf_dir):
 @query(
     "o096_sources",
     f"""WITH l AS (SELECT p_partkey AS t, p_partkey AS p, 11 AS n FROM part UNION ALL SELECT p_partkey, p_partkey + 1, 7 FROM part)
-SELECT t AS result_id, '{{"recordings":[' || string_agg('{{"id":"p' || p || '","sources":' || n || '}}', ',' ORDER BY 'p' || p) || ']}}' AS document FROM l JOIN part ON p_partkey = p WHERE t < {RESULTS} GROUP BY 1""",
+SELECT t AS result_id, '{{"recordings":[' || string_agg('{{"id":"p' || p || '","sources":' || n || '}}', ',' ORDER BY 'p' || p) || ']}}' AS document FROM l GROUP BY 1""",
 )
 def sources(spark, sf_dir):
-    """Two recordings for each track, with the submissions behind them."""
+    """Two recordings for each track, with the submissions behind them; the last track has one that the catalogue lacks."""
     part = table(spark, sf_dir, "part")
     next_ = F.concat(F.lit("p"), (c("p_partkey") + 1).cast("string"))
     links = part.select(c("p_partkey").alias("track_id"), called("p", "p_partkey").alias("mbid"), F.lit(11).alias("submission_count")).unionByName(part.select(c("p_partkey").alias("track_id"), next_.alias("mbid"), F.lit(7).alias("submission_count")))
@@ -125,7 +123,7 @@ def sources(spark, sf_dir):
 @query(
     "o095_submitted",
     f"""SELECT p_partkey AS result_id, CASE WHEN p_partkey % 10 < 5 THEN '{{"recordings":[{{"id":"p' || p_partkey || '"}}]}}'
-ELSE '{{"recordings":[{{"title":"' || p_name || '","artists":[{{"name":"' || p_brand || '"}}]}},{{"title":"' || p_type || '","releases":[{{"title":"' || p_brand || '"}}]}}]}}' END AS document FROM part WHERE p_partkey < {RESULTS}""",
+ELSE '{{"recordings":[{{"title":"' || p_name || '","artists":[{{"name":"' || p_brand || '"}}]}},{{"title":"' || p_type || '","releases":[{{"title":"' || p_brand || '"}}]}}]}}' END AS document FROM part""",
 )
 def submitted(spark, sf_dir):
     """Queries of which no result is in the catalogue show what users sent, the most frequent first."""
@@ -143,11 +141,11 @@ def credits(spark, sf_dir):
     return dc.credits(tables["artist_credit_name"], tables["artist"]).select("artist_credit", F.to_json("artists").alias("artists"))
 
 
-@query("o057_lists", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'AA1,ZZ2' ELSE '' END AS isrcs FROM part WHERE p_partkey < 100")
+@query("o057_lists", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'AA1,ZZ2' ELSE '' END AS isrcs FROM part")
 def codes(spark, sf_dir):
     tables = catalogue_tables(spark, sf_dir)
     held = tables["isrc"].groupBy(c("recording").alias("id")).agg(F.array_sort(F.collect_set("isrc")).alias("isrcs"))
-    rows = tables["recording"].where("id < 100").join(held, "id", "left")
+    rows = tables["recording"].join(held, "id", "left")
     return rows.select(c("id").alias("p_partkey"), F.coalesce(F.array_join("isrcs", ","), F.lit("")).alias("isrcs"))
 
 

@@ -186,17 +186,11 @@ def chains(spark, sf_dir):
     return st.resolve(st.flattened(rows))
 
 
-@query("o083_multi_sort", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS place FROM lineitem WHERE l_orderkey < 500")
+@query("o083_multi_sort", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS place FROM lineitem")
 def multi_sort(spark, sf_dir):
-    """Sorted lines, with the place of each, so that the order itself shows."""
-    from pyspark.sql import Window
-
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    of_order = Window.partitionBy("l_orderkey").orderBy(*keys[1:])
-    sizes = line.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    before = sizes.select("l_orderkey", (F.sum("n").over(Window.orderBy("l_orderkey")) - c("n")).alias("before"))
-    return line.withColumn("at", F.row_number().over(of_order)).join(before, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", (c("before") + c("at")).alias("place"))
+    """All lines with their place in the order of several columns, so that the order itself shows; no task sorts all of them."""
+    placed = st.numbered(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", c("n").cast("long").alias("place"))
 
 
 @query("o084_last", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -207,11 +201,9 @@ def last(spark, sf_dir):
 @query("o085_fallback", "SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(nullif(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END, ''), CAST(s_suppkey AS VARCHAR))) AS place FROM supplier")
 def fallback(spark, sf_dir):
     """Suppliers in the order of names, where they have one; the place shows the order."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(c("s_suppkey") % 2 == 0, c("s_name")).otherwise("").alias("name"))
-    placed = lo.by_name(rows, "name", "s_suppkey").coalesce(1).withColumn("at", F.monotonically_increasing_id())
-    return placed.select("s_suppkey", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+    placed = st.numbered(rows.withColumn("by", lo.name_or_key("name", "s_suppkey")), ["by"])
+    return placed.select("s_suppkey", c("n").cast("long").alias("place"))
 
 
 @query("o089_sets", "SELECT c_custkey, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INT) AS only_a, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INT) AS both, CAST(len(list_distinct(a || b)) AS INT) AS either FROM (SELECT c_custkey, [c_custkey % 3, c_custkey % 5 + 10, 20] AS a, [c_custkey % 2, c_custkey % 7 + 10, 20] AS b FROM customer)")

@@ -82,7 +82,8 @@ def bootstrap(snapshot: DataFrame, log: DataFrame, key: str, position: int) -> D
 
 def bootstrap_rows(corpus: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """chunk, id and terms of all fingerprints (id, hashes) that have any: what a stream of chunks carries, made in parallel."""
-    rows = corpus.select("id", fp.extract_query(F.col("hashes")).alias("terms")).where(F.size("terms") > 0)
+    # A filter on a generated column stays above its generator, so the terms are made once.
+    rows = corpus.select("id", F.explode(F.array(fp.extract_query(F.col("hashes")))).alias("terms")).where(F.size("terms") > 0)
     return rows.select(F.floor(F.col("id") / chunk).alias("chunk"), "id", "terms")
 
 

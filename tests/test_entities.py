@@ -1,5 +1,7 @@
 """Links, merges and the import of submissions, on small tables whose outcomes are known."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,17 +98,21 @@ def known():
     return {name: fp.decode_legacy(text)[1].astype("uint32").view("int32").tolist() for name, text in goldens.SAMPLES.items()}
 
 
+QUEUE = f"id long, hashes array<int>, length int, application_id long, account_id long, application_version string, mbid string, puid string, meta {im.META}, foreignid string"
+
+
 def submission(known, i, name, length=260, **fields):
     held = {"mbid": None, "puid": None, "meta": None, "foreignid": None} | (fields or {"mbid": "m1"})
-    return (i, known[name], 320 if name == "other_song" else length, 1, held["mbid"], held["puid"], held["meta"], held["foreignid"])
+    meta = held["meta"] and (held["meta"], *[None] * 6)
+    return (i, known[name], 320 if name == "other_song" else length, 5, 6, "v1", held["mbid"], held["puid"], meta, held["foreignid"])
 
 
 def corpus(spark, known, **scores):
     """The best copy of a song, as fingerprint 1 on track 1 of four tracks."""
     state = im.empty_state(spark, **scores)
-    prints = spark.createDataFrame([(1, 1, known["song_320k"], 260, 1)], state.fingerprints.schema)
+    prints = spark.createDataFrame([(1, 1, known["song_320k"], 260, None, None, 1)], state.fingerprints.schema)
     tracks = spark.createDataFrame([(i, None) for i in range(1, 5)], state.tracks.schema)
-    return im.replace(state, fingerprints=prints, tracks=tracks)
+    return state.with_tables(fingerprints=prints, tracks=tracks)
 
 
 @pytest.mark.parametrize(
@@ -114,7 +120,7 @@ def corpus(spark, known, **scores):
     [("song_160k", {}, (1, 1)), ("song_320k", {}, (1, 1)), ("song_64k", {"same_score": 0.95}, (2, 1)), ("song_32k", {"track_score": 0.9}, (2, 5)), ("other_song", {}, (2, 5))],
 )
 def test_where_a_submission_goes(spark, known, name, scores, want):
-    queue = spark.createDataFrame([submission(known, 7, name, mbid="m1", foreignid="v:1", meta="title")], im.SUBMISSION)
+    queue = spark.createDataFrame([submission(known, 7, name, mbid="m1", foreignid="v:1", meta="a\n\t title")], QUEUE)
     after = im.import_round(corpus(spark, known, **scores), queue)
     (result,) = after.results.collect()
     assert (result.fingerprint_id, result.track_id) == want
@@ -123,17 +129,87 @@ def test_where_a_submission_goes(spark, known, name, scores, want):
     assert counts == ({1: 2} if want[0] == 1 else {1: 1, 2: 1})
     assert rows(after.links["mbid"], "track_id", "mbid", "submission_count") == [(want[1], "m1", 1)]
     assert rows(after.provenance["foreignid"], "submission_id", "source_id") == [(7, 1)]
+    (meta,) = after.metas.collect()
+    assert (meta.track, meta.gid) == ("a title", result.meta_gid) and rows(after.sources, "id", "application_id", "account_id", "version") == [(1, 5, 6, "v1")]
+    assert (result.account_id, result.application_id, result.application_version, result.handled_at is None) == (6, 5, "v1", False)
 
 
 def test_a_queue_into_an_empty_store(spark, known):
     """Two songs, one of them twice: the second copy waits for the first."""
-    queue = spark.createDataFrame([submission(known, 1, "song_320k", mbid="m1"), submission(known, 2, "other_song", mbid="m2"), submission(known, 3, "song_320k", mbid="m1"), submission(known, 4, "other_song", puid=cl.ZERO_ID)], im.SUBMISSION)
+    queue = spark.createDataFrame([submission(known, 1, "song_320k", mbid="m1"), submission(known, 2, "other_song", mbid="m2"), submission(known, 3, "song_320k", mbid="m1"), submission(known, 4, "other_song", puid=cl.ZERO_ID)], QUEUE)
     state, rounds = im.import_all(im.empty_state(spark), queue)
     assert rounds == 2 and state.fingerprints.count() == 2 and state.tracks.count() == 2
     got = {r.submission_id: (r.fingerprint_id, r.track_id) for r in state.results.collect()}
     assert sorted(got) == [1, 2, 3] and got[1] == got[3] != got[2]
     assert {r.mbid: r.submission_count for r in state.links["mbid"].collect()} == {"m1": 2, "m2": 1}
-    assert state.provenance["mbid"].count() == 3
+    assert state.provenance["mbid"].count() == 3 and {r.id for r in state.tracks.collect()} == {1, 2}
+
+
+def folders(spark, name):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    return {x for x in os.listdir(base) if x.startswith(name)} if os.path.isdir(base) else set()
+
+
+def test_a_round_writes_what_it_touches(spark, known):
+    """Known fingerprints in far ranges stay as they are; a round with one of them writes its range, and adds files elsewhere."""
+    other = known["other_song"]
+    state = im.empty_state(spark)
+    prints = [(1, 1, known["song_320k"], 260, None, None, 1), (70_000, 70_000, other, 320, None, None, 1)]
+    links = [(1, 1, "m1", 1, False, None), (2, 70_000, "m2", 5, False, None)]
+    state = state.with_tables(fingerprints=spark.createDataFrame(prints, state.fingerprints.schema), tracks=spark.createDataFrame([(1, None), (70_000, None)], state.tracks.schema), links_mbid=spark.createDataFrame(links, state.links["mbid"].schema))
+    before = {x: folders(spark, x) for x in ("rows", "done", "queue", "known", "matches")}
+    store = im.Store(state, spark)
+    queue = spark.createDataFrame([submission(known, 1, "other_song", mbid="m2"), submission(known, 2, "song_160k", mbid="m9")], QUEUE)
+    (touched,) = im.rounds(store, queue)
+    assert touched == {"fingerprints": [0, 1], "links_mbid": [1]} or touched == {"fingerprints": [1], "links_mbid": [1]}
+    after = store.state()
+    assert {r.id: r.submission_count for r in after.fingerprints.collect()}[70_000] == 2
+    assert sorted((r.track_id, r.mbid, r.submission_count) for r in after.links["mbid"].collect()) == [(1, "m1", 1), (1, "m9", 1), (70_000, "m2", 6)]
+    assert {x: folders(spark, x) for x in before} == before  # nothing on the way stays
+    again = spark.createDataFrame([submission(known, 5, "other_song", mbid="m2")], QUEUE)
+    assert [t["links_mbid"] for t in im.rounds(store, again)] == [[1]]
+    assert {r.id: r.submission_count for r in store.state().fingerprints.collect()}[70_000] == 3
+
+
+def test_metadata_sources_and_foreign_ids_are_checked(spark, known):
+    state = im.empty_state(spark)
+    state = state.with_tables(
+        sources=spark.createDataFrame([(4, 1, 2, None)], state.sources.schema),
+        metas=spark.createDataFrame([(8, "g8", "t", None, None, None, None, None, None)], state.metas.schema),
+        foreignids=spark.createDataFrame([(3, "v:3")], state.foreignids.schema),
+        formats=spark.createDataFrame([(2, "MP3")], state.formats.schema),
+    )
+    hashes = lambda k: [(i * 7919 + k * 104729) * 16 for i in range(90)]
+    meta = ("x  y", "", None, None, 20_000, 3, 1999)
+    held = [
+        (1, hashes(1), 100, 4, None, None, None, 8, None, 3, "MP3", "m"),
+        (2, hashes(2), 100, 99, None, None, None, None, None, None, None, "m"),
+        (3, hashes(3), 100, None, 1, 2, None, 9, None, None, "FLAC", "m"),
+        (4, hashes(4), 100, None, 1, 2, "b", None, meta, 7, None, None),
+        (5, hashes(5), 100, None, 1, 2, "b", None, (*[None] * 7,), None, None, None),
+    ]
+    names = f"id long, hashes array<int>, length int, source_id long, application_id long, account_id long, application_version string, meta_id long, meta {im.META}, foreignid_id long, format string, mbid string"
+    after = im.import_round(state, spark.createDataFrame(held, names), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    got = {r.submission_id: (r.application_id, r.account_id, r.application_version, r.meta_id, r.meta_gid is None, r.foreignid) for r in after.results.collect()}
+    assert got == {1: (1, 2, None, 8, False, "v:3"), 3: (1, 2, None, None, True, None), 4: (1, 2, "b", 9, False, None)}
+    assert {r.id: (r.track, r.track_no, r.disc_no, r.year) for r in after.metas.collect()}[9] == ("x y", None, 3, 1999)
+    assert sorted(map(tuple, after.sources.collect())) == [(4, 1, 2, None), (5, 1, 2, "b")] and {r.name: r.id for r in after.formats.collect()} == {"MP3": 2, "FLAC": 3}
+    assert [r.id for r in after.fingerprints.orderBy("id").collect()] == [1, 2, 3] and {r.id: r.format_id for r in after.fingerprints.collect()} == {1: 2, 2: 3, 3: None}
+    assert {str(r.handled_at) for r in after.results.collect()} == {"2024-01-02 03:04:05"}
+
+
+def test_waiting_needs_few_pairs(spark, monkeypatch):
+    """One term is in every submission; two are copies of earlier ones. The pairs stay in proportion to the submissions."""
+    def queue(n):
+        rows = [(i, [16] + [(i * 1000 + k) * 1024 for k in range(100)], 100) for i in range(n)]
+        return spark.createDataFrame([*rows, (n, rows[3][1], 100), (n + 1, rows[n - 1][1], 103)], "id long, hashes array<int>, length int")
+
+    pairs = []
+    kept = im.se.scored
+    monkeypatch.setattr(im.se, "scored", lambda asked, corpus, found, *rest: pairs.append(found.count()) or kept(asked, corpus, found, *rest))
+    for n in (150, 300):
+        assert sorted(r.id for r in im.waiting(queue(n), cl.TRACK_SCORE, common=50).collect()) == [n, n + 1]
+    assert pairs[1] <= 2.2 * pairs[0] and pairs[1] <= 20 * 302
 
 
 def test_gate(spark, known):

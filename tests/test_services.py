@@ -298,7 +298,7 @@ def test_documents(spark):
         return {r.result_id: r.document and json.loads(r.document) for r in dc.documents(results, links, rows, set(words), **options).collect()}
 
     credit = [{"id": "a7", "name": "A", "joinphrase": " & "}, {"id": "a8", "name": "B"}]
-    assert made("recordings", "isrcs") == {"x": {"recordings": [{"id": "r1", "title": "Song", "artists": credit, "isrcs": ["C", "Z"]}]}, "y": None}
+    assert made("recordings", "isrcs") == {"x": {"recordings": [{"id": "r1", "title": "Song", "artists": credit, "isrcs": ["C", "Z"]}]}, "y": {"recordings": [{"id": "nobody"}]}}
     events = [{"country": "DE", "date": {"year": 2002, "month": 5, "day": 1}}, {"country": "FR", "date": {"year": 2001}}]
     release = {"id": "l4", "title": "Album", "medium_count": 1, "track_count": 9, "artists": credit, "releaseevents": events, "country": "DE", "date": events[0]["date"]}
     assert made("releases")["x"] == {"releases": [release]}
@@ -310,10 +310,12 @@ def test_documents(spark):
     full = made("recordings", "releasegroups", "releases", "tracks", "compress", "sources")["x"]["recordings"][0]
     short = {k: v for k, v in release.items() if k not in ("title", "artists")} | {"mediums": [medium | {"tracks": [{"position": 1, "id": "t2", "title": "Song (live)"}, {"position": 2, "id": "t1"}]}]}
     assert full == {"id": "r1", "title": "Song", "artists": credit, "sources": 3, "releasegroups": [{k: v for k, v in group.items() if k != "artists"} | {"releases": [short]}]}
+    assert made("recordingids", "sources")["y"] == {"recordings": [{"id": "nobody", "sources": 1}]} and made("m2")["y"] == {"recordings": [{"id": "nobody"}]}
+    assert made("releases")["y"] is None and made("recordings", "releasegroups")["y"] == {"recordings": [{"id": "nobody"}]}
     second = made("m2")["x"]["recordings"][0]
     assert [t["title"] for t in second["tracks"]] == ["Song (live)", "Song"] and second["tracks"][1]["medium"] == {"track_count": 9, "position": 1, "release": {"id": "l4", "title": "Album"}, "format": "CD"}
     sent = spark.createDataFrame([(11, 1, 2, "x", "", None), (11, 2, 9, "", "me", "alb"), (10, 3, 1, "no", None, None)], "track_id long, meta_id long, submission_count long, title string, artist string, album string")
     users = made("recordings", "usermeta", submitted=sent)
-    assert users["y"] == {"recordings": [{"artists": [{"name": "me"}], "releases": [{"title": "alb"}]}, {"title": "x"}]} and "artists" in users["x"]["recordings"][0]
+    assert users["y"] == {"recordings": [{"id": "nobody"}, {"artists": [{"name": "me"}], "releases": [{"title": "alb"}]}, {"title": "x"}]} and "artists" in users["x"]["recordings"][0]
     assert made() == {"x": None, "y": None}
     assert [r.mbid for r in dc.unseen(links, rows).collect()] == ["nobody"]
