@@ -159,7 +159,8 @@ def round_changes(state: State, rows: DataFrame, scratch: Scratch, handled_at: C
     index: the terms of all fingerprints, if kept."""
     none = F.lit(None).cast("timestamp")
     handled_at = F.current_timestamp() if handled_at is None else handled_at
-    rows, sources = _sourced(state, cl.importable(prepared(submissions(rows))), scratch)
+    good = scratch.keep(cl.importable(prepared(submissions(rows))), "good")
+    rows, sources = _sourced(state, good, scratch)
     rows = scratch.keep(rows, "rows")
     corpus = state.fingerprints.select("id", "hashes", "length", F.col("id").alias("group"), "track_id")
     asked = rows.select(F.col("id").alias("query_id"), "hashes", "length")

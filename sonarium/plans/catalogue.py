@@ -16,6 +16,7 @@ from sonarium.plans.registry import QUERIES, SQL, query
 from sonarium.sources import tables as tb
 from sonarium.sources.tables import spread, table
 from sonarium.streaming import feed
+from sonarium.streaming import limits as lm
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -172,11 +173,51 @@ def nations_as_xml(spark, sf_dir):
     return rows.select("n_nationkey", tb.xml(F.col("r"), "nation", rows.schema["r"].dataType).alias("xml"))
 
 
-@query("o086_limited")
+#: Buckets of five seconds of a key, in their order; what the last three accepted is carried along.
+_LIMITED = """WITH RECURSIVE h AS (SELECT event_type AS k, CAST(floor(epoch(ts)) AS BIGINT) // 5 * 5 AS bucket, count(*) AS hits FROM events GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bucket) AS i FROM h),
+r AS (
+  SELECT k, i, bucket, hits, least(hits, 2) AS accepted, -1000::BIGINT AS b1, 0::BIGINT AS a1, -1000::BIGINT AS b2, 0::BIGINT AS a2 FROM n WHERE i = 1
+  UNION ALL SELECT n.k, n.i, n.bucket, n.hits, least(n.hits, greatest(0, 2 - CASE WHEN r.bucket > n.bucket - 20 THEN r.accepted ELSE 0 END
+    - CASE WHEN r.b1 > n.bucket - 20 THEN r.a1 ELSE 0 END - CASE WHEN r.b2 > n.bucket - 20 THEN r.a2 ELSE 0 END)), r.bucket, r.accepted, r.b1, r.a1
+  FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1)
+SELECT k AS {0}, bucket, hits, accepted FROM r"""
+
+
+@query("o086_limited", _LIMITED.format("event_type"))
 def limits(spark, sf_dir):
     return rq.limited(table(spark, sf_dir, "events"), "event_type", "ts", 0.1)
 
 
+@query("o086b_limited_stream", _LIMITED.format("key"))
+def limits_of_a_stream(spark, sf_dir):
+    """The same of the events as a stream, with state of a window a key and timers; one hit of a day later lets the watermark pass all others."""
+    out = tb.shared_folder(spark, "limited")
+    events = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    before = spark.conf.get(lm.STORE[0], None)
+    spark.conf.set(*lm.STORE)
+    with tb.Scratch(spark) as scratch:
+        try:
+            end = tb.shared_folder(spark, "end")
+            scratch.paths += [end, f"{out}/checkpoint"]
+            events.agg(F.lit("end").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).write.parquet(end)
+            files = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(events_folder(spark, sf_dir, scratch))
+            hits = files.select("event_type", F.col("ts").cast("timestamp").alias("ts")).unionByName(spark.readStream.schema(events.schema).parquet(end))
+            limited = lm.limited_stream(hits, "event_type", "ts", 0.1)
+            limited.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(lm.STORE[0], before) if before else spark.conf.unset(lm.STORE[0])
+    return spark.read.schema("key STRING, bucket LONG, hits LONG, accepted LONG").parquet(f"{out}/rows")
+
+
+def events_folder(spark, sf_dir, scratch):
+    """A folder with the events alone, as files of a stream."""
+    path = tb.shared_folder(spark, "events")
+    scratch.paths.append(path)
+    table(spark, sf_dir, "events").write.parquet(path)
+    return path
+
+
 @query("o092_meta_dispatch", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'recordings' WHEN 2 THEN 'm2' ELSE 'releasegroups' END AS kind FROM events")
 def dispatch(spark, sf_dir):
     meta = F.element_at(F.array(*map(F.lit, ("0", "1", "2", "releases\treleasegroupids "))), (F.col("event_id") % 4 + 1).cast("int"))

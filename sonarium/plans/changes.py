@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from sonarium.functions import text as tx
@@ -18,6 +20,7 @@ from sonarium.sources import tables as tb
 from sonarium.sources.tables import table
 from sonarium.streaming import changes as ch
 from sonarium.streaming import feed
+from sonarium.streaming import log as lg
 
 c = F.col
 
@@ -242,12 +245,46 @@ def row_changes(spark, sf_dir):
     return last.select("id", c("lsn").cast("long").alias("lsn"), "action", F.array_join("hashes", ",").alias("hashes"))
 
 
-@query("o008_messages", "SELECT 'changes.' || o_custkey AS subject, max(o_orderkey) AS lsn FROM orders GROUP BY 1")
+@query(
+    "o008_messages",
+    """SELECT 'changes.' || o_custkey AS subject, max(o_orderkey) AS lsn, '{"id":' || o_custkey || ',"kind":"update","query":[0'
+|| CASE WHEN o_custkey >= 16 THEN ',' || (o_custkey - o_custkey % 16) ELSE '' END || '],"simhash":' || (o_custkey & 1) || '}' AS body FROM orders GROUP BY o_custkey""",
+)
 def messages(spark, sf_dir):
-    """Messages of two batches, of which the newest of each subject stays."""
+    """Messages of two batches, one of which comes twice, in a store that keeps the newest of each subject."""
     rows = table(spark, sf_dir, "orders").select(c("o_orderkey").cast("decimal(20,0)").alias("lsn"), F.lit("U").alias("action"), c("o_custkey").alias("id"), F.array(F.lit(1), c("o_custkey").cast("int")).alias("hashes"))
-    batch = [ch.message(ch.latest_changes(rows.where(f"lsn % 2 = {i}"))) for i in range(2)]
-    return ch.kept_messages(*batch).select("subject", c("lsn").cast("long").alias("lsn"))
+    folder = tb.shared_folder(spark, "messages")
+    for i in (1, 0, 1):
+        lg.keep_messages(spark, ch.message(ch.latest_changes(rows.where(f"lsn % 2 = {i}"))), folder)
+    return lg.kept_messages(spark, folder).select("subject", c("lsn").cast("long").alias("lsn"), "body")
+
+
+@query("o141b_change_stream", "SELECT row_number() OVER (ORDER BY doc_id % 3, doc_id) AS id, doc_id AS fingerprint_id FROM documents")
+def change_stream(spark, sf_dir):
+    """Documents go into a log in three months, and come out of it as a stream, in two runs with one checkpoint."""
+    with tb.Scratch(spark) as scratch:
+        corpus = scratch.keep(fingerprints(spark, sf_dir, "documents", "doc_id"), "corpus")
+        held = lg.ChangeLog(spark)
+        out = tb.shared_folder(spark, "streamed")
+        scratch.paths += [held.folder, f"{out}/checkpoint"]
+        for i in range(3):
+            held.append(corpus.where(f"id % 3 = {i}"), date(2024, i + 1, 5))
+            if i > 0:
+                stream = lg.changes_stream(spark, held.folder, page=10_000).writeStream.format("parquet").option("path", f"{out}/rows")
+                stream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id BIGINT, fingerprint_id BIGINT, query ARRAY<BIGINT>").parquet(f"{out}/rows").select("id", "fingerprint_id")
+
+
+@query("o142_floor", "SELECT row_number() OVER (ORDER BY doc_id % 3, doc_id) AS id, doc_id AS fingerprint_id FROM documents QUALIFY id > (SELECT count(*) FROM documents WHERE doc_id % 3 = 0)")
+def above_the_floor(spark, sf_dir):
+    """What a log of three months has left once the first one was dropped, read from its floor."""
+    with tb.Scratch(spark) as scratch:
+        corpus = scratch.keep(fingerprints(spark, sf_dir, "documents", "doc_id"), "corpus")
+        held = lg.ChangeLog(spark)
+        for i in range(3):
+            held.append(corpus.where(f"id % 3 = {i}"), date(2024, i + 1, 5))
+        held.maintain(date(2024, 4, 10))
+        return held.rows(held.floor()).select("id", "fingerprint_id")
 
 
 @query(
@@ -326,4 +363,5 @@ def by_gid(spark, sf_dir):
 def streamed(spark, sf_dir):
     out = tb.shared_folder(spark, "hourly")
     feed.hourly_counts(spark, sf_dir, "events.parquet", f"{out}/counts", f"{out}/checkpoint")
+    tb.delete(spark, f"{out}/checkpoint")
     return feed.newest_counts(spark, f"{out}/counts").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
