@@ -69,7 +69,9 @@ def sequences(rows: DataFrame, family: int = 1, head: Callable[[int], int] | Non
 
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     conv = F.col("conv_id").cast("long")
-    held = rows.where(conv.isNotNull()).select(conv.alias("conv_id"), F.col("turn").cast("long").alias("turn"), _turn_key(role, text).alias("key"), F.octet_length(text).cast("long").alias("size"))
+    held = rows.where(conv.isNotNull()).select(
+        conv.alias("conv_id"), F.col("turn").cast("long").alias("turn"), _turn_key(role, text).alias("key"), F.octet_length(text).cast("long").alias("size")
+    )
     held = held.repartition(partitions(rows.sparkSession), F.col("conv_id") - F.pmod("conv_id", F.lit(family)))
     held = held.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "key").drop("turn")
     return map_rows(held, chains, "conv_id BIGINT, length BIGINT, classes ARRAY<BINARY>, sizes ARRAY<BIGINT>")
@@ -95,7 +97,8 @@ def _refined(convs: DataFrame, first_turns: int) -> DataFrame:
     rounds, active, low, step = [], convs, 0, first_turns
     while True:
         turns = F.posexplode(F.arrays_zip(F.slice("classes", low + 1, step).alias("class"), F.slice("sizes", low + 1, step).alias("size")))
-        held = active.select("conv_id", "length", F.when(F.lit(low) == 0, F.lit(_ROOT)).otherwise(F.get("classes", F.lit(low - 1))).alias("above"), F.slice("classes", low + 1, step).alias("path"), turns.alias("i", "turn"))
+        above = F.lit(_ROOT) if low == 0 else F.get("classes", F.lit(low - 1))
+        held = active.select("conv_id", "length", above.alias("above"), F.slice("classes", low + 1, step).alias("path"), turns.alias("i", "turn"))
         parent = F.when(F.col("i") == 0, F.col("above")).otherwise(F.get("path", F.col("i") - 1))
         split = held.select("conv_id", "length", (F.col("i") + low + 1).cast("long").alias("depth"), F.col("turn")["class"].alias("class"), parent.alias("parent"), F.col("turn")["size"].alias("size"))
         one = lambda c: F.min(c).alias(c)  # noqa: E731  the same in all rows of a class
@@ -142,7 +145,8 @@ def prefix_trie(convs: DataFrame, first_turns: int = FIRST_TURNS) -> DataFrame:
     with scratch(spark):
         convs = written(convs, "trie-convs")
         root = convs.agg(F.count("*").alias("n"), F.min("conv_id").alias("owner"), F.max("length").alias("longest")).where("n > 0")
-        root = root.select(F.lit(_ROOT).alias("class"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("size"), "n", "owner", "longest")
+        none_yet = F.lit(0).cast("long")
+        root = root.select(F.lit(_ROOT).alias("class"), none_yet.alias("depth"), F.lit(None).cast("binary").alias("parent"), none_yet.alias("size"), "n", "owner", "longest")
         nodes = root.unionByName(_refined(convs, first_turns))
         alone = (F.col("n") == 1) & (F.col("depth") > 0)
         saving = (F.col("n") - 1) * F.col("size")
@@ -152,7 +156,8 @@ def prefix_trie(convs: DataFrame, first_turns: int = FIRST_TURNS) -> DataFrame:
         owned = written(owned, "trie-owned")
 
         chains = owned.groupBy("owner").agg(F.min("depth").alias("top"), F.max("below").alias("saved"), F.max("leaves").alias("leaves")).where("top > 0")
-        above = chains.join(convs, F.col("owner") == F.col("conv_id")).select("saved", "leaves", F.explode(F.concat(F.array(F.lit(_ROOT)), F.slice("classes", F.lit(1), (F.col("top") - 1).cast("int")))).alias("class"))
+        path_above = F.concat(F.array(F.lit(_ROOT)), F.slice("classes", F.lit(1), (F.col("top") - 1).cast("int")))
+        above = chains.join(convs, F.col("owner") == F.col("conv_id")).select("saved", "leaves", F.explode(path_above).alias("class"))
         folded = above.groupBy("class").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"))
         children = owned.where("parent IS NOT NULL").groupBy(F.col("parent").alias("class")).agg(F.count("*").alias("children"))
         retired = owned.where("alone").select(F.col("owner").alias("conv_id"))
