@@ -108,6 +108,16 @@ def content_id(hashes: Column, version: Column | int = 1) -> Column:
     return uuid5(NAMESPACE, F.unhex(F.concat(little_endian(version), F.array_join(F.transform(hashes, little_endian), ""))))
 
 
+def overlaps(a: Column | str, b: Column | str) -> Column:
+    """Whether two fingerprints share a hash; null where one is null."""
+    return F.arrays_overlap(a, b)
+
+
+def subarray(hashes: Column | str, start: int, length: int) -> Column:
+    """Hashes from the start-th one on (counted from 0), as many as there are up to a length."""
+    return F.slice(hashes, start + 1, length)
+
+
 def xor_at(a: Column, b: Column, offset: int) -> Column:
     """XOR of two fingerprints, the second moved by an offset; only where both are."""
     left = F.slice(a, 1 + max(0, offset), F.greatest(F.size(a), F.lit(1)))

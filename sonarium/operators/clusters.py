@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
 from sonarium.functions import text as tx
+from sonarium.operators.state import closure
 
 #: Fixed value: the id that stands for none.
 ZERO_ID = "00000000-0000-0000-0000-000000000000"
@@ -92,17 +93,8 @@ def outliers(scored: DataFrame, group: str, key: str) -> DataFrame:
     return low.join(good, key, "left_semi").select(group, key)
 
 
-def greedy_groups(pairs: list[tuple[int, int]]) -> list[set[int]]:
-    """Sets of tracks to merge: each first track, in order, with those that pair with it and were not taken. For the few tracks of one decision."""
-    near: dict[int, set[int]] = {}
-    for a, b in pairs:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    taken: set[int] = set()
-    groups = []
-    for t in sorted(near):
-        group = ({t} | near[t]) - taken
-        if t not in taken and len(group) > 1:
-            groups.append(group)
-            taken |= group
-    return groups
+def merge_groups(pairs: DataFrame) -> DataFrame:
+    """track and group of tracks that may merge, of pairs (a, b; a < b): each track follows the largest one before it that it pairs with, and its group is where that ends. Tracks that only others follow are their own group."""
+    before = pairs.where("a < b").groupBy(F.col("b").alias("id")).agg(F.max("a").alias("target"))
+    led = closure(before).select(F.col("id").alias("track"), F.col("target").alias("group"))
+    return led.unionByName(led.select(F.col("group").alias("track"), "group").distinct())

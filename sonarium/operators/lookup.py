@@ -140,3 +140,31 @@ def last_by(rows: DataFrame, *order: str) -> DataFrame:
     """The one row that comes last in an order, found without a sort of all rows."""
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     return rows.agg(F.max_by(whole, F.struct(*order)).alias("r")).where("r is not null").select("r.*")
+
+
+def with_tracks(fingerprints: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Fingerprints (track_id) with what is known of their track (tracks: id and other columns); those of no track are left out."""
+    return fingerprints.join(tracks.withColumnRenamed("id", "track_id"), "track_id")
+
+
+def placements(tracks: DataFrame, mediums: DataFrame, releases: DataFrame, events: DataFrame) -> DataFrame:
+    """Where recordings stand: tracks (medium) with their medium (mediums: id, release) and release (releases: id, place), and with an event of the release's place, if any (events: place)."""
+    placed = tracks.join(mediums.withColumnRenamed("id", "medium"), "medium").join(releases.withColumnRenamed("id", "release"), "release")
+    return placed.join(events, "place", "left")
+
+
+def with_names(rows: DataFrame, *steps: tuple[str, DataFrame]) -> DataFrame:
+    """Rows with what tables say of their keys, one table after another; a key that a table lacks, or that is null, leaves nulls."""
+    for key, names in steps:
+        rows = rows.join(names, key, "left")
+    return rows
+
+
+def matched(links: DataFrame, recordings: DataFrame, key: str) -> DataFrame:
+    """All links, with each recording of their key, if there is any."""
+    return links.join(recordings, key, "left")
+
+
+def public(rows: DataFrame, id_column: str, milliseconds: str, **names: str) -> DataFrame:
+    """Rows as they are shown: the id as text, a length in seconds, and other columns under new names."""
+    return rows.select(F.col(id_column).cast("string").alias("id"), (F.col(milliseconds) / 1000.0).alias("share"), *[F.col(v).alias(k) for k, v in names.items()])

@@ -43,6 +43,35 @@ def parts(params: Column, names: list[str]) -> Column:
     return F.transform(every, lambda n: F.struct(n.alias("n"), *[pick(name, n) for name in names]))
 
 
+#: The difference of lengths that a lookup allows unless told otherwise, and the largest one that may be asked for.
+LENGTH_DIFF, LARGEST_LENGTH_DIFF = 7, 30
+
+
+def lookup_request(params: Column) -> Column:
+    """A lookup's map of parameters as a struct: band (the difference of lengths allowed), queries (n, trackid, duration, fingerprint, error) and error.
+
+    A part with a track id asks for that; else it needs a duration and a fingerprint. A bad part is left out by whoever asks,
+    as its error says; the request as a whole fails with the last part's error where no part is good, where there is none, or
+    where the difference is out of bounds. A number that is none counts as not given."""
+    named = parts(params, ["trackid", "fingerprint", "duration"])
+    asked = F.filter(named, lambda p: p["trackid"].isNotNull() | p["fingerprint"].isNotNull())
+    given = lambda v: F.coalesce(v, F.lit("")) != ""
+    number = lambda v: F.when(v.rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.trim(v).cast("int"))
+
+    def query(p: Column) -> Column:
+        seconds = F.coalesce(number(p["duration"]), F.lit(0))
+        by_gid = F.when(~tx.is_uuid(p["trackid"]), "invalid uuid")
+        by_print = F.when(seconds == 0, "missing duration").when(~given(p["fingerprint"]), "missing fingerprint")
+        return F.struct(p["n"].alias("n"), p["trackid"].alias("trackid"), seconds.alias("duration"), p["fingerprint"].alias("fingerprint"), F.when(given(p["trackid"]), by_gid).otherwise(by_print).alias("error"))
+
+    queries = F.transform(asked, query)
+    diff = number(F.try_element_at(params, F.lit("maxdurationdiff")))
+    band = F.coalesce(diff, F.lit(LENGTH_DIFF))
+    error = F.when(~band.between(1, LARGEST_LENGTH_DIFF), "invalid maxdurationdiff").when(F.size(asked) == 0, "missing fingerprint")
+    error = error.when(F.forall(queries, lambda q: q["error"].isNotNull()), F.element_at(queries, -1)["error"])
+    return F.struct(band.alias("band"), queries.alias("queries"), error.alias("error"))
+
+
 def numbered(params: Column, name: str) -> Column:
     """Of a map of parameters, those called name, name.0, name.1 and so on as structs of n (-1 without a number) and value, by n."""
     mine = F.filter(F.map_entries(params), lambda e: e["key"].rlike(rf"^{name}(\.[0-9]{{1,9}})?$"))

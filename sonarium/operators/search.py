@@ -120,12 +120,12 @@ def tail_candidates(queries: DataFrame, corpus: DataFrame, newest: int) -> DataF
 
 def scored(queries: DataFrame, corpus: DataFrame, found: DataFrame, least_score: float, length_band: int | None, limit: int) -> DataFrame:
     """Exact scores of candidates (query_id, id): those within the length band and above least_score; of a query the first `limit`, and of these the first of each group."""
-    asked = queries.select("query_id", F.col("hashes").alias("a"), F.col("length").alias("a_length"))
+    band = F.col("band") if "band" in queries.columns else F.lit(length_band).cast("int")
+    asked = queries.select("query_id", F.col("hashes").alias("a"), F.col("length").alias("a_length"), band.alias("a_band"))
     held = corpus.select("id", "group", F.col("hashes").alias("b"), F.col("length").alias("b_length"))
     # The band is looked at before the hashes travel.
-    near = found.join(asked.select("query_id", "a_length"), "query_id").join(held.select("id", "group", "b_length"), "id")
-    if length_band is not None:
-        near = near.where(F.abs(F.col("a_length") - F.col("b_length")) <= length_band)
+    near = found.join(asked.select("query_id", "a_length", "a_band"), "query_id").join(held.select("id", "group", "b_length"), "id")
+    near = near.where(F.col("a_band").isNull() | (F.abs(F.col("a_length") - F.col("b_length")) <= F.col("a_band")))
     pairs = near.select("query_id", "id", "group").join(asked.select("query_id", "a"), "query_id").join(held.select("id", "b"), "id")
     good = pairs.select("query_id", "id", "group", fp.compare("a", "b").alias("score")).where(F.col("score") > least_score)
     return first_of_groups(good, limit)
@@ -146,7 +146,7 @@ def search(
     queries: DataFrame, corpus: DataFrame, most: int = FULL[0], least_percent: int = FULL[1], least_score: float = 0.4, length_band: int | None = 7,
     limit: int = MOST_RESULTS, index: DataFrame | TermIndex | None = None, newest: int | None = None,
 ) -> DataFrame:
-    """query_id, id, group, score and rank. queries: query_id, hashes, length; corpus: id, hashes, length, and group (its track).
+    """query_id, id, group, score and rank. queries: query_id, hashes, length, and a length band of their own (band) if they have one; corpus: id, hashes, length, and group (its track).
 
     index: the terms of the corpus, stored or as rows, if kept; else they are made. With the newest indexed id, fingerprints above it
     are looked for by their terms directly, and all candidates are scored together."""

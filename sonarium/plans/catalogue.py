@@ -82,7 +82,7 @@ def processed(spark, sf_dir):
 def overlap(spark, sf_dir):
     rows = fingerprints(spark, sf_dir, "benchmark", "item_id")
     after = rows.select((F.col("id") - 1).alias("id"), F.col("hashes").alias("next"))
-    return rows.join(after, "id").select("id", F.arrays_overlap("hashes", "next").alias("shared"), fp.to_unsigned(F.slice("hashes", 6, 5)).alias("part"), F.size("hashes").cast("long").alias("n"))
+    return rows.join(after, "id").select("id", fp.overlaps("hashes", "next").alias("shared"), fp.to_unsigned(fp.subarray("hashes", 5, 5)).alias("part"), F.size("hashes").cast("long").alias("n"))
 
 
 @query("o035_difference", f"WITH d AS (SELECT item_id, {_HASHES} AS h FROM benchmark), p AS (SELECT a.item_id, a.h[3:] AS a, b.h AS b FROM d a JOIN d b ON b.item_id = a.item_id + 1) SELECT item_id AS id, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: xor(a[i], b[i])) AS bits FROM p")

@@ -147,6 +147,36 @@ def validation(spark, sf_dir):
     return rq.validated(asked).select("o_orderkey", "error")
 
 
+@query(
+    "o099b_lookup_errors",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 40 WHEN o_orderkey % 5 = 1 THEN 12 ELSE 7 END AS band,
+  (o_orderkey % 2 = 0)::INT + (o_orderkey % 3 > 0)::INT AS good, CASE WHEN o_orderkey % 5 = 0 THEN 'invalid maxdurationdiff' WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 'missing duration' END AS error FROM orders""",
+)
+def lookup_errors(spark, sf_dir):
+    """Lookups of two parts, of which some are bad: how many are good, the length band, and the error of the whole."""
+    k = c("o_orderkey")
+    u = "b81f83ee-4da4-11e0-9ed8-0025225356f3"
+    pairs = [("trackid.1", F.when(k % 2 == 0, u).otherwise("u")), ("fingerprint.2", F.lit("AQ")), ("duration.2", F.when(k % 3 > 0, "9").otherwise("none")), ("maxdurationdiff", F.when(k % 5 == 0, "40").when(k % 5 == 1, "12").otherwise("x"))]
+    params = F.create_map(*[x for name, value in pairs for x in (F.lit(name), value)])
+    held = table(spark, sf_dir, "orders").select(k, rq.lookup_request(params).alias("r"))
+    return held.select(k, "r.band", F.size(F.filter("r.queries", lambda q: q["error"].isNull())).alias("good"), "r.error")
+
+
+@query(
+    "o133_merge_groups",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS b, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey - 1 ELSE p_partkey - 3 END AS a FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 4 = 0),
+f AS (SELECT b AS track, a AS at FROM p UNION ALL SELECT track, a FROM f JOIN p ON b = at),
+g AS (SELECT track, min(at) AS "group" FROM f GROUP BY track)
+SELECT track, "group" FROM g UNION SELECT "group", "group" FROM g""",
+)
+def merge_groups(spark, sf_dir):
+    """Parts pair with the one before, but for every fifth, and every fourth with the one three before."""
+    k = c("p_partkey")
+    part = table(spark, sf_dir, "part")
+    pairs = part.where(k % 5 != 0).select((k - 1).alias("a"), k.alias("b")).unionByName(part.where(k % 4 == 0).select((k - 3).alias("a"), k.alias("b")))
+    return cl.merge_groups(pairs)
+
+
 @query("o130_gate", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'nothing named' WHEN o_orderkey % 3 = 0 THEN 'too few hashes' WHEN o_orderkey % 7 = 0 THEN 'nothing to index' END AS refused FROM orders")
 def gate(spark, sf_dir):
     """Ids of zeros name nothing; silence cannot be indexed, were there enough of it."""

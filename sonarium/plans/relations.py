@@ -68,8 +68,9 @@ def null_safe(spark, sf_dir):
 @query("o052_inner_join", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def inner_join(spark, sf_dir):
     """Every fingerprint (a line) with its track (the order's customer)."""
-    held = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(held, "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey")
+    tracks = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), "o_custkey")
+    prints = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("track_id"), "l_linenumber")
+    return lo.with_tracks(prints, tracks).select(c("track_id").alias("l_orderkey"), "l_linenumber", "o_custkey")
 
 
 def part_links(spark, sf_dir):
@@ -93,18 +94,18 @@ def by_item(spark, sf_dir):
 
 @query("o054_join_chain", "SELECT l_orderkey, l_linenumber, c_name, n_name, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1 WHERE l_quantity > 45")
 def join_chain(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_quantity")
-    order = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("c_custkey"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nation = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(c("n_nationkey").alias("c_nationkey"), "n_name")
-    return line.join(order, "l_orderkey").join(customer, "c_custkey").join(nation, "c_nationkey", "left").select("l_orderkey", "l_linenumber", "c_name", "n_name", "l_quantity")
+    tracks = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(c("l_orderkey").alias("medium"), "l_linenumber", "l_quantity")
+    mediums = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("release"))
+    releases = table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), "c_name", c("c_nationkey").alias("place"))
+    events = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(c("n_nationkey").alias("place"), "n_name")
+    return lo.placements(tracks, mediums, releases, events).select(c("medium").alias("l_orderkey"), "l_linenumber", "c_name", "n_name", "l_quantity")
 
 
 @query("o055_left_lookup", "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey > 5 LEFT JOIN region ON r_regionkey = n_regionkey")
 def left_lookup(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").where("n_nationkey > 5").select(c("n_nationkey").alias("s_nationkey"), "n_name", c("n_regionkey").alias("r_regionkey"))
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return table(spark, sf_dir, "supplier").join(nation, "s_nationkey", "left").join(region, "r_regionkey", "left").select("s_suppkey", "n_name", "r_name")
+    return lo.with_names(table(spark, sf_dir, "supplier"), ("s_nationkey", nation), ("r_regionkey", region)).select("s_suppkey", "n_name", "r_name")
 
 
 @query("o060_null_length", "SELECT 'p' || p_partkey AS gid, p_name AS title, r_name AS artist, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END / 1000.0E0 AS seconds FROM part JOIN region ON r_regionkey = p_partkey % 5")
@@ -168,7 +169,7 @@ def usage(spark, sf_dir):
 @query("o068_outer", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0")
 def outer(spark, sf_dir):
     even = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(c("s_nationkey").alias("n_nationkey"), "s_suppkey")
-    return table(spark, sf_dir, "nation").select("n_nationkey").join(even, "n_nationkey", "left")
+    return lo.matched(table(spark, sf_dir, "nation").select("n_nationkey"), even, "n_nationkey")
 
 
 @query("o069_resolved", "SELECT p_partkey AS id, CASE WHEN p_partkey % 10 IN (3, 7) THEN p_partkey - p_partkey % 10 ELSE p_partkey END AS target FROM part")
@@ -221,7 +222,7 @@ def difference(spark, sf_dir):
 
 @query("o049_projection", "SELECT CAST(o_orderkey AS VARCHAR(20)) AS id, o_custkey / 1000.0E0 AS share FROM orders")
 def projection(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(c("o_orderkey").cast("string").alias("id"), (c("o_custkey") / 1000.0).alias("share"))
+    return lo.public(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
 
 
 @query("o098_status", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'pending' ELSE 'imported' END AS status, CASE WHEN o_orderkey % 4 > 0 THEN 'g' || CASE WHEN o_custkey % 2 = 1 THEN o_custkey - o_custkey % 10 ELSE o_custkey END END AS gid FROM orders JOIN customer ON c_custkey = o_custkey")

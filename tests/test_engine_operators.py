@@ -44,7 +44,40 @@ def test_outliers_and_groups(spark):
     rows = [("t1", "x", 0.1, 1, False), ("t1", "y", 0.9, 10, False), ("t2", "x", 0.8, 5, False), ("t1", "z", 0.1, 1, False), ("t3", "x", 0.1, 1, True), ("t3", "w", 0.9, 10, False)]
     got = cl.outliers(spark.createDataFrame(rows, "track string, mbid string, score double, sources int, manual boolean"), "track", "mbid").collect()
     assert [(r.track, r.mbid) for r in got] == [("t1", "x")]
-    assert cl.greedy_groups([(1, 2), (2, 3), (4, 5)]) == [{1, 2}, {4, 5}]
+
+
+def serial_groups(pairs):
+    """One pair after another, in order: the second track joins the group that the first one is in by then."""
+    into = {}
+    for a, b in sorted(pairs):
+        into[b] = into.get(a, a)
+    return {g: {g} | {t for t, x in into.items() if x == g} for g in into.values()}
+
+
+def test_tracks_merge_in_groups(spark):
+    rng = random.Random(2)
+    for pairs in ([(1, 2), (2, 3), (4, 5)], [(1, 3), (2, 3)], [tuple(sorted(rng.sample(range(40), 2))) for _ in range(30)]):
+        got: dict = {}
+        for r in cl.merge_groups(spark.createDataFrame(pairs, "a long, b long")).collect():
+            got.setdefault(r.group, set()).add(r.track)
+        assert got == serial_groups(set(pairs))
+
+
+def test_lookups_name_their_errors(spark):
+    gid = "b81f83ee-4da4-11e0-9ed8-0025225356f3"
+    cases = [
+        ({"trackid": gid}, 7, None, [None]),
+        ({"trackid": "x"}, 7, "invalid uuid", ["invalid uuid"]),
+        ({"fingerprint": "AQ", "duration": "10", "maxdurationdiff": "30"}, 30, None, [None]),
+        ({"fingerprint": "AQ", "duration": "10", "maxdurationdiff": "31"}, 31, "invalid maxdurationdiff", [None]),
+        ({"fingerprint": "AQ", "maxdurationdiff": "x"}, 7, "missing duration", ["missing duration"]),
+        ({"duration": "5"}, 7, "missing fingerprint", []),
+        ({"fingerprint.0": "AQ", "duration.0": "0", "trackid.1": gid, "fingerprint.2": "", "duration.2": "9"}, 7, None, ["missing duration", None, "missing fingerprint"]),
+        ({"fingerprint.0": "", "duration.0": "1", "fingerprint.1": "A", "duration.1": "no"}, 7, "missing duration", ["missing fingerprint", "missing duration"]),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, p map<string, string>")
+    for r, (_, band, error, errors) in zip(df.select(rq.lookup_request(F.col("p")).alias("q"), "i").orderBy("i").collect(), cases, strict=True):
+        assert (r.q.band, r.q.error, [q.error for q in r.q.queries]) == (band, error, errors)
 
 
 def test_noise_turns_some_bits(spark):

@@ -168,3 +168,18 @@ def test_locks_and_shards(spark):
     got = spark.createDataFrame([(n,) for n in names], "n string").select(tx.lock_id(F.col("n")).alias("lock"), tx.shard(F.col("n")).alias("shard")).collect()
     assert [r.lock for r in got] == [zlib.crc32(n.encode()) & 0x7FFFFFFF for n in names]
     assert all(len(r.shard) == 2 and 0 <= int(r.shard, 16) < 256 for r in got)
+
+
+def test_meta_words_are_cut_at_white_space(spark):
+    from sonarium.operators import requests as rq
+
+    cases = {"recordings tracks": ["recordings", "tracks"], "recordings,tracks": ["recordings,tracks"], "a\tb\n c": ["a", "b", "c"], "a+b": ["a+b"], "0": [], "": [], "1": ["recordingids"], "2": ["m2"], " 1": ["1"]}
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "meta string").select("meta", rq.wanted(F.col("meta")).alias("w")).collect()
+    assert {r.meta: r.w for r in rows} == cases | {None: []}
+
+
+def test_a_dollar_sign_begins_a_name_only(spark):
+    names = {"a$b": "x", "$a": "$a", "a.$b": "a.$b", "a.b$": "x", "a\n": "x", "a1._2": "a1._2"}
+    rows = spark.createDataFrame([(k,) for k in names], "c string")
+    got = {r.c: r.v for r in rows.select("c", tx.jsonp(F.col("c"), F.struct(F.lit(1).alias("x")), "x").alias("v")).collect()}
+    assert got == {k: f'{v}({{"x":1}})' for k, v in names.items()}
