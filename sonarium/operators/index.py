@@ -23,8 +23,8 @@ from sonarium.sources.tables import delete, shared_folder
 
 #: The attribute that holds the newest indexed id.
 NEWEST = "max_document_id"
-#: Buckets of an index unless told otherwise; terms that a search may name in its scan, beyond which it joins all buckets.
-BUCKETS, MOST_NAMED = 32, 20_000
+#: Buckets of an index unless told otherwise; terms that a search may name in its scan (a request has no more), beyond which it joins all buckets.
+BUCKETS, MOST_NAMED = 32, 2400
 
 
 class Conflict(RuntimeError):
@@ -42,7 +42,7 @@ def term_index(corpus: DataFrame, key: str = "id", hashes: str = "hashes", every
 
 @dataclass(frozen=True)
 class TermIndex:
-    """An index as of one commit. named: its tables' name in the session; number: of the commit; version: of the tables; segments: those that count; deletes: whether any has tombstones."""
+    """An index as of one commit. named: its tables' name in the session; number: of the commit; version: of the tables; segments: those that count; deletes: whether any has tombstones; documents: at most so many."""
 
     spark: SparkSession
     folder: str
@@ -52,6 +52,7 @@ class TermIndex:
     version: int = 0
     segments: tuple[int, ...] = ()
     deletes: bool = False
+    documents: int = 0
     held: tuple[tuple[str, int], ...] = ()
 
     # Storage
@@ -80,7 +81,7 @@ class TermIndex:
         jvm = self.spark._jvm
         place = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits/{self.number:09d}.json")
         files = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        body = {"buckets": self.buckets, "version": self.version, "segments": self.segments, "deletes": self.deletes, "held": dict(self.held)}
+        body = {"buckets": self.buckets, "version": self.version, "segments": self.segments, "deletes": self.deletes, "documents": self.documents, "held": dict(self.held)}
         if files.exists(place):
             raise Conflict(f"commit {self.number} of {self.folder} is there")
         draft = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits/.{uuid.uuid4().hex}")
@@ -129,26 +130,26 @@ class TermIndex:
 
     # Writing
 
-    def _next(self, added: DataFrame, gone: DataFrame | None, attributes: dict[str, int] | None) -> TermIndex:
+    def _next(self, added: DataFrame, gone: DataFrame | None, documents: int, attributes: dict[str, int] | None) -> TermIndex:
         segment = max(self.segments, default=0) + 1 + (uuid.uuid4().int % 1000)  # a failed batch's rows bear a number that never counts
         self._append(self._postings(), added.select("id", "term", F.lit(segment).alias("segment")), "term")
         if gone is not None:
             self._append(self._tombstones(), gone.select(F.col("id").cast("long").alias("id"), F.lit(segment).alias("segment")), "id")
         held = dict(self.held) | (attributes or {})
-        return replace(self, number=self.number + 1, segments=(*self.segments, segment), deletes=self.deletes or gone is not None, held=tuple(held.items()))._committed()
+        return replace(self, number=self.number + 1, segments=(*self.segments, segment), deletes=self.deletes or gone is not None, documents=self.documents + documents, held=tuple(held.items()))._committed()
 
     def updated(self, changes: DataFrame, attributes: dict[str, int] | None = None) -> TermIndex:
         """The index after one batch of changes (id, hashes; null hashes delete), with attributes set in the same step. An inserted document replaces its terms."""
         changes = changes.select(F.col("id").cast("long").alias("id"), "hashes")
-        return self._next(term_index(changes.where("hashes is not null"), every_term=True), changes.select("id").distinct() if self.segments else None, attributes)
+        return self._next(term_index(changes.where("hashes is not null"), every_term=True), changes.select("id").distinct() if self.segments else None, changes.count(), attributes)
 
     def grown(self, corpus: DataFrame, most: int = 1000) -> TermIndex:
         """The index with the next documents (id, hashes) above the newest one it has, `most` of them, by their query terms."""
         rows = corpus.where(F.col("id") > self.attribute(NEWEST)).orderBy("id").limit(most)
-        newest = rows.agg(F.max("id").alias("m")).first().m
+        newest, n = rows.agg(F.max("id"), F.count("*")).first()
         if newest is None:
             return self
-        return self._next(term_index(rows), None, {NEWEST: newest})
+        return self._next(term_index(rows), None, n, {NEWEST: newest})
 
     def compacted(self) -> TermIndex:
         """The index with all that counts in one segment of new tables. The tables of the version before the last stay for their readers, older ones go."""
@@ -180,7 +181,7 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     last = max(x.getPath().getName() for x in files.listStatus(place) if x.getPath().getName().endswith(".json"))
     body = json.loads(spark.read.text(f"{folder}/commits/{last}", wholetext=True).first().value)
-    return TermIndex(spark, folder, _named(folder), body["buckets"], int(last.split(".")[0]), body["version"], tuple(body["segments"]), body["deletes"], tuple(body["held"].items()))
+    return TermIndex(spark, folder, _named(folder), body["buckets"], int(last.split(".")[0]), body["version"], tuple(body["segments"]), body["deletes"], body["documents"], tuple(body["held"].items()))
 
 
 def remove_index(index: TermIndex) -> None:

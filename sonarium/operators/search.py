@@ -51,12 +51,15 @@ def candidates(
     held = index.holding(asked) if isinstance(index, TermIndex) else index
     if key != "id" and isinstance(index, TermIndex):
         held = held.withColumnRenamed("id", key)
-    often = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("often")).where(F.col("often") > common)
     before = F.col(key) < F.col(query) if earlier else F.lit(True)
+    plain = lambda: _ranked(asked.join(held, "term").where(before).groupBy(query, key).agg(F.count("*").alias("matches")), query, key, most, least_percent)
+    if isinstance(index, TermIndex) and index.documents <= common:  # no term can be in more
+        return plain()
+    often = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("often")).where(F.col("often") > common)
     with Scratch(queries.sparkSession) as scratch:
         often = scratch.keep(often, "often")
         if often.isEmpty():
-            return _ranked(asked.join(held, "term").where(before).groupBy(query, key).agg(F.count("*").alias("matches")), query, key, most, least_percent)
+            return plain()
         return _bounded(scratch, asked, often, held, key, query, most, least_percent, before)
 
 

@@ -132,7 +132,7 @@ def indexed_candidates(spark, sf_dir, common):
     asked = fingerprints(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
     with tb.Scratch(spark) as scratch:
         corpus = scratch.keep(fingerprints(spark, sf_dir, "documents", "doc_id"), "corpus")
-        index = se.empty_index(spark).updated(corpus)
+        index = se.empty_index(spark, buckets=8).updated(corpus)
         found = se.candidates(se.term_index(asked, "query_id", every_term=True), index, common=common(corpus.count()))
         found = scratch.keep(found, "found", outlive=True)
         remove_index(index)

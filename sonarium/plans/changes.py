@@ -165,8 +165,8 @@ def lookup_errors(spark, sf_dir):
 @query(
     "o133_merge_groups",
     """WITH RECURSIVE p AS (SELECT p_partkey AS b, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey - 1 ELSE p_partkey - 3 END AS a FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 4 = 0),
-f AS (SELECT b AS track, a AS at FROM p UNION ALL SELECT track, a FROM f JOIN p ON b = at),
-g AS (SELECT track, min(at) AS "group" FROM f GROUP BY track)
+f AS (SELECT b AS track, a AS led FROM p UNION ALL SELECT track, a FROM f JOIN p ON b = led),
+g AS (SELECT track, min(led) AS "group" FROM f GROUP BY track)
 SELECT track, "group" FROM g UNION SELECT "group", "group" FROM g""",
 )
 def merge_groups(spark, sf_dir):
@@ -358,7 +358,7 @@ def run_search(spark, sf_dir):
     with tb.Scratch(spark) as scratch:
         corpus = fingerprints(spark, sf_dir, "documents", "doc_id").withColumns({"length": F.size("hashes"), "group": F.floor(c("id") / 4).cast("long")})
         corpus = scratch.keep(corpus, "corpus")
-        index = se.empty_index(spark).updated(corpus)
+        index = se.empty_index(spark, buckets=8).updated(corpus)
         asked = corpus.where("id % 25 = 0").select(c("id").alias("query_id"), "hashes", "length")
         found = scratch.keep(se.search(asked, corpus, index=index), "found", outlive=True)
         remove_index(index)
