@@ -89,6 +89,29 @@ def test_a_term_of_all_documents_joins_few_rows(spark, monkeypatch):
     assert sum(joined) * 10 < everything
 
 
+def test_what_shares_a_term_never_becomes_a_row(spark, monkeypatch):
+    """Every document shares a term with every query: of each query some rows for each shard are ranked, however many documents there are."""
+    n, asked = 2000, 20
+    corpus = spark.range(n).select("id", F.explode(F.array(F.lit(0), F.lit(16), F.col("id") * 16 + 32)).alias("term"))
+    queries = corpus.where(F.col("id") < asked).select(F.col("id").alias("query_id"), "term")
+    monkeypatch.setattr(se, "LEAST_SHARD", 1500)
+    monkeypatch.setattr(se, "BLOCK", 30)
+    ranked = []
+    inner = se._ranked
+    monkeypatch.setattr(se, "_ranked", lambda counted, *a: (ranked.append(counted.count()), inner(counted, *a))[1])
+    for common in (0, 5000):
+        got = {tuple(r) for r in se.candidates(queries, corpus, most=3, common=common).collect()}
+        assert got == {(q, k, 3 if q == k else 2) for q in range(asked) for k in sorted({q, *[k for k in range(4) if k != q][:2]})}
+    assert max(ranked) <= asked * 3 * 4
+
+
+def test_shards_count_only_earlier_ones(spark):
+    rows = [(i, t) for i in range(50) for t in (0, 16 * (i % 5) + 16)]
+    corpus = spark.createDataFrame(rows, "id long, term long")
+    got = {tuple(r) for r in se.candidates(corpus.withColumnRenamed("id", "query_id"), corpus, most=50, least_percent=0, earlier=True).collect()}
+    assert got == {(q, k, 1 + (q % 5 == k % 5)) for q in range(50) for k in range(q)}
+
+
 def test_the_limit_is_on_fingerprints(spark):
     """Twelve near copies on one track fill the ten results; the other track does not come out."""
     base = [i * 16 for i in range(200)]
