@@ -51,9 +51,24 @@ def similarity_matrix(members: DataFrame) -> DataFrame:
 def track_pairs(members: DataFrame) -> DataFrame:
     """block, a, b (tracks, the smaller first), score (the least of their fingerprints' pairs) and length_diff (the largest).
 
-    Only pairs whose ids and tracks are in the same order count, as in the service's own query."""
-    pairs = member_pairs(members).where("a_track < b_track").withColumn("score", fp.compare("a_hashes", "b_hashes"))
-    return pairs.groupBy("block", F.col("a_track").alias("a"), F.col("b_track").alias("b")).agg(F.min("score").alias("score"), F.max("length_diff").alias("length_diff"))
+    Only pairs whose ids and tracks are in the same order count, as in the service's own query. Equal fingerprints of a track are compared
+    once: two of them have a pair in order if the least id of the one is below the largest of the other. Lengths need no pairs: each fingerprint meets
+    the shortest and the longest one before it."""
+    same = members.groupBy("block", "track", "hashes").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    one = lambda s: same.select("block", *[F.col(c).alias(f"{s}_{c}") for c in ("track", "hashes", "low", "high")])
+    pairs = one("a").join(one("b"), "block").where("a_track < b_track and a_low < b_high").withColumn("score", fp.compare("a_hashes", "b_hashes"))
+    keys = ["block", "a", "b"]
+    scores = pairs.groupBy("block", F.col("a_track").alias("a"), F.col("b_track").alias("b")).agg(F.min("score").alias("score"))
+    tracks = members.select("block", "track").distinct()
+    both = tracks.withColumnRenamed("track", "a").join(tracks.withColumnRenamed("track", "b"), "block").where("a < b")
+    rows = members.select("block", "track", "id", "length")
+    of = lambda s: both.join(rows.withColumnRenamed("track", s), ["block", s]).select(*keys, "id", F.lit(s == "a").alias("first"), "length")
+    # Of equal ids the second track's is seen first, as it has no pair with the other.
+    until = Window.partitionBy(*keys).orderBy("id", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.when(F.col("first"), F.col("length"))
+    seen = of("a").unionByName(of("b")).withColumns({"least": F.min(held).over(until), "most": F.max(held).over(until)}).where("not first")
+    lengths = seen.groupBy(*keys).agg(F.max(F.greatest(F.col("most") - F.col("length"), F.col("length") - F.col("least"))).alias("length_diff"))
+    return scores.join(lengths, keys, "left")
 
 
 def joinable(pairs: DataFrame) -> DataFrame:

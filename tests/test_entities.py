@@ -1,6 +1,7 @@
 """Links, merges and the import of submissions, on small tables whose outcomes are known."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,30 @@ def test_lookups(spark):
     got = [sorted(r.k for r in part.collect()) for part in lo.chunks(many, "k", 40, 10)]
     assert got == [list(range(1, 41)), list(range(41, 81)), list(range(81, 90))]
     assert list(lo.chunks(many.where("false"), "k")) == []
+
+
+def test_equal_fingerprints_of_tracks_are_compared_once(spark, monkeypatch):
+    """Three contents in two tracks of two blocks: at most 3 * 3 comparisons a block and pair of tracks, and what all pairs give."""
+    rng = random.Random(5)
+    kinds = {i: [rng.getrandbits(31) for _ in range(40)] for i in range(3)}
+    rows = [(i % 2, i // 2, rng.randrange(3), rng.choice([None, *range(90, 130)]), kinds[rng.randrange(3)]) for i in range(300)]
+    rows += [(7, 1, 0, 5, kinds[0]), (7, 1, 1, 90, kinds[0]), (8, 2, 0, None, None), (8, 3, 1, 4, kinds[1]), (9, 5, 0, 1, kinds[0]), (9, 4, 1, 1, kinds[0])]
+    members = spark.createDataFrame(rows, "block long, id long, track long, length int, hashes array<int>")
+    compared = spark.sparkContext.accumulator(0)
+
+    def counting(x, y):
+        compared.add(1)
+        return None if x is None or y is None else fp.similarity(x, y)
+
+    monkeypatch.setattr(fp, "compare", F.udf(counting, "double"))
+    want = {}
+    for ba, ia, ta, la, ha in rows:
+        for bb, ib, tb, lb, hb in rows:
+            if ba == bb and ia < ib and ta < tb:
+                scores, lengths = want.setdefault((ba, ta, tb), ([], []))
+                scores += [] if ha is None or hb is None else [(tuple(ha), tuple(hb))]
+                lengths += [] if la is None or lb is None else [abs(la - lb)]
+    want = {k: (min((round(fp.similarity(*p), 9) for p in set(s)), default=None), max(d, default=None)) for k, (s, d) in want.items()}
+    got = {(r.block, r.a, r.b): (None if r.score is None else round(r.score, 9), r.length_diff) for r in cl.track_pairs(members).collect()}
+    assert got == want
+    assert compared.value <= 2 * 3 * 9 + 3
