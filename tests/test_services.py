@@ -319,3 +319,12 @@ def test_documents(spark):
     assert users["y"] == {"recordings": [{"id": "nobody"}, {"artists": [{"name": "me"}], "releases": [{"title": "alb"}]}, {"title": "x"}]} and "artists" in users["x"]["recordings"][0]
     assert made() == {"x": None, "y": None}
     assert [r.mbid for r in dc.unseen(links, rows).collect()] == ["nobody"]
+
+
+@pytest.mark.parametrize("name", ["o093_compressed", "o090_nested_documents"])
+def test_lines_are_read_once_for_a_document(spark, name):
+    """Lists on all levels are made of one reading of the lines."""
+    from sonarium.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.split("\n") if "Relation" in line and "l_partkey#" in line]) == 1
