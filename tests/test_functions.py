@@ -183,3 +183,23 @@ def test_a_dollar_sign_begins_a_name_only(spark):
     rows = spark.createDataFrame([(k,) for k in names], "c string")
     got = {r.c: r.v for r in rows.select("c", tx.jsonp(F.col("c"), F.struct(F.lit(1).alias("x")), "x").alias("v")).collect()}
     assert got == {k: f'{v}({{"x":1}})' for k, v in names.items()}
+
+
+def test_text_forms_take_bounded_memory():
+    """A batch of many rows is encoded in parts: its peak is far below that of all its gaps, and rows come out as one by one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 5, 100_000, 0, *[400] * 2500, 1, 0]
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    values = rng.integers(0, 2**32, offsets[-1], dtype=np.uint32)
+    known = [i != 3 for i in range(len(sizes))]
+    tracemalloc.start()
+    try:
+        made = fp.text_forms(values, offsets, known)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6
+    for i in (0, 1, 2, 3, 4, 5, 1000, 2503, 2504, 2505):
+        assert made[i] == (fp.encode_legacy(values[offsets[i] : offsets[i + 1]]) if known[i] else None)
