@@ -128,3 +128,19 @@ def test_stored_results_have_a_length_band(spark):
     asked = spark.createDataFrame([(9, 100)], "query_id long, length int")
     assert sorted(r.id for r in se.search_stored(results, asked, corpus).collect()) == [1, 3]
     assert se.search_stored(results, asked, corpus, length_band=None).count() == 3
+
+
+def test_large_batches_are_written_by_many_tasks(spark, monkeypatch):
+    """A bucket has several files, each of one task, and no limit gathers the hashes of a growing index."""
+    corpus = spark.range(1, 101).select("id", F.array(*[(F.col("id") * 100 + i * 16).cast("int") for i in range(5)]).alias("hashes"))
+    monkeypatch.setattr(ix, "PER_FILE", 5)
+    inner, plans = ix.term_index, []
+    monkeypatch.setattr(ix, "term_index", lambda rows, *a, **b: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), inner(rows, *a, **b))[1])
+    index = ix.new_index(spark, buckets=2).grown(corpus, 60)
+    assert index.attribute(ix.NEWEST) == 60 and index.grown(corpus, 0) == index
+    files = {r.f for r in index.postings().select(F.input_file_name().alias("f")).distinct().collect()}
+    assert 8 <= len(files) <= 12
+    index = index.grown(corpus, 1000)
+    assert sorted(r.id for r in index.terms.select("id").distinct().collect()) == list(range(1, 101))
+    assert all("Limit" not in p for p in plans)
+    ix.remove_index(index)
