@@ -22,6 +22,17 @@ def test_numbers_ascend_with_the_keys(spark):
     assert st.numbered(df.limit(0), ["a", "b"]).count() == 0
 
 
+def test_a_row_is_not_compared_with_every_edge(spark):
+    df = spark.createDataFrame([(None if i % 9 == 0 else i * 37 % 100, i) for i in range(500)], "a int, b int").repartition(3)
+    want = sorted(((r.a, r.b) for r in df.collect()), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    for buckets in (1, 2, 3, 5, 33):
+        got = st.numbered(df, ["a", "b"], buckets=buckets, per_bucket=3)
+        assert [(r.a, r.b) for r in sorted(got.collect(), key=lambda r: r.n)] == want
+    plan = st.numbered(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    # Six halvings find one of 64 ranges, for the places and again for the sizes; no function runs over the edges.
+    assert "filter(edges_" not in plan and plan.count("<= struct(a") == 12
+
+
 def test_redirects_are_followed_to_their_ends(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (101, 100), (200, None), (5, 6)]
     got = {r.id: r.target for r in st.closure(spark.createDataFrame(chain, "id long, target long")).collect()}
