@@ -1,11 +1,15 @@
+import re
 import time
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sonarium.functions import fingerprint as fp
 from sonarium.functions import text as tx
+from sonarium.plans import catalogue
 from tests import goldens
 
 
@@ -118,6 +122,23 @@ def test_xor_at_an_offset(spark):
     assert got == [[0, 0, 10], [2, 3, 1], [1, 2]]
 
 
+def test_words_are_hashed_once(spark, monkeypatch):
+    texts = [None, "", "  ", "ab", "cd ef", "bC1 -- a9\u00e9x ab", "\u0130K \u212a", "ab" * 40, "x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    rows = df.select("id", catalogue.word_hashes().alias("hashes"))
+    want = [None if t is None else [int.from_bytes(md5(w.encode()).digest()[:4], "big", signed=True) for w in re.findall("[a-z0-9]+", t)] for t in (r[0] for r in df.orderBy("id").select(F.lower("text")).collect())]
+    assert [r.hashes for r in rows.orderBy("id").collect()] == want
+    monkeypatch.setattr(fp, "CUT", 3)
+    lower = ["ab" if t is None else t for t in texts]
+    assert fp._word_hashes(pa.array(lower)[2:]).to_pylist() == [[int.from_bytes(md5(w.encode()).digest()[:4], "big", signed=True) for w in re.findall("[a-z0-9]+", t)] for t in lower[2:]]
+    assert fp._word_hashes(pa.array([], pa.string())).to_pylist() == []
+    # No function runs over the words, and terms that are exploded do not have the hashes worked out a second time.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+    terms = rows.where("hashes is not null").select(F.explode("hashes"))
+    assert terms._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_array_literals(spark):
     df = spark.createDataFrame([("{1,-2}",), ("{}",), ("",)], "t string")
     assert [r.a for r in df.select(fp.parse_array(F.col("t")).alias("a")).collect()] == [[1, -2], [], None]
