@@ -144,3 +144,20 @@ def test_large_batches_are_written_by_many_tasks(spark, monkeypatch):
     assert sorted(r.id for r in index.terms.select("id").distinct().collect()) == list(range(1, 101))
     assert all("Limit" not in p for p in plans)
     ix.remove_index(index)
+
+
+def test_files_are_sorted_without_comparing_buckets(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, [rng.randrange(1 << 31) for _ in range(40)]) for i in range(300)], "id long, hashes array<int>")
+    index = ix.new_index(spark, buckets=4).updated(docs)
+    files = {}
+    for r in index.postings().select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"), "term", F.expr("pmod(hash(term), 4)").alias("b")).collect():
+        files.setdefault(r.f, []).append((r.n, r.term, r.b))
+    assert len(files) == 4
+    for rows in files.values():
+        terms = [t for _, t, _ in sorted(rows)]
+        assert terms == sorted(terms) and len({b for *_, b in rows}) == 1
+    # Sorted by the writer itself, rows would be compared by bucket and key.
+    assert "Sort Columns" not in {r.col_name for r in spark.sql(f"DESCRIBE FORMATTED {index._postings()}").where("data_type != '[]'").collect()}
+    assert spark.conf.get(ix.OPEN_FILES) == "0"
+    ix.remove_index(index)
