@@ -161,3 +161,13 @@ def test_files_are_sorted_without_comparing_buckets(spark):
     assert "Sort Columns" not in {r.col_name for r in spark.sql(f"DESCRIBE FORMATTED {index._postings()}").where("data_type != '[]'").collect()}
     assert spark.conf.get(ix.OPEN_FILES) == "0"
     ix.remove_index(index)
+
+
+def test_an_empty_index_asks_for_no_terms(spark):
+    asked = spark.range(3).select(F.col("id").alias("query_id"), F.raise_error(F.lit("worked out")).cast("long").alias("term"))
+    full = se.candidates(spark.createDataFrame([(1, 16)], "query_id long, term long"), spark.createDataFrame([(5, 16)], "key int, term long"), key="key")
+    none = se.candidates(asked, spark.createDataFrame([], "key int, term long"), key="key")
+    assert none.collect() == [] and none.dtypes == full.dtypes and [tuple(r) for r in full.collect()] == [(1, 5, 1)]
+    index = ix.new_index(spark, buckets=2)
+    assert se.candidates(asked, index).collect() == []
+    ix.remove_index(index)
