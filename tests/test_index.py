@@ -105,6 +105,50 @@ def test_what_shares_a_term_never_becomes_a_row(spark, monkeypatch):
     assert max(ranked) <= asked * 3 * 4
 
 
+@pytest.mark.parametrize("common", [0, 30, 5000])
+def test_queries_travel_to_groups_and_not_to_shards(spark, monkeypatch, common):
+    """With many more shards than cores a query still has some rows for each group of shards, and goes to each group once; counts are the same."""
+    rng = random.Random(5)
+    corpus = {i * 3: {rng.choice((rng.randrange(40), rng.randrange(4000))) << 4 for _ in range(25)} for i in range(300)}
+    queries = {q: set(rng.sample(sorted(corpus[q * 30]), 12)) for q in range(25)}
+    rows = lambda held, name: spark.createDataFrame([(k, t) for k, v in held.items() for t in v], f"{name} long, term long")
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(se, "SHARD", 150)
+    sent, ranked = [], []
+    inner, packed = se._ranked, getattr(se, "packed", None)
+    monkeypatch.setattr(se, "_ranked", lambda counted, *a: (ranked.append(counted.count()), inner(counted, *a))[1])
+    monkeypatch.setattr(se, "packed", lambda df: (sent.append(df.count()), packed(df))[1], raising=False)
+    got = {tuple(r) for r in se.candidates(rows(queries, "query_id"), rows(corpus, "id"), most=4, least_percent=0, common=common).collect()}
+    assert got == plain_candidates(queries, corpus, 4, 0)
+    assert max(ranked) <= len(queries) * 4 * cores < len(queries) * 4 * 10
+    assert sent == [sum(map(len, queries.values())), sum(len(v & set().union(*queries.values())) for v in corpus.values())]
+
+
+def test_postings_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr(ix, "PACKED", 7)
+    docs = [(1, [5, -3, 2**31 - 1, 5]), (2, []), (3, None), (4, [None, 7]), (-9, list(range(30))), (None, [1])]
+    lists = spark.createDataFrame(docs, "id long, terms array<long>")
+    parts = lists.select(F.transform("terms", lambda x: F.pmod(x, F.lit(3)).cast("int")), "id", "terms")
+    want = sorted((t % 3, k, t) for k, v in docs for t in v or () if k is not None and t is not None)
+    for rows in (parts, lists.select("id", F.explode("terms").alias("t")).select(F.pmod("t", F.lit(3)), "id", "t")):
+        held = ix.packed(rows)
+        assert held.count() < len(want) and held.agg(F.sum("n")).first()[0] == len(want)
+        batches = held.select("part", "n", "keys", "terms").orderBy("part").toArrow().to_batches()
+        assert sorted((at[0], int(k), int(t)) for at, keys, terms in ix.unpacked(iter(batches), ["part"]) for k, t in zip(keys, terms, strict=True)) == want
+
+
+def test_hashes_of_far_documents_do_not_travel(spark):
+    base = [i * 16 for i in range(200)]
+    rows = [(i, base, 100, i) for i in range(1, 5)] + [(i, [x + 1_000_000 * i for x in base], 100, i) for i in range(5, 40)]
+    corpus = spark.createDataFrame(rows, "id long, hashes array<int>, length int, group long")
+    asked = spark.createDataFrame([(1, base, 100)], "query_id long, hashes array<int>, length int")
+    want = sorted(map(tuple, se.search(asked, corpus).collect()))
+    with se.Scratch(spark) as scratch:
+        found = se.search(asked, corpus, scratch=scratch)
+        assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want and len(want) == 4
+
+
 def test_shards_count_only_earlier_ones(spark):
     rows = [(i, t) for i in range(50) for t in (0, 16 * (i % 5) + 16)]
     corpus = spark.createDataFrame(rows, "id long, term long")
